@@ -3,13 +3,13 @@
 1. ``query_windows``: every item becomes windows of ten consecutive words (a shorter item is one window).
 2. ``term_counts``: how often the corpus holds each test term: one pass, summed map-side. A window with a term
    that the corpus lacks can't occur and goes.
-3. ``postings``: for each window its rarest term and the next rarest one are the seeds. The index stores the
-   postings (term, document, position) of seeds only, each with the words around it, as far as a window
-   reaches; it is written once, to the shared folder.
-4. ``phrase_matches``: a posting of a window's rarest term, less the term's offset in the window, is where the
-   window would start. The words stored with the posting are checked there against the offset-adjusted list of
-   the second seed first, then against the whole window.
-5. ``proximity_matches``: both seeds of a window, offset-adjusted, within ``slop`` words of each other.
+3. ``seeded``: a window is looked up by its rarest term; the next rarest one confirms it. An item's two rarest
+   terms stand for the item in proximity matches.
+4. ``postings``: one pass stores (term, document, position) of these rarest terms in the shared folder. A
+   window's list is intersected with the offset-adjusted list of its second term as the document is read: a
+   posting stays if the second term stands where some window wants it, and then carries the words around it.
+5. ``phrase_matches``: position less offset is where a window starts; the stored words decide.
+6. ``proximity_matches``: documents with both rarest terms of an item within ``slop`` words of each other.
 
 Terms are looked up in full lower case, which also folds letters beyond A-Z; the check of whole windows is on
 words with only A-Z folded, so it decides.
@@ -65,66 +65,85 @@ def term_counts(corpus: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return tokens.join(_spread(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
+def _ranked(words_of: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, n_terms, least, r): the terms of each row with count and offset, rarest first; least is 0 if one is absent."""
+    each = words_of.select(key, F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "word"))
+    each = each.withColumn("term", F.lower("word")).join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = F.sort_array(F.collect_list(F.struct("n", "term", "offset")))
+    return each.groupBy(key, "n_terms").agg(rarest.alias("r"), F.min("n").alias("least"))
+
+
+def _other(ranked: Column) -> Column:
+    """The rarest entry of another term than the first's; the first itself if there is none."""
+    return F.coalesce(F.get(F.filter(ranked, lambda x: x["term"] != ranked[0]["term"]), F.lit(0)), ranked[0])
+
+
 def seeded(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """(phrase, n_terms, seed, offset, seed2, offset2): the two rarest terms of each distinct phrase that can occur."""
-    phrases = windows.select("phrase", "terms").distinct()
-    each = phrases.select("phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "word"))
-    each = each.withColumn("term", F.lower("word")).join(counts, "term", "left")
-    by_rarity = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))
-    ranked = each.groupBy("phrase", "n_terms").agg(by_rarity.alias("r"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
-    second = F.coalesce(F.get(F.filter("r", lambda x: x["term"] != F.col("r")[0]["term"]), F.lit(0)), F.col("r")[0])
+    ranked = _ranked(windows.select("phrase", "terms").distinct(), "phrase", counts)
+    first, second = F.col("r")[0], _other(F.col("r"))
     return ranked.where("least > 0").select(
-        "phrase", "n_terms", F.col("r")[0]["term"].alias("seed"), F.col("r")[0]["offset"].alias("offset"),
+        "phrase", "n_terms", first["term"].alias("seed"), first["offset"].alias("offset"),
         second["term"].alias("seed2"), second["offset"].alias("offset2"),
     )
 
 
-def postings(corpus: DataFrame, seed_terms: DataFrame, n_terms: int, window: int = WINDOW) -> DataFrame:
-    """(term, doc_id, text_key, position, before, after): the positional index of the seed terms.
+def item_seeds(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, seed, seed2): the two rarest terms of each item that the corpus holds."""
+    terms = windows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    ranked = _ranked(terms, "item_id", counts).withColumn("r", F.filter("r", lambda x: x["n"] > 0)).where(F.size("r") > 1)
+    pairs = ranked.select("item_id", F.col("r")[0]["term"].alias("seed"), _other(F.col("r"))["term"].alias("seed2"))
+    return pairs.where("seed != seed2")
+
+
+def postings(corpus: DataFrame, seeds: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(term, doc_id, text_key, position, before, after): the positional index of the rarest terms.
 
-    ``before`` and ``after`` are the words next to the posting, as many as a window can reach.
+    ``before`` and ``after`` are the words next to the posting, as many as a window can reach; they are null
+    where no window has its second term in place and the posting serves items only.
     """
+    wanted = F.struct("offset", "seed2", "offset2")
+    by_window = seeds.select(F.col("seed").alias("term"), wanted.alias("wanted"), F.lit(False).alias("of_item"))
+    by_item = items.select(F.explode(F.array("seed", "seed2")).alias("term"), F.lit(None).cast(by_window.schema["wanted"].dataType).alias("wanted"), F.lit(True).alias("of_item"))
+    terms = cut(by_window.unionByName(by_item).groupBy("term").agg(F.collect_set("wanted").alias("wanted"), F.max("of_item").alias("of_item")))
     rows = corpus.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     each = rows.select("doc_id", "text_key", "w", F.posexplode("w").alias("position", "word"))
-    hits = each.withColumn("term", F.lower("word")).join(_spread(seed_terms, n_terms), "term")
+    hits = each.withColumn("term", F.lower("word")).join(_spread(terms, terms.count()), "term")
+    place = F.col("position")
+    in_place = F.exists("wanted", lambda x: F.coalesce(F.lower(F.get("w", place - x["offset"] + x["offset2"])) == x["seed2"], F.lit(False)))
+    hits = hits.withColumn("in_place", in_place).where(F.col("in_place") | F.col("of_item"))
     reach = window - 1
+    before = F.slice("w", F.greatest(place + 1 - reach, F.lit(1)), F.least(place, F.lit(reach)))
     return hits.select(
         "term", "doc_id", "text_key", "position",
-        F.slice("w", F.greatest(F.col("position") + 1 - reach, F.lit(1)), F.least(F.col("position"), F.lit(reach))).alias("before"),
-        F.slice("w", F.col("position") + 1, F.lit(window)).alias("after"),
+        F.when(F.col("in_place"), before).alias("before"),
+        F.when(F.col("in_place"), F.slice("w", place + 1, F.lit(window))).alias("after"),
     )
 
 
 def phrase_matches(index: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, text_key, phrase, start, n_terms): every exact occurrence of a phrase."""
-    at_seed = index.join(seeds.withColumnRenamed("seed", "term"), "term").where(F.size("before") >= F.col("offset"))
-    around = F.concat("before", "after")
+    wanted = _spread(seeds.select(F.col("seed").alias("term"), "phrase", "offset", "n_terms"), seeds.count())
+    at_seed = index.where(F.col("before").isNotNull()).join(wanted, "term")
     first = F.size("before") - F.col("offset")
-    at_second = F.lower(F.get(around, first + F.col("offset2"))) == F.col("seed2")
-    near = at_seed.where(F.coalesce(at_second, F.lit(False)))
-    here = _folded(F.array_join(F.slice(around, first + 1, F.col("n_terms")), " "))
-    return near.where(here == F.col("phrase")).select(
+    here = _folded(F.array_join(F.slice(F.concat("before", "after"), F.greatest(first + 1, F.lit(1)), F.col("n_terms")), " "))
+    return at_seed.where((first >= 0) & (here == F.col("phrase"))).select(
         "doc_id", "text_key", "phrase", (F.col("position") - F.col("offset")).alias("start"), "n_terms"
     )
 
 
-def proximity_matches(index: DataFrame, seeds: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(doc_id, text_key, phrase): documents in which both seeds of a phrase, less their offsets, share a block.
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc_id, text_key, item_id): documents in which both rarest terms of an item share a block.
 
     Blocks are ``2 * slop`` words long and begin every ``slop`` words, so all pairs within ``slop`` are found
     and none beyond ``2 * slop``. Each posting is flagged in its two blocks; no pairs are made.
     """
-    pairs = seeds.where("seed != seed2")
-    sides = [
-        index.join(pairs.select(F.col(term).alias("term"), "phrase", F.col(offset).alias("o")), "term").select(
-            "doc_id", "text_key", "phrase", F.floor((F.col("position") - F.col("o")) / slop).alias("block"), F.lit(flag).alias("flag")
-        )
-        for term, offset, flag in (("seed", "offset", 1), ("seed2", "offset2", 2))
-    ]
-    both = reduce(DataFrame.unionByName, sides)
-    both = both.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1)))
-    blocks = both.groupBy("doc_id", "text_key", "phrase", "block").agg(F.bit_or("flag").alias("flags"))
-    return blocks.where("flags = 3").select("doc_id", "text_key", "phrase").distinct()
+    sides = [items.select(F.col(term).alias("term"), "item_id", F.lit(flag).alias("flag")) for term, flag in (("seed", 1), ("seed2", 2))]
+    wanted = _spread(reduce(DataFrame.unionByName, sides), 2 * items.count())
+    block = F.floor(F.col("position") / slop)
+    both = index.join(wanted, "term").select("doc_id", "text_key", "item_id", F.explode(F.array(block, block - 1)).alias("block"), "flag")
+    blocks = both.groupBy("doc_id", "text_key", "item_id", "block").agg(F.bit_or("flag").alias("flags"))
+    return blocks.where("flags = 3").select("doc_id", "text_key", "item_id").distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -147,8 +166,8 @@ class Index:
         terms = cut(self.windows.select(F.explode(F.transform("terms", F.lower)).alias("term")).distinct())
         counts = cut(term_counts(self.corpus, terms, terms.count()))
         self.seeds = cut(seeded(self.windows, counts))
-        seed_terms = cut(self.seeds.select(F.explode(F.array("seed", "seed2")).alias("term")).distinct())
-        self.postings = cut(postings(self.corpus, seed_terms, seed_terms.count(), window))
+        self.items = cut(item_seeds(self.windows, counts))
+        self.postings = cut(postings(self.corpus, self.seeds, self.items, window))
 
 
 def contamination(
@@ -157,7 +176,7 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row of ``docs``.
 
-    ``n_hit`` counts words inside exact matches; ``n_near`` the phrases met in proximity, exact ones included.
+    ``n_hit`` counts words inside exact matches; ``n_near`` the items met in proximity.
     """
     index = Index(docs, benchmark, id_col, text_col, item_col, item_text, window)
     found = cut(phrase_matches(index.postings, index.seeds))
@@ -169,7 +188,7 @@ def contamination(
         .select(*key, F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    near = proximity_matches(index.postings, index.seeds, slop).groupBy(key).agg(F.count("*").alias("n_near"))
+    near = proximity_matches(index.postings, index.items, slop).groupBy(key).agg(F.count("*").alias("n_near"))
     word = words(F.col("text"))
     empty_ends = F.when(F.size(word) == 1, (word[0] == "").cast("int")).otherwise(
         (word[0] == "").cast("int") + (F.element_at(word, -1) == "").cast("int")
