@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import cut, id_and_text
+from storyloom.llm.common import cut, id_and_text, without
 
 WINDOW, SLOP = 10, 16
 #: What separates words, and A-Z is no separator as folding comes later.
@@ -97,37 +97,36 @@ def item_seeds(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame, seeds: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, doc_id, text_key, position, before, after): the positional index of the rarest terms.
+    """(term, doc_id, text_key, position, phrase, offset, n_terms, before, after): the index of the rarest terms.
 
-    ``before`` and ``after`` are the words next to the posting, as many as a window can reach; they are null
-    where no window has its second term in place and the posting serves items only.
+    ``phrase`` is a window whose second term is in place, ``before`` and ``after`` the words next to the posting,
+    as many as a window can reach. Postings that serve items only have none of these.
+
+    The words of a document are looked at where they are: the join, the look at the second term and the slices
+    run as one generated loop over the document, so its array of words isn't copied.
     """
-    wanted = F.struct("offset", "seed2", "offset2")
-    by_window = seeds.select(F.col("seed").alias("term"), wanted.alias("wanted"), F.lit(False).alias("of_item"))
-    by_item = items.select(F.explode(F.array("seed", "seed2")).alias("term"), F.lit(None).cast(by_window.schema["wanted"].dataType).alias("wanted"), F.lit(True).alias("of_item"))
-    terms = cut(by_window.unionByName(by_item).groupBy("term").agg(F.collect_set("wanted").alias("wanted"), F.max("of_item").alias("of_item")))
+    by_window = seeds.withColumnRenamed("seed", "term")
+    by_item = items.select(F.explode(F.array("seed", "seed2")).alias("term")).distinct()
+    wanted = cut(by_window.unionByName(by_item, allowMissingColumns=True))
     rows = corpus.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
     each = rows.select("doc_id", "text_key", "w", F.posexplode("w").alias("position", "word"))
-    hits = each.withColumn("term", F.lower("word")).join(_spread(terms, terms.count()), "term")
-    place = F.col("position")
-    in_place = F.exists("wanted", lambda x: F.coalesce(F.lower(F.get("w", place - x["offset"] + x["offset2"])) == x["seed2"], F.lit(False)))
-    hits = hits.withColumn("in_place", in_place).where(F.col("in_place") | F.col("of_item"))
-    reach = window - 1
+    hits = each.withColumn("term", F.lower("word")).join(_spread(wanted, wanted.count()), "term")
+    place, reach = F.col("position"), window - 1
+    second = F.lower(F.get("w", place - F.col("offset") + F.col("offset2")))
+    hits = hits.where(F.col("seed2").isNull() | (second == F.col("seed2")))
     before = F.slice("w", F.greatest(place + 1 - reach, F.lit(1)), F.least(place, F.lit(reach)))
     return hits.select(
-        "term", "doc_id", "text_key", "position",
-        F.when(F.col("in_place"), before).alias("before"),
-        F.when(F.col("in_place"), F.slice("w", place + 1, F.lit(window))).alias("after"),
+        "term", "doc_id", "text_key", "position", "phrase", "offset", "n_terms",
+        F.when(F.col("phrase").isNotNull(), before).alias("before"),
+        F.when(F.col("phrase").isNotNull(), F.slice("w", place + 1, F.lit(window))).alias("after"),
     )
 
 
-def phrase_matches(index: DataFrame, seeds: DataFrame) -> DataFrame:
+def phrase_matches(index: DataFrame) -> DataFrame:
     """(doc_id, text_key, phrase, start, n_terms): every exact occurrence of a phrase."""
-    wanted = _spread(seeds.select(F.col("seed").alias("term"), "phrase", "offset", "n_terms"), seeds.count())
-    at_seed = index.where(F.col("before").isNotNull()).join(wanted, "term")
     first = F.size("before") - F.col("offset")
     here = _folded(F.array_join(F.slice(F.concat("before", "after"), F.greatest(first + 1, F.lit(1)), F.col("n_terms")), " "))
-    return at_seed.where((first >= 0) & (here == F.col("phrase"))).select(
+    return index.where(F.col("phrase").isNotNull() & (first >= 0) & (here == F.col("phrase"))).select(
         "doc_id", "text_key", "phrase", (F.col("position") - F.col("offset")).alias("start"), "n_terms"
     )
 
@@ -141,7 +140,8 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int = SLOP) -> D
     sides = [items.select(F.col(term).alias("term"), "item_id", F.lit(flag).alias("flag")) for term, flag in (("seed", 1), ("seed2", 2))]
     wanted = _spread(reduce(DataFrame.unionByName, sides), 2 * items.count())
     block = F.floor(F.col("position") / slop)
-    both = index.join(wanted, "term").select("doc_id", "text_key", "item_id", F.explode(F.array(block, block - 1)).alias("block"), "flag")
+    places = index.where(F.col("phrase").isNull())
+    both = places.join(wanted, "term").select("doc_id", "text_key", "item_id", F.explode(F.array(block, block - 1)).alias("block"), "flag")
     blocks = both.groupBy("doc_id", "text_key", "item_id", "block").agg(F.bit_or("flag").alias("flags"))
     return blocks.where("flags = 3").select("doc_id", "text_key", "item_id").distinct()
 
@@ -179,7 +179,7 @@ def contamination(
     ``n_hit`` counts words inside exact matches; ``n_near`` the items met in proximity.
     """
     index = Index(docs, benchmark, id_col, text_col, item_col, item_text, window)
-    found = cut(phrase_matches(index.postings, index.seeds))
+    found = cut(phrase_matches(index.postings))
     key = ["doc_id", "text_key"]
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n_terms")).alias("end"))))
     hits = found.groupBy(key).agg(_covered(spans).alias("n_hit"))
@@ -207,6 +207,8 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without any exact match of a benchmark window."""
-    hit = contamination(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of ``docs`` without any exact match of a benchmark window; rows of one id, nulls too, go together."""
+    hit = contamination(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col("doc_id").alias("id")).distinct()
+    nulls = hit.where("id is null").limit(1).count()
+    kept = without(docs, id_col, hit)
+    return kept.where(F.col(f"`{id_col}`").isNotNull()) if nulls else kept
