@@ -47,6 +47,12 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def without(df: DataFrame, id_col: str, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids`` (one column ``id``); how="left_semi" for those whose is."""
+    left, right = df.alias("_rows"), ids.alias("_ids")
+    return left.join(right, F.col(f"_rows.`{id_col}`") == F.col("_ids.id"), how)
+
+
 def per_batch(
     run: Callable[[pa.RecordBatch], pa.RecordBatch | None],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from storyloom.llm.common import cut, id_and_text, per_batch
+from storyloom.llm.common import cut, id_and_text, per_batch, without
 from storyloom.llm.components import components
 from storyloom.llm.golay import codeword_keys
 
@@ -210,13 +210,10 @@ def near_duplicates(
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """The rows of ``df`` that name their component: one of each group; rows with a null id stay."""
-    dropped = (
-        near_duplicates(df, id_col, text_col, **how)
-        .where("doc_id != component_id")
-        .select(F.col("doc_id").alias("_dropped"))
-        .distinct()
-    )
-    kept = df.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
-    first = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return first.unionByName(kept.where(F.col(id_col).isNull()))
+    """One row of each group: that whose id names it. Rows with a null id stay; of rows with one id one stays."""
+    found = cut(near_duplicates(df, id_col, text_col, **how))
+    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"))
+    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    first = without(df, id_col, dropped.unionByName(repeated).distinct())
+    again = without(without(df, id_col, repeated, "left_semi"), id_col, dropped.distinct()).dropDuplicates([id_col])
+    return first.unionByName(again)
