@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storyloom.plans import feed_queries
+
+_MODULES = (feed_queries,)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
