@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
@@ -34,7 +35,7 @@ from storyloom.llm.common import id_and_text, per_batch
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, N_BEST = "▁", 4
 MICRO = 1_000_000
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -50,73 +51,86 @@ class Pieces:
         self.by_text = {model.id_to_piece(i): (i, round(-MICRO * (math.log(r + 2.7) + total))) for r, i in enumerate(plain)}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.by_text):
             raise ValueError("pieces must not go on over a blank or a line feed")
-        self.trie: dict = {}
-        for p, found in self.by_text.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, ({}, []))[0] if c not in node else node[c][0]
-        for p, found in self.by_text.items():
-            node = self.trie
-            for c in p[:-1]:
-                node = node[c][0]
-            node[p[-1]][1].append(found)
+        ends = {p: found for p, found in self.by_text.items()}
+        nodes: dict[str, dict] = {"": {}}
+        for p in sorted({p[:n] for p in ends for n in range(1, len(p) + 1)}, key=len):
+            number, score = ends.get(p, (None, None))
+            nodes[p] = {}
+            nodes[p[:-1]][p[-1]] = (nodes[p], score, number)
+        self.trie, self.longest = nodes[""], max(map(len, ends))
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = min(score for _, score in self.by_text.values()) - 10 * MICRO
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.bytes_of |= {i: p.replace(MARK, " ").encode() for p, (i, _) in self.by_text.items()}
 
-    def arcs(self, chunk: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
-        """The lattice: (start, end, score, ids), by start and then end; blanks of ``chunk`` are real blanks."""
+    def arcs(self, chunk: str) -> list[tuple[int, int, int, int | None]]:
+        """The lattice: (start, end, score, id), by start and then end; a null id stands for a character's bytes.
+
+        Blanks of ``chunk`` are real blanks.
+        """
         shown = chunk.replace(MARK, "\n").replace(" ", MARK)
-        trie, size, found = self.trie, len(shown), []
-        for i in range(size):
-            node, single, j = trie, False, i
-            while j < size and (step := node.get(shown[j])):
-                node, entry = step
+        trie, longest, found = self.trie, self.longest, []
+        for i in range(len(shown)):
+            node, j, size = trie, i, len(found)
+            for c in shown[i : i + longest]:
+                step = node.get(c)
+                if step is None:
+                    break
+                node, score, number = step
                 j += 1
-                if entry:
-                    found.append((i, j, entry[0][1], entry[0][:1]))
-                    single = single or j == i + 1
-            if not single:
-                octets = chunk[i].encode("utf-8", "surrogatepass")
-                found.append((i, i + 1, self.byte_score * len(octets), tuple(self.byte_ids[b] for b in octets)))
+                if score is not None:
+                    found.append((i, j, score, number))
+            if len(found) == size or found[size][1] != i + 1:
+                found.insert(size, (i, i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass")), None))
         return found
 
-    def best_path(self, chunk: str) -> tuple[tuple[int, ...], int, float]:
+    def ids_of(self, chunk: str, start: int, number: int | None) -> list[int]:
+        """The ids of an arc."""
+        return [number] if number is not None else [self.byte_ids[b] for b in chunk[start].encode("utf-8", "surrogatepass")]
+
+    def best_path(self, chunk: str) -> tuple[list[int], int, float]:
         """(ids, score, loss): the best path, and how much worse the second best is.
 
         The second best path is the best one over some arc that the best path hasn't; scores from both ends
         give the best path over each arc.
         """
         arcs, size = self.arcs(chunk), len(chunk)
-        best, came = [-math.inf] * (size + 1), [0] * (size + 1)
+        best, came = [-math.inf] * (size + 1), [None] * (size + 1)
         best[0] = 0
-        for n, (i, j, s, _) in enumerate(arcs):
-            if best[i] + s > best[j]:
-                best[j], came[j] = best[i] + s, n
-        used, ids, at = set(), [], size
+        for arc in arcs:
+            i, j, s, _ = arc
+            s += best[i]
+            if s > best[j]:
+                best[j], came[j] = s, arc
+        used, at = [], size
         while at:
-            used.add(came[at])
-            ids.append(arcs[came[at]][3])
-            at = arcs[came[at]][0]
+            used.append(came[at])
+            at = came[at][0]
         back, second = [-math.inf] * (size + 1), -math.inf
         back[size] = 0
-        for n in range(len(arcs) - 1, -1, -1):
-            i, j, s, _ = arcs[n]
+        for arc in reversed(arcs):
+            i, j, s, _ = arc
             s += back[j]
             if s > back[i]:
                 back[i] = s
-            if best[i] + s > second and n not in used:
-                second = best[i] + s
-        return tuple(x for part in reversed(ids) for x in part), int(best[size]), best[size] - second
+            s += best[i]
+            if s > second and came[j] is not arc:
+                second = s
+        # An arc that is the best way to its end may still be off the best path.
+        for arc in came[1:]:
+            s = best[arc[1]] + back[arc[1]]
+            if s > second and arc not in used:
+                second = s
+        ids = [x for i, _, _, number in reversed(used) for x in ((number,) if number is not None else self.ids_of(chunk, i, None))]
+        return ids, int(best[size]), best[size] - second
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk, best first."""
         size = len(chunk)
         into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
         best = [0, *[-math.inf] * size]
-        for i, j, s, ids in self.arcs(chunk):
-            into[j].append((i, s, ids))
+        for i, j, s, number in self.arcs(chunk):
+            into[j].append((i, s, tuple(self.ids_of(chunk, i, number))))
             best[j] = max(best[j], best[i] + s)
         ranked: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
         found: list[tuple[int, tuple[int, ...]]] = []
@@ -154,17 +168,24 @@ class Pieces:
 
 
 class Encoder(dict):
-    """Remembered chunks: (ids as bytes, best score, loss of the second best path)."""
+    """Remembered chunks: (ids as bytes, best score, loss of the second best path).
+
+    When full, what was met lately becomes the older half and a chunk found there comes back.
+    """
 
     def __init__(self, pieces: Pieces, n_best: int):
         super().__init__()
-        self.pieces, self.n_best = pieces, n_best
+        self.pieces, self.n_best, self.older = pieces, n_best, {}
+        self.paths = lru_cache(maxsize=20_000)(lambda chunk: pieces.n_best(chunk, n_best))
 
     def __missing__(self, chunk: str) -> tuple[bytes, int, float]:
-        ids, score, loss = self.pieces.best_path(chunk)
-        found = (np.array(ids, dtype="<i4").tobytes(), score, loss)
+        found = self.older.get(chunk)
+        if found is None:
+            ids, score, loss = self.pieces.best_path(chunk)
+            found = (array("i", ids).tobytes(), score, loss)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found
@@ -181,7 +202,7 @@ class Encoder(dict):
         losses = np.fromiter(map(itemgetter(2), found), dtype=np.float64, count=len(found))
         keep = min(self.n_best - 1, len(found))
         nearest = sorted(np.argsort(losses, kind="stable")[:keep].tolist()) if keep else []
-        options = [self.pieces.n_best(chunks[c], self.n_best) for c in nearest]
+        options = [self.paths(chunks[c]) for c in nearest]
         scores, picks = [], []
         heap: list[tuple[int, tuple[int, ...]]] = [(0, (0,) * len(nearest))]
         seen = {heap[0][1]}
@@ -202,20 +223,25 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, n_best: int) -> Encoder:
+    """One per worker process, so what a task remembers serves the next one."""
+    return Encoder(pieces(path), n_best)
+
+
 def encode(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY, n_best: int = N_BEST
 ) -> DataFrame:
     """(doc_id, ids, scores, round_trip): the best path's ids, the N best scores in millionths, decoded == text."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(vocabulary_path)
-        encoder = Encoder(known, n_best)
+        known, chunks = pieces(vocabulary_path), encoder(vocabulary_path, n_best)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, scores, same = [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                found, ranked, _ = encoder.encode(text)
+                found, ranked, _ = chunks.encode(text)
                 ids.append(found)
                 scores.append(ranked)
                 same.append(known.decode(found.tolist()) == text)
