@@ -75,7 +75,7 @@ class Network:
             if last is not None:
                 top = np.concatenate([last, top])
             joined = np.maximum(np.maximum(top[:-1], top[1:]), 0)
-            most, total, chunks, last = np.maximum(most, joined.max(axis=0, initial=0)), total + joined.sum(axis=0), chunks + len(joined), top[-1:]
+            most, total, chunks, last = np.maximum(most, joined.max(axis=0, initial=0)), total + joined.sum(axis=0, dtype=np.float64), chunks + len(joined), top[-1:]
         if not chunks:  # a single block is the only chunk
             most = total = np.maximum(last[0], 0).astype(np.float64)
             chunks = 1

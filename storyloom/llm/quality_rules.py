@@ -71,6 +71,7 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
     occurs twice or more in the text. Each window becomes one long: the upper bits are a hash of its words, the
     lower ones its position. Sorted, equal windows are neighbours, and the words themselves decide equality.
     """
+    columns = df.columns
     df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("_trimmed", F.btrim("_text", F.lit(WORD_SPACE)))
     df = df.withColumns(
@@ -96,22 +97,24 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
         "_repeats",
         F.expr(f"sort_array(transform(filter(_windows, (x, i) -> coalesce({pairs}, false)), x -> cast({low.format('x')} as int)))"),
     )
-    return df.withColumns(
-        {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count("_trimmed", F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.expr(
-                "aggregate(transform(_repeats, (p, i) -> least(3, coalesce(get(_repeats, i + 1), p + 3) - p)), 0L, (a, x) -> a + x)"
-            ),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_shouts": F.regexp_count("_trimmed", F.lit("!+")).cast("long"),
-            "n_bullet_lines": F.expr(r"size(filter(_lines, x -> x rlike '^[\\x20\\x09]*[-*•]'))").cast("long"),
-            "n_ellipsis_lines": F.expr(r"size(filter(_lines, x -> x rlike '(\\.\\.\\.|…)\\s*$'))").cast("long"),
-            "n_replacement": F.regexp_count("_trimmed", F.lit("�")).cast("long"),
-        }
-    ).drop("_text", "_trimmed", "_words", "_lines", "_n", "_pos_bits", "_windows", "_repeats")
+    measures = {
+        "n_words": F.col("_n").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count("_trimmed", F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": F.expr(
+            "aggregate(transform(_repeats, (p, i) -> least(3, coalesce(get(_repeats, i + 1), p + 3) - p)), 0L, (a, x) -> a + x)"
+        ),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_shouts": F.regexp_count("_trimmed", F.lit("!+")).cast("long"),
+        "n_bullet_lines": F.expr(r"size(filter(_lines, x -> x rlike '^[\\x20\\x09]*[-*•]'))").cast("long"),
+        "n_ellipsis_lines": F.expr(r"size(filter(_lines, x -> x rlike '(\\.\\.\\.|…)\\s*$'))").cast("long"),
+        "n_replacement": F.regexp_count("_trimmed", F.lit("�")).cast("long"),
+    }
+    # One row from one row: a filter on what is measured stays above this, else it would be pushed below all
+    # of these steps and repeat them.
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in measures.items()]))).alias("_m")
+    return df.select(*[F.col(_quoted(c)) for c in columns], once).select(*[F.col(_quoted(c)) for c in columns], "_m.*")
 
 
 def _sql(text: str) -> str:
