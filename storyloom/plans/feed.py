@@ -152,11 +152,14 @@ def search_index(stories: DataFrame, bookmarks: DataFrame, state: DataFrame, now
 
 def stats(stories: DataFrame, mentions: DataFrame, now: int) -> DataFrame:
     """One row: stories, mentions, unread ones of the last 30 days, stories with news."""
-    of_stories = stories.agg(
-        F.count("*").alias("stories"), F.count_if(F.col("new_info_count") > 0).alias("evolved"),
-        F.count_if(~F.coalesce("is_read", F.lit(False)) & (F.col("last_updated") > now - 30 * 86400)).alias("unread_30_days"),
-    )
-    return of_stories.crossJoin(mentions.agg(F.count("*").alias("mentions")))  # one row each
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    unread = ~F.coalesce("is_read", F.lit(False)) & (F.col("last_updated") > now - 30 * 86400)
+    of_stories = stories.select(
+        one.alias("stories"), none.alias("mentions"), (F.col("new_info_count") > 0).cast("long").alias("evolved"), unread.cast("long").alias("unread_30_days")
+    )
+    of_mentions = mentions.select(none.alias("stories"), one.alias("mentions"), none.alias("evolved"), none.alias("unread_30_days"))
+    both = of_stories.unionByName(of_mentions)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
 
 
 def story_detail(story_id, stories: DataFrame, mentions: DataFrame, timeline: DataFrame) -> dict[str, DataFrame]:  # noqa: ANN001

@@ -37,7 +37,7 @@ def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evolve_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("story_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.col("text").alias("summary"),
     )
     return clusters.evolve(told, models.Offline().evolve)
 

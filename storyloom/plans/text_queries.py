@@ -39,8 +39,8 @@ def _strip_sql(expression: str) -> str:
 _docs("promo_flag", rf"regexp_matches(text, '(?i){text.PROMO_SUBJECT}') OR length(text) < 800 AS promo", promo=lambda: text.is_promotional(F.col("text"), F.col("text")))
 _docs(
     "skip_rule_subject",
-    f"(starts_with(s, 're:') OR starts_with(s, 'fwd:') OR {_any('s', text.SKIPPED_SUBJECTS)}) AS skip FROM (SELECT doc_id, lower(substr(text, 1, 200)) AS s FROM documents) --",
-    skip=lambda: text.skip_email(F.substring("text", 1, 200), F.lit("a@b.c")),
+    f"(starts_with(s, 're:') OR starts_with(s, 'fwd:') OR {_any('s', text.SKIPPED_SUBJECTS)}) AS skip FROM (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS s FROM documents) --",
+    skip=lambda: text.skip_email(text.first_line(F.col("text")), F.lit("a@b.c")),
 )
 ORACLES["skip_rule_subject"] = ORACLES["skip_rule_subject"].split(" --")[0]
 _docs(
@@ -128,7 +128,7 @@ def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _page_links(spark, sf_dir).withColumn("href", links.absolute(F.col("href"), F.col("url"))).withColumn("context", F.lit(""))
     stories = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("story_id"), F.col("page_id").alias("source_id"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"),
-        F.substring(text.clean_html(F.col("html")), 1, 220).alias("summary"),
+        text.clean_html(F.col("html")).alias("summary"),
     )
     return links.primary_links(stories, found.withColumnRenamed("page_id", "source_id"))
 
