@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyloom.functions.text import message_id
+
 # What a later snapshot of a bookmark overwrites; url, source, scraped_at and tags stay.
 OVERWRITTEN = ("title", "excerpt", "cover", "author", "avatar", "media_json", "quoted_json", "reply_to", "link_card_json")
 
@@ -105,3 +107,29 @@ def evolve_candidates(mentions: DataFrame, key: str = "story_id", order: str = "
     """Mentions that ask whether the story has news: those with at least two mentions of it before them."""
     number = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return mentions.withColumn("n_before", number - 1).where("n_before >= 2")
+
+
+def route_marks(marks: DataFrame, stories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Read and skip marks (id, ...) split by where they belong: to stories, and to saved items (all other ids)."""
+    known = stories.select("id").distinct()
+    return marks.join(known, "id", "left_semi"), marks.join(known, "id", "left_anti")
+
+
+def hydrate(mentions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Mail mentions that lack a raw title or body filled from their messages (id, subject, body).
+
+    The message id is taken from the mention's link. Messages are reduced to the ids asked for before the join,
+    each once.
+    """
+    asked = F.when(
+        (F.coalesce("source_type", F.lit("email")) == "email") & ((F.coalesce("raw_title", F.lit("")) == "") | (F.coalesce("raw_body", F.lit("")) == "")),
+        F.nullif(message_id(F.col("gmail_url")), F.lit("")),
+    )
+    rows = mentions.withColumn("_message", asked)
+    wanted = rows.select(F.col("_message").alias("id")).where(F.col("id").isNotNull()).distinct()
+    found = messages.select("id", "subject", "body").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    found = found.select(F.col("id").alias("_message"), F.col("subject").alias("_subject"), F.col("body").alias("_body"))
+    filled = rows.join(found, "_message", "left")
+    return filled.withColumns(
+        {"raw_title": F.coalesce(F.nullif(F.col("raw_title"), F.lit("")), "_subject"), "raw_body": F.coalesce(F.nullif(F.col("raw_body"), F.lit("")), "_body")}
+    ).select(*mentions.columns)
