@@ -24,7 +24,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,9 @@ from storyloom.llm.common import id_and_text, per_batch
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, N_BEST = "▁", 4
 MICRO = 1_000_000
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Less than any score.
+UNREACHED = -(1 << 60)
+REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -63,15 +64,17 @@ class Pieces:
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.bytes_of |= {i: p.replace(MARK, " ").encode() for p, (i, _) in self.by_text.items()}
 
-    def arcs(self, chunk: str) -> list[tuple[int, int, int, int | None]]:
-        """The lattice: (start, end, score, id), by start and then end; a null id stands for a character's bytes.
+    def lattice(self, chunk: str) -> tuple[list[tuple[int, int, int, int | None]], list[int], list[tuple]]:
+        """(arcs, best, came): the lattice with the forward Viterbi scores and, for each position, the arc taken to it.
 
+        An arc is (start, end, score, id), in order of the starts; a null id stands for a character's bytes.
         Blanks of ``chunk`` are real blanks.
         """
-        shown = chunk.replace(MARK, "\n").replace(" ", MARK)
-        trie, longest, found = self.trie, self.longest, []
-        for i in range(len(shown)):
-            node, j, size = trie, i, len(found)
+        shown, size = chunk.replace(MARK, "\n").replace(" ", MARK), len(chunk)
+        trie, longest, arcs = self.trie, self.longest, []
+        best, came = [0, *[UNREACHED] * size], [()] * (size + 1)
+        for i in range(size):
+            here, node, j, single = best[i], trie, i, False
             for c in shown[i : i + longest]:
                 step = node.get(c)
                 if step is None:
@@ -79,10 +82,20 @@ class Pieces:
                 node, score, number = step
                 j += 1
                 if score is not None:
-                    found.append((i, j, score, number))
-            if len(found) == size or found[size][1] != i + 1:
-                found.insert(size, (i, i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass")), None))
-        return found
+                    arc = (i, j, score, number)
+                    arcs.append(arc)
+                    score += here
+                    if score > best[j]:
+                        best[j], came[j] = score, arc
+                    if not single:
+                        single = j == i + 1
+            if not single:
+                j, score = i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass"))
+                arc = (i, j, score, None)
+                arcs.append(arc)
+                if here + score > best[j]:
+                    best[j], came[j] = here + score, arc
+        return arcs, best, came
 
     def ids_of(self, chunk: str, start: int, number: int | None) -> list[int]:
         """The ids of an arc."""
@@ -94,44 +107,32 @@ class Pieces:
         The second best path is the best one over some arc that the best path hasn't; scores from both ends
         give the best path over each arc.
         """
-        arcs, size = self.arcs(chunk), len(chunk)
-        best, came = [-math.inf] * (size + 1), [None] * (size + 1)
-        best[0] = 0
-        for arc in arcs:
-            i, j, s, _ = arc
-            s += best[i]
-            if s > best[j]:
-                best[j], came[j] = s, arc
-        used, at = [], size
+        arcs, best, came = self.lattice(chunk)
+        size = at = len(chunk)
+        taken: list[tuple] = [()] * size  # by start: the arc of the best path
         while at:
-            used.append(came[at])
-            at = came[at][0]
-        back, second = [-math.inf] * (size + 1), -math.inf
-        back[size] = 0
+            arc = came[at]
+            at = arc[0]
+            taken[at] = arc
+        back, second = [*[UNREACHED] * size, 0], UNREACHED
         for arc in reversed(arcs):
             i, j, s, _ = arc
             s += back[j]
             if s > back[i]:
                 back[i] = s
             s += best[i]
-            if s > second and came[j] is not arc:
-                second = s
-        # An arc that is the best way to its end may still be off the best path.
-        for arc in came[1:]:
-            s = best[arc[1]] + back[arc[1]]
-            if s > second and arc not in used:
+            if s > second and taken[i] is not arc:
                 second = s
-        ids = [x for i, _, _, number in reversed(used) for x in ((number,) if number is not None else self.ids_of(chunk, i, None))]
-        return ids, int(best[size]), best[size] - second
+        ids = [x for i, _, _, number in filter(None, taken) for x in ((number,) if number is not None else self.ids_of(chunk, i, None))]
+        return ids, best[size], math.inf if second == UNREACHED else best[size] - second
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk, best first."""
         size = len(chunk)
         into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-        best = [0, *[-math.inf] * size]
-        for i, j, s, number in self.arcs(chunk):
+        arcs, best, _ = self.lattice(chunk)
+        for i, j, s, number in arcs:
             into[j].append((i, s, tuple(self.ids_of(chunk, i, number))))
-            best[j] = max(best[j], best[i] + s)
         ranked: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
         found: list[tuple[int, tuple[int, ...]]] = []
         heap: list[tuple] = []
@@ -196,10 +197,10 @@ class Encoder(dict):
             return np.zeros(0, dtype="<i4"), [0], [[]]
         chunks = CHUNKS.findall(" " + text)
         found = list(map(self.__getitem__, chunks))
-        ids = np.frombuffer(b"".join(map(itemgetter(0), found)), dtype="<i4")
-        total = sum(map(itemgetter(1), found))
+        packed, best, loss = zip(*found, strict=True)
+        ids, total = np.frombuffer(b"".join(packed), dtype="<i4"), sum(best)
         # Only the chunks with the least losses can take part in the N best; these are searched.
-        losses = np.fromiter(map(itemgetter(2), found), dtype=np.float64, count=len(found))
+        losses = np.array(loss, dtype=np.float64)
         keep = min(self.n_best - 1, len(found))
         nearest = sorted(np.argsort(losses, kind="stable")[:keep].tolist()) if keep else []
         options = [self.paths(chunks[c]) for c in nearest]

@@ -44,7 +44,7 @@ def vocabulary():
 
 def _all_scores(vocabulary, chunk):
     into = [[] for _ in range(len(chunk) + 1)]
-    for i, j, s, _ in vocabulary.arcs(chunk):
+    for i, j, s, _ in vocabulary.lattice(chunk)[0]:
         into[j].append((i, s))
     ways = [[0]]
     for j in range(1, len(chunk) + 1):
