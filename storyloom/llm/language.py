@@ -10,8 +10,9 @@ For each language l: log P(l | page) = text + log P(declared | l) + log P(suffix
   share is taken out of its host's sums, so no page confirms itself.
 
 All counts are grouped aggregations with partial sums, so a host with a third of all pages is one row per task.
-The trigram model is fitted on a bounded sample: ``TRAIN_ROWS`` documents of each language (least hash of the
-id), texts of at most ``TRAIN_BYTES``, at most ``MOST_LANGUAGES`` languages by frequency.
+The trigram model is fitted on a bounded sample: ids of each language fall into ``TRAIN_ROWS`` buckets by their
+hash, and the document with the least hash of each bucket is taken, texts of at most ``TRAIN_BYTES``, at most
+``MOST_LANGUAGES`` languages by frequency.
 
 Defined results: null html has no text and no declaration; a null or odd url has an empty host, whose prior is
 that of all pages; equal posteriors go to the language first in alphabetical order; repeated rows each get a
@@ -65,11 +66,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    texts, labels = [], []
-    for lang in sorted(r["lang"] for r in common):
-        sample = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id", "text").limit(TRAIN_ROWS).collect()
-        texts += [r["text"] for r in sample]
-        labels += [lang] * len(sample)
+    keys = rows.where(F.col("lang").isin([r["lang"] for r in common])).select("lang", "id", F.xxhash64("id").alias("h"))
+    # One document of each bucket: tasks send ids, as many as there are buckets, and texts are read of these only.
+    least = F.min(F.struct("h", F.col("id").alias("least_id"))).alias("least")
+    chosen = keys.groupBy("lang", F.pmod("h", F.lit(TRAIN_ROWS)).alias("bucket")).agg(least)
+    chosen = chosen.select(F.col("lang").alias("of_lang"), "least.least_id")
+    same = (F.col("lang") == F.col("of_lang")) & F.col("id").eqNullSafe(F.col("least_id"))
+    found = rows.join(F.broadcast(chosen), same)  # MOST_LANGUAGES * TRAIN_ROWS rows at most
+    texts_of = found.groupBy("lang", "id").agg(F.min("text").alias("text"))
+    sample = sorted((r["lang"], r["id"] or "", r["text"]) for r in texts_of.collect())
+    texts, labels = [text for _, _, text in sample], [lang for lang, _, _ in sample]
     return train(texts, labels)
 
 
