@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from storyloom.llm import decontaminate, pieces, quality_rules, secrets, simhash
 from storyloom.llm.common import shared_folder, table
 
+#: Jaccard similarity of five-word shingles from which the near-dedup stage takes two texts for one.
+SIMILARITY = 0.8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy keeps."""
@@ -23,8 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Near-duplicates have fingerprints within four bits, or a five-word Jaccard similarity of 0.8 or more.
+    """
+    return simhash.keep_first(docs, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

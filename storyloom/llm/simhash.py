@@ -12,6 +12,10 @@
    blocks, so no task holds an unbounded key and no pair is lost.
 5. connected components of the links; the id is the smallest doc_id reachable.
 
+With a ``similarity``, texts whose sets of five-word shingles have that Jaccard similarity are linked too, whatever
+their fingerprints (``similar_links``): at 0.8 fingerprints differ in about 10 bits. MinHash bands give candidates
+(a pair at 0.8 shares none of the bands with probability 3e-5), the shingle sets themselves decide.
+
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; repeated rows
 each get a row; a null doc_id never names a component (a component of null ids only has a null id); an empty
 table gives no rows; other columns of the input are ignored. A text of fewer words than a shingle is hashed as
@@ -36,6 +40,10 @@ from storyloom.llm.golay import codeword_keys
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Shingles of the Jaccard similarity; bands and MinHashes of each.
+SET_SHINGLE, BANDS, BAND_ROWS = 5, 20, 4
+#: Texts of one band key that are compared in one group; more go in pairs of blocks of half as many.
+SET_LIMIT = 1024
 BLOCK = 1 << 15
 SMALL_RUN, RUN_LIMIT = 8, 4096
 
@@ -196,20 +204,132 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT)
     return found.where("key is null").select("a", "b").unionByName(paired.groupBy("key", "i", "j").applyInArrow(group, "a long, b long"))
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """The hashes of a text's distinct five-word shingles, sorted; of all its words if they are fewer."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    line = b" ".join(words)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    spans = list(zip(starts, ends[SET_SHINGLE - 1 :], strict=False)) or [(0, len(line))]
+    return np.unique(np.fromiter((xxh64_intdigest(line[s:e], SEED) for s, e in spans), dtype=np.uint64, count=len(spans)))
+
+
+_MULTIPLIERS, _MASKS = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+_MULTIPLIERS = _MULTIPLIERS | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key for each band of a set's MinHashes; an empty set has none."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, ((shingles[None, at : at + 512] ^ _MASKS) * _MULTIPLIERS).min(axis=1))
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def sets_alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect what has the similarity, directly or over others."""
+    edges, rest, frontier = [], list(range(len(sets))), []
+    while rest:
+        if not frontier:
+            frontier = [rest.pop(0)]
+            continue
+        one = frontier.pop()
+        sizes = np.array([len(sets[i]) for i in rest])
+        them = np.concatenate([sets[i] for i in rest])
+        at = np.minimum(np.searchsorted(sets[one], them), len(sets[one]) - 1)
+        common = np.add.reduceat((sets[one][at] == them).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+        near = common >= similarity * (sizes + len(sets[one]) - common)
+        found = [i for i, hit in zip(rest, near, strict=True) if hit]
+        rest = [i for i, hit in zip(rest, near, strict=True) if not hit]
+        edges += [(one, i) for i in found]
+        frontier += found
+    return edges
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, fp, text_key, bands) of every row; equal texts have one key."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())]
+        fp = np.fromiter((fingerprint(x, shingle) for x in texts), dtype=np.uint64, count=len(texts))
+        bands = pa.array([band_keys(shingle_set(x)) for x in texts], type=pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2), bands], ["doc_id", "fp", "text_key", "bands"])
+
+    rows = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(per_batch(run), "doc_id long, fp long, text_key long, bands array<long>")
+
+
+def similar_links(df: DataFrame, found: DataFrame, similarity: float, text_col: str = "text", limit: int = SET_LIMIT) -> DataFrame:
+    """(a, b): fingerprints of texts of ``df`` whose shingle sets have the similarity; ``found`` is its ``sketches``."""
+    one = found.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    bands = cut(one.select("text_key", "fp", F.explode("bands").alias("key")))
+    # Bands with the same texts are compared once.
+    runs = bands.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_key")).alias("who")).where("n > 1")
+    runs = runs.groupBy("n", "who").agg(F.min("key").alias("key"))
+    members = cut(bands.join(runs.select("key", "n"), "key"))
+    texts = df.select(F.col(text_col).cast("string").alias("text")).select(F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
+
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x.as_py() or b"").view(np.int64) for x in batch.column(1).cast(pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int64()))], ["text_key", "shingles"])
+
+    wanted = texts.join(members.select("text_key").distinct(), "text_key", "left_semi").select("text_key", "text")
+    sets = wanted.mapInArrow(per_batch(sets_of), "text_key long, shingles array<long>")
+    blocks = F.when(F.col("n") > limit, F.ceil(F.col("n") / (limit // 2))).otherwise(1).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text_key"
+    )
+    by = ["key", "i", "j"]
+    rows = paired.join(sets, "text_key").select(*by, "fp", "shingles").repartition(*by).sortWithinPartitions(*by)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, fps, held = None, [], []
+
+        def edges() -> pa.RecordBatch:
+            pairs = [(fps[x], fps[y]) for x, y in sets_alike(held, similarity) if fps[x] != fps[y]]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], type=pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            names = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            offsets = batch.column(4).offsets.to_numpy()
+            values = batch.column(4).values.to_numpy().view(np.uint64)
+            for n, (*name, fp) in enumerate(names):
+                if name != group:
+                    if len(held) > 1:
+                        yield edges()
+                    group, fps, held = name, [], []
+                fps.append(fp)
+                held.append(values[offsets[n] : offsets[n + 1]].copy())
+        if len(held) > 1:
+            yield edges()
+
+    return rows.mapInArrow(apply, "a long, b long")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None
 ) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    docs = cut(fingerprints(df, id_col, text_col, shingle))
+    docs = cut(fingerprints(df, id_col, text_col, shingle) if similarity is None else sketches(df, id_col, text_col, shingle))
     fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(fps, max_bits)).select(F.col("node").alias("fp"), "root")
+    edges = links(fps, max_bits)
+    if similarity is not None:
+        edges = edges.unionByName(similar_links(df, docs, similarity, text_col))
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
     rooted = fps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """One row of each group: that whose id names it. Rows with a null id stay; of rows with one id one stays."""
     found = cut(near_duplicates(df, id_col, text_col, **how))
     dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"))
