@@ -3,11 +3,13 @@
 Base kinds (assignments, access ids, hex runs) are patterns alone. The method adds spans of candidates that
 decode to something with the structure of a secret: base64 or hex whose bytes are a DER key (nested tags and
 lengths that add up, with the versions and integers that a key has), an OpenSSH private key, a PEM block around
-one of these, or a signed token whose header decodes to JSON with a named algorithm.
+one of these or around an encrypted one, or a signed token whose header decodes to JSON with a named algorithm.
+A key may start and end anywhere in a run of digits, which may go on over line ends, real or escaped; its own
+lengths say where it ends.
 
 Defined results: a null text is empty and has no secrets; repeated rows each get a row; extra columns are
 ignored by ``scan`` and kept by ``redact``; offsets are code points, ends exclusive. Texts are scanned whole;
-all patterns are linear in the text, and those for long runs are tried only where a text holds a long word.
+all patterns are linear in the text.
 """
 
 from __future__ import annotations
@@ -34,9 +36,22 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-DIGITS = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]*?)-----END \1-----")
+#: What may stand between two digits: a line end, real or escaped, with blanks; the backslash of an escaped slash.
+GAP = r"(?>(?:[\x20\t]*(?:\r\n|\r|\n|\\+r\\+n|\\+n|\\+r))+[\x20\t]*|\\+(?=/))?"
+BASE64, HEXES = r"[A-Za-z0-9+/_-]", r"[0-9A-Fa-f]"
+#: For base64 and hex: how a DER sequence starts, its first nine bytes, digits without gaps.
+STARTS = {
+    digits: (re.compile(start), re.compile(rf"(?:{digits}{GAP}){{{n}}}"), re.compile(rf"{digits}+"))
+    for digits, start, n in ((BASE64, "M[A-P]", 12), (HEXES, "30", 18))
+}
+GAPS = re.compile(GAP)
+SSH_START = "b3BlbnNzaC1rZXkt"
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*){2,}")
+JSON_START = re.compile(r"\{\s*\"")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_HEADER = re.compile(r"[A-Za-z0-9-]+:.*")
+#: Object ids of password-based encryption: PKCS #5 and PKCS #12.
+ENCRYPTION = tuple(bytes.fromhex("2a864886f70d01" + x) for x in ("05", "0c01"))
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LONG_WORD = 20
 SEQUENCE, INTEGER, BITS, OCTETS, OID = 0x30, 0x02, 0x03, 0x04, 0x06
@@ -86,32 +101,133 @@ def is_key(data: bytes) -> bool:
         if tags[1:2] == [OCTETS]:  # an elliptic-curve scalar
             return 16 <= len(parts[1][1]) <= 72
         return len(tags) >= 6 and set(tags) == {INTEGER}  # the integers of RSA or DSA
+    if tags == [SEQUENCE, OCTETS]:  # a private key under a password
+        return bool(inner := der_items(parts[0][1])) and inner[0][0] == OID and inner[0][1].startswith(ENCRYPTION)
     if tags == [SEQUENCE, BITS]:
         return (inner := der_items(parts[0][1])) is not None and bool(inner) and inner[0][0] == OID
     return tags == [INTEGER, INTEGER] and len(parts[0][1]) >= 64
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether bytes are an OpenSSH private key: its magic, then strings whose lengths fit."""
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key that data start with (its magic, then strings whose lengths fit), else 0."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return 0
     at = len(magic)
     for _ in range(3):
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4])
-    return at + 4 <= len(data)
-
-
-def is_signed_token(text: str) -> bool:
-    """Whether three dotted parts are a signed token: a JSON header with an algorithm, then a JSON object."""
-    head, body, _ = text.split(".")
+    if at + 4 > len(data):
+        return 0
+    strings, at = int.from_bytes(data[at : at + 4]) + 1, at + 4
+    while strings and at + 4 <= len(data):
+        at, strings = at + 4 + int.from_bytes(data[at : at + 4]), strings - 1
+    return min(at, len(data))
+
+
+def token_start(head: str) -> int | None:
+    """Where a token's header starts in the digits before a dot: JSON to their end that names an algorithm."""
+    for shift in range(4):
+        part = head[shift:]
+        data = decode(part)
+        if data is None:
+            continue
+        shown = data.decode("latin-1")
+        for m in JSON_START.finditer(shown):
+            blank = len(shown[: m.start()]) - len(shown[: m.start()].rstrip()) if not shown[: m.start()].strip() else 0
+            start = m.start() - blank
+            if start % 3:
+                continue
+            try:
+                header, end = json.JSONDecoder().raw_decode(shown, m.start())
+            except (ValueError, RecursionError):
+                continue
+            if not shown[end:].strip() and isinstance(header.get("alg"), str):
+                return shift + start // 3 * 4
+    return None
+
+
+def is_object(text: str) -> bool:
     try:
-        header, claims = json.loads(decode(head) or b""), json.loads(decode(body) or b"")
+        return isinstance(json.loads(decode(text) or b""), dict)
     except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+
+
+def _digits(text: str, at: int, piece: re.Pattern, wanted: int) -> tuple[str, int]:
+    """Up to ``wanted`` digits from ``at`` on, over gaps, and where the last of them ends."""
+    found, end = [], at
+    while wanted and (m := piece.match(text, at, min(at + wanted, len(text)))):
+        found.append(m[0])
+        wanted, end = wanted - len(m[0]), m.end()
+        at = GAPS.match(text, end).end()
+    return "".join(found), end
+
+
+def _der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that starts with these nine; 0 if no key starts so."""
+    n, at = head[1], 2
+    if n & 0x80:
+        width = n & 0x7F
+        if not 1 <= width <= 4:
+            return 0
+        n, at = int.from_bytes(head[2 : 2 + width]), 2 + width
+    return at + n if head[0] == SEQUENCE and head[at] in (INTEGER, SEQUENCE) else 0
+
+
+def _keys(text: str) -> list[tuple[int, int, str]]:
+    """Spans of DER and OpenSSH keys in base64 or hex, wherever they start."""
+    found = []
+    for digits, (start, first, piece) in STARTS.items():
+        done, bare = 0, digits == BASE64
+        read = decode if bare else lambda x: bytes.fromhex(x)
+        for m in start.finditer(text):
+            if m.start() < done or not first.match(text, m.start()):
+                continue
+            head, _ = _digits(text, m.start(), piece, 12 if bare else 18)
+            if not (size := _der_size(read(head))):
+                continue
+            n = -(-size * 4 // 3) if bare else 2 * size
+            body, end = _digits(text, m.start(), piece, n)
+            if len(body) == n and is_key(read(body)):
+                pad = -n % 4 if bare else 0
+                while pad and text[end : end + 1] == "=":
+                    end, pad = end + 1, pad - 1
+                found.append((m.start(), end, "der"))
+                done = end
+    at = text.find(SSH_START)
+    while at >= 0:
+        piece, end = STARTS[BASE64][2], at + 1
+        head, _ = _digits(text, at, piece, 24)  # the magic and the length of a short name
+        body = _digits(text, at, piece, len(text))[0] if len(head) == 24 and decode(head)[14:] == bytes(4) else ""
+        if size := ssh_size(decode(body[: len(body) - (len(body) % 4 == 1)]) or b""):
+            _, end = _digits(text, at, piece, -(-size * 4 // 3))
+            pad = -size % 3
+            while pad and text[end : end + 1] == "=":
+                end, pad = end + 1, pad - 1
+            found.append((at, end, "ssh"))
+        at = text.find(SSH_START, end)
+    return found
+
+
+def _pem(text: str) -> list[tuple[int, int, str]]:
+    """Spans of PEM blocks around a private key, one under a password among them."""
+    found, begun = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun is not None:
+            if begun[2] == m[2]:
+                lines = re.sub(r"\\+r\\+n|\\+[nr]|\r\n?", "\n", text[begun.end() : m.start()]).replace("\\", "").split("\n")
+                lines = [x.strip() for x in lines]
+                headers = [x for x in lines if PEM_HEADER.fullmatch(x)]
+                data = decode("".join("".join(x.split()) for x in lines if not PEM_HEADER.fullmatch(x)))
+                locked = any(x.startswith("DEK-Info:") for x in headers) and data and len(data) % 8 == 0
+                if data and (locked or is_key(data) or ssh_size(data)):
+                    found.append((begun.start(), m.end(), "pem"))
+            begun = None
+    return found
 
 
 def _base(text: str) -> list[tuple[int, int, str, str]]:
@@ -133,24 +249,16 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
         word, at = m[0], m.start()
         for h in LONG_HEX.finditer(word):
             base.append((at + h.start(), at + h.end(), "hex", h[0]))
-            if len(h[0]) % 2 == 0 and h[0].startswith("30") and is_key(bytes.fromhex(h[0])):
-                more.append((at + h.start(), at + h.end(), "der"))
-        for t in SIGNED.finditer(word):
-            if is_signed_token(t[0]):
-                more.append((at + t.start(), at + t.end(), "token"))
-        for d in DIGITS.finditer(word):
-            kind = None
-            if d[0].startswith("M") and (data := decode(d[0])) is not None and is_key(data):
-                kind = "der"
-            elif d[0].startswith("b3BlbnNzaC1rZXkt") and (data := decode(d[0])) is not None and is_ssh_key(data):
-                kind = "ssh"
-            if kind:
-                more.append((at + d.start(), at + d.end(), kind))
+        for t in DOTTED.finditer(word):
+            parts, here = t[0].split("."), at + t.start()
+            for k in range(len(parts) - 2):
+                start = token_start(parts[k]) if len(parts[k]) >= 12 and is_object(parts[k + 1]) else None
+                if start is not None:
+                    more.append((here + start, here + sum(map(len, parts[k : k + 3])) + 2, "token"))
+                here += len(parts[k]) + 1
+    more += _keys(text)
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = decode(re.sub(r"\s+", "", m[2]))
-            if data and (is_key(data) or is_ssh_key(data)):
-                more.append((m.start(), m.end(), "pem"))
+        more += _pem(text)
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted((x[:3] for x in base), key=order), sorted(set(more), key=order)
 
