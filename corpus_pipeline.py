@@ -45,8 +45,8 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids, scores): every document as piece ids, with the scores of its best paths."""
-    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores")
+    """(doc_id, n_pieces, ids, scores, others): every document as piece ids, with its further best paths and all scores."""
+    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", "others")
 
 
 STAGES = [

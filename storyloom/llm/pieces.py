@@ -37,6 +37,7 @@ MICRO = 1_000_000
 #: Less than any score.
 UNREACHED = -(1 << 60)
 REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
+CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -191,8 +192,11 @@ class Encoder(dict):
             self[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[int], list[list[tuple[int, tuple[int, ...]]]]]:
-        """(ids of the best path, scores of the N best, for each of these the (chunk, ids) where it differs)."""
+    def encode(self, text: str) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """(ids of the best path, scores of the N best, for each of these the changes to the best path).
+
+        A change (start, count, ids) puts ids in the place of count ids of the best path.
+        """
         if not text:
             return np.zeros(0, dtype="<i4"), [0], [[]]
         chunks = CHUNKS.findall(" " + text)
@@ -203,14 +207,21 @@ class Encoder(dict):
         losses = np.array(loss, dtype=np.float64)
         keep = min(self.n_best - 1, len(found))
         nearest = sorted(np.argsort(losses, kind="stable")[:keep].tolist()) if keep else []
-        options = [self.paths(chunks[c]) for c in nearest]
+        options, spans, start, done = [], [], 0, 0
+        for c in nearest:
+            own, paths = tuple(array("i", packed[c])), self.paths(chunks[c])
+            if paths[0][1] != own:  # of equal scores another came first
+                paths = [(best[c], own), *(x for x in paths if x[1] != own)][: self.n_best]
+            start, done = start + sum(map(len, packed[done:c])) // 4, c
+            options.append(paths)
+            spans.append((start, len(own)))
         scores, picks = [], []
         heap: list[tuple[int, tuple[int, ...]]] = [(0, (0,) * len(nearest))]
         seen = {heap[0][1]}
         while heap and len(scores) < self.n_best:
             loss, pick = heapq.heappop(heap)
             scores.append(total - loss)
-            picks.append([(c, paths[rank][1]) for c, paths, rank in zip(nearest, options, pick, strict=True) if rank])
+            picks.append([(*span, paths[rank][1]) for span, paths, rank in zip(spans, options, pick, strict=True) if rank])
             for k, paths in enumerate(options):
                 nxt = (*pick[:k], pick[k] + 1, *pick[k + 1 :])
                 if nxt[k] < len(paths) and nxt not in seen:
@@ -219,6 +230,15 @@ class Encoder(dict):
         return ids, scores, picks
 
 
+def changed(ids: list[int], changes: list[tuple[int, int, list[int]]]) -> list[int]:
+    """The ids of a further path, from those of the best one and the (start, count, ids) where it differs."""
+    out, at = [], 0
+    for start, count, other in changes:
+        out += [*ids[at:start], *other]
+        at = start + count
+    return [*out, *ids[at:]]
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -233,27 +253,31 @@ def encoder(path: str, n_best: int) -> Encoder:
 def encode(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = VOCABULARY, n_best: int = N_BEST
 ) -> DataFrame:
-    """(doc_id, ids, scores, round_trip): the best path's ids, the N best scores in millionths, decoded == text."""
+    """(doc_id, ids, scores, others, round_trip): the best path's ids, the N best scores in millionths, decoded == text.
+
+    ``others`` has the second to N-th best path in the order of ``scores``, each as its changes to ``ids`` (``changed``).
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, chunks = pieces(vocabulary_path), encoder(vocabulary_path, n_best)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, scores, same = [], [], []
+            ids, scores, others, same = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                found, ranked, _ = chunks.encode(text)
+                found, ranked, picks = chunks.encode(text)
                 ids.append(found)
                 scores.append(ranked)
+                others.append(picks[1:])
                 same.append(known.decode(found.tolist()) == text)
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), type=pa.int32()))
-            columns = [lists, pa.array(scores, type=pa.list_(pa.int64())), pa.array(same)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "scores", "round_trip"])
+            columns = [lists, pa.array(scores, type=pa.list_(pa.int64())), pa.array(others, type=CHANGES), pa.array(same)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "scores", "others", "round_trip"])
 
         yield from per_batch(run)(batches)
 
-    schema = "doc_id long, ids array<int>, scores array<long>, round_trip boolean"
+    schema = "doc_id long, ids array<int>, scores array<long>, others array<array<struct<start: int, count: int, ids: array<int>>>>, round_trip boolean"
     return id_and_text(df, id_col, text_col).mapInArrow(apply, schema)
 
 
