@@ -3,20 +3,23 @@
 1. ``query_windows``: every item becomes windows of ten consecutive words (a shorter item is one window).
 2. ``term_counts``: how often the corpus holds each test term: one pass, summed map-side. A window with a term
    that the corpus lacks can't occur and goes.
-3. ``seeded``: a window is looked up by its rarest term; the next rarest one confirms it. An item's two rarest
-   terms stand for the item in proximity matches.
-4. ``postings``: one pass stores (term, document, position) of these rarest terms in the shared folder. A
-   window's list is intersected with the offset-adjusted list of its second term as the document is read: a
-   posting stays if the second term stands where some window wants it, and then carries the words around it.
-5. ``phrase_matches``: position less offset is where a window starts; the stored words decide.
-6. ``proximity_matches``: documents with both rarest terms of an item within ``slop`` words of each other.
+3. ``questions``: a window is asked for by its two rarest terms and their offsets, an item (for proximity) by its
+   two rarest terms.
+4. ``position_lists``: the index, stored in the shared folder: for each of these terms and each document that
+   holds it, the sorted list of its positions.
+5. ``answers``: from the rarest term's lists on. For a window both lists, less their offsets, are intersected:
+   what is left is where the window can start. For an item the two lists are merged: it is near where
+   neighbours of different terms stand at most ``slop`` words apart.
+6. ``phrase_matches``: the words of the few documents with starts left decide.
 
 Terms are looked up in full lower case, which also folds letters beyond A-Z; the check of whole windows is on
 words with only A-Z folded, so it decides.
 
 Defined results: a null text or item has no words; an empty benchmark or corpus gives no match; repeated rows
-of the corpus (same id, same text) each get the same row; items with one text are items of their own. Words of
-any number are handled within their row; matches are summed as intervals per document.
+of the corpus (same id, same text) each get the same row; items with one text are items of their own; of equally
+rare terms the first in byte order is taken. A list is as long as its document at most, and a long document is
+handled within its row; matches are summed as intervals per document. A term, phrase or document that a third of
+all rows share is spread: small sides are broadcast after a check of their size, larger ones joined with a salt.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ WINDOW, SLOP = 10, 16
 #: What separates words, and A-Z is no separator as folding comes later.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Test terms are sent to all tasks up to this many; above, they are joined by a shuffle.
-BROADCAST_TERMS = 500_000
+#: Rows of the benchmark's side that are sent to all tasks; above, joins shuffle with each row dealt to ``SALTS`` places.
+BROADCAST_TERMS, SALTS = 500_000, 32
+KEY = ("doc_id", "text_key")
 
 
 def words(text: Column) -> Column:
@@ -54,15 +58,24 @@ def query_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return found.select("item_id", F.array_join("terms", " ").alias("phrase"), "terms")
 
 
-def _spread(small: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side of a proven size; leave a larger one to a shuffle join."""
-    return F.broadcast(small) if rows <= BROADCAST_TERMS else small
+def _join(rows: DataFrame, small: DataFrame, on: str, n: int) -> DataFrame:
+    """``rows`` joined with the benchmark's side of ``n`` rows; a value that many rows have lands in many tasks."""
+    if n <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(small), on)
+    dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dealt, [on, "_salt"]).drop("_salt")
+
+
+def _same(a: str, b: str, columns: tuple[str, ...] = KEY) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
 
 
 def term_counts(corpus: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """(term, n): occurrences in the corpus of each test term that it holds."""
     tokens = corpus.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
-    return tokens.join(_spread(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    if n_terms <= BROADCAST_TERMS:
+        return tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
 
 
 def _ranked(words_of: DataFrame, key: str, counts: DataFrame) -> DataFrame:
@@ -78,72 +91,62 @@ def _other(ranked: Column) -> Column:
     return F.coalesce(F.get(F.filter(ranked, lambda x: x["term"] != ranked[0]["term"]), F.lit(0)), ranked[0])
 
 
-def seeded(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, n_terms, seed, offset, seed2, offset2): the two rarest terms of each distinct phrase that can occur."""
-    ranked = _ranked(windows.select("phrase", "terms").distinct(), "phrase", counts)
-    first, second = F.col("r")[0], _other(F.col("r"))
-    return ranked.where("least > 0").select(
-        "phrase", "n_terms", first["term"].alias("seed"), first["offset"].alias("offset"),
-        second["term"].alias("seed2"), second["offset"].alias("offset2"),
-    )
-
-
-def item_seeds(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, seed, seed2): the two rarest terms of each item that the corpus holds."""
-    terms = windows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    ranked = _ranked(terms, "item_id", counts).withColumn("r", F.filter("r", lambda x: x["n"] > 0)).where(F.size("r") > 1)
-    pairs = ranked.select("item_id", F.col("r")[0]["term"].alias("seed"), _other(F.col("r"))["term"].alias("seed2"))
-    return pairs.where("seed != seed2")
-
-
-def postings(corpus: DataFrame, seeds: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, doc_id, text_key, position, phrase, offset, n_terms, before, after): the index of the rarest terms.
+def questions(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(phrase, item_id, n_terms, term, offset, term2, offset2): each distinct phrase that can occur, and each item.
 
-    ``phrase`` is a window whose second term is in place, ``before`` and ``after`` the words next to the posting,
-    as many as a window can reach. Postings that serve items only have none of these.
-
-    The words of a document are looked at where they are: the join, the look at the second term and the slices
-    run as one generated loop over the document, so its array of words isn't copied.
+    ``phrase`` is null for an item, ``item_id`` for a phrase. The term is the rarest one, the second term the
+    next rarest of another kind (of a phrase of one word only the same again).
     """
-    by_window = seeds.withColumnRenamed("seed", "term")
-    by_item = items.select(F.explode(F.array("seed", "seed2")).alias("term")).distinct()
-    wanted = cut(by_window.unionByName(by_item, allowMissingColumns=True))
-    rows = corpus.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    each = rows.select("doc_id", "text_key", "w", F.posexplode("w").alias("position", "word"))
-    hits = each.withColumn("term", F.lower("word")).join(_spread(wanted, wanted.count()), "term")
-    place, reach = F.col("position"), window - 1
-    second = F.lower(F.get("w", place - F.col("offset") + F.col("offset2")))
-    hits = hits.where(F.col("seed2").isNull() | (second == F.col("seed2")))
-    before = F.slice("w", F.greatest(place + 1 - reach, F.lit(1)), F.least(place, F.lit(reach)))
-    return hits.select(
-        "term", "doc_id", "text_key", "position", "phrase", "offset", "n_terms",
-        F.when(F.col("phrase").isNotNull(), before).alias("before"),
-        F.when(F.col("phrase").isNotNull(), F.slice("w", place + 1, F.lit(window))).alias("after"),
-    )
+    by_phrase = _ranked(windows.select("phrase", "terms").distinct(), "phrase", counts).where("least > 0")
+    terms = windows.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    by_item = _ranked(terms, "item_id", counts).withColumn("r", F.filter("r", lambda x: x["n"] > 0)).where(F.size("r") > 1)
+    first, second = F.col("r")[0], _other(F.col("r"))
+    columns = [x[name].alias(name + end) for x, end in ((first, ""), (second, "2")) for name in ("term", "offset")]
+    near = by_item.select("item_id", "n_terms", *columns).where("term != term2")
+    return by_phrase.select("phrase", "n_terms", *columns).unionByName(near, allowMissingColumns=True)
 
 
-def phrase_matches(index: DataFrame) -> DataFrame:
-    """(doc_id, text_key, phrase, start, n_terms): every exact occurrence of a phrase."""
-    first = F.size("before") - F.col("offset")
-    here = _folded(F.array_join(F.slice(F.concat("before", "after"), F.greatest(first + 1, F.lit(1)), F.col("n_terms")), " "))
-    return index.where(F.col("phrase").isNotNull() & (first >= 0) & (here == F.col("phrase"))).select(
-        "doc_id", "text_key", "phrase", (F.col("position") - F.col("offset")).alias("start"), "n_terms"
-    )
+def position_lists(corpus: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(term, doc_id, text_key, positions): the index of some terms, a sorted list for each document."""
+    tokens = corpus.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(words(F.col("text"))).alias("position", "word"))
+    hits = _join(tokens.withColumn("term", F.lower("word")).drop("word"), terms, "term", n_terms)
+    return hits.groupBy("term", *KEY).agg(F.sort_array(F.collect_set("position")).alias("positions"))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(doc_id, text_key, item_id): documents in which both rarest terms of an item share a block.
+def answers(lists: DataFrame, asked: DataFrame, n_asked: int, slop: int = SLOP) -> DataFrame:
+    """(doc_id, text_key, phrase, n_terms, item_id, starts, near) of each question that a document may answer.
 
-    Blocks are ``2 * slop`` words long and begin every ``slop`` words, so all pairs within ``slop`` are found
-    and none beyond ``2 * slop``. Each posting is flagged in its two blocks; no pairs are made.
+    ``starts`` are the places where both terms of a phrase stand at their offsets; ``near`` tells whether both
+    terms of an item are within ``slop`` words of each other.
+    """
+    first = _join(lists, asked, "term", n_asked).withColumnRenamed("positions", "one")
+    second = lists.select(F.col("term").alias("term2"), *KEY, F.col("positions").alias("two"))
+    both = first.alias("a").join(second.alias("b"), _same("a", "b", ("term2", *KEY)))
+    both = both.select("a.phrase", "a.n_terms", "a.item_id", "a.offset", "a.offset2", "a.doc_id", "a.text_key", "one", "two")
+    adjusted = lambda name, offset: F.transform(name, lambda p: p - F.col(offset))
+    starts = F.filter(F.array_intersect(adjusted("one", "offset"), adjusted("two", "offset2")), lambda p: p >= 0)
+    tagged = lambda name, tag: F.transform(name, lambda p: F.struct(p.alias("p"), F.lit(tag).alias("tag")))
+    both = both.withColumn("merged", F.when(F.col("item_id").isNotNull(), F.sort_array(F.concat(tagged("one", 1), tagged("two", 2)))))
+    before = lambda i: F.get("merged", i - 1)
+    close = F.filter("merged", lambda x, i: (before(i)["tag"] != x["tag"]) & (x["p"] - before(i)["p"] <= slop))
+    return both.select(*KEY, "phrase", "n_terms", "item_id", F.when(F.col("phrase").isNotNull(), starts).alias("starts"), (F.size(close) > 0).alias("near"))
+
+
+def phrase_matches(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, phrase, start, n_terms): every exact occurrence of a phrase.
+
+    ``found`` are the starts that lists left over. They are gathered per document, as many as it has words, and
+    checked against the words of these documents only, each once.
     """
-    sides = [items.select(F.col(term).alias("term"), "item_id", F.lit(flag).alias("flag")) for term, flag in (("seed", 1), ("seed2", 2))]
-    wanted = _spread(reduce(DataFrame.unionByName, sides), 2 * items.count())
-    block = F.floor(F.col("position") / slop)
-    places = index.where(F.col("phrase").isNull())
-    both = places.join(wanted, "term").select("doc_id", "text_key", "item_id", F.explode(F.array(block, block - 1)).alias("block"), "flag")
-    blocks = both.groupBy("doc_id", "text_key", "item_id", "block").agg(F.bit_or("flag").alias("flags"))
-    return blocks.where("flags = 3").select("doc_id", "text_key", "item_id").distinct()
+    places = found.where(F.size("starts") > 0).select(*KEY, "phrase", "n_terms", F.explode("starts").alias("start"))
+    wanted = cut(places.groupBy(*KEY).agg(F.collect_set(F.struct("phrase", "start", "n_terms")).alias("places")))
+    n = wanted.count()
+    texts = corpus.withColumn("text_key", F.xxhash64("text"))
+    wanted = (F.broadcast(wanted.select(*KEY)) if n <= BROADCAST_TERMS else wanted.select(*KEY)), wanted
+    held = texts.alias("a").join(wanted[0].alias("b"), _same("a", "b"), "left_semi").dropDuplicates(list(KEY))
+    each = held.alias("a").join(wanted[1].alias("b"), _same("a", "b")).select("a.doc_id", "a.text_key", words(F.col("a.text")).alias("w"), "places")
+    here = lambda x: _folded(F.array_join(F.slice("w", x["start"] + 1, x["n_terms"]), " "))
+    return each.select(*KEY, F.explode(F.filter("places", lambda x: here(x) == x["phrase"])).alias("m")).select(*KEY, "m.phrase", "m.start", "m.n_terms")
 
 
 def _covered(spans: Column) -> Column:
@@ -158,16 +161,18 @@ def _covered(spans: Column) -> Column:
 
 
 class Index:
-    """The index of a corpus for a benchmark: seeds, stored postings and the matches over them."""
+    """The index of a corpus for a benchmark: stored position lists and the matches over them."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, slop: int):
         self.corpus = id_and_text(docs, id_col, text_col)
         self.windows = cut(query_windows(benchmark, item_col, item_text, window))
         terms = cut(self.windows.select(F.explode(F.transform("terms", F.lower)).alias("term")).distinct())
         counts = cut(term_counts(self.corpus, terms, terms.count()))
-        self.seeds = cut(seeded(self.windows, counts))
-        self.items = cut(item_seeds(self.windows, counts))
-        self.postings = cut(postings(self.corpus, self.seeds, self.items, window))
+        self.questions = cut(questions(self.windows, counts))
+        rare = cut(self.questions.select(F.explode(F.array("term", "term2")).alias("term")).distinct())
+        self.lists = cut(position_lists(self.corpus, rare, rare.count()))
+        self.answers = cut(answers(self.lists, self.questions, self.questions.count(), slop))
+        self.matches = cut(phrase_matches(self.corpus, self.answers))
 
 
 def contamination(
@@ -176,31 +181,29 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) of every row of ``docs``.
 
-    ``n_hit`` counts words inside exact matches; ``n_near`` the items met in proximity.
+    ``n_hit`` counts words inside exact matches; ``n_near`` the items whose two rarest terms (of those that the
+    corpus holds) stand within ``slop`` words of each other.
     """
-    index = Index(docs, benchmark, id_col, text_col, item_col, item_text, window)
-    found = cut(phrase_matches(index.postings))
-    key = ["doc_id", "text_key"]
+    index = Index(docs, benchmark, id_col, text_col, item_col, item_text, window, slop)
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n_terms")).alias("end"))))
-    hits = found.groupBy(key).agg(_covered(spans).alias("n_hit"))
-    items = (
-        found.select(*key, "phrase").distinct().join(index.windows.select("phrase", "item_id"), "phrase")
-        .select(*key, F.col("item_id").cast("string").alias("item")).distinct()
-        .groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
-    near = proximity_matches(index.postings, index.items, slop).groupBy(key).agg(F.count("*").alias("n_near"))
+    hits = index.matches.groupBy(*KEY).agg(_covered(spans).alias("n_hit"))
+    by_item = index.windows.select("phrase", F.col("item_id").cast("string").alias("item"))
+    named = _join(index.matches.select(*KEY, "phrase").distinct(), by_item, "phrase", by_item.count())
+    items = named.groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    near = index.answers.where("near").groupBy(*KEY).agg(F.count_distinct("item_id").alias("n_near"))
+    parts = [hits.select(*KEY, "n_hit"), items.select(*KEY, "items"), near.select(*KEY, "n_near")]
+    told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy(*KEY).agg(
+        F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near")
+    )
     word = words(F.col("text"))
     empty_ends = F.when(F.size(word) == 1, (word[0] == "").cast("int")).otherwise(
         (word[0] == "").cast("int") + (F.element_at(word, -1) == "").cast("int")
     )
-    out = index.corpus.select("doc_id", F.xxhash64("text").alias("text_key"), (F.size(word) - empty_ends).cast("long").alias("n_words"))
-    for name, side in (("h", hits), ("i", items), ("n", near)):
-        side = side.withColumnsRenamed({k: f"_{name}_{k}" for k in key})
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{name}_{k}")) for k in key])
-        out = out.join(side, same, "left").drop(*[f"_{name}_{k}" for k in key])
+    rows = index.corpus.select("doc_id", F.xxhash64("text").alias("text_key"), (F.size(word) - empty_ends).cast("long").alias("n_words"))
+    out = rows.alias("a").join(told.alias("b"), _same("a", "b"), "left")
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"),
+        "a.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_or_none, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

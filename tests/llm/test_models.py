@@ -120,6 +120,9 @@ def test_decontamination(spark, monkeypatch, broadcast):
         texts.append((rng.choice([", ", " ", "-"])).join(words))
     rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0]), (500, None)]
     found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    counts = Counter(x.lower() for _, t in rows for x in _plain_words(t))
+    ranked = [sorted({(counts[x.lower()], x.lower()) for x in _plain_words(t) if counts[x.lower()]}) for _, t in items]
+    rarest = [(r[0][1], r[1][1]) for r in ranked if len(r) > 1]
     wanted = []
     for doc_id, text in rows:
         w, hit, hits = _plain_words(text), set(), set()
@@ -131,13 +134,15 @@ def test_decontamination(spark, monkeypatch, broadcast):
                     if w[at : at + len(window)] == window:
                         hits.add(str(item))
                         hit |= set(range(at, at + len(window)))
-        wanted.append((doc_id, len(w), len(hit), len(hits)))
+        low = [x.lower() for x in w]
+        close = sum(any(abs(a - b) <= 16 for a, x in enumerate(low) if x == one for b, y in enumerate(low) if y == two) for one, two in rarest)
+        wanted.append((doc_id, len(w), len(hit), len(hits), close))
     key = lambda r: tuple(-1 if x is None else x for x in r)
-    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in found.collect()), key=key) == sorted(wanted, key=key)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["n_near"]) for r in found.collect()), key=key) == sorted(wanted, key=key)
 
 
-def test_proximity(spark):
-    docs = [(1, "rare x x x thing"), (2, "rare " + "x " * 60 + "thing"), (3, "thing y rare")]
+def test_proximity_at_its_exact_distance(spark):
+    docs = [(1, "rare x x x thing"), (2, "rare " + "x " * 60 + "thing"), (3, "thing y rare"), (4, "rare " + "x " * 15 + "thing"), (5, "rare " + "x " * 16 + "thing"), (None, "thing rare")]
     items = spark.createDataFrame([(7, "the rare and the thing")], "item_id long, text string")
-    index = decontaminate.Index(spark.createDataFrame(docs, "doc_id long, text string"), items, "doc_id", "text", "item_id", "text", 10)
-    assert sorted(r["doc_id"] for r in decontaminate.proximity_matches(index.postings, index.items).collect()) == [1, 3]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert {r["doc_id"]: r["n_near"] for r in found.collect()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0, None: 1}
