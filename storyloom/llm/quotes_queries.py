@@ -9,8 +9,8 @@ from storyloom.llm.common import table
 
 
 def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message without its quotes, with the message it replies to and its thread."""
-    return quotes.conversations(table(spark, sf_dir, "conversations"))
+    """Every message without its quotes as chat text, with the message it replies to and its thread."""
+    return quotes.formatted(quotes.conversations(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {"op3_quotation_links": op3_quotation_links}
@@ -52,16 +52,18 @@ lv AS (
 q AS (SELECT rid, k, unnest({_passages('t')}) AS p FROM lv),
 own AS (SELECT conv_id, p, min(turn) AS first_turn FROM (SELECT conv_id, turn, unnest({_passages('text')}) AS p FROM m) GROUP BY conv_id, p),
 hit AS (
-  SELECT conv_id, turn, k, first_turn FROM (SELECT conv_id, turn, p, min(k) AS k FROM q JOIN m USING (rid) GROUP BY ALL) JOIN own USING (conv_id, p)
+  SELECT conv_id, turn, k, length(p) AS size, first_turn FROM (SELECT conv_id, turn, p, min(k) AS k FROM q JOIN m USING (rid) GROUP BY ALL) JOIN own USING (conv_id, p)
   WHERE first_turn < turn),
-par AS (SELECT conv_id, turn, count(*) AS n_linked, max(first_turn) FILTER (WHERE k = least_k) AS parent_turn
-  FROM (SELECT *, min(k) OVER (PARTITION BY conv_id, turn) AS least_k FROM hit) GROUP BY conv_id, turn),
+par AS (SELECT conv_id, turn, max(n) AS n_linked, max(first_turn) FILTER (WHERE place = 1) AS parent_turn
+  FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n,
+      row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, size DESC, first_turn DESC) AS place FROM hit) GROUP BY conv_id, turn),
 up AS (
   SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM par
   UNION ALL SELECT up.conv_id, up.turn, par.parent_turn, up.depth + 1 FROM up JOIN par ON par.conv_id = up.conv_id AND par.turn = up.root_turn),
 top AS (SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn)
 SELECT m.conv_id, coalesce(top.root_turn, m.turn) AS root_turn, m.turn, m.role, m.text, par.parent_turn, coalesce(top.depth, 0)::BIGINT AS depth,
-  (SELECT count(*) FROM q WHERE q.rid = m.rid)::BIGINT AS n_quoted, coalesce(par.n_linked, 0)::BIGINT AS n_linked
+  (SELECT count(*) FROM q WHERE q.rid = m.rid)::BIGINT AS n_quoted, coalesce(par.n_linked, 0)::BIGINT AS n_linked,
+  '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || m.text || chr(10) AS formatted
 FROM m LEFT JOIN par ON par.conv_id = m.conv_id AND par.turn = m.turn LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn
 """
 }

@@ -151,11 +151,11 @@ def test_quotes(spark):
         (2, 0, "u", "> nothing\nx"), (2, 0, "u", "> nothing\nx"), (None, 1, "u", "a"), (2, None, "u", "> x"), (2, 5, "a", ">X \nfine"), (2, 6, "a", "> hello there.\r\nbye\r\n"),
     ]
     schema = "conv_id long, turn long, role string, text string"
-    found = quotes.conversations(spark.createDataFrame(rows, schema))
+    found = quotes.formatted(quotes.conversations(spark.createDataFrame(rows, schema)))
     by = {(r["conv_id"], r["turn"]): r for r in found.collect()}
     assert [(by[1, t]["parent_turn"], by[1, t]["root_turn"], by[1, t]["depth"]) for t in range(5)] == [(None, 0, 0), (0, 0, 1), (1, 0, 2), (2, 0, 3), (None, 4, 0)]
     assert (by[1, 1]["text"], by[1, 3]["text"]) == ("I agree.", "ok") and by[2, 6]["parent_turn"] is None
-    assert quotes.formatted(found).where("conv_id = 1 AND turn = 2").first()["formatted"] == "<|u|>\nMe too\n"
+    assert found.where("conv_id = 1 AND turn = 2").first()["formatted"] == "<|u|>\nMe too\n"
     connection = duckdb.connect()
     connection.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
