@@ -9,14 +9,19 @@ For each language l: log P(l | page) = text + log P(declared | l) + log P(suffix
 * host prior: posteriors summed by host, smoothed towards its domain, and that towards all pages. A page's own
   share is taken out of its host's sums, so no page confirms itself.
 
-All counts are grouped aggregations with partial sums, so a host with a third of all pages is one row per task.
-The trigram model is fitted on a bounded sample: ids of each language fall into ``TRAIN_ROWS`` buckets by their
-hash, and the document with the least hash of each bucket is taken, texts of at most ``TRAIN_BYTES``, at most
-``MOST_LANGUAGES`` languages by frequency.
+All counts are grouped aggregations with partial sums. They are joined back once, by host: hosts that many pages
+have are few and broadcast, so a host with a third of all pages is no single task.
+The trigram model is fitted on a bounded sample of each language: its documents fall into ``TRAIN_ROWS`` buckets
+by the hash of their id, and the one with the least hash of each bucket is taken; of texts longer than
+``TRAIN_BYTES`` four slices, evenly spread. Tasks count the trigrams; the driver gets 65536 counts for each
+language at most. All languages are kept, a table of 256 KB for each.
 
 Defined results: null html has no text and no declaration; a null or odd url has an empty host, whose prior is
-that of all pages; equal posteriors go to the language first in alphabetical order; repeated rows each get a
-row and count each; an empty table gives no rows; extra columns are ignored.
+that of all pages; the language that a page declares is that of its first ``html`` tag; script, style and comments
+that are never closed are text; character numbers of nine digits or more are no characters; equal posteriors go to
+the language first in alphabetical order; repeated rows each get a row and count each; an empty table gives no
+rows, an empty corpus null languages; extra columns are ignored. Pages of any length are read in one pass and
+scored in slices.
 """
 
 from __future__ import annotations
@@ -30,19 +35,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import cut, per_batch
+from storyloom.llm.common import cut, join_counted, per_batch
 
-TRAIN_ROWS, TRAIN_BYTES, MOST_LANGUAGES = 200, 16_384, 64
+TRAIN_ROWS, TRAIN_BYTES = 200, 16_384
 BUCKETS, SMOOTH, OVERLAP, STRENGTH = 1 << 16, 0.1, 3.0, 4.0
-HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""")
+HIDDEN = re.compile(r"(?i)<(?:!--|(script|style|noscript|template)\b)")
+CLOSED = {"!--": re.compile("-->")} | {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
+HTML = re.compile(r"(?i)<html\b")
+DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]+)""")
+NO_CHARACTER = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 SLICE = 1 << 20
 
 
+def _shown(markup: str) -> str:
+    """The markup without scripts, styles and comments. What isn't closed once is never looked for again."""
+    out, at, open_for_good = [], 0, set()
+    found = HIDDEN.search(markup)
+    while found:
+        kind, end = (found[1] or "!--").lower(), found.end()
+        closed = None if kind in open_for_good else CLOSED[kind].search(markup, end)
+        if closed:
+            out.append(markup[at : found.start()])
+            at = end = closed.end()
+        else:
+            open_for_good.add(kind)
+        found = HIDDEN.search(markup, end)
+    return " ".join([*out, markup[at:]])
+
+
 def visible_text(markup: str) -> str:
-    return " ".join(html.unescape(TAG.sub(" ", HIDDEN.sub(" ", markup))).split())
+    markup, out, at = _shown(markup), [], 0
+    while (start := markup.find("<", at)) >= 0 and (end := markup.find(">", start)) >= 0:
+        out.append(markup[at:start])
+        at = end + 1
+    return " ".join(html.unescape(NO_CHARACTER.sub("\ufffd", " ".join([*out, markup[at:]]))).split())
+
+
+def declared_language(markup: str) -> str | None:
+    """The language that the first html tag names, in lower case."""
+    if not (tag := HTML.search(markup)):
+        return None
+    end = markup.find(">", tag.end())
+    found = DECLARED.search(markup, tag.end(), end if end >= 0 else len(markup))
+    return found[1].lower() if found else None
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -52,36 +88,66 @@ def trigrams(text: str) -> np.ndarray:
     return (packed * np.uint32(2654435761)) >> np.uint32(16)
 
 
+def sampled(text: str) -> list[str]:
+    """The text, or of a longer one four slices of ``TRAIN_BYTES`` characters in all, evenly spread over it."""
+    if len(text) <= TRAIN_BYTES:
+        return [text]
+    size = TRAIN_BYTES // 4
+    return [text[at : at + size] for at in (k * (len(text) - size) // 3 for k in range(4))]
+
+
+def model_of(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """(languages in alphabetical order, log-likelihoods by bucket and language) from trigram counts by language."""
+    languages = sorted(counts)
+    table = np.full((BUCKETS, max(len(languages), 1)), SMOOTH)
+    for k, name in enumerate(languages):
+        table[:, k] += counts[name]
+    return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """(languages in alphabetical order, log-likelihoods by bucket and language)."""
-    languages = sorted(set(labels))
-    counts = np.full((BUCKETS, max(len(languages), 1)), SMOOTH)
+    """The model of some labelled texts."""
+    counts: dict[str, np.ndarray] = {}
     for text, label in zip(texts, labels, strict=True):
-        counts[:, languages.index(label)] += np.bincount(trigrams(text), minlength=BUCKETS)
-    return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        for part in sampled(text):
+            counts[label] = counts.get(label, 0) + np.bincount(trigrams(part), minlength=BUCKETS)
+    return model_of(counts)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """The trigram model of the sample described above."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    keys = rows.where(F.col("lang").isin([r["lang"] for r in common])).select("lang", "id", F.xxhash64("id").alias("h"))
-    # One document of each bucket: tasks send ids, as many as there are buckets, and texts are read of these only.
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    keys = rows.select("lang", "id", F.xxhash64("id").alias("h"))
     least = F.min(F.struct("h", F.col("id").alias("least_id"))).alias("least")
     chosen = keys.groupBy("lang", F.pmod("h", F.lit(TRAIN_ROWS)).alias("bucket")).agg(least)
     chosen = chosen.select(F.col("lang").alias("of_lang"), "least.least_id")
     same = (F.col("lang") == F.col("of_lang")) & F.col("id").eqNullSafe(F.col("least_id"))
-    found = rows.join(F.broadcast(chosen), same)  # MOST_LANGUAGES * TRAIN_ROWS rows at most
-    texts_of = found.groupBy("lang", "id").agg(F.min("text").alias("text"))
-    sample = sorted((r["lang"], r["id"] or "", r["text"]) for r in texts_of.collect())
-    texts, labels = [text for _, _, text in sample], [lang for lang, _, _ in sample]
-    return train(texts, labels)
+    found = rows.join(F.broadcast(chosen), same)  # TRAIN_ROWS ids of each language at most
+    texts_of = found.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part in sampled(text):
+                    held[lang] = held.get(lang, 0) + np.bincount(trigrams(part), minlength=BUCKETS)
+        for lang, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
+
+    sums = texts_of.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = sums.toArrow().to_pydict()
+    counts: dict[str, np.ndarray] = {lang: np.zeros(BUCKETS, dtype=np.int64) for lang in set(table["lang"])}
+    for lang, bucket, n in zip(table["lang"], table["bucket"], table["n"], strict=True):
+        counts[lang][bucket] = n
+    return model_of(counts)
 
 
 def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, domain, suffix, declared, n_chars, loglik) of every row; declared is a known language, other or none."""
     languages, table = model
+    known = set(languages)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -89,8 +155,8 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
             found, markup = HOST.match(url.as_py() or ""), markup.as_py() or ""
             host = found[1].lower().strip(".") if found else ""
             labels = host.split(".")
-            tag = DECLARED.search(markup)
-            declared = "none" if not tag else tag[1].lower() if tag[1].lower() in languages else "other"
+            named = declared_language(markup)
+            declared = "none" if named is None else named if named in known else "other"
             text = visible_text(markup)
             loglik = np.zeros(len(languages))
             for at in range(0, len(text), SLICE):
@@ -150,9 +216,17 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
         given[key] = _sums(seen, key, n, f"{key}_sum").select(
             key, F.zip_with(f"{key}_sum", total, lambda x, t: F.log((x + 1) / (t + values))).alias(f"{key}_log")
         )
-    # declared has at most n + 2 values; suffixes, domains and hosts are joined by key.
-    joined = seen.join(F.broadcast(given["declared"]), "declared").join(given["suffix"], "suffix")
-    joined = joined.join(_sums(seen, "domain", n, "domain_sum"), "domain").join(_sums(seen, "host", n, "host_sum"), "host")
+    # Host, domain and suffix are summed and joined on rows of hosts, then once with the pages.
+    places = ["host", "domain", "suffix"]
+    hosts = cut(seen.groupBy(*places).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("post")[i]) for i in range(n)]).alias("host_sum")))
+    of_domain = cut(hosts.groupBy("domain").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("host_sum")[i]) for i in range(n)]).alias("domain_sum")))
+    of_suffix = cut(hosts.groupBy("suffix").agg(F.count("*").alias("n")).join(given["suffix"], "suffix"))
+    n_pages, n_hosts = seen.count(), hosts.count()
+    told = hosts.select(*places, "host_sum", F.col("n").alias("pages"))
+    told = join_counted(join_counted(told, of_domain, "domain", n_hosts), of_suffix, "suffix", n_hosts)
+    told = cut(told.withColumnRenamed("pages", "n").drop("domain", "suffix"))
+    # declared has a value for each language, other and none
+    joined = join_counted(seen.join(F.broadcast(given["declared"]), "declared"), told, "host", n_pages)
     domain = _smoothed(_plus(F.col("domain_sum"), F.col("post"), -1.0), base)
     host = _smoothed(_plus(F.col("host_sum"), F.col("post"), -1.0), F.col("domain_prior"))
     joined = joined.withColumn("domain_prior", F.when(F.col("host") == "", base).otherwise(domain))

@@ -5,15 +5,16 @@ characters that are no piece. A forward Viterbi pass gives the best score of rea
 A* search from the end uses these scores as its heuristic. They are exact, so paths come out best first.
 
 No piece of the vocabulary goes on over a blank that follows another character, nor over a line feed, so the
-lattice falls apart into chunks there. Each chunk is searched on its own, chunks met before are remembered (up
-to a fixed number), and the N best paths of a text are the N cheapest sums of the chunks' losses.
+lattice falls apart into chunks there. Each chunk is searched on its own, short chunks met before are remembered (up
+to a fixed number of bytes for each worker), and the N best paths of a text are the N cheapest sums of the chunks' losses.
 
 A piece of rank r has the score log(1 / (r + 2.7)), normalised over the vocabulary and held as a whole number
 of millionths, so sums are exact and ties real.
 
 Defined results: a null text is empty; an empty text has no pieces, score zero and one path; equal scores come
 out in one fixed order; repeated rows each get a row; extra columns are ignored. Decoding gives back every text
-exactly, the blank mark of the vocabulary and line ends included. Texts of any length are encoded whole.
+exactly, the blank mark of the vocabulary and line ends included. An empty table gives no rows. Texts of any
+length are encoded whole; what a chunk without blanks needs is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ MARK, N_BEST = "▁", 4
 MICRO = 1_000_000
 #: Less than any score.
 UNREACHED = -(1 << 60)
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
+#: Bytes of remembered chunks, twice, and what an entry takes beside its text and ids; longest chunk remembered.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 110_000_000, 230, 48
 CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 
@@ -177,8 +179,10 @@ class Encoder(dict):
 
     def __init__(self, pieces: Pieces, n_best: int):
         super().__init__()
-        self.pieces, self.n_best, self.older = pieces, n_best, {}
-        self.paths = lru_cache(maxsize=20_000)(lambda chunk: pieces.n_best(chunk, n_best))
+        self.pieces, self.n_best, self.older, self.held = pieces, n_best, {}, 0
+        search = lambda chunk: pieces.n_best(chunk, n_best)
+        remembered = lru_cache(maxsize=20_000)(search)
+        self.paths = lambda chunk: (remembered if len(chunk) <= LONGEST_REMEMBERED else search)(chunk)
 
     def __missing__(self, chunk: str) -> tuple[bytes, int, float]:
         found = self.older.get(chunk)
@@ -186,9 +190,10 @@ class Encoder(dict):
             ids, score, loss = self.pieces.best_path(chunk)
             found = (array("i", ids).tobytes(), score, loss)
         if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
+            if self.held >= REMEMBERED_BYTES:
+                self.older, self.held = dict(self), 0
                 self.clear()
+            self.held += len(chunk) + len(found[0]) + ENTRY_BYTES
             self[chunk] = found
         return found
 

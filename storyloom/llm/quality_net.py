@@ -4,13 +4,14 @@ A filter weighs four bytes in a row. Its answers over a text are max-pooled in c
 by half and cover the whole text; the chunks' largest and mean answers are combined by a logistic layer into
 one probability. Training is by hand-written gradients on a bounded sample; scoring is a map over all rows.
 
-Parameters of the fit: at most ``TRAIN_ROWS`` rows of each label, those with the least hash of their id, with
-texts of at most ``TRAIN_BYTES``. Both classes weigh the same in the fit; the share of labels among all
+Parameters of the fit: at most ``TRAIN_ROWS`` rows of each label, those with the least hash of their id; of texts
+longer than ``TRAIN_CHARS`` four slices, evenly spread, of that length together. Both classes weigh the same in the fit; the share of labels among all
 training rows is put back into the probability afterwards.
 
 Defined results: a null or empty text is scored as one zero byte; rows without a label are scored like all
 others; where training labels are missing or of one kind the score is their (smoothed) share; repeated rows
-each get a row; of contradicting labels of one id the larger counts; extra columns are ignored.
+each get a row; of contradicting labels of one id the larger counts; an empty table gives no rows; extra columns
+are ignored. Texts of any length are scored whole, some thousand blocks at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import id_and_text, per_batch
 
 WIDTH, FILTERS, BLOCK = 4, 16, 256
-TRAIN_ROWS, TRAIN_BYTES = 1500, 16_384
+TRAIN_ROWS, TRAIN_CHARS = 1500, 16_384
 EPOCHS, BATCH_BYTES, RATE, DECAY, SEED = 6, 160_000, 0.02, 1e-5, 11
 FOLDS, HELD_OUT, CUT = 4, 2, 0.7
 SLICE = 4096 * BLOCK
@@ -151,6 +152,13 @@ def _adam(params: Weights, grads: Weights, used: int, first: Weights, second: We
         params[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
+def sampled(text: Column) -> Column:
+    """The text, or four slices of a long one."""
+    size, n = TRAIN_CHARS // 4, F.length(text)
+    slices = [F.substring(text, F.floor(k * (n - size) / 3).cast("int") + 1, F.lit(size)) for k in range(4)]
+    return F.when(n <= TRAIN_CHARS, text).otherwise(F.concat(*slices))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Weights:
     """Weights learned from the labelled rows outside the held-out fold; a bounded sample comes to the driver."""
     known = (
@@ -163,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for v in (0, 1)]
     chosen = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * TRAIN_ROWS rows at most
     rows = (
-        id_and_text(docs, id_col, text_col).join(chosen, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+        id_and_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "label", sampled(F.col("text")).alias("text"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * TRAIN_ROWS).collect()
     )
     texts, y = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows], np.array([r["label"] for r in rows], dtype=float)

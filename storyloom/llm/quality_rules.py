@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import WORD_SPACE, id_and_text
 
+#: A window's hash, of the word x at place i and the next two.
+WINDOW_HASH = "xxhash64(x, get(_words, i + 1), get(_words, i + 2))"
 SPLIT_WORDS = r"[\x20\x09-\x0D]+"
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_bullet_lines",
@@ -69,7 +71,8 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Words are runs without ASCII white space. ``n_repeat_words`` counts words inside a three-word window that
     occurs twice or more in the text. Each window becomes one long: the upper bits are a hash of its words, the
-    lower ones its position. Sorted, equal windows are neighbours, and the words themselves decide equality.
+    lower ones its position. Sorted, equal windows are neighbours, and the words themselves decide equality. Only
+    where different words have one hash, which could stand between equal ones, the windows are sorted by their words.
     """
     columns = df.columns
     df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
@@ -84,7 +87,9 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn(
         "_windows",
         F.expr("""sort_array(transform(slice(_words, 1, greatest(_n - 2, 0)), (x, i) ->
-            shiftleft(shiftright(xxhash64(x, get(_words, i + 1), get(_words, i + 2)), _pos_bits), _pos_bits) | i))"""),
+            shiftleft(shiftright("""
+            + WINDOW_HASH
+            + ", _pos_bits), _pos_bits) | i))"),
     )
     same = """(shiftright(x ^ {y}, _pos_bits) = 0
         AND get(_words, cast({p} as int)) = get(_words, cast({q} as int))
@@ -93,10 +98,14 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
     low = "({} & (shiftleft(1L, _pos_bits) - 1))"
     before, after = "get(_windows, i - 1)", "get(_windows, i + 1)"
     pairs = " OR ".join(same.format(y=y, p=low.format("x"), q=low.format(y)) for y in (before, after))
-    df = df.withColumn(
-        "_repeats",
-        F.expr(f"sort_array(transform(filter(_windows, (x, i) -> coalesce({pairs}, false)), x -> cast({low.format('x')} as int)))"),
-    )
+    repeats = f"sort_array(transform(filter(_windows, (x, i) -> coalesce({pairs}, false)), x -> cast({low.format('x')} as int)))"
+    differ = f"shiftright(x ^ {before}, _pos_bits) = 0 AND NOT {same.format(y=before, p=low.format('x'), q=low.format(before))}"
+    by_words = "sort_array(transform(_windows, x -> struct(slice(_words, cast({0} as int) + 1, 3) AS w, cast({0} as int) AS p)))".format(low.format("x"))
+    neighbours = "x.w = get(_by_words, i - 1).w OR x.w = get(_by_words, i + 1).w"
+    df = df.withColumn("_collide", F.expr(f"size(filter(_windows, (x, i) -> coalesce({differ}, false))) > 0"))
+    df = df.withColumn("_by_words", F.expr(f"CASE WHEN _collide THEN {by_words} END"))
+    exact = f"sort_array(transform(filter(_by_words, (x, i) -> coalesce({neighbours}, false)), x -> x.p))"
+    df = df.withColumn("_repeats", F.expr(f"CASE WHEN _collide THEN {exact} ELSE {repeats} END"))
     measures = {
         "n_words": F.col("_n").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),

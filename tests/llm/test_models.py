@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storyloom.llm import decontaminate, ngram_model, quality_net
 from storyloom.llm.elias_fano import EliasFano, pack, unpack
@@ -146,3 +147,14 @@ def test_proximity_at_its_exact_distance(spark):
     items = spark.createDataFrame([(7, "the rare and the thing")], "item_id long, text string")
     found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items)
     assert {r["doc_id"]: r["n_near"] for r in found.collect()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 0, None: 1}
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    texts = [("good words here " if i % 2 else "### bad ### ") * 2000 for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in quality_net.classify(df, labels).collect())
+    long = "".join(chr(97 + k % 26) for k in range(50_000))
+    cut = spark.createDataFrame([(long,), ("short",), (None,)], "text string").select(quality_net.sampled(F.col("text")).alias("t")).collect()
+    size, part = quality_net.TRAIN_CHARS // 4, [k * (50_000 - quality_net.TRAIN_CHARS // 4) // 3 for k in range(4)]
+    assert [r["t"] for r in cut] == ["".join(long[at : at + size] for at in part), "short", None]
