@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import cut
+from storyloom.llm.common import cut, join_counted
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node reachable.
 
-    Each step groups the neighbours of a node by their minimum (a partial aggregate) and joins it back, so no
-    neighbourhood is ever held in one place. The lineage is cut by a checkpoint after each round. Null ends
+    Each step groups the neighbours of a node by their minimum (a partial aggregate) and joins it back, nodes with
+    many neighbours by broadcast, so no neighbourhood is ever held in one place. The lineage is cut by a checkpoint after each round. Null ends
     and loops are ignored; repeated edges count once.
     """
     pairs = cut(
@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     while True:
-        stars = cut(_small_star(_large_star(pairs)))
+        stars = cut(_small_star(cut(_large_star(pairs))))
         # A forest of stars is stable: no root has a root of its own, and no node has two.
         again = stars.join(stars.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         twice = 0 if again else stars.groupBy("u").count().where("count > 1").limit(1).count()
@@ -33,15 +33,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``m``, the smallest neighbour of ``u``."""
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    return join_counted(pairs, least, "u", least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour (or itself)."""
-    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    both = _with_least(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is tied to the smallest of them."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    joined = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    joined = _with_least(pairs)
+    others = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return others.unionByName(joined.select("u", F.col("m").alias("v"))).distinct()

@@ -18,7 +18,7 @@ their fingerprints (``similar_links``): at 0.8 fingerprints differ in about 10 b
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; repeated rows
 each get a row; a null doc_id never names a component (a component of null ids only has a null id); an empty
-table gives no rows; other columns of the input are ignored. A text of fewer words than a shingle is hashed as
+table gives no rows; other columns of the input are ignored (``keep_first`` keeps them). A text of fewer words than a shingle is hashed as
 its whole word sequence. Long texts are hashed in bounded blocks.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from storyloom.llm.common import cut, id_and_text, per_batch, without
+from storyloom.llm.common import cut, id_and_text, join_counted, per_batch
 from storyloom.llm.components import components
 from storyloom.llm.golay import codeword_keys
 
@@ -46,6 +46,8 @@ SET_SHINGLE, BANDS, BAND_ROWS = 5, 20, 4
 SET_LIMIT = 1024
 BLOCK = 1 << 15
 SMALL_RUN, RUN_LIMIT = 8, 4096
+#: Fingerprints whose keys one task makes.
+FINGERPRINTS = 50_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -67,14 +69,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a long."""
+    """(doc_id, fp, text_key) of every row; fp is the fingerprint's 64 bits as a long, text_key the text's hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).cast(pa.binary())
         fp = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), dtype=np.uint64, count=len(texts))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(per_batch(run), "doc_id long, fp long")
+    rows = id_and_text(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(per_batch(run), "doc_id long, fp long, text_key long")
 
 
 def _keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +191,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run_limit: int = RUN_LIMIT)
     """(a, b): edges whose components are those of all fingerprints within ``max_bits`` of each other."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys find pairs of up to {MAX_BITS} differing bits")
-    sorted_keys = fuzzy_keys(fps).repartition("key").sortWithinPartitions("key")
+    # About 96 keys come from one fingerprint, so these are dealt out first.
+    dealt = fps.repartition(max(-(-fps.count() // FINGERPRINTS), fps.sparkSession.sparkContext.defaultParallelism))
+    sorted_keys = fuzzy_keys(dealt).repartition("key").sortWithinPartitions("key")
     found = cut(sorted_keys.mapInArrow(_link_runs(max_bits, run_limit), "a long, b long, key long"))
     aside = found.where("key is not null").select("key", F.col("a").alias("fp"))
-    blocks = aside.groupBy("key").agg(F.ceil(F.count("*") / (run_limit // 2)).cast("int").alias("blocks"))
-    own = aside.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    counted = cut(aside.groupBy("key").agg(F.count("*").alias("n")))
+    blocks = counted.select("key", "n", F.ceil(F.col("n") / (run_limit // 2)).cast("int").alias("blocks"))
+    own = join_counted(aside, blocks, "key", counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
     )
@@ -270,8 +276,8 @@ def similar_links(df: DataFrame, found: DataFrame, similarity: float, text_col:
     bands = cut(one.select("text_key", "fp", F.explode("bands").alias("key")))
     # Bands with the same texts are compared once.
     runs = bands.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_key")).alias("who")).where("n > 1")
-    runs = runs.groupBy("n", "who").agg(F.min("key").alias("key"))
-    members = cut(bands.join(runs.select("key", "n"), "key"))
+    runs = cut(runs.groupBy("n", "who").agg(F.min("key").alias("key")))
+    members = cut(join_counted(bands, runs.select("key", "n", F.col("n").alias("size")), "key", bands.count()).withColumnRenamed("size", "n"))
     texts = df.select(F.col(text_col).cast("string").alias("text")).select(F.xxhash64("text").alias("text_key"), "text")
     texts = texts.groupBy("text_key").agg(F.first("text").alias("text"))
 
@@ -313,27 +319,57 @@ def similar_links(df: DataFrame, found: DataFrame, similarity: float, text_col:
     return rows.mapInArrow(apply, "a long, b long")
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None
-) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    docs = cut(fingerprints(df, id_col, text_col, shingle) if similarity is None else sketches(df, id_col, text_col, shingle))
-    fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def _rooted(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """Stored rows of the documents (doc_id, fp, text_key) and of the distinct fingerprints (fp, first_id, n, root)."""
+    if similarity is None:
+        docs = cut(fingerprints(df, id_col, text_col, shingle))
+    else:
+        docs = cut(sketches(df, id_col, text_col, shingle))
+    fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     edges = links(fps, max_bits)
     if similarity is not None:
         edges = edges.unionByName(similar_links(df, docs, similarity, text_col))
     roots = components(edges).select(F.col("node").alias("fp"), "root")
-    rooted = fps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
-    """One row of each group: that whose id names it. Rows with a null id stay; of rows with one id one stays."""
-    found = cut(near_duplicates(df, id_col, text_col, **how))
-    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("id"))
-    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
-    first = without(df, id_col, dropped.unionByName(repeated).distinct())
-    again = without(without(df, id_col, repeated, "left_semi"), id_col, dropped.distinct()).dropDuplicates([id_col])
-    return first.unionByName(again)
+    return docs, cut(fps.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None
+) -> DataFrame:
+    """(doc_id, fp, component_id) of every row.
+
+    Joins go by counts: a fingerprint that many rows share, or a component of many fingerprints, is broadcast.
+    """
+    docs, rooted = _rooted(df, id_col, text_col, shingle, max_bits, similarity)
+    names = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    named = join_counted(rooted.select("root", "fp", F.col("n").alias("rows")), names, "root", rooted.count())
+    named = cut(named.select("fp", F.col("rows").alias("n"), "component_id"))
+    return join_counted(docs, named, "fp", docs.count()).select("doc_id", "fp", "component_id")
+
+
+def keep_first(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None
+) -> DataFrame:
+    """One row of each group of near-duplicates; rows with a null id all stay.
+
+    It is the row with the smallest id, of rows with one id that with the smallest fingerprint, then hash of the
+    text; of rows with one id and text that with the first values, as JSON. Rows with one id whose texts are no
+    near-duplicates stay.
+    """
+    docs, rooted = _rooted(df, id_col, text_col, shingle, max_bits, similarity)
+    total = docs.count()
+    of_id, of_text, times = "id", "text", "times"
+    known = docs.where(F.col("doc_id").isNotNull())
+    same = known.groupBy("doc_id", "fp", "text_key").agg(F.count("*").alias("rows"))
+    same = join_counted(same, rooted.select("fp", "root", "n"), "fp", total)
+    least = same.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_key", "rows")).alias("first"))
+    chosen = cut(least.select(F.col("first.doc_id").alias(of_id), F.col("first.text_key").alias(of_text), F.col("first.rows").alias("n")))
+    # Rows under names of their own, so that no column of the input can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(whole, F.col(f"`{id_col}`").cast("long").alias(of_id), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias(of_text))
+    found = join_counted(rows, chosen.withColumn(times, F.col("n")), [of_id, of_text], total)
+    kept = found.where(F.col(times) == 1).select("row.*")
+    if chosen.where("n > 1").limit(1).count():  # rows that come more than once are summed to one
+        again = found.where(F.col(times) > 1).groupBy(of_id, of_text)
+        kept = kept.unionByName(again.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
+    return kept.unionByName(rows.where(F.col(of_id).isNull()).select("row.*"))

@@ -58,7 +58,7 @@ def test_defined_results(spark):
     assert near[1, 0] == near[2, 0] == near[3, 0] == near[None, 0] == 1
     assert simhash.keep_first(df).columns == df.columns
     kept = [r["doc_id"] for r in simhash.keep_first(df).collect()]
-    assert sorted(x for x in kept if x is not None) == [1, 4, 5] and kept.count(None) == 2
+    assert sorted(x for x in kept if x is not None) == [1, 4, 5, 5] and kept.count(None) == 2
     ledger = {r["doc_id"]: r for r in quality_rules.ledger(df).collect()}
     assert ledger[4]["n_words"] == 60_001 and ledger[4]["n_repeat_words"] == 60_000 and ledger[1]["n_words"] == 0
     assert quality_rules.keep_passing(df).columns == df.columns
@@ -72,3 +72,40 @@ def test_defined_results(spark):
     assert back == {(i, t or "") for i, t, *_ in rows()}
     scored = {(r["doc_id"], r["n_tokens"]): r for r in ngram_model.learn_and_score(df).collect()}
     assert scored[1, 1]["n_known"] == 1 and scored[4, 60_002]["held_out"] is False
+
+
+def test_of_repeated_ids_what_is_no_copy_stays(spark):
+    told = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(7, told[0], "b"), (7, told[0], "a"), (7, told[1], "c"), (3, told[1], "d"), (9, told[2], "e"), (9, told[3], "f"), (9, told[2] + " more", "g"), (None, told[0], "h")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, times string").withColumns({"id": F.lit(1), "row": F.lit(2), "n": F.lit(3)})
+    for how in ({}, {"similarity": 0.8}):
+        out = simhash.keep_first(df, **how)
+        assert out.columns == df.columns
+        kept = sorted((str(r["doc_id"]), r["times"]) for r in out.collect())
+        near = {r["times"] for r in out.where("doc_id = 9").collect()}
+        assert [x for x in kept if x[0] != "9"] == [("3", "d"), ("7", "a"), ("None", "h"), ("None", "h")]
+        assert "f" in near and len(near & {"e", "g"}) == 1
+
+
+@pytest.mark.parametrize("total", [2, 3000])
+def test_a_third_of_all_rows_on_one_key(spark, total):
+    """Heavy keys are broadcast, light ones shuffled; together they are a plain join."""
+    from storyloom.llm.common import join_counted
+
+    rows = [(i, 0 if i % 3 == 0 else i % 11, "x") for i in range(900)] + [(1000, None, "x")]
+    df = spark.createDataFrame(rows, "id long, key long, other string")
+    counted = df.groupBy("key").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+    found = {(r["id"], r["total"]) for r in join_counted(df, counted.where("key < 8"), "key", total * 1000).collect()}
+    sums = {k: sum(i for i, key, _ in rows if key == k) for k in range(8)}
+    assert found == {(i, sums[k]) for i, k, _ in rows if k is not None and k < 8}
+    assert join_counted(df, counted, "key", total * 1000, "left_semi").count() == 900
+
+
+def test_copies_of_one_text_by_the_thousand(spark):
+    told = " ".join(f"w{i}" for i in range(80))
+    near = [told.replace(f"w{i} ", f"v{i} ") for i in range(3, 70)]
+    rows = [(i, told) for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(near)] + [(9000, "all else " + " ".join(f"u{i}" for i in range(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    assert found == {i: 0 for i, _ in rows[:-1]} | {9000: 9000}
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df, similarity=0.8).collect()) == [0, 9000]

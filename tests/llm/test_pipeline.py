@@ -18,6 +18,11 @@ def _windows(text):
     return {tuple(words[s : s + 10]) for s in range(max(len(words) - 9, 1))} if words else set()
 
 
+def _five_words(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_stages(spark):
     from storyloom.llm.registry import ORACLES
@@ -26,11 +31,14 @@ def test_stages(spark):
     kept = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({ORACLES['op2_quality_rules']}) WHERE kept").fetchall()}
     docs = {i: t for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall() if i in kept}
     prints = {i: plain_fingerprint(t) for i, t in docs.items()}
+    sets = {i: _five_words(t) for i, t in docs.items()}
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4 or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    near_of = {i: [j for j in docs if i == j or near(i, j)] for i in docs}
     component = {i: i for i in docs}
     for _ in docs:  # labels fall until nothing changes
         before = dict(component)
         for i in docs:
-            component[i] = min(component[j] for j in docs if (prints[i] ^ prints[j]).bit_count() <= 4)
+            component[i] = min(component[j] for j in near_of[i])
         if component == before:
             break
     docs = {i: t for i, t in docs.items() if component[i] == i}
@@ -65,3 +73,19 @@ def test_all_but_the_last_stage_keep_the_columns(spark):
         assert df.columns == [c.split()[0] for c in odd.split(", ")]
     out = {r["doc_id"]: r for r in df.collect()}
     assert set(out) == {1, None} and out[1]["text"].endswith("[assign]") and out[1]["n_chars"] == len(out[1]["text"])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, very long texts, and one id with two texts go through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    long = " ".join(f"word{i} and" for i in range(40_000))
+    one, two = (" ".join(f"{c}{i} and" for i in range(60)) for c in "ab")
+    rows = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, one, "en", "s", 1), (2, two, "en", "s", 1), (2, two, "en", "s", 1), (3, None, None, None, None)], schema)
+    for k, (df, wanted) in enumerate(((empty, []), (rows, [1, 2, 2]))):
+        folder = str(tmp_path / str(k))
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, "no such passage here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        found = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(r["doc_id"] for r in found) == wanted
+        assert {pieces.pieces(pieces.VOCABULARY).decode(r["ids"]) for r in found} == ({long, one, two} if wanted else set())
