@@ -13,12 +13,15 @@ add up to 1 for each context.
 Building: tasks count hashes (then pairs of ids) in bounded blocks, and send sorted, delta-coded and compressed
 runs by range of the key, so what is shuffled is counts, not tokens. Ranges are cut by how many tokens the words
 in them have, and the successors of a word with a large share are cut into several ranges: no task holds a hot
-word or a hot pair. Shards are written under names of their own for each attempt, and only those that a
+word or a hot pair. There are as many ranges as the corpus has times ``SHARD_BYTES`` of text, so what a task merges
+doesn't grow with the corpus. Shards are written under names of their own for each attempt, and only those that a
 completed task reports are used, so lost executors do no harm. The driver sees one line per shard.
 
 Defined results: a null text is empty and is one end token; a null id is in no fold, neither held out nor learned
-from; with no training rows all counts are zero; repeated rows count each; extra columns are ignored. There may
-be 2^32 distinct words at most. Long texts are read in slices, so memory doesn't grow with a text.
+from; with no training rows all counts are zero; repeated rows count each; an empty table gives no rows; extra
+columns are ignored. Words are told apart by their 64-bit hashes: two words with one hash would count as one (with
+a billion distinct words the chance that any two do is 3 %). There may be 2^32 distinct words at most. Long texts are
+read in slices, so memory doesn't grow with a text.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -47,6 +49,8 @@ GROUP, RUN, SLICE = 400_000, 4_000_000, 4 << 20
 STEPS = 4096  # codes per power of ten
 SPACE = b" \t\n\x0b\x0c\r"
 TOP_WORDS = 16
+#: Text for each range of words or pairs; bytes of shards that a worker holds where the shared folder can't be mapped.
+SHARD_BYTES, HELD_BYTES = 32 << 20, 256 << 20
 
 
 def is_training(doc_id: int | None) -> bool:
@@ -161,19 +165,43 @@ def _write(folder: str, name: str, block: bytes) -> str:
     return f"{folder}/{file}"
 
 
-@lru_cache(maxsize=4096)
+class _Shards:
+    """Shards opened by this worker: mapped where the folder is a mounted one, else read and held up to a number of bytes."""
+
+    def __init__(self) -> None:
+        self.open: dict[str, tuple[dict[str, np.ndarray], dict[str, int], dict[str, EliasFano], int]] = {}
+        self.held = 0
+
+    def get(self, path: str) -> tuple[dict[str, np.ndarray], dict[str, int], dict[str, EliasFano], int]:
+        found = self.open.pop(path, None)
+        if found is None:
+            place, base = fs.FileSystem.from_uri(path)
+            if isinstance(place, fs.LocalFileSystem):
+                block, size = np.memmap(base, dtype=np.uint8, mode="r"), 0
+            else:
+                with place.open_input_file(base) as source:
+                    block = np.frombuffer(source.readall(), dtype=np.uint8)
+                size = len(block)
+            found = (*unpack(block), {}, size)
+            self.held += size
+        self.open[path] = found  # the last one in order
+        while (self.held > HELD_BYTES or len(self.open) > 4096) and len(self.open) > 1:
+            self.held -= self.open.pop(next(iter(self.open)))[3]
+        return found
+
+
+_SHARDS = _Shards()
+
+
 def _shard(path: str) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """A shard: mapped where the folder is a mounted one, else read."""
-    place, base = fs.FileSystem.from_uri(path)
-    if isinstance(place, fs.LocalFileSystem):
-        return unpack(np.memmap(base, dtype=np.uint8, mode="r"))
-    with place.open_input_file(base) as source:
-        return unpack(np.frombuffer(source.readall(), dtype=np.uint8))
+    return _SHARDS.get(path)[:2]
 
 
-@lru_cache(maxsize=4096)
 def _sequence(path: str, name: str) -> EliasFano:
-    return EliasFano(*_shard(path), name)
+    arrays, facts, made, _ = _SHARDS.get(path)
+    if name not in made:
+        made[name] = EliasFano(arrays, facts, name)
+    return made[name]
 
 
 class Words:
@@ -322,7 +350,8 @@ def build(docs: DataFrame) -> Model:
     """The model of the training rows of (doc_id, text)."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
     words, frequent = _build_words(docs, folder, parts)
     bounds = pair_bounds(words, frequent, parts)
 

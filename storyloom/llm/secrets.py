@@ -7,8 +7,8 @@ one of these or around an encrypted one, or a signed token whose header decodes
 A key may start and end anywhere in a run of digits, which may go on over line ends, real or escaped; its own
 lengths say where it ends.
 
-Defined results: a null text is empty and has no secrets; repeated rows each get a row; extra columns are
-ignored by ``scan`` and kept by ``redact``; offsets are code points, ends exclusive. Texts are scanned whole;
+Defined results: a null text is empty and has no secrets; repeated rows each get a row; an empty table gives no
+rows; spans that start together come in the order of their kinds; extra columns are ignored by ``scan`` and kept by ``redact``; offsets are code points, ends exclusive. Texts are scanned whole;
 all patterns are linear in the text.
 """
 

@@ -7,7 +7,7 @@ Reading a word moves along trie edges or failure links; every letter is read onc
 a piece, so the time is linear in the word and no piece is ever built: only counts are added.
 
 Defined results: a null text is empty and has no words; a word that can't be cut is one unknown token; repeated
-rows each get a row; extra columns are ignored. Words of any length are handled whole. Counts of words met
+rows each get a row; an empty table gives no rows; extra columns are ignored. Words of any length are handled whole. Counts of words met
 before are remembered by a task, up to a fixed number of words; that changes no result.
 """
 
