@@ -13,8 +13,8 @@ BAD_URL_PARTS = (
     "update_profile", "forward-this", "forward-to", "view-in-browser", "view_in_browser", "preferences", "archive/",
     "/profile/", "sendgrid.net", "mailchimp", "mailchi.mp", "mail.google.com", "substackcdn", "list.robinhood",
 )
-# First labels of hosts that wrap links, and hosts that shorten them.
-WRAPPER_LABELS = ("click", "link", "links", "email", "e", "track", "tracking", "r", "t", "c", "go", "mail", "ml")
+# How hosts that wrap links begin, and hosts that shorten them.
+WRAPPER_PREFIXES = ("click.", "link.", "links.", "email.", "e.", "track.", "tracking.", "r.", "t.", "c.", "go.", "mail.", "ml.")
 SHORTENERS = ("t.co", "bit.ly", "lnkd.in", "lnk.in", "ow.ly", "tinyurl.com", "tr.ee", "buff.ly", "is.gd", "shorturl.at", "rebrand.ly")
 MESSENGER_HOSTS = ("t.me", "telegram.me", "telegram.dog")
 SOCIAL_HOSTS = ("x.com", "twitter.com")
@@ -35,7 +35,7 @@ def host_of(url: Column) -> Column:
 
 
 def is_wrapper_host(host: Column) -> Column:
-    return host.rlike(rf"^({'|'.join(WRAPPER_LABELS)})\.")
+    return any_of([host.startswith(prefix) for prefix in WRAPPER_PREFIXES])
 
 
 def is_shortener(host: Column) -> Column:

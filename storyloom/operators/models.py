@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import META_TITLES
+from storyloom.functions.text import META_TITLES, mask_urls, needs_translation, strip, unmask_urls
 
 # Marks of a rate limit in an error's text.
 RATE_LIMIT_MARKS = ("429", "rate limit", "quota", "resource exhausted", "too many requests")
@@ -113,15 +113,52 @@ def embed(text: Column, name: str = "offline") -> Column:
 
 
 def translate(text: Column, name: str = "offline") -> Column:
-    """The translation, null where it is to be tried again."""
-    return _calls("translate", "string", name)(text)
+    """The translation, null where it is to be tried again. Links are masked for the model and put back."""
+    masked = mask_urls(text)
+    told = strip(_calls("translate", "string", name)(masked["masked"]))
+    return F.nullif(unmask_urls(told, masked["urls"]), F.lit(""))
+
+
+def in_english(text: Column, name: str = "offline") -> Column:
+    """The text, translated where it needs to be; null where the translation is to be tried again."""
+    return F.when(needs_translation(text), translate(F.when(needs_translation(text), text), name)).otherwise(text)
+
+
+def chat(prompts: Column, ask: Callable[[], Callable[[str], str]]) -> Column:
+    """Answers to prompts; ``ask`` makes the function that answers, once per task (a ``Rotating`` provider's chat, say)."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        answer = ask()
+        for texts in batches:
+            yield texts.map(lambda x: None if x is None else answer(x))
+
+    return F.pandas_udf(run, "string")(prompts)
+
+
+def split_messages(messages: Column) -> Column:
+    """(system, contents) of an array of (role, text): the system texts joined, and the others as (role, text).
+
+    System texts without more than white space don't count; there is no system text where none is left. The
+    assistant's role is model, all others' user. Without any content there is one empty text of the user.
+    """
+    role = lambda m: F.lower(F.btrim(F.coalesce(F.nullif(m["role"], F.lit("")), F.lit("user"))))
+    text = lambda m: F.coalesce(m["text"], F.lit(""))
+    system = F.filter(F.transform(F.filter(messages, lambda m: role(m) == "system"), lambda m: strip(text(m))), lambda x: x != "")
+    named = lambda m: F.struct(F.when(role(m) == "assistant", F.lit("model")).otherwise(F.lit("user")).alias("role"), text(m).alias("text"))
+    contents = F.transform(F.filter(messages, lambda m: role(m) != "system"), named)
+    nothing = F.array(F.struct(F.lit("user").alias("role"), F.lit("").alias("text")))
+    return F.struct(
+        F.nullif(F.array_join(system, "\n\n"), F.lit("")).alias("system"), F.when(F.size(contents) > 0, contents).otherwise(nothing).alias("contents")
+    )
 
 
 def extract_stories(mails: DataFrame, name: str = "offline") -> DataFrame:
     """(id, pos, content_type, title, summary, failed): stories of mails (id, body), meta titles and empty ones left out.
 
-    A mail whose answer is no JSON of the wanted shape gives one row with ``failed`` and is to be tried again.
+    The provider is asked whether it answers before any mail is handed to it. A mail whose answer is no JSON of the wanted shape gives one row with ``failed`` and is to be tried again.
     """
+    if not provider(name).healthy():
+        raise RuntimeError(f"provider {name} doesn't answer")
     schema = "content_type string, stories array<struct<title: string, summary: string>>"
     answered = mails.select("id", _calls("extract", "string", name)(F.col("body")).alias("answer"))
     parsed = answered.select("id", F.from_json("answer", schema).alias("a")).withColumn("failed", F.col("a.stories").isNull())

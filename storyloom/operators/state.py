@@ -6,11 +6,14 @@ merged in place and a rerun over the same log gives the same state.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from storyloom.functions.text import message_id
+from storyloom.operators.graph import cut
+from storyloom.operators.joins import join_counted
 
 # What a later snapshot of a bookmark overwrites; url, source, scraped_at and tags stay.
 OVERWRITTEN = ("title", "excerpt", "cover", "author", "avatar", "media_json", "quoted_json", "reply_to", "link_card_json")
@@ -68,6 +71,12 @@ def playlist_snapshots(log: DataFrame) -> DataFrame:
     )
 
 
+def outcome_counts(*outcomes: DataFrame) -> DataFrame:
+    """(outcome, n) of a run: how many were new, merged, evolved, duplicate, skipped and why."""
+    each = reduce(DataFrame.unionByName, [df.select(F.coalesce("outcome", F.lit("unknown")).alias("outcome")) for df in outcomes])
+    return each.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def story_counters(mentions: DataFrame, timeline: DataFrame) -> DataFrame:
     """(story_id, mention_count, first_seen, last_updated, new_info_count) from the two logs."""
     counted = mentions.groupBy("story_id").agg(
@@ -82,31 +91,43 @@ def first_by_hash(rows: DataFrame, hash_col: str, order: list[str], known: DataF
 
     Of equal non-empty hashes the first good row is new and all after it are duplicates; rows before it that
     aren't good (``ok`` false) are to be tried again; hashes in ``known`` are duplicates. The first good row is
-    one aggregate per hash joined back, so a hash that a third of all rows share is no single task's sort.
+    one aggregate per hash, joined back by counts: a hash that a third of all rows share is broadcast, and rows
+    without a hash take no part. ``rows`` are read more than once; hand in stored ones if they cost much.
     """
     good = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
-    place = F.struct(*order)
-    marked = rows.withColumns({"_good": good, "_place": place})
-    firsts = marked.where((F.col(hash_col) != "") & F.col("_good")).groupBy(hash_col).agg(F.min("_place").alias("_first"))
+    marked = rows.withColumns({"_good": good, "_place": F.struct(*order), "_hash": F.nullif(F.col(hash_col), F.lit(""))})
+    firsts = marked.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(
+        F.min(F.when(F.col("_good"), F.col("_place"))).alias("_first"), F.count("*").alias("n")
+    )
     if known is not None:
-        firsts = firsts.join(known.select(hash_col, F.lit(True).alias("_known")).distinct(), hash_col, "full")
+        firsts = firsts.join(known.select(F.col(hash_col).alias("_hash"), F.lit(True).alias("_known")).distinct(), "_hash", "left")
     else:
         firsts = firsts.withColumn("_known", F.lit(False))
-    joined = marked.join(firsts, hash_col, "left")
+    firsts = cut(firsts)
+    hashed = marked.where(F.col("_hash").isNotNull())
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     status = (
-        F.when(F.coalesce(F.col(hash_col), F.lit("")) == "", F.lit("empty"))
-        .when(F.coalesce("_known", F.lit(False)), F.lit("duplicate"))
+        F.when(F.coalesce("_known", F.lit(False)), F.lit("duplicate"))
         .when(F.col("_first").isNull() | (F.col("_place") < F.col("_first")), F.lit("retry"))
         .when(F.col("_place") == F.col("_first"), F.lit("new"))
         .otherwise(F.lit("duplicate"))
     )
-    return joined.withColumn("status", status).drop("_good", "_place", "_first", "_known")
+    told = join_counted(hashed, firsts, "_hash", total).withColumn("status", status)
+    empty = marked.where(F.col("_hash").isNull()).withColumn("status", F.lit("empty"))
+    return told.select(*rows.columns, "status").unionByName(empty.select(*rows.columns, "status"))
 
 
 def evolve_candidates(mentions: DataFrame, key: str = "story_id", order: str = "id") -> DataFrame:
-    """Mentions that ask whether the story has news: those with at least two mentions of it before them."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return mentions.withColumn("n_before", number - 1).where("n_before >= 2")
+    """Mentions that ask whether the story has news: those with at least two mentions of it before them.
+
+    A story's first and second mention are partial aggregates, so a story that a third of all mentions tell of is
+    no single task's sort. Mentions of one story with one order value are one; those without a story ask nothing.
+    """
+    first = cut(mentions.groupBy(key).agg(F.min(order).alias("_after"), F.count("*").alias("n")))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    later = join_counted(mentions, first, key, total).where(F.col(order) > F.col("_after"))
+    second = cut(later.groupBy(key).agg(F.min(order).alias("_after"), F.count("*").alias("n")))
+    return join_counted(mentions, second, key, total).where(F.col(order) > F.col("_after")).drop("_after")
 
 
 def route_marks(marks: DataFrame, stories: DataFrame) -> tuple[DataFrame, DataFrame]:

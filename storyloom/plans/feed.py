@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.times import age_days, freshness
-from storyloom.functions.urls import host_of
+from storyloom.functions.text import BLANKS, normalize_lines, source_label, unescape_html
+from storyloom.functions.times import age_days, freshness, iso_from_ts, relative_label
+from storyloom.functions.urls import host_of, links_from_json
 from storyloom.plans.query_language import compile_clauses, parse, wants_skipped
 
 NEWEST = 2000
 SHAPE = (
     "id", "title", "summary", "primary_url", "primary_url_host", "primary_image_url", "source_type", "mention_count", "new_info_count",
     "is_read", "skipped", "first_seen", "last_updated", "sort_ts", "age_days", "source_rank", "all_senders", "senders",
-    "distinct_sender_count", "distinct_source_types",
+    "distinct_sender_count", "distinct_source_types", "source_label", "links", "last_updated_display", "last_updated_relative", "first_seen_relative",
 )
+LINKS = "array<struct<url: string, host: string>>"
 
 
 def or_else(*columns: str | Column) -> Column:
@@ -53,9 +55,16 @@ def mention_aggregate(mentions: DataFrame) -> DataFrame:
 
 
 def story_rows(stories: DataFrame, mentions: DataFrame, now: int, newest: int = NEWEST) -> DataFrame:
-    """The newest stories with what their mentions tell; a mail story's time is that of its latest mention."""
-    top = stories.orderBy(F.desc("last_updated"), F.desc("id")).limit(newest)
-    joined = top.join(mention_aggregate(mentions).withColumnRenamed("story_id", "id"), "id", "left")
+    """The newest stories with what their mentions tell; a mail story's time is that of its latest mention.
+
+    Only mentions of these stories are summed: their ids, ``newest`` at most, are broadcast.
+    """
+    first = [F.desc("last_updated"), F.desc("id")]
+    top = stories.orderBy(*first).limit(newest)
+    ids = stories.select("id", "last_updated").orderBy(*first).limit(newest).select(F.col("id").alias("story_id"))
+    told = mention_aggregate(mentions.join(F.broadcast(ids), "story_id", "left_semi"))
+    joined = top.join(told.withColumnRenamed("story_id", "id"), "id", "left")
+    raw_links = F.col("links_json") if "links_json" in stories.columns else F.lit(None).cast("string")
     kind = F.btrim(F.lower(or_else("source_type", F.lit("email"))))
     ts = F.when((kind == "email") & F.col("latest_mention_ts").isNotNull(), F.col("latest_mention_ts")).otherwise(F.col("last_updated"))
     none = F.array().cast("array<string>")
@@ -67,10 +76,19 @@ def story_rows(stories: DataFrame, mentions: DataFrame, now: int, newest: int =
         F.coalesce("skipped", F.lit(False)).alias("skipped"), "first_seen", "last_updated", ts.alias("sort_ts"),
         age_days(ts, now).alias("age_days"), F.lit(0).cast("long").alias("source_rank"), F.coalesce("all_senders", none).alias("all_senders"),
         F.coalesce("senders", none).alias("senders"), F.coalesce("distinct_sender_count", F.lit(0)).alias("distinct_sender_count"),
-        F.coalesce("source_types", F.array(kind)).alias("distinct_source_types"),
+        F.coalesce("source_types", F.array(kind)).alias("distinct_source_types"), *_shown(kind, ts, F.col("first_seen"), now),
+        links_from_json(raw_links).cast(LINKS).alias("links"),
     )
 
 
+def _shown(kind: Column, ts: Column, first_seen: Column, now: int) -> list[Column]:
+    """The source's label and times as they are displayed."""
+    return [
+        source_label(kind).alias("source_label"), iso_from_ts(ts).alias("last_updated_display"), relative_label(ts, now).alias("last_updated_relative"),
+        relative_label(first_seen, now).alias("first_seen_relative"),
+    ]
+
+
 def with_state(bookmarks: DataFrame, state: DataFrame) -> DataFrame:
     """Saved items with their read and skip flags; false where nothing was said."""
     flags = state.select("id", "is_read", "skipped")
@@ -84,13 +102,15 @@ def saved_rows(bookmarks: DataFrame, state: DataFrame, now: int) -> DataFrame:
     saved = F.coalesce(nonzero("scraped_at", "last_seen_at", "created_ts"), created)
     source, url = or_else("source", F.lit("external")), F.coalesce("url", F.lit(""))
     sender = F.array(or_else("author", source))
+    card = F.nullif(F.get_json_object("link_card_json", "$.url"), F.lit("")) if "link_card_json" in bookmarks.columns else F.lit(None).cast("string")
+    links = F.when(card.isNotNull(), F.array(F.struct(card.alias("url"), host_of(card).alias("host")))).otherwise(F.array()).cast(LINKS)
     return with_state(bookmarks, state).select(
         "id", or_else("title", "url", F.lit("(untitled)")).alias("title"), F.coalesce("excerpt", F.lit("")).alias("summary"),
         url.alias("primary_url"), host_of(url).alias("primary_url_host"), F.coalesce("cover", F.lit("")).alias("primary_image_url"),
         source.alias("source_type"), F.lit(1).cast("long").alias("mention_count"), F.lit(0).cast("long").alias("new_info_count"), "is_read", "skipped",
         created.alias("first_seen"), saved.alias("last_updated"), saved.alias("sort_ts"), age_days(saved, now).alias("age_days"),
         F.coalesce("source_rank", F.lit(0)).cast("long").alias("source_rank"), sender.alias("all_senders"), sender.alias("senders"),
-        F.lit(1).alias("distinct_sender_count"), F.array(source).alias("distinct_source_types"),
+        F.lit(1).alias("distinct_sender_count"), F.array(source).alias("distinct_source_types"), *_shown(source, saved, created, now), links.alias("links"),
     )
 
 
@@ -162,7 +182,41 @@ def stats(stories: DataFrame, mentions: DataFrame, now: int) -> DataFrame:
     return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
 
 
-def story_detail(story_id, stories: DataFrame, mentions: DataFrame, timeline: DataFrame) -> dict[str, DataFrame]:  # noqa: ANN001
-    """A story, its mentions and its timeline, newest first; reading it changes nothing."""
+def rendered_mentions(mentions: DataFrame) -> DataFrame:
+    """Mentions as they are shown: of mails the raw title and body, else the stored ones, normalised.
+
+    A body that begins with the title and goes on with a letter or digit gets an empty line after the title.
+    """
+    is_mail = or_else("source_type", F.lit("email")) == "email"
+    shown = lambda *names: normalize_lines(unescape_html(F.coalesce(or_else(*names), F.lit(""))))
+    rows = mentions.withColumns({"_title": shown("raw_title", "title"), "_body": shown("raw_body", "summary")})
+    rest = F.substring("_body", F.length("_title") + 1, F.length("_body"))
+    runs_on = (F.col("_title") != "") & F.startswith("_body", "_title") & rest.rlike(r"^[\p{L}\p{N}]")
+    body = F.when(runs_on, F.concat("_title", F.lit("\n\n"), F.ltrim(rest, F.lit(BLANKS)))).otherwise(F.col("_body"))
+    told = {"title": F.when(is_mail, F.col("_title")).otherwise(F.col("title")), "summary": F.when(is_mail, body).otherwise(F.col("summary"))}
+    return rows.withColumns(told).drop("_title", "_body")
+
+
+def saved_mentions(rows: DataFrame) -> DataFrame:
+    """The one made-up mention of each saved item, from ``saved_rows``."""
+    date = nonzero("first_seen", "last_updated")
+    return rows.select(
+        F.col("id").alias("story_id"), "title", "summary", F.get("senders", F.lit(0)).alias("sender"), F.col("primary_url").alias("gmail_url"),
+        F.coalesce(date, F.lit(0)).alias("date_ts"), "source_type",
+    )
+
+
+def story_detail(
+    story_id, stories: DataFrame, mentions: DataFrame, timeline: DataFrame, bookmarks: DataFrame | None = None, state: DataFrame | None = None, now: int = 0,  # noqa: ANN001
+) -> dict[str, DataFrame]:
+    """A story, its mentions and its timeline, newest first; reading it changes nothing.
+
+    With ``bookmarks`` and their ``state`` an id that is no story's is looked up there; its mention is made up and
+    its timeline is empty.
+    """
     newest = lambda df: df.where(F.col("story_id") == story_id).orderBy(F.desc("date_ts"), F.desc("id"))
-    return {"story": stories.where(F.col("id") == story_id), "mentions": newest(mentions), "timeline": newest(timeline)}
+    own = stories.where(F.col("id") == story_id)
+    if bookmarks is None or own.limit(1).count():
+        return {"story": own, "mentions": newest(rendered_mentions(mentions) if "raw_title" in mentions.columns else mentions), "timeline": newest(timeline)}
+    saved = saved_rows(bookmarks.where(F.col("id") == story_id), state.where(F.col("id") == story_id), now)
+    return {"story": saved, "mentions": saved_mentions(saved), "timeline": timeline.limit(0)}

@@ -109,8 +109,8 @@ _register(
     count_if(coalesce(added_new_info, false))::BIGINT AS new_info_count FROM mentions GROUP BY story_id""",
 )
 _register(
-    "evolve_candidates", lambda s, d: state.evolve_candidates(views.mentions(s, d)).select("id", "story_id", F.col("n_before").cast("long").alias("n_before")),
-    "SELECT * FROM (SELECT id, story_id, row_number() OVER (PARTITION BY story_id ORDER BY id) - 1 AS n_before FROM mentions) WHERE n_before >= 2",
+    "evolve_candidates", lambda s, d: state.evolve_candidates(views.mentions(s, d)).select("id", "story_id"),
+    "SELECT id, story_id FROM (SELECT id, story_id, row_number() OVER (PARTITION BY story_id ORDER BY id) AS k FROM mentions) WHERE k >= 3",
 )
 _register(
     "upsert_social", lambda s, d: state.bookmark_snapshots(views.snapshots(s, d).drop("source_rank")),

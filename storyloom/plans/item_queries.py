@@ -1,4 +1,4 @@
-"""Queries of vectors, clusters, evolution, extraction and streams."""
+"""Queries of vectors and streams."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.operators import clusters, models, similarity
+from storyloom.operators import models, similarity
 from storyloom.session import table
 from storyloom.streaming import ingest
 
@@ -30,22 +30,6 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.leader_clusters(_vectors(spark, sf_dir), THRESHOLD, recall=1 - 1e-9, bits=4).withColumn("similarity", F.round("similarity", 6))
-
-
-def evolve_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("story_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
-        F.col("text").alias("summary"),
-    )
-    return clusters.evolve(told, models.Offline().evolve)
-
-
-def extract_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.extract_stories(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")))
-
-
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", models.embed(F.col("text")).alias("vector"))
     return docs.select("doc_id", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
@@ -61,8 +45,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "nn_top1": nn_top1, "similar_pairs": similar_pairs, "leader_clusters": leader_clusters, "evolve_stories": evolve_stories,
-    "extract_stories": extract_stories, "embed_texts": embed_texts, "stream_dedup": stream_dedup, "stream_counts": stream_counts,
+    "nn_top1": nn_top1, "similar_pairs": similar_pairs, "embed_texts": embed_texts, "stream_dedup": stream_dedup, "stream_counts": stream_counts,
 }
 _SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 ORACLES: dict[str, str] = {

@@ -21,10 +21,10 @@ _DOC = """doc_id AS id, text, lang,
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*_columns(_DOC.format(now=NOW, text="STRING")))
+    return table(spark, sf_dir, "documents").selectExpr(*columns_of(_DOC.format(now=NOW, text="STRING")))
 
 
-def _columns(sql: str) -> list[str]:
+def columns_of(sql: str) -> list[str]:
     """Top-level commas of a select list."""
     parts, depth, at = [], 0, 0
     for i, c in enumerate(sql):
@@ -45,14 +45,15 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_type", (F.col("id") % 9).alias("mention_count"), (F.col("id") % 4).alias("new_info_count"),
         F.coalesce("is_read", F.lit(False)).alias("is_read"), F.coalesce("skipped", F.lit(False)).alias("skipped"),
         (F.col("ts") - 86400).alias("first_seen"), F.col("ts").alias("last_updated"),
+        F.expr("CASE id % 4 WHEN 0 THEN '[\"' || url || '\", 7, \"nowhere\", \"https://b.org/x\"]' WHEN 1 THEN '[broken' END").alias("links_json"),
     )
 
 
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).where("source_type IN ('twitter', 'linkedin', 'youtube')")
     return docs.selectExpr(
-        "id", "source_type AS source", "url", "substring(split(text, '\\n')[0], 1, 140) AS title", "substring(text, 1, 500) AS excerpt",
-        "image AS cover", "CASE WHEN id % 11 = 0 THEN '' ELSE lang END AS author", "CASE WHEN id % 4 = 0 THEN 0 ELSE ts - 3600 END AS created_ts",
+        "id", "source_type AS source", "url", "substring(split(text, '\\n')[0], 1, 140) AS title", "text AS excerpt",
+        "CASE WHEN id % 6 = 2 THEN '{\"url\": \"https://www.card.example.org/' || id || '\"}' WHEN id % 6 = 4 THEN 'null' END AS link_card_json", "image AS cover", "CASE WHEN id % 11 = 0 THEN '' ELSE lang END AS author", "CASE WHEN id % 4 = 0 THEN 0 ELSE ts - 3600 END AS created_ts",
         "ts AS scraped_at", "ts + 60 AS last_seen_at", "source_rank",
     )
 
@@ -84,12 +85,13 @@ flags AS (SELECT doc_id AS id, quality = 1 AS is_read, toxic = 1 AS skipped FROM
 stories AS (
   SELECT id, substr(string_split(text, chr(10))[1], 1, 140) AS title, text AS summary, url AS primary_url,
     regexp_extract(url, '^https://www\\.([^/]*)', 1) AS primary_url_host, image AS primary_image_url, source_type, id % 9 AS mention_count,
-    id % 4 AS new_info_count, coalesce(is_read, false) AS is_read, coalesce(skipped, false) AS skipped, ts - 86400 AS first_seen, ts AS last_updated
+    id % 4 AS new_info_count, coalesce(is_read, false) AS is_read, coalesce(skipped, false) AS skipped, ts - 86400 AS first_seen, ts AS last_updated,
+    CASE id % 4 WHEN 0 THEN regexp_extract(url, '^https://www\\.([^/]*)', 1) || '|b.org' ELSE '' END AS link_hosts
   FROM docs LEFT JOIN flags USING (id) WHERE source_type IN ('email', 'telegram')),
 bookmarks AS (
-  SELECT id, source_type AS source, url, substr(string_split(text, chr(10))[1], 1, 140) AS title, substr(text, 1, 500) AS excerpt, image AS cover,
+  SELECT id, source_type AS source, url, substr(string_split(text, chr(10))[1], 1, 140) AS title, text AS excerpt, image AS cover,
     CASE WHEN id % 11 = 0 THEN '' ELSE lang END AS author, CASE WHEN id % 4 = 0 THEN 0 ELSE ts - 3600 END AS created_ts, ts AS scraped_at,
-    ts + 60 AS last_seen_at, source_rank
+    ts + 60 AS last_seen_at, source_rank, CASE WHEN id % 6 = 2 THEN 'card.example.org' ELSE '' END AS link_hosts
   FROM docs WHERE source_type IN ('twitter', 'linkedin', 'youtube')),
 mentions AS (
   SELECT event_id AS id, user_id AS story_id, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END AS sender,
@@ -109,7 +111,7 @@ feed AS (
   SELECT id, title, summary, primary_url, primary_url_host, primary_image_url, source_type, mention_count, new_info_count, is_read, skipped, first_seen,
     last_updated, sort_ts, floor(({NOW} - sort_ts) / 86400)::BIGINT AS age_days, 0 AS source_rank, coalesce(all_senders, []) AS all_senders,
     coalesce(senders, '') AS senders, coalesce(n_senders, 0) AS distinct_sender_count, coalesce(source_types, source_type) AS distinct_source_types,
-    coalesce(n_types, 1) AS n_types
+    coalesce(n_types, 1) AS n_types, link_hosts
   FROM (SELECT s.*, a.all_senders, d.senders, d.n_senders, a.source_types, a.n_types,
           CASE WHEN s.source_type = 'email' AND a.latest IS NOT NULL THEN a.latest ELSE s.last_updated END AS sort_ts
         FROM (SELECT * FROM stories ORDER BY last_updated DESC, id DESC LIMIT 2000) s
@@ -117,7 +119,7 @@ feed AS (
   UNION ALL
   SELECT b.id, title, excerpt, url, regexp_extract(url, '^https://www\\.([^/]*)', 1), cover, source, 1, 0, coalesce(is_read, false), coalesce(skipped, false),
     CASE WHEN created_ts <> 0 THEN created_ts ELSE last_seen_at END, scraped_at, scraped_at, floor(({NOW} - scraped_at) / 86400)::BIGINT, source_rank,
-    [lower(CASE WHEN author <> '' THEN author ELSE source END)], CASE WHEN author <> '' THEN author ELSE source END, 1, source, 1
+    [lower(CASE WHEN author <> '' THEN author ELSE source END)], CASE WHEN author <> '' THEN author ELSE source END, 1, source, 1, link_hosts
   FROM bookmarks b LEFT JOIN flags USING (id)),
 scored AS (
   SELECT *, round((2.6 * ln(1 + greatest(mention_count, 1)) + 1.2 * ln(1 + greatest(distinct_sender_count, 1)) + 2.4 * (greatest(n_types, 1) - 1)

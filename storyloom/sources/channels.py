@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +78,16 @@ class _Posts(HTMLParser):
             self.post["text"].append(data.strip())
 
 
-@F.udf(POST, useArrow=True)
-def page_posts(markup: str | None) -> list[tuple]:
+@F.arrow_udf(POST)
+def page_posts(pages: pa.Array) -> pa.Array:
+    """The posts of each page; HTML is beyond built-in functions."""
+    texts = [(n, pa.string()) for n in ("url", "date", "text")]
+    kind = pa.list_(pa.struct(texts + [(n, pa.list_(pa.string())) for n in ("hrefs", "previews", "images", "video_thumbs")]))
+    return pa.array([[dict(zip(kind.value_type.names, post, strict=True)) for post in posts_of(x)] for x in pages.to_pylist()], kind)
+
+
+def posts_of(markup: str | None) -> list[tuple]:
+    """(url, date, text, hrefs, previews, images, video thumbs) of a page's posts that have a number."""
     parser = _Posts()
     parser.feed(markup or "")
     if parser.post is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.links import links_in_context
+from storyloom.functions.links import LINK, links_in_context
 from storyloom.functions.text import clean_html, normalize_lines, preferred_body, skip_email, strip, unescape_html
 
 SHORTEST_BODY = 50
@@ -18,7 +18,7 @@ _BODIES = T.StructType([T.StructField(name, T.StringType()) for name in ("plain"
 
 
 def _decoded(part: dict) -> str:
-    data = ((part.get("body") or {}).get("data") or "").replace("-", "+").replace("_", "/").rstrip("=")
+    data = "".join(((part.get("body") or {}).get("data") or "").split()).replace("-", "+").replace("_", "/").rstrip("=")
     return base64.b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace") if data else ""
 
 
@@ -69,7 +69,7 @@ def newsletters(messages: DataFrame) -> DataFrame:
     """(id, subject, sender, date, body, snippet, gmail_url, links, outcome) of messages.
 
     ``outcome`` is ok, skipped (no newsletter by its headers), short or broken; only ok rows have a body. Rows
-    with any outcome are to be marked as seen.
+    with any outcome are to be marked as seen. Skipped mails are set apart before anything is decoded.
     """
     entries = F.from_json(F.get_json_object("payload", "$.headers"), "array<struct<name: string, value: string>>")
     headers = F.transform(F.coalesce(entries, F.array().cast("array<struct<name: string, value: string>>")), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
@@ -78,20 +78,23 @@ def newsletters(messages: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform("h", lambda x: x["name"]))
     as_map = F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter("h", lambda x: x["name"] == n), -1)["value"]))
     rows = rows.select("id", "snippet", "payload", last("subject").alias("subject"), last("from").alias("sender"), last("date").alias("date"), as_map.alias("headers"))
-    rows = rows.withColumn("skip", skip_email(F.col("subject"), F.col("sender"), F.col("headers")))
-    rows = rows.withColumn("m", F.when(~F.col("skip"), mime_bodies("payload")))
+    rows = rows.withColumn("skip", F.coalesce(skip_email(F.col("subject"), F.col("sender"), F.col("headers")), F.lit(False)))
+    link = F.concat(F.lit("https://mail.google.com/mail/u/0/#inbox/"), F.col("id")).alias("gmail_url")
+    none = [F.lit(None).cast("string").alias("body"), "snippet", link, F.lit(None).cast(LINK).alias("links"), F.lit("skipped").alias("outcome")]
+    skipped = rows.where("skip").select("id", "subject", "sender", "date", *none)
+    rows = rows.where("NOT skip").withColumn("m", mime_bodies("payload"))
     rich = clean_html(F.coalesce("m.rich", F.lit("")))
     plain = F.coalesce("m.plain", F.lit(""))
     body = F.when(F.col("m.rich") == "", plain).when(F.col("m.plain") == "", rich).otherwise(preferred_body(plain, rich))
     rows = rows.withColumn("body", normalize_lines(unescape_html(body)))
     outcome = (
-        F.when(F.col("skip"), "skipped").when(F.col("m.plain").isNull(), "broken")
+        F.when(F.col("m.plain").isNull(), "broken")
         .when(F.length(strip(F.coalesce("body", F.lit("")))) < SHORTEST_BODY, "short").otherwise("ok")
     )
     rows = rows.withColumn("outcome", outcome)
     ok = F.col("outcome") == "ok"
-    return rows.select(
-        "id", "subject", "sender", "date", F.when(ok, F.col("body")).alias("body"), "snippet",
-        F.concat(F.lit("https://mail.google.com/mail/u/0/#inbox/"), F.col("id")).alias("gmail_url"),
+    read = rows.select(
+        "id", "subject", "sender", "date", F.when(ok, F.col("body")).alias("body"), "snippet", link,
         F.when(ok, links_in_context("m.first_html")).alias("links"), "outcome",
     )
+    return read.unionByName(skipped)

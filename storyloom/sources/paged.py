@@ -4,6 +4,11 @@ A client is any object with ``page(channel, cursor, since) -> (items, next curso
 first, each item a dict with ``id`` and ``date`` (ISO text). The source reads on while pages bring new items
 that are not older than ``since``; items without a readable date stay. ``since`` from a filter goes a day
 further back, as services round; Spark applies the filter itself once more.
+
+Options: ``client``, ``channels``, ``since``; ``limit``: items of the scan, dealt to the channels in equal parts, the
+first ones one more (no limit by default, and none counts where ``since`` is given, as a run from a time on takes all);
+``maxpages``: pages of each channel after which its scan fails, so that a client that never ends is seen instead of
+rows being lost (none by default); ``all``: go on to the last page also without ``since``.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ def parse_date(text: str | None) -> datetime | None:
 
 
 class Channel(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+    def __init__(self, name: str, most: int | None):
+        self.name, self.most = name, most
 
 
 class PagedReader(DataSourceReader):
@@ -48,17 +53,23 @@ class PagedReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Channel]:
-        return [Channel(c) for c in self.channels]
+        limit = int(self.options.get("limit", 0)) if self.since is None else 0
+        whole, rest = divmod(limit, max(len(self.channels), 1))
+        shares = [whole + (k < rest) if limit else None for k in range(len(self.channels))]
+        return [Channel(c, n) for c, n in zip(self.channels, shares, strict=True) if n != 0]
 
     def read(self, partition: Channel | None) -> Iterator[tuple]:
         if partition is None:
             return
         module, name = self.options["client"].split(":")
         client = getattr(importlib.import_module(module), name)(self.options)
-        most, pages = int(self.options.get("limit", 0)), int(self.options.get("maxpages", 20))
+        most, pages = partition.most, int(self.options.get("maxpages", 0))
         seen: set[str] = set()
-        cursor = None
-        for _ in range(pages):
+        cursor, n = None, 0
+        while True:
+            n += 1
+            if pages and n > pages:
+                raise RuntimeError(f"channel {partition.name} has more than {pages} pages")
             items, cursor = client.page(partition.name, cursor, self.since)
             fresh = list({x["id"]: x for x in items if x["id"] not in seen}.values())
             seen.update(x["id"] for x in fresh)
@@ -67,9 +78,10 @@ class PagedReader(DataSourceReader):
                 at = parse_date(x.get("date"))
                 if self.since is None or at is None or at >= self.since:
                     yield tuple(x.get(c) if c != "channel" else partition.name for c in self.columns)
-                    most -= 1
-                    if most == 0:
-                        return
+                    if most is not None:
+                        most -= 1
+                        if most == 0:
+                            return
             over = self.since is not None and dates and min(dates) < self.since
             if cursor is None or not fresh or over or (self.since is None and not self.options.get("all")):
                 return
@@ -87,3 +99,16 @@ class PagedItems(DataSource):
 
     def reader(self, schema) -> PagedReader:  # noqa: ANN001
         return PagedReader(dict(self.options), schema.fieldNames())
+
+
+class Calendar:
+    """A client of made-up items: one for each day of January 2024, five a page, newest first."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def page(self, channel: str, cursor: int | None, since: datetime | None) -> tuple[list[dict], int | None]:
+        last = cursor or 31
+        days = range(last, max(last - 5, 0), -1)
+        items = [{"id": f"{channel}:{d}", "date": f"2024-01-{d:02d}T00:00:00Z", "text": f"day {d}"} for d in days]
+        return items, last - 5 if last > 5 else None

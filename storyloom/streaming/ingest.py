@@ -20,7 +20,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{path}*")
+    # A stream wants a folder or a pattern; this one matches the table alone.
+    return reader.parquet(f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
 
 
 def run_once(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
