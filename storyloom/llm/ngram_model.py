@@ -1,14 +1,17 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie of order 3.
 
-The trie has two levels, each a row of shards in the shared folder, memory-mapped by the tasks that read them.
+The trie has three levels, each a row of shards in the shared folder, memory-mapped by the tasks that read them.
 Level 1 holds the sorted 64-bit hashes of the words and their counts; a word's id is its place. Level 2 holds,
 for each context word that a shard covers, a monotone pointer into the ascending successor ids, and for each
-successor its smoothed probability as a 16-bit code. A pair is looked up by the context's place, its pointers,
-and a successor search between them.
+successor its smoothed probability as a 16-bit code. Level 3 does the same for contexts of two words, and knows a
+word by its place among the successors of the second one, a small number. A pair is looked up by the context's place,
+its pointers, and a successor search between them; a triple by the number of its first pair and that place.
 
-Smoothing: P(w | u) = (c(u, w) + K P(w)) / (c(u) + K) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); a pair that
-was never seen takes the same formula with no count, so the probabilities of all words and of one unknown word
-add up to 1 for each context.
+Smoothing: P(w | v) = (c(v, w) + K P(w)) / (c(v) + K) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); a pair that
+was never seen takes the same formula with no count. Triples take part from two occurrences on, as those that occur
+once are most and say least: P(w | u, v) = (c(u, v, w) + K P(w | v)) / (C(u, v) + K), C the sum of the counts that take
+part; a pair that begins none of them leaves P(w | v). So the probabilities of all words and of one unknown word add up
+to 1 for each context.
 
 Building: tasks count hashes (then pairs of ids) in bounded blocks, and send sorted, delta-coded and compressed
 runs by range of the key, so what is shuffled is counts, not tokens. Ranges are cut by how many tokens the words
@@ -42,7 +45,7 @@ from storyloom.llm.common import id_and_text, shared_folder
 from storyloom.llm.elias_fano import EliasFano, pack, unpack
 
 FOLDS, HELD_OUT = 10, 0
-ADD, STRENGTH = 0.1, 2.0
+ADD, STRENGTH, STRENGTH_3, LEAST = 0.1, 2.0, 1.0, 2
 #: No word has a blank, so these stand for the end of a text; its beginning is a context only.
 END = xxh64_intdigest(b" ")
 GROUP, RUN, SLICE = 400_000, 4_000_000, 4 << 20
@@ -260,32 +263,110 @@ class _Contexts:
         return before
 
 
-class Model:
-    """The trie: words, and level 2 by ranges of (context id, word id)."""
+class Pairs:
+    """Level 2 by ranges of (context id, word id); a pair's number is its place among all."""
+
+    def __init__(self, bounds: list[int], paths: list[str | None], sizes: list[int]):
+        self.bounds, self.paths = np.array(bounds, dtype=np.uint64), paths
+        self.offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        # Shards that go on with the context of an earlier one: that context, and the number of its first pair.
+        whole = {b: k for k, b in enumerate(bounds)}
+        self.goes_on = {k: (b >> 32, int(self.offsets[whole[b >> 32 << 32]])) for k, b in enumerate(bounds) if b & 0xFFFFFFFF}
 
-    def __init__(self, words: Words, bounds: list[int], paths: list[str | None]):
-        self.words, self.bounds, self.paths = words, np.array(bounds, dtype=np.uint64), paths
+    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, numbers, places) of ascending pairs (context << 32 | word).
 
-    def codes(self, pairs: np.ndarray) -> np.ndarray:
-        """Codes of ascending pairs (context << 32 | word), -1 where a pair was never seen."""
-        out = np.full(len(pairs), -1, dtype=np.int64)
+        A code is -1 where a pair was never seen; its number, and its place among the context's successors, are -1
+        where it was seen less than twice.
+        """
+        codes, numbers, places = (np.full(len(pairs), -1, dtype=np.int64) for _ in range(3))
         cuts = [0, *np.searchsorted(pairs, self.bounds[1:]).tolist(), len(pairs)]
         for k, path in enumerate(self.paths):
             s, e = cuts[k], cuts[k + 1]
             if not path or e <= s:
                 continue
             context, word = pairs[s:e] >> np.uint64(32), pairs[s:e] & np.uint64(0xFFFFFFFF)
-            starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            place = _sequence(path, "context").find(context[starts])
-            pointers, span = _sequence(path, "pointer"), np.uint64(_shard(path)[1]["span"])
-            known = np.maximum(place, 0)
-            first, last = pointers.get(known).astype(np.int64), pointers.get(known + 1).astype(np.int64)
-            last = np.where(place >= 0, last, first)
-            repeat = np.diff(np.r_[starts, e - s])
-            first, last, known = (np.repeat(x, repeat) for x in (first, last, known))
-            found = _sequence(path, "successor").find(known.astype(np.uint64) * span + word, first, last)
-            out[s:e][found >= 0] = _shard(path)[0]["code"][found[found >= 0]]
-        return out
+            found, first, _ = _successors(path, context, word)
+            at = np.flatnonzero(found >= 0)
+            place, arrays = found[at], _shard(path)[0]
+            codes[s + at] = arrays["code"][place]
+            often = (arrays["often"][place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            at, place = at[often], place[often]
+            start = first[at] + self.offsets[k]
+            if k in self.goes_on:
+                start = np.where(context[at] == np.uint64(self.goes_on[k][0]), self.goes_on[k][1], start)
+            numbers[s + at] = place + self.offsets[k]
+            places[s + at] = numbers[s + at] - start
+        return codes, numbers, places
+
+    def successors(self, word: int) -> int:
+        """How many successors a context word has."""
+        total = 0
+        first, last = (int(np.searchsorted(self.bounds, np.uint64(x << 32), side="right")) - 1 for x in (word, word + 1))
+        for path in filter(None, self.paths[first : last + 1]):
+            place = _sequence(path, "context").find(np.array([word], dtype=np.uint64))
+            if place[0] >= 0:
+                ends = _sequence(path, "pointer").get(np.array([place[0], place[0] + 1])).astype(np.int64)
+                total += int(ends[1] - ends[0])
+        return total
+
+
+def _successors(path: str, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the successors, of each context's first one, of the contexts) in a shard; -1 for what it lacks."""
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    place = _sequence(path, "context").find(context[starts])
+    pointers, span = _sequence(path, "pointer"), np.uint64(_shard(path)[1]["span"])
+    known = np.maximum(place, 0)
+    first, last = pointers.get(known).astype(np.int64), pointers.get(known + 1).astype(np.int64)
+    last = np.where(place >= 0, last, first)
+    repeat = np.diff(np.r_[starts, len(context)])
+    first, last, known, place = (np.repeat(x, repeat) for x in (first, last, known, place))
+    last = np.where(word < span, last, first)
+    return _sequence(path, "successor").find(known.astype(np.uint64) * span + np.minimum(word, span), first, last), first, place
+
+
+class Triples:
+    """Level 3 by ranges of (number of the first two words' pair, place of the third); ``bits`` are the place's.
+
+    Pairs whose triples lie in several shards are few: ``cut`` has the sum of their counts.
+    """
+
+    def __init__(self, bits: int, bounds: list[int], paths: list[str | None], cut: dict[int, float]):
+        self.bits, self.bounds, self.paths, self.cut = bits, np.array(bounds, dtype=np.uint64), paths, cut
+
+    def key(self, pair: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Keys of triples; a place of -1 has one that no triple has."""
+        none = np.uint64((1 << self.bits) - 1)
+        if len(place) and int(place.max()) >= int(none):
+            raise ValueError("more pairs and successors than fit in 64 bits")
+        return pair.astype(np.uint64) << np.uint64(self.bits) | np.where(place >= 0, place.astype(np.uint64), none)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(own, back) of ascending keys, as log10: what a triple's count gives (-inf for none), and what P(w | v) is weighed by."""
+        own, back = np.full(len(keys), -np.inf), np.zeros(len(keys))
+        cuts = [0, *np.searchsorted(keys, self.bounds[1:]).tolist(), len(keys)]
+        for k, path in enumerate(self.paths):
+            s, e = cuts[k], cuts[k + 1]
+            if not path or e <= s:
+                continue
+            pair = keys[s:e] >> np.uint64(self.bits)
+            found, _, at = _successors(path, pair, keys[s:e] & np.uint64((1 << self.bits) - 1))
+            arrays, known, hit = _shard(path)[0], np.flatnonzero(at >= 0), np.flatnonzero(found >= 0)
+            back[s + known] = arrays["back"][at[known]] / -STEPS
+            own[s + hit] = arrays["code"][found[hit]] / -STEPS
+        for pair, total in self.cut.items():
+            s, e = np.searchsorted(keys, np.array([pair, pair + 1], dtype=np.uint64) << np.uint64(self.bits))
+            whole = math.log10(STRENGTH_3 / (total + STRENGTH_3))
+            own[s:e] += whole - back[s:e]  # the shard's own sum is taken out
+            back[s:e] = whole
+        return own, back
+
+
+class Model:
+    """The trie."""
+
+    def __init__(self, words: Words, pairs: Pairs, triples: Triples | None = None):
+        self.words, self.pairs, self.triples = words, pairs, triples
 
 
 def smoothed(pair_counts: np.ndarray, context_counts: np.ndarray, log_share: np.ndarray) -> np.ndarray:
@@ -311,8 +392,7 @@ def _build_words(docs: DataFrame, folder: str, parts: int) -> tuple[Words, list[
         yield from _runs(hashes, np.array(bounds, dtype=np.uint64))
 
     def store(rows: pa.Table) -> pa.Table:
-        runs = [_decode_run(x.as_py()) for x in rows.column("run")]
-        keys, counts = _summed(np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs]))
+        keys, counts = _merged_runs(rows)
         arrays, facts = EliasFano.build(keys, "hash")
         small = counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)
         shard = rows.column("shard")[0].as_py()
@@ -346,6 +426,62 @@ def pair_bounds(words: Words, frequent: list[tuple[int, int]], parts: int) -> li
     return sorted(bounds)
 
 
+def triple_bounds(pairs: Pairs, bits: int, cuts: list[int], hot: list[tuple[int, int, int]]) -> list[int]:
+    """Lower bounds of the ranges of triples: at some pairs, and within pairs (number, second word, ranges) that need more."""
+    bounds = {0, *(n << bits for n in cuts)}
+    for number, word, parts in hot:
+        size = pairs.successors(word)
+        bounds |= {(number << bits) + k * size // parts for k in range(parts)} | {(number + 1) << bits}
+    return sorted(bounds)
+
+
+def _encoded(context: np.ndarray, successor: np.ndarray, span: int) -> tuple[dict[str, np.ndarray], dict[str, int], np.ndarray, np.ndarray]:
+    """(arrays, facts) of a shard's contexts, pointers and successors; where each context begins, and each entry's context."""
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    place = np.cumsum(np.r_[0, context[1:] != context[:-1]])
+    made = [
+        EliasFano.build(context[starts], "context"), EliasFano.build(np.r_[starts, len(context)], "pointer"),
+        EliasFano.build(place.astype(np.uint64) * np.uint64(span) + successor, "successor"),
+    ]
+    return {k: v for a, _ in made for k, v in a.items()}, {k: v for _, f in made for k, v in f.items()} | {"span": span}, starts, place
+
+
+def _code(logs: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-STEPS * logs), 0, 65535).astype(np.uint16)
+
+
+def _merged_runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    runs = [_decode_run(x.as_py()) for x in rows.column("run")]
+    return _summed(np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs]))
+
+
+def _pairs_of(words: Words, batches: Iterator[list[tuple[int, bytes]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, counts, begins, contexts) of the tokens of some texts, group by group."""
+    contexts = _Contexts(words.distinct)
+    for texts in batches:
+        for rows, hashes, begins in token_groups(iter(texts)):
+            ids, counts = _ids(words, hashes)
+            yield rows, ids, counts, begins, contexts.of(ids, begins)
+
+
+class _Numbers:
+    """Codes of the pairs of tokens, and keys of their triples, group by group."""
+
+    def __init__(self, pairs: Pairs):
+        self.pairs, self.last = pairs, -1
+
+    def of(self, ids: np.ndarray, before: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, number of the pair before, place) of each token; -1 for none."""
+        codes, numbers, places = (np.full(len(ids), -1, dtype=np.int64) for _ in range(3))
+        seen = np.flatnonzero((ids >= 0) & (before >= 0))
+        keys, inverse = np.unique(before[seen].astype(np.uint64) << np.uint64(32) | ids[seen].astype(np.uint64), return_inverse=True)
+        for out, found in zip((codes, numbers, places), self.pairs.find(keys), strict=True):
+            out[seen] = found[inverse]
+        earlier = np.where(begins, -1, np.r_[self.last, numbers[:-1]])
+        self.last = numbers[-1]
+        return codes, earlier, places
+
+
 def build(docs: DataFrame) -> Model:
     """The model of the training rows of (doc_id, text)."""
     spark = docs.sparkSession
@@ -353,42 +489,90 @@ def build(docs: DataFrame) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
     words, frequent = _build_words(docs, folder, parts)
-    bounds = pair_bounds(words, frequent, parts)
+    pairs, cuts, hot = _build_pairs(docs, folder, words, pair_bounds(words, frequent, parts), max(words.total / parts, 1.0))
+    bits = 64 - max(int(pairs.offsets[-1]).bit_length(), 1)
+    return Model(words, pairs, _build_triples(docs, folder, words, pairs, bits, triple_bounds(pairs, bits, cuts, hot)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs() -> Iterator[np.ndarray]:
-            contexts = _Contexts(words.distinct)
-            for batch in batches:
-                for _, hashes, begins in token_groups(_training_texts(batch)):
-                    ids, _ = _ids(words, hashes)
-                    yield contexts.of(ids, begins).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
-        yield from _runs(pairs(), np.array(bounds, dtype=np.uint64))
+def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int], share: float) -> tuple[Pairs, list[int], list[tuple[int, int, int]]]:
+    """Level 2; the numbers of pairs at which level 3 is cut, and (number, second word, ranges) of pairs that it cuts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _pairs_of(words, (list(_training_texts(batch)) for batch in batches))
+        keys = (before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) for _, ids, _, _, before in tokens)
+        yield from _runs(keys, np.array(bounds, dtype=np.uint64))
 
     def store(rows: pa.Table) -> pa.Table:
-        runs = [_decode_run(x.as_py()) for x in rows.column("run")]
-        keys, counts = _summed(np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs]))
+        keys, counts = _merged_runs(rows)
         context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        place = np.cumsum(np.r_[0, context[1:] != context[:-1]]).astype(np.uint64)
+        arrays, facts, starts, _ = _encoded(context, word, words.distinct)
         known, inverse = np.unique(word.astype(np.int64), return_inverse=True)
-        share = words.log_share(words.counts(known))[inverse]
+        log_share = words.log_share(words.counts(known))[inverse]
         around = np.repeat(words.counts(context[starts].astype(np.int64)), np.diff(np.r_[starts, len(keys)]))
-        code = np.clip(np.rint(-STEPS * smoothed(counts.astype(np.float64), around, share)), 0, 65535).astype(np.uint16)
-        parts_of = [
-            EliasFano.build(context[starts], "context"), EliasFano.build(np.r_[starts, len(keys)], "pointer"),
-            EliasFano.build(place * np.uint64(words.distinct) + word, "successor"),
-        ]
-        arrays = {k: v for a, _ in parts_of for k, v in a.items()} | {"code": code}
-        facts = {k: v for _, f in parts_of for k, v in f.items()} | {"span": words.distinct}
-        shard = rows.column("shard")[0].as_py()
-        return pa.table({"shard": pa.array([shard], type=pa.int32()), "path": [_write(folder, f"pairs-{shard}", pack(arrays, **facts))]})
+        arrays["code"] = _code(smoothed(counts.astype(np.float64), around, log_share))
+        arrays["often"] = np.packbits(counts >= LEAST, bitorder="little")
+        weight = np.where(counts >= LEAST, counts, 0)
+        summed = np.cumsum(weight)
+        cuts = np.unique(np.searchsorted(summed, np.arange(share, float(summed[-1]), share)))
+        hot = np.flatnonzero(weight > share)
+        shard, numbers = rows.column("shard")[0].as_py(), lambda x: pa.array([np.asarray(x).astype(np.int64).tolist()], type=pa.list_(pa.int64()))
+        return pa.table({
+            "shard": pa.array([shard], type=pa.int32()), "path": [_write(folder, f"pairs-{shard}", pack(arrays, **facts))], "n": [len(keys)], "cuts": numbers(cuts),
+            "hot": numbers(hot), "hot_word": numbers(word[hot]), "hot_parts": numbers(np.ceil(weight[hot] / share)),
+        })
+
+    schema = "shard int, path string, n long, cuts array<long>, hot array<long>, hot_word array<long>, hot_parts array<long>"
+    lines = docs.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, schema).collect()
+    paths, sizes = [None] * len(bounds), [0] * len(bounds)
+    for x in lines:
+        paths[x["shard"]], sizes[x["shard"]] = x["path"], x["n"]
+    pairs = Pairs(bounds, paths, sizes)
+    offset = lambda x: int(pairs.offsets[x["shard"]])
+    hot = [(offset(x) + n, word, parts) for x in lines for n, word, parts in zip(x["hot"], x["hot_word"], x["hot_parts"], strict=True)]
+    return pairs, [offset(x) + n for x in lines for n in x["cuts"]], hot
+
+
+def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bits: int, bounds: list[int]) -> Triples:
+    """Level 3."""
+    empty = Triples(bits, bounds, [], {})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys() -> Iterator[np.ndarray]:
+            numbers = _Numbers(pairs)
+            for _, ids, _, begins, before in _pairs_of(words, (list(_training_texts(batch)) for batch in batches)):
+                _, earlier, place = numbers.of(ids, before, begins)
+                both = (earlier >= 0) & (place >= 0)
+                if both.any():
+                    yield empty.key(earlier[both], place[both])
 
-    lines = docs.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, "shard int, path string").collect()
+        yield from _runs(keys(), np.array(bounds, dtype=np.uint64))
+
+    def store(rows: pa.Table) -> pa.Table:
+        keys, counts = _merged_runs(rows)
+        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST].astype(np.float64)
+        shard, path, ends, sums = rows.column("shard")[0].as_py(), "", [], []
+        if len(keys):
+            pair, successor = keys >> np.uint64(bits), keys & np.uint64((1 << bits) - 1)
+            arrays, facts, starts, place = _encoded(pair, successor, int(successor.max()) + 1)
+            total = np.add.reduceat(counts, starts)
+            arrays["code"] = _code(np.log10(counts / (total + STRENGTH_3)[place]))
+            arrays["back"] = _code(np.log10(STRENGTH_3 / (total + STRENGTH_3)))
+            path = _write(folder, f"triples-{shard}", pack(arrays, **facts))
+            ends, sums = pair[starts][[0, -1]].astype(np.int64).tolist(), total[[0, -1]].tolist()
+        return pa.table({
+            "shard": pa.array([shard], type=pa.int32()), "path": [path], "ends": pa.array([ends], type=pa.list_(pa.int64())), "sums": pa.array([sums], type=pa.list_(pa.float64())),
+        })
+
+    lines = docs.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, "shard int, path string, ends array<long>, sums array<double>").collect()
     paths: list[str | None] = [None] * len(bounds)
+    inside = {b >> bits for b in bounds if b & ((1 << bits) - 1)}
+    cut: dict[int, float] = {}
     for x in lines:
-        paths[x["shard"]] = x["path"]
-    return Model(words, bounds, paths)
+        paths[x["shard"]] = x["path"] or None
+        for pair, total in dict(zip(x["ends"], x["sums"], strict=True)).items():
+            if pair in inside:
+                cut[pair] = cut.get(pair, 0.0) + total
+    return Triples(bits, bounds, paths, cut)
 
 
 # --- scoring -------------------------------------------------------------------------------------------------------
@@ -398,20 +582,19 @@ def _score_batch(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base scores, scores) of some texts."""
     words, n = model.words, len(texts)
     tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    contexts, last_count = _Contexts(words.distinct), 0
+    numbers, last_count = _Numbers(model.pairs), 0
     begin_count = int(words.find(np.array([END], dtype=np.uint64))[1][0])
-    for rows, hashes, begins in token_groups(iter(enumerate(texts))):
-        ids, counts = _ids(words, hashes)
+    for rows, ids, counts, begins, before in _pairs_of(words, iter([list(enumerate(texts))])):
         share = words.log_share(counts)
-        before = contexts.of(ids, begins)
         around = np.where(begins, begin_count, np.r_[last_count, counts[:-1]])
         last_count = counts[-1]
         logs = smoothed(np.zeros(len(ids)), around, share)
-        seen = np.flatnonzero((ids >= 0) & (before >= 0))
-        pairs, inverse = np.unique(before[seen].astype(np.uint64) << np.uint64(32) | ids[seen].astype(np.uint64), return_inverse=True)
-        codes = model.codes(pairs)[inverse]
-        hit = codes >= 0
-        logs[seen[hit]] = codes[hit] / -STEPS
+        codes, earlier, place = numbers.of(ids, before, begins)
+        logs[codes >= 0] = codes[codes >= 0] / -STEPS
+        third = np.flatnonzero(earlier >= 0)
+        keys, inverse = np.unique(model.triples.key(earlier[third], place[third]), return_inverse=True)
+        own, back = (x[inverse] for x in model.triples.find(keys))
+        logs[third] = np.log10(10.0**own + 10.0 ** (back + logs[third]))
         tokens += np.bincount(rows, minlength=n)
         known += np.bincount(rows[counts > 0], minlength=n)
         base += np.bincount(rows, weights=share, minlength=n)

@@ -30,7 +30,7 @@ def test_elias_fano(n, top):
 @pytest.mark.parametrize("small", [False, True])
 def test_trie_against_counts(spark, monkeypatch, small):
     if small:  # groups, runs and slices of a few tokens: the same results
-        for name, value in (("GROUP", 7), ("RUN", 11), ("SLICE", 9)):
+        for name, value in (("GROUP", 7), ("RUN", 11), ("SLICE", 9), ("SHARD_BYTES", 300)):
             monkeypatch.setattr(ngram_model, name, value)
     rng = random.Random(2)
     words = ["the"] * 40 + [f"w{i}" for i in range(60)] + ["Été", "A"]
@@ -38,11 +38,17 @@ def test_trie_against_counts(spark, monkeypatch, small):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     tokens = {i: [w for w in (t or "").encode().lower().split()] + [None] for i, t in enumerate(texts)}
     held = {i for i in tokens if crc32(str(i).encode()) % 10 == 0}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t in tokens.items():
         if i not in held:
             one.update(t)
             two.update(zip(["begin", *t], t, strict=False))
+            three.update(zip(["begin", *t], t, t[1:], strict=False))
+    three = Counter({k: n for k, n in three.items() if n > 1})
+    begins = Counter()
+    for (u, v, _), n in three.items():
+        begins[u, v] += n
+    assert len(three) > 50
     total, distinct = sum(one.values()), len(one)
     one["begin"] = one[None]
     share = lambda w: (one[w] + 0.1) / (total + 0.1 * (distinct + 1))
@@ -50,8 +56,13 @@ def test_trie_against_counts(spark, monkeypatch, small):
         t = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] in held, len(t), sum(one[w] > 0 for w in t), total)
         assert r["base_score"] == pytest.approx(sum(math.log10(share(w)) for w in t), abs=1e-9)
-        wanted = sum(math.log10((two[u, w] + 2 * share(w)) / (one[u] + 2)) for u, w in zip(["begin", *t], t, strict=False))
-        assert r["score"] == pytest.approx(wanted, abs=len(t) / ngram_model.STEPS)
+        wanted = 0.0
+        for u, v, w in zip([None, "begin", *t], ["begin", *t], t, strict=False):
+            p = (two[v, w] + 2 * share(w)) / (one[v] + 2)
+            if v != "begin" and begins[u, v]:
+                p = (three[u, v, w] + p) / (begins[u, v] + 1)
+            wanted += math.log10(p)
+        assert r["score"] == pytest.approx(wanted, abs=2 * len(t) / ngram_model.STEPS)
 
 
 def test_probabilities_of_a_context_add_up():
