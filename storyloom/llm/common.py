@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators.graph import cut, shared_folder  # noqa: F401
+from storyloom.operators.joins import join_counted  # noqa: F401
 
 #: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -30,22 +31,6 @@ def without(df: DataFrame, id_col: str, ids: DataFrame, how: str = "left_anti")
     return left.join(right, F.col(f"_rows.`{id_col}`") == F.col("_ids.id"), how)
 
 
-#: Keys that more than one row in ``HEAVY`` has, ``HEAVY`` at most, are joined by broadcast.
-HEAVY = 1000
-
-
-def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``counted`` (key, n, ...), whose ``n`` is how many of the ``total`` rows have a key; without ``n``.
-
-    The frequent keys are few by their counts, so they are broadcast and their rows stay where they are. The others
-    are joined by a shuffle in which no key is hot. ``how`` is inner or left_semi; null keys match nothing.
-    """
-    heavy, light = (counted.where(c) for c in (F.col("n") * HEAVY > total, F.col("n") * HEAVY <= total))
-    keys = [key] if isinstance(key, str) else key
-    there = rows.join(F.broadcast(heavy), keys, how)
-    return there.unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)).drop(*["n"] * (how == "inner"))
-
-
 def per_batch(
     run: Callable[[pa.RecordBatch], pa.RecordBatch | None],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
