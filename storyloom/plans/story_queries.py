@@ -123,7 +123,7 @@ w AS (SELECT *, {_WORDS.format("title || ' ' || summary")} AS ws FROM d),
 r AS (
   SELECT id, story_id, k, 'new' AS outcome, NULL::VARCHAR AS what_changed, summary AS told, true AS fresh FROM w WHERE k = 1
   UNION ALL SELECT id, story_id, k, CASE WHEN news THEN 'evolved' ELSE 'merged' END, CASE WHEN news THEN title END, CASE WHEN news THEN {text_queries.strip_sql("told || ' ' || title")} ELSE told END, news
-  FROM (SELECT w.*, r.told, w.k > 2 AND title <> '' AND 2 * len(list_filter(ws, lambda x: NOT list_contains({_WORDS.format('r.told')}, x))) >= greatest(len(ws), 1) AS news
+  FROM (SELECT w.*, r.told, w.k > 2 AND title <> '' AND 2 * (len(ws) - len(list_intersect(ws, {_WORDS.format('r.told')}))) >= greatest(len(ws), 1) AS news
     FROM r JOIN w ON w.story_id = r.story_id AND w.k = r.k + 1))
 SELECT id, story_id, outcome, what_changed, CASE WHEN fresh THEN md5(told) END AS summary_md5 FROM r""",
 )

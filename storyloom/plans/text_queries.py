@@ -85,7 +85,7 @@ _docs(
     ),
 )
 ORACLES["skip_rule_sender"] = ORACLES["skip_rule_sender"].removesuffix(" FROM documents")
-_LINKED = "text || CASE doc_id % 3 WHEN 0 THEN ' https://a.org/x' || chr(160) || 'end' WHEN 1 THEN chr(8195) || 'http://b.org' ELSE '' END"
+_LINKED = "text || CASE doc_id % 3 WHEN 0 THEN ' https://a.org/x\u00a0end' WHEN 1 THEN '\u2003http://b.org' ELSE '' END"
 _hash = rf"substr({strip_sql(rf'''regexp_replace(regexp_replace(lower({_LINKED}), 'https?://{_NO_BLANK}+', '', 'g'), '{_BLANK}+', ' ', 'g')''')}, 1, 500)"
 
 
