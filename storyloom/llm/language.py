@@ -13,7 +13,7 @@ All counts are grouped aggregations with partial sums. They are joined back once
 have are few and broadcast, so a host with a third of all pages is no single task.
 The trigram model is fitted on a bounded sample of each language: its documents fall into ``TRAIN_ROWS`` buckets
 by the hash of their id, and the one with the least hash of each bucket is taken; of texts longer than
-``TRAIN_BYTES`` four slices, evenly spread. Tasks count the trigrams; the driver gets 65536 counts for each
+``TRAIN_BYTES`` four slices, evenly spread. A task for each language counts the trigrams; the driver gets 65536 counts for each
 language at most. All languages are kept, a table of 256 KB for each.
 
 Defined results: null html has no text and no declaration; a null or odd url has an empty host, whose prior is
@@ -136,8 +136,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    sums = texts_of.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = sums.toArrow().to_pydict()
+    # The sample of a language is bounded, so one task counts it.
+    table = texts_of.repartition("lang").mapInArrow(count, "lang string, bucket long, n long").toArrow().to_pydict()
     counts: dict[str, np.ndarray] = {lang: np.zeros(BUCKETS, dtype=np.int64) for lang in set(table["lang"])}
     for lang, bucket, n in zip(table["lang"], table["bucket"], table["n"], strict=True):
         counts[lang][bucket] = n
