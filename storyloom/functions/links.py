@@ -18,14 +18,14 @@ from storyloom.functions.urls import host_of, is_bad_url, is_shortener, is_wrapp
 RAW_CONTEXT, CONTEXT = 1500, 300
 LINK = T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in ("anchor", "href", "context")]))
 OPENS, TARGET, CLOSES, QUOTE = re.compile(r"(?i)<a\s"), re.compile(r"(?i)href\s*=\s*[\"'](?=[^\"'])"), re.compile(r"(?i)</a>"), re.compile("[\"']")
-HIDDEN = {name: (re.compile(rf"(?i)<{name}[^>]*>"), re.compile(rf"(?i)</{name}>")) for name in ("style", "script")}
+HIDDEN = {name: (re.compile(f"(?i)<{name}"), re.compile(f"(?i)</{name}>")) for name in ("style", "script")}
 
 
 def without_code(markup: str) -> str:
     """The markup without styles and scripts; one that isn't closed stays, and ends the search."""
     for opens, closes in HIDDEN.values():
         out, at = [], 0
-        while (start := opens.search(markup, at)) and (end := closes.search(markup, start.end())):
+        while (start := opens.search(markup, at)) and (inside := markup.find(">", start.end())) >= 0 and (end := closes.search(markup, inside + 1)):
             out.append(markup[at : start.start()])
             at = end.end()
         markup = "".join([*out, markup[at:]])

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+import time
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,7 +130,62 @@ def test_times(spark):
     assert one(spark, times.short_age_ts(F.col("t"), NOW), t="2mo") == NOW - 2 * 2592000
     assert one(spark, times.short_age_ts(F.col("t"), NOW), t="soon") == 0
     assert one(spark, times.duration_label(F.lit(3725.9))) == "62:05"
-    assert one(spark, times.relative_label(F.lit(NOW - 3600), NOW)) == "1 hour ago"
+    gone = {0: "now", 1: "a second ago", 59: "59 seconds ago", 60: "a minute ago", 3600: "an hour ago", 7200: "2 hours ago", 86400: "a day ago", 31 * 86400: "a month ago",
+            365 * 86400: "a year ago", 366 * 86400: "1 year, 1 day ago", 400 * 86400: "1 year, 1 month ago", 800 * 86400: "2 years ago", -7200: "2 hours from now"}
+    df = spark.createDataFrame(list(gone.items()), "gone long, label string")
+    assert df.where(times.relative_label(NOW - F.col("gone"), NOW) != F.col("label")).collect() == []
+    assert one(spark, times.iso_from_ts(F.lit(NOW))) == "2024-01-31T05:30:00+05:30" and one(spark, times.iso_from_ts(F.lit(NOW), "America/New_York")).endswith("T19:00:00-05:00")
+
+
+def test_mail_dates(spark):
+    """Forms of dates that mails have, against the standard library's parser."""
+    texts = [
+        "Tue, 30 Jan 2024 10:00:00 GMT", "Tue, 30 Jan 2024 10:00:00 +0000 (UTC)", "30 Jan 2024 10:00 +0000", "3 Jan 2024 10:00:00 EST", "Wed, 03 Jan 2024 10:00:00 -0730", "Wed, 3 Jan 24 10:00:00 PDT",
+        "Wed,  3 Jan 2024 10:00:00 +0530 (India Standard Time)", "Sun, 31 Dec 99 23:59:59 UT", "tue, 30 jan 2024 10:00:00 gmt", "Tue, 30 Jan 2024 10:00:00 -0000", "30 Jan 2024 10:00:00",
+    ]
+    for text in texts:
+        wanted = parsedate_to_datetime(text)
+        found = one(spark, F.unix_timestamp(times.parse_time(F.col("t"), NOW)), t=text)
+        assert found == int((wanted if wanted.tzinfo else wanted.replace(tzinfo=timezone.utc)).timestamp()), text
+    for text in ("2024-01-30", "2024-01-30 10:00", "2024-01-30T10:00:00.123456", "2024-01-30T10:00:00.5+05:30", "2024-01-30T10:00:00-0800", "2024-01-30T10:00:00+00:00"):
+        wanted = datetime.fromisoformat(text)
+        found = one(spark, F.unix_timestamp(times.parse_time(F.col("t"), NOW)), t=text)
+        assert found == int((wanted if wanted.tzinfo else wanted.replace(tzinfo=timezone.utc)).timestamp()), text
+    for text in ("", "2024", "32 Jan 2024 10:00:00 GMT", "30 Foo 2024 10:00:00 GMT", "2024-13-01", "10:00:00", "x" * 100_000):
+        assert one(spark, times.parse_time(F.col("t"), NOW), t=text) is None, text
+
+
+@pytest.mark.parametrize("part", ["<style>", "<script ", "<", "<br", "<a href='x'>", "<a ", "<a href=", "<div><a href=\"\">", " \n", "ℏ ", "</a", "<style></script>", "\t"])
+def test_markup_is_read_in_few_passes(spark, part):
+    page = part * (2_000_000 // len(part))
+    df = spark.createDataFrame([(page,)], "h string")
+    began = time.perf_counter()
+    df.select(F.length(text.clean_html(F.col("h"))), F.length(text.normalize_lines(F.col("h"))), F.length(text.strip_urls(F.col("h")))).collect()
+    links.links_of(page)
+    assert time.perf_counter() - began < 15
+
+
+def test_blanks_of_other_scripts_end_a_link(spark):
+    told = "see https://a.org/x\u00a0now \u2003www.b.org\u2003and\u3000"
+    assert one(spark, text.strip_urls(F.col("t")), t=told) == "see \u00a0now \u2003\u2003and"
+    plain = hashlib.sha1("see now www.b.org and".encode()).hexdigest()
+    assert one(spark, text.content_hash(F.col("t")), t=told) == plain
+    for long in ("word " * 3000, "https://" + "x" * 5000 + " end", "y" * 3000, "a  \n" * 900 + "b", "http://u.org " * 300 + "tail", ("z" * 499 + " ") * 6):
+        low = re.sub(r"\s+", " ", re.sub(r"https?://\S+", "", long.lower())).strip()[:500]
+        assert one(spark, text.content_hash(F.col("t")), t=long) == (hashlib.sha1(low.encode()).hexdigest() if low else ""), long[:20]
+    assert one(spark, text.first_line(F.col("t")), t="one\u2028two") == "one"
+    assert one(spark, text.unescape_html(F.col("t")), t="&amp; &#" + "9" * 6000 + ";") == "& \ufffd"
+
+
+def test_anchors_are_those_of_the_pattern():
+    """Anchors by places against the pattern that says what an anchor is."""
+    pattern = re.compile(r"""<a\s+[^>]*href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>""", re.I | re.S)
+    rng = random.Random(6)
+    parts = ["<a ", "<A\n", "href=", "HREF = ", '"', "'", "x", ">", "</a>", "</A>", "<b>", " ", "y.org"]
+    for _ in range(60_000):
+        page = "".join(rng.choices(parts, k=rng.randrange(18)))
+        wanted = [(m.start(), m.end(), m[1], m[2]) for m in pattern.finditer(page)]
+        assert list(links.Anchors(page)) == wanted, page
 
 
 def test_links_in_context(spark):

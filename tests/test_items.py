@@ -43,7 +43,7 @@ def test_evolve_checks_from_the_third_mention(spark):
     df = spark.createDataFrame(rows, "id long, story_id long, title string, summary string")
     found = clusters.evolve(df, lambda told, title, summary: (True, title, "")).collect()
     assert {r["id"]: (r["outcome"], r["story_summary"]) for r in found} == {
-        1: ("new", "x"), 2: ("merged", "x"), 3: ("evolved", "x c"), 4: ("merged", "x c"), 5: ("new", "m"), 6: ("new", "r")
+        1: ("new", "x"), 2: ("merged", None), 3: ("evolved", "x c"), 4: ("merged", None), 5: ("new", "m"), 6: ("new", "r")
     }
 
 
@@ -133,3 +133,27 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     once = ingest.run_once(ingest.counts(ingest.stream_table(spark, str(tmp_path), "in", 1), "id"), "complete")
     assert {r["id"]: r["n"] for r in once.collect()} == {1: 1, 2: 3, 3: 1}
     assert F.lit(1) is not None
+
+
+def test_runs_of_ingestion_give_what_one_run_gives(spark, vectors):
+    """Two runs, the second with the leaders and stories of the first, against all items in one run."""
+    df, _ = vectors
+    items = df.withColumns(
+        {"title": F.concat(F.lit("t"), "id"), "summary": F.lit("s"), "sender": F.lit("x"), "gmail_url": F.lit(""), "date": F.lit("d"), "source_type": F.lit("email"), "given": F.col("vector")}
+    ).drop("vector")
+    check = lambda told, title, summary: (int(title[1:]) % 2 == 1, title, "")
+    stories = spark.createDataFrame(
+        [], "story_id long, title string, summary string, mention_count long, new_info_count long, is_read boolean, first_seen long, last_updated long"
+    )
+    embed = lambda _: F.col("given")
+    nothing = df.limit(0)
+    whole = clusters.persist_stories(items, stories, nothing, embed, check, 5)
+    first = clusters.persist_stories(items.where("id < 25"), stories, nothing, embed, check, 5)
+    second = clusters.persist_stories(items.where("id >= 25"), first["stories"].withColumn("is_read", F.lit(True)), first["vectors"], embed, check, 5)
+    rows = lambda df, *drop: sorted(map(repr, df.drop(*drop).collect()))
+    assert rows(second["stories"], "is_read") == rows(whole["stories"], "is_read")
+    assert rows(second["vectors"].select("id")) == rows(whole["vectors"].select("id"))
+    for part in ("mentions", "timeline", "outcomes"):
+        assert rows(first[part].unionByName(second[part])) == rows(whole[part])
+    evolved = {r["story_id"] for r in second["timeline"].collect()}
+    assert evolved and all(r["is_read"] == (r["story_id"] not in evolved and r["story_id"] < 25) for r in second["stories"].collect())

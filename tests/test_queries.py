@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 
 import pytest
 
@@ -30,7 +31,9 @@ def test_gives_rows(spark, name):
 def test_entry_works_without_the_optional_subpackage(spark, monkeypatch):
     import __spark_entry__
 
-    monkeypatch.setattr(__spark_entry__, "_has_llm", lambda: False)
+    for gone in ("storyloom.llm", "storyloom.llm.registry", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, gone, None)
+    monkeypatch.delattr("storyloom.llm", raising=False)
     assert set(__spark_entry__.queries()) == set(catalogue.QUERIES)
     assert set(__spark_entry__.oracle_sql()) == set(catalogue.ORACLES)
     assert __spark_entry__.entry(spark).columns[0] == "id"

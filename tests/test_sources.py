@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from storyloom.operators import state
 from storyloom.sources.paged import PagedItems
 from storyloom.streaming import ingest
@@ -14,7 +16,10 @@ def test_paged_source(spark):
     source = lambda **o: spark.read.format("paged_items").options(client="tests.paged_client:Pages", channels="a,b", **o).load()
     assert source().count() == 10  # without a time, one page of each channel
     assert source(all="1").count() == 30
-    assert source(all="1", limit="7").count() == 14
+    assert source(all="1", limit="7").count() == 7  # of the scan: four of one channel, three of the other
+    assert source(all="1", limit="1").count() == 1 and source(all="1", limit="7", since="2024-01-24T00:00:00Z").count() == 14
+    with pytest.raises(Exception, match="more than 2 pages"):
+        source(all="1", maxpages="2").collect()
     recent = source(since="2024-01-24T00:00:00Z")
     assert recent.count() == 14 and recent.select("id").distinct().count() == 14
     pushed = source(all="1").where("date >= '2024-01-29T00:00:00Z' AND channel = 'b'")

@@ -66,3 +66,19 @@ def test_seen_sets(spark):
     items = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
     seen = spark.createDataFrame([("a",)], "id string")
     assert [r["id"] for r in state.mark_seen(seen, items, "id").collect()] == ["b"]
+
+
+def test_a_third_of_all_rows_on_one_hash_or_story(spark):
+    rows = [(i, "hot" if i % 3 == 0 else "" if i % 3 == 1 else f"h{i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, h string")
+    known = spark.createDataFrame([("h5",), ("h5",), ("none",)], "h string")
+    firsts = {h: min(i for i, x in rows if x == h) for _, h in rows}
+    wanted = {i: "empty" if not h else "duplicate" if h == "h5" else "new" if firsts[h] == i else "duplicate" for i, h in rows}
+    assert {r["id"]: r["status"] for r in state.first_by_hash(df, "h", ["id"], known).collect()} == wanted
+    asked = {r["id"] for r in state.evolve_candidates(df, "h", "id").collect()}
+    seen, later = {}, set()
+    for i, h in rows:
+        seen[h] = seen.get(h, 0) + 1
+        if seen[h] > 2:
+            later.add(i)
+    assert asked == later
