@@ -91,21 +91,21 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
             + WINDOW_HASH
             + ", _pos_bits), _pos_bits) | i))"),
     )
-    same = """(shiftright(x ^ {y}, _pos_bits) = 0
-        AND get(_words, cast({p} as int)) = get(_words, cast({q} as int))
-        AND get(_words, cast({p} as int) + 1) = get(_words, cast({q} as int) + 1)
-        AND get(_words, cast({p} as int) + 2) = get(_words, cast({q} as int) + 2))"""
-    low = "({} & (shiftleft(1L, _pos_bits) - 1))"
-    before, after = "get(_windows, i - 1)", "get(_windows, i + 1)"
-    pairs = " OR ".join(same.format(y=y, p=low.format("x"), q=low.format(y)) for y in (before, after))
-    repeats = f"sort_array(transform(filter(_windows, (x, i) -> coalesce({pairs}, false)), x -> cast({low.format('x')} as int)))"
-    differ = f"shiftright(x ^ {before}, _pos_bits) = 0 AND NOT {same.format(y=before, p=low.format('x'), q=low.format(before))}"
-    by_words = "sort_array(transform(_windows, x -> struct(slice(_words, cast({0} as int) + 1, 3) AS w, cast({0} as int) AS p)))".format(low.format("x"))
+    equal_hash = "shiftright(x ^ {y}, _pos_bits) = 0"
+    low = "cast({} & (shiftleft(1L, _pos_bits) - 1) as int)"
+    place = low.format("x")
+    # Windows that share their hash with a neighbour; in most texts these are few.
+    either = " OR ".join(f"coalesce({equal_hash.format(y=f'get(_windows, i {k} 1)')}, false)" for k in "-+")
+    df = df.withColumn("_alike", F.expr(f"filter(_windows, (x, i) -> {either})"))
+    before = "get(_alike, i - 1)"
+    other = low.format(before)
+    same_words = " AND ".join(f"get(_words, {place} + {k}) = get(_words, {other} + {k})" for k in range(3))
+    differ = f"coalesce({equal_hash.format(y=before)}, false) AND NOT ({same_words})"
+    df = df.withColumn("_collide", F.expr(f"size(filter(_alike, (x, i) -> {differ})) > 0"))
+    df = df.withColumn("_by_words", F.expr(f"CASE WHEN _collide THEN sort_array(transform(_alike, x -> struct(slice(_words, {place} + 1, 3) AS w, {place} AS p))) END"))
     neighbours = "x.w = get(_by_words, i - 1).w OR x.w = get(_by_words, i + 1).w"
-    df = df.withColumn("_collide", F.expr(f"size(filter(_windows, (x, i) -> coalesce({differ}, false))) > 0"))
-    df = df.withColumn("_by_words", F.expr(f"CASE WHEN _collide THEN {by_words} END"))
     exact = f"sort_array(transform(filter(_by_words, (x, i) -> coalesce({neighbours}, false)), x -> x.p))"
-    df = df.withColumn("_repeats", F.expr(f"CASE WHEN _collide THEN {exact} ELSE {repeats} END"))
+    df = df.withColumn("_repeats", F.expr(f"CASE WHEN _collide THEN {exact} ELSE sort_array(transform(_alike, x -> {place})) END"))
     measures = {
         "n_words": F.col("_n").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
