@@ -2,7 +2,8 @@
 
 ``nearest`` compares a stated query set with all rows, both packed in blocks, as matrix products inside tasks.
 ``similar_pairs`` finds pairs above a threshold by random hyperplanes with enough bands for a wanted recall,
-and verifies each candidate; it never compares all with all.
+and verifies each candidate; it never compares all with all. Where no pair may be missed, or the threshold is so
+low that the bands would compare more than that, ``exact=True`` compares blocks of rows with blocks of rows.
 """
 
 from __future__ import annotations
@@ -76,12 +77,43 @@ def bands(threshold: float, recall: float = 0.999, bits: int = 8) -> tuple[int,
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same, 1 - 1e-12))))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, recall: float = 0.999, bits: int = 8, seed: int = 7) -> DataFrame:
+def _exact_pairs(rows: DataFrame, threshold: float, size: int = ROW_BLOCK) -> DataFrame:
+    """All pairs at least ``threshold`` alike: rows are packed in blocks of about ``size`` by the hash of their id, and each two blocks meet once."""
+    known = rows.where(F.col("vector").isNotNull() & F.col("id").isNotNull())
+    blocks = max(-(-known.count() // size), 1)
+
+    def pack(group: pa.Table) -> pa.Table:
+        unit = _unit(group.column("vector").to_pylist())
+        return pa.table({"own": group.column("own").slice(0, 1), "ids": [group.column("id").to_pylist()], "data": [unit.tobytes()]})
+
+    own = known.select(F.col("id").cast("long").alias("id"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    packed = own.groupBy("own").applyInArrow(pack, "own int, ids array<long>, data binary")
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ids", "data"
+    )
+
+    def verify(group: pa.Table) -> pa.Table:
+        ids = [np.array(x, dtype=np.int64) for x in group.column("ids").to_pylist()]
+        unit = [np.frombuffer(x).reshape(len(n), -1) for x, n in zip(group.column("data").to_pylist(), ids, strict=True)]
+        if len(ids) < 2 and group.column("i")[0] != group.column("j")[0]:  # the other block has no rows
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        sim = unit[0] @ unit[-1].T
+        x, y = np.nonzero(sim >= threshold)
+        a, b = ids[0][x], ids[-1][y]
+        once = a < b if len(ids) < 2 else np.ones(len(a), dtype=bool)
+        return pa.table({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": sim[x, y][once]})
+
+    return met.groupBy("i", "j").applyInArrow(verify, "a long, b long, similarity double").where("a < b")
+
+
+def similar_pairs(rows: DataFrame, threshold: float, recall: float = 0.999, bits: int = 8, seed: int = 7, exact: bool = False) -> DataFrame:
     """(a, b, similarity) with a < b of the rows (id, vector) at least ``threshold`` alike.
 
     Rows with one band in common meet in a bucket. Buckets are cut in pairs of blocks of ``BUCKET`` rows, so a
     large one is many tasks' work and none holds it.
     """
+    if exact:
+        return _exact_pairs(rows, threshold)
     width, count = bands(threshold, recall, bits)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

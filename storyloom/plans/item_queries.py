@@ -26,7 +26,7 @@ def nn_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.similar_pairs(_vectors(spark, sf_dir), THRESHOLD, recall=1 - 1e-9, bits=4)
+    found = similarity.similar_pairs(_vectors(spark, sf_dir), THRESHOLD, exact=True)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

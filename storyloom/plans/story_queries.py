@@ -54,7 +54,7 @@ def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     # The vector comes with the item, and one in fifty is missing.
     new = rows.where(F.col("id") >= KNOWN).withColumn("summary", F.col("summary"))
     embed = lambda _: F.expr("CASE WHEN id % 50 = 7 THEN NULL ELSE CAST(embedding AS array<double>) END")
-    return clusters.persist_stories(new, stories, vectors, embed, check, NOW, THRESHOLD, recall=1 - 1e-9, bits=4)
+    return clusters.persist_stories(new, stories, vectors, embed, check, NOW, THRESHOLD, exact=True)
 
 
 _STEPS = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -69,7 +69,7 @@ m AS (SELECT b AS id, arg_max(a, (s, -a)) AS leader, max(s) AS s FROM p WHERE a
 _register(
     "leader_clusters",
     lambda s, d: clusters.leader_clusters(
-        table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), THRESHOLD, recall=1 - 1e-9, bits=4
+        table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), THRESHOLD, exact=True
     ).withColumn("similarity", F.round("similarity", 6)),
     _STEPS.format(known=-1, skip=1, gap=1) + " SELECT id, id AS leader, 1.0::DOUBLE AS similarity FROM l UNION ALL SELECT id, leader, round(s, 6) FROM m",
 )

@@ -83,9 +83,10 @@ def newsletters(messages: DataFrame) -> DataFrame:
     none = [F.lit(None).cast("string").alias("body"), "snippet", link, F.lit(None).cast(LINK).alias("links"), F.lit("skipped").alias("outcome")]
     skipped = rows.where("skip").select("id", "subject", "sender", "date", *none)
     rows = rows.where("NOT skip").withColumn("m", mime_bodies("payload"))
-    rich = clean_html(F.coalesce("m.rich", F.lit("")))
-    plain = F.coalesce("m.plain", F.lit(""))
-    body = F.when(F.col("m.rich") == "", plain).when(F.col("m.plain") == "", rich).otherwise(preferred_body(plain, rich))
+    # Both bodies are columns of their own, so that each is cleaned once, however often it is asked about.
+    rows = rows.withColumns({"plain": F.coalesce("m.plain", F.lit("")), "rich": clean_html(F.coalesce("m.rich", F.lit("")))})
+    better = preferred_body(F.col("plain"), F.col("rich"))
+    body = F.when(F.col("m.rich") == "", F.col("plain")).when(F.col("m.plain") == "", F.col("rich")).otherwise(better)
     rows = rows.withColumn("body", normalize_lines(unescape_html(body)))
     outcome = (
         F.when(F.col("m.plain").isNull(), "broken")

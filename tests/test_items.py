@@ -23,10 +23,17 @@ def vectors(spark):
     return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, vector array<double>"), unit @ unit.T
 
 
+def spark_null(df):
+    """Rows without a vector or an id."""
+    return df.limit(2).select(F.when(F.col("id") < 0, F.col("id")).alias("id"), "vector").unionByName(df.limit(1).select("id", F.lit(None).cast("array<double>").alias("vector")))
+
+
 def test_pairs_nearest_and_leaders(vectors):
     df, sim = vectors
     pairs = {(r["a"], r["b"]) for r in similarity.similar_pairs(df, 0.8).collect()}
     assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if sim[i, j] >= 0.8}
+    exact = similarity._exact_pairs(df.unionByName(spark_null(df)), 0.8, 7)
+    assert {(r["a"], r["b"]) for r in exact.collect()} == pairs
     leaders, wanted = [], {}
     for i in range(60):
         near = [(sim[i, k], -k) for k in leaders if sim[i, k] >= 0.8]
