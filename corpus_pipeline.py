@@ -3,7 +3,10 @@
 Each stage is (name, function); the function takes (spark, docs, sf_dir), works on all that its predecessor
 kept and returns the columns of ``documents``; the last returns the encoded documents. ``run`` writes every
 stage's rows as Parquet below the shared folder and reads them again as the next stage's docs, so a lost
-executor costs a part of a stage at most. Null texts are empty texts: the quality rules reject them.
+executor costs a part of a stage at most. Null texts are empty texts: the quality rules reject them. Empty tables
+give empty tables; texts of any length go through whole; repeated rows (same id, same text) become one, and rows of
+one id with texts that are no near-duplicates all stay, as do rows without an id; extra columns are carried up to
+the last stage.
 """
 
 from __future__ import annotations
