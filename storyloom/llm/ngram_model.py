@@ -427,8 +427,8 @@ def pair_bounds(words: Words, frequent: list[tuple[int, int]], parts: int) -> li
 
 
 def triple_bounds(pairs: Pairs, bits: int, cuts: list[int], hot: list[tuple[int, int, int]]) -> list[int]:
-    """Lower bounds of the ranges of triples: at some pairs, and within pairs (number, second word, ranges) that need more."""
-    bounds = {0, *(n << bits for n in cuts)}
+    """Lower bounds of the ranges of triples: those of the pairs' shards, at some pairs, and within pairs (number, second word, ranges) that need more."""
+    bounds = {0, *(int(n) << bits for n in pairs.offsets[:-1]), *(n << bits for n in cuts)}
     for number, word, parts in hot:
         size = pairs.successors(word)
         bounds |= {(number << bits) + k * size // parts for k in range(parts)} | {(number + 1) << bits}
