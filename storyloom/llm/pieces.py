@@ -38,7 +38,7 @@ MICRO = 1_000_000
 #: Less than any score.
 UNREACHED = -(1 << 60)
 #: Bytes of remembered chunks, twice, and what an entry takes beside its text and ids; longest chunk remembered.
-REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 110_000_000, 230, 48
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 200_000_000, 300, 48
 CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 
