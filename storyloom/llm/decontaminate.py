@@ -66,8 +66,26 @@ def _join(rows: DataFrame, small: DataFrame, on: str, n: int) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dealt, [on, "_salt"]).drop("_salt")
 
 
-def _same(a: str, b: str, columns: tuple[str, ...] = KEY) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+def _renamed(df: DataFrame, columns: tuple[str, ...] = KEY) -> DataFrame:
+    """``df`` with other names for its keys: both sides of a join may come from one stored table."""
+    return df.withColumnsRenamed({c: f"_{c}" for c in columns})
+
+
+def _same(columns: tuple[str, ...] = KEY) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+
+
+def _by_key(rows: DataFrame, told: DataFrame, size: int, how: str) -> DataFrame:
+    """``rows`` joined with one row for each key; repeated rows of one key stay where they are, or land in many tasks.
+
+    ``size`` is what ``told`` holds: its rows and their entries.
+    """
+    right = _renamed(told)
+    if size <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(right), _same(), how)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    right = right.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(right, _same() & (F.col("_salt") == F.col("_dealt")), how)
 
 
 def term_counts(corpus: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -121,8 +139,7 @@ def answers(lists: DataFrame, asked: DataFrame, n_asked: int, slop: int = SLOP)
     """
     first = _join(lists, asked, "term", n_asked).withColumnRenamed("positions", "one")
     second = lists.select(F.col("term").alias("term2"), *KEY, F.col("positions").alias("two"))
-    both = first.alias("a").join(second.alias("b"), _same("a", "b", ("term2", *KEY)))
-    both = both.select("a.phrase", "a.n_terms", "a.item_id", "a.offset", "a.offset2", "a.doc_id", "a.text_key", "one", "two")
+    both = first.join(_renamed(second, ("term2", *KEY)), _same(("term2", *KEY)))
     adjusted = lambda name, offset: F.transform(name, lambda p: p - F.col(offset))
     starts = F.filter(F.array_intersect(adjusted("one", "offset"), adjusted("two", "offset2")), lambda p: p >= 0)
     tagged = lambda name, tag: F.transform(name, lambda p: F.struct(p.alias("p"), F.lit(tag).alias("tag")))
@@ -140,11 +157,9 @@ def phrase_matches(corpus: DataFrame, found: DataFrame) -> DataFrame:
     """
     places = found.where(F.size("starts") > 0).select(*KEY, "phrase", "n_terms", F.explode("starts").alias("start"))
     wanted = cut(places.groupBy(*KEY).agg(F.collect_set(F.struct("phrase", "start", "n_terms")).alias("places")))
-    n = wanted.count()
     texts = corpus.withColumn("text_key", F.xxhash64("text"))
-    wanted = (F.broadcast(wanted.select(*KEY)) if n <= BROADCAST_TERMS else wanted.select(*KEY)), wanted
-    held = texts.alias("a").join(wanted[0].alias("b"), _same("a", "b"), "left_semi").dropDuplicates(list(KEY))
-    each = held.alias("a").join(wanted[1].alias("b"), _same("a", "b")).select("a.doc_id", "a.text_key", words(F.col("a.text")).alias("w"), "places")
+    held = _by_key(texts, wanted.select(*KEY), wanted.count(), "left_semi").select("doc_id", "text", "text_key").dropDuplicates(list(KEY))
+    each = held.join(_renamed(wanted), _same()).select(*KEY, words(F.col("text")).alias("w"), "places")
     here = lambda x: _folded(F.array_join(F.slice("w", x["start"] + 1, x["n_terms"]), " "))
     return each.select(*KEY, F.explode(F.filter("places", lambda x: here(x) == x["phrase"])).alias("m")).select(*KEY, "m.phrase", "m.start", "m.n_terms")
 
@@ -192,18 +207,19 @@ def contamination(
     items = named.groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
     near = index.answers.where("near").groupBy(*KEY).agg(F.count_distinct("item_id").alias("n_near"))
     parts = [hits.select(*KEY, "n_hit"), items.select(*KEY, "items"), near.select(*KEY, "n_near")]
-    told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy(*KEY).agg(
+    told = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy(*KEY).agg(
         F.max("n_hit").alias("n_hit"), F.max("items").alias("items"), F.max("n_near").alias("n_near")
-    )
+    ))
+    size = told.agg(F.coalesce(F.sum(F.greatest(F.size("items"), F.lit(1))), F.lit(0))).first()[0]
     word = words(F.col("text"))
     empty_ends = F.when(F.size(word) == 1, (word[0] == "").cast("int")).otherwise(
         (word[0] == "").cast("int") + (F.element_at(word, -1) == "").cast("int")
     )
     rows = index.corpus.select("doc_id", F.xxhash64("text").alias("text_key"), (F.size(word) - empty_ends).cast("long").alias("n_words"))
-    out = rows.alias("a").join(told.alias("b"), _same("a", "b"), "left")
+    out = _by_key(rows, told, size, "left")
     items_or_none = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "a.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_or_none).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_or_none, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
