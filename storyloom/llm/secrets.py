@@ -9,7 +9,7 @@ lengths say where it ends.
 
 Defined results: a null text is empty and has no secrets; repeated rows each get a row; an empty table gives no
 rows; spans that start together come in the order of their kinds; extra columns are ignored by ``scan`` and kept by ``redact``; offsets are code points, ends exclusive. Texts are scanned whole;
-all patterns are linear in the text.
+time and memory are linear in the text, whatever starts in it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +49,7 @@ STARTS = {
 GAPS = re.compile(GAP)
 SSH_START = "b3BlbnNzaC1rZXkt"
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*){2,}")
-JSON_START = re.compile(r"\{\s*\"")
+JSON_START, QUOTES, DECODER = re.compile(r"\{\s*\""), re.compile(r"(?<!\\)(?:\\\\)*\""), json.JSONDecoder()
 PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 PEM_HEADER = re.compile(r"[A-Za-z0-9-]+:.*")
 #: Object ids of password-based encryption: PKCS #5 and PKCS #12.
@@ -55,6 +57,11 @@ ENCRYPTION = tuple(bytes.fromhex("2a864886f70d01" + x) for x in ("05", "0c01"))
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LONG_WORD = 20
 SEQUENCE, INTEGER, BITS, OCTETS, OID = 0x30, 0x02, 0x03, 0x04, 0x06
+#: Parts of the key form that has most, an RSA key.
+MOST_PARTS = 9
+#: Characters of the longest thing that an error's place may lie before: an escape or a word of JSON.
+LONGEST_ATOM = 16
+MAGIC = b"openssh-key-v1\0"
 
 
 def decode(text: str) -> bytes | None:
@@ -68,62 +75,93 @@ def decode(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The (tag, value) items that fill ``data`` exactly; None if a length doesn't add up."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def _spans(read: Callable[[int, int], bytes], at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the values of the DER items that fill the bytes from ``at`` to ``end`` exactly.
+
+    None if a length doesn't add up or there are more items than any key has. Only the heads of items are read.
+    """
+    items = []
+    while at < end:
+        head = read(at, 6)[: end - at]
+        if len(head) < 2 or len(items) == MOST_PARTS:
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
+        tag, n, at = head[0], head[1], at + 2
         if n & 0x80:
             width = n & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data):
+            if not 1 <= width <= 4 or len(head) < 2 + width:
                 return None
-            n, at = int.from_bytes(data[at : at + width]), at + width
+            n, at = int.from_bytes(head[2 : 2 + width]), at + width
             if n < 0x80:
                 return None
-        if at + n > len(data):
+        if at + n > end:
             return None
-        items.append((tag, data[at : at + n]))
+        items.append((tag, at, at + n))
         at += n
     return items
 
 
-def is_key(data: bytes) -> bool:
-    """Whether bytes are one DER sequence with the parts of a private or public key."""
-    top = der_items(data)
-    if not top or len(top) != 1 or top[0][0] != SEQUENCE or not (parts := der_items(top[0][1])):
+def _is_key(read: Callable[[int, int], bytes], size: int) -> bool:
+    """Whether the first ``size`` bytes are one DER sequence with the parts of a private or public key."""
+    top = _spans(read, 0, size)
+    if not top or len(top) != 1 or top[0][0] != SEQUENCE or not (parts := _spans(read, *top[0][1:])):
         return False
-    tags = [tag for tag, _ in parts]
-    if tags[0] == INTEGER and len(parts[0][1]) == 1 and parts[0][1][0] <= 1:
+    tags, sizes = [tag for tag, _, _ in parts], [end - start for _, start, end in parts]
+    named = lambda k: bool(inner := _spans(read, *parts[k][1:])) and inner[0][0] == OID
+    if tags[0] == INTEGER and sizes[0] == 1 and read(parts[0][1], 1)[0] <= 1:
         if tags[1:3] == [SEQUENCE, OCTETS]:  # algorithm, then the key in octets
-            return (inner := der_items(parts[1][1])) is not None and bool(inner) and inner[0][0] == OID
+            return named(1)
         if tags[1:2] == [OCTETS]:  # an elliptic-curve scalar
-            return 16 <= len(parts[1][1]) <= 72
+            return 16 <= sizes[1] <= 72
         return len(tags) >= 6 and set(tags) == {INTEGER}  # the integers of RSA or DSA
     if tags == [SEQUENCE, OCTETS]:  # a private key under a password
-        return bool(inner := der_items(parts[0][1])) and inner[0][0] == OID and inner[0][1].startswith(ENCRYPTION)
+        return named(0) and read(_spans(read, *parts[0][1:])[0][1], 8).startswith(ENCRYPTION)
     if tags == [SEQUENCE, BITS]:
-        return (inner := der_items(parts[0][1])) is not None and bool(inner) and inner[0][0] == OID
-    return tags == [INTEGER, INTEGER] and len(parts[0][1]) >= 64
+        return named(0)
+    return tags == [INTEGER, INTEGER] and sizes[0] >= 64
 
 
-def ssh_size(data: bytes) -> int:
-    """Bytes of the OpenSSH private key that data start with (its magic, then strings whose lengths fit), else 0."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+def is_key(data: bytes) -> bool:
+    return _is_key(lambda at, n: data[at : at + n], len(data))
+
+
+def _ssh_size(read: Callable[[int, int], bytes], size: int) -> int:
+    """Bytes of the OpenSSH private key at the start of ``size`` bytes (its magic, then strings whose lengths fit), else 0.
+
+    It has three strings, the number of keys, which OpenSSH wants to be one, a public and a private part.
+    """
+    if read(0, len(MAGIC)) != MAGIC:
         return 0
-    at = len(magic)
-    for _ in range(3):
-        if at + 4 > len(data):
+    at = len(MAGIC)
+    for k in range(6):
+        n = int.from_bytes(read(at, 4)) if at + 4 <= size else None
+        if n is None and k < 4 or k == 3 and n != 1:
             return 0
-        at += 4 + int.from_bytes(data[at : at + 4])
-    if at + 4 > len(data):
-        return 0
-    strings, at = int.from_bytes(data[at : at + 4]) + 1, at + 4
-    while strings and at + 4 <= len(data):
-        at, strings = at + 4 + int.from_bytes(data[at : at + 4]), strings - 1
-    return min(at, len(data))
+        at += 4 + (n or 0) * (k != 3) if n is not None else 0
+    return min(at, size)
+
+
+def ssh_size(data: bytes) -> int:
+    return _ssh_size(lambda at, n: data[at : at + n], len(data))
+
+
+def _read_object(shown: str, at: int) -> tuple[dict | None, int]:
+    """(the JSON object at a place, or None, how far it was read), in time that goes with how far that is.
+
+    An error counts the lines before it, so pieces are read, twice as long each time that one ends too early.
+    One nested deeper than Python reads is none.
+    """
+    size = 512
+    while True:
+        try:
+            header, end = DECODER.raw_decode(shown[at : at + size])
+            return header, at + end
+        except json.JSONDecodeError as error:
+            over = error.msg.startswith("Unterminated")
+            if at + size >= len(shown) or not over and error.pos < size - LONGEST_ATOM:
+                return None, len(shown) if over else at + error.pos
+        except (ValueError, RecursionError):
+            return None, len(shown)
+        size *= 2
 
 
 def token_start(head: str) -> int | None:
@@ -134,16 +172,16 @@ def token_start(head: str) -> int | None:
         if data is None:
             continue
         shown = data.decode("latin-1")
+        lead, tail = len(shown) - len(shown.lstrip()), len(shown.rstrip())
+        # What was read from a place on tells of all places in it that stand as it does to quotes: each is read once.
+        reach, quotes, at = [0, 0], 0, 0
         for m in JSON_START.finditer(shown):
-            blank = len(shown[: m.start()]) - len(shown[: m.start()].rstrip()) if not shown[: m.start()].strip() else 0
-            start = m.start() - blank
-            if start % 3:
+            quotes, at = quotes + sum(1 for _ in QUOTES.finditer(shown, at, m.start())), m.start()
+            start = 0 if m.start() == lead else m.start()
+            if start % 3 or m.start() < reach[quotes % 2]:
                 continue
-            try:
-                header, end = json.JSONDecoder().raw_decode(shown, m.start())
-            except (ValueError, RecursionError):
-                continue
-            if not shown[end:].strip() and isinstance(header.get("alg"), str):
+            header, reach[quotes % 2] = _read_object(shown, m.start())
+            if header is not None and reach[quotes % 2] >= tail and isinstance(header.get("alg"), str):
                 return shift + start // 3 * 4
     return None
 
@@ -155,14 +193,44 @@ def is_object(text: str) -> bool:
         return False
 
 
-def _digits(text: str, at: int, piece: re.Pattern, wanted: int) -> tuple[str, int]:
-    """Up to ``wanted`` digits from ``at`` on, over gaps, and where the last of them ends."""
-    found, end = [], at
-    while wanted and (m := piece.match(text, at, min(at + wanted, len(text)))):
-        found.append(m[0])
-        wanted, end = wanted - len(m[0]), m.end()
-        at = GAPS.match(text, end).end()
-    return "".join(found), end
+class Run:
+    """The digits from a place on to where their run ends, over gaps; bytes anywhere in it are decoded when asked for."""
+
+    def __init__(self, text: str, at: int, piece: re.Pattern, bare: bool):
+        self.bare, self.starts, self.before, pieces, n = bare, [], [], [], 0
+        while m := piece.match(text, at):
+            self.starts.append(at)
+            self.before.append(n)
+            pieces.append(m[0])
+            n, self.end = n + len(m[0]), m.end()
+            at = GAPS.match(text, self.end).end()
+        self.digits, self.aligned = "".join(pieces), {}
+
+    def place(self, position: int) -> int:
+        """The number of the digit at a position of the text."""
+        k = bisect_right(self.starts, position) - 1
+        return self.before[k] + position - self.starts[k]
+
+    def after(self, place: int) -> int:
+        """The position just behind the digits before a place."""
+        k = bisect_left(self.before, place) - 1
+        return self.starts[k] + place - self.before[k]
+
+    def size(self, place: int) -> int:
+        """Bytes from a place on."""
+        left = len(self.digits) - place
+        return left * 3 // 4 if self.bare else left // 2
+
+    def reader(self, place: int) -> Callable[[int, int], bytes]:
+        """Reads some bytes at a distance from a place. The digits are decoded once for each alignment."""
+        width, size = (4, 3) if self.bare else (2, 1)
+        shift = place % width
+        if shift not in self.aligned:
+            digits = self.digits[shift:]
+            digits = digits[: len(digits) - (len(digits) % 4 == 1 if self.bare else len(digits) % 2)]
+            self.aligned[shift] = (decode(digits) or b"") if self.bare else bytes.fromhex(digits)
+        data, base = self.aligned[shift], place // width * size
+        return lambda at, n: data[base + at : base + at + n]
 
 
 def _der_size(head: bytes) -> int:
@@ -176,36 +244,44 @@ def _der_size(head: bytes) -> int:
     return at + n if head[0] == SEQUENCE and head[at] in (INTEGER, SEQUENCE) else 0
 
 
+def _padded(text: str, end: int, pad: int) -> int:
+    while pad and text[end : end + 1] == "=":
+        end, pad = end + 1, pad - 1
+    return end
+
+
 def _keys(text: str) -> list[tuple[int, int, str]]:
-    """Spans of DER and OpenSSH keys in base64 or hex, wherever they start."""
+    """Spans of DER and OpenSSH keys in base64 or hex, wherever they start.
+
+    A run of digits is read once; for each start in it the heads of a key's few parts are looked at.
+    """
     found = []
     for digits, (start, first, piece) in STARTS.items():
-        done, bare = 0, digits == BASE64
-        read = decode if bare else lambda x: bytes.fromhex(x)
+        done, bare, run = 0, digits == BASE64, None
         for m in start.finditer(text):
-            if m.start() < done or not first.match(text, m.start()):
+            at = m.start()
+            if at < done:
                 continue
-            head, _ = _digits(text, m.start(), piece, 12 if bare else 18)
-            if not (size := _der_size(read(head))):
+            if run is None or at >= run.end:
+                if not first.match(text, at):
+                    continue
+                run = Run(text, at, piece, bare)
+            place = run.place(at)
+            if run.size(place) < 9:
                 continue
-            n = -(-size * 4 // 3) if bare else 2 * size
-            body, end = _digits(text, m.start(), piece, n)
-            if len(body) == n and is_key(read(body)):
-                pad = -n % 4 if bare else 0
-                while pad and text[end : end + 1] == "=":
-                    end, pad = end + 1, pad - 1
-                found.append((m.start(), end, "der"))
-                done = end
-    at = text.find(SSH_START)
+            read = run.reader(place)
+            size = _der_size(read(0, 9))
+            if size and size <= run.size(place) and _is_key(read, size):
+                n = -(-size * 4 // 3) if bare else 2 * size
+                done = _padded(text, run.after(place + n), -n % 4 if bare else 0)
+                found.append((at, done, "der"))
+    at, run = text.find(SSH_START), None
     while at >= 0:
-        piece, end = STARTS[BASE64][2], at + 1
-        head, _ = _digits(text, at, piece, 24)  # the magic and the length of a short name
-        body = _digits(text, at, piece, len(text))[0] if len(head) == 24 and decode(head)[14:] == bytes(4) else ""
-        if size := ssh_size(decode(body[: len(body) - (len(body) % 4 == 1)]) or b""):
-            _, end = _digits(text, at, piece, -(-size * 4 // 3))
-            pad = -size % 3
-            while pad and text[end : end + 1] == "=":
-                end, pad = end + 1, pad - 1
+        if run is None or at >= run.end:
+            run = Run(text, at, STARTS[BASE64][2], True)
+        place, end = run.place(at), at + 1
+        if size := _ssh_size(run.reader(place), run.size(place)):
+            end = _padded(text, run.after(place + -(-size * 4 // 3)), -size % 3)
             found.append((at, end, "ssh"))
         at = text.find(SSH_START, end)
     return found

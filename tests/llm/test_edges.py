@@ -109,3 +109,32 @@ def test_copies_of_one_text_by_the_thousand(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
     assert found == {i: 0 for i, _ in rows[:-1]} | {9000: 9000}
     assert sorted(r["doc_id"] for r in simhash.keep_first(df, similarity=0.8).collect()) == [0, 9000]
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_without_adaptive_execution(spark, name):
+    """The rows are the same when plans stay as they were made."""
+    df = spark.createDataFrame(rows(), SCHEMA)
+    told = lambda: sorted(map(repr, OPERATORS[name](spark, df).collect()))
+    wanted = told()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert told() == wanted
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_decontamination_of_repeated_rows_beyond_the_broadcast(spark, monkeypatch):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text)] * 40 + [(2, "x " + text), (None, text), (3, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, text), (2, "twelve")], "item_id long, text string")
+    told = lambda: sorted(map(repr, decontaminate.contamination(docs, bench).collect()))
+    wanted = told()
+    assert sum("contaminated=True" in r for r in wanted) == 42
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 0)
+        assert told() == wanted
+        monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 500_000)
+        assert told() == wanted
+    spark.conf.set("spark.sql.adaptive.enabled", "true")

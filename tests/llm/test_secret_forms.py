@@ -75,3 +75,42 @@ def test_long_odd_texts_take_little_time():
     for odd in ("MIIE", "MA\r\n \\r\\n ", "30", "eyJh", "a.", "A\n", "\\n", "-----BEGIN PRIVATE KEY-----\n", "MIGfMA0G"):
         secrets.find(odd * 20_000)
     assert time.process_time() - began < 20
+
+
+def _b64(data):
+    return base64.b64encode(data).decode()
+
+
+#: Pieces that, repeated, make each start claim much of what follows, or read far before it fails.
+HOSTILE = {
+    "der, 64 KB": _b64(bytes([0x30, 0x82, 0xFF, 0xFF, 2, 1, 0, 0x30, 0x82])),
+    "der, 1 MB": _b64(bytes([0x30, 0x83, 0x0F, 0x42, 0x40, 2, 1, 0, 0x30])),
+    "der, 16 MB": _b64(bytes([0x30, 0x83, 0xFF, 0xFF, 0xFF, 2, 1, 0, 0x30])),
+    "der, hex": bytes([0x30, 0x83, 0x0F, 0x42, 0x40, 2, 1, 0, 0x30]).hex(),
+    "der, lines": _b64(bytes([0x30, 0x83, 0x0F, 0x42, 0x40, 2, 1, 0, 0x30])) + "\n",
+    "der, items of one chain": _b64(bytes([0x30, 0x82, 0x40, 0, 2, 1, 0, 2, 1, 0, 2, 0x0A])),
+    "ssh": _b64(b"openssh-key-v1\0" + bytes(3)),
+    "ssh, many keys": _b64(b"openssh-key-v1\0" + bytes(12) + (0x7FFFFFFF).to_bytes(4) + bytes(2)),
+}
+HEADS = ('{"', '{"a":', '{"' + "a" * 300 + '":', '{"a":1}', '{"k":"{",', '{"\\\\', '{"k":1},')
+
+
+def test_hostile_starts_are_linear():
+    """A megabyte of each takes about a second; with the square of the text it would be minutes."""
+    for name, piece in HOSTILE.items():
+        began = time.process_time()
+        secrets.find(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 6, name
+    for piece in HEADS:
+        began = time.process_time()
+        secrets.find(URL(piece * (700_000 // len(piece))) + "." + CLAIMS)
+        assert time.process_time() - began < 6, piece
+
+
+def test_keys_among_hostile_starts_are_found():
+    for piece in HOSTILE.values():
+        kinds = [kind for _, _, kind in secrets.find(piece * 50 + "\n\n " + B64 + " " + piece * 50)[1]]
+        assert "der" in kinds
+    for piece in HEADS:
+        head = piece * 3
+        assert "token" in [k for _, _, k in secrets.find("x " + URL('{"alg": "HS256", "x": {"y": "{"}}') + "." + CLAIMS + " " + URL(head) + "." + CLAIMS)[1]]
