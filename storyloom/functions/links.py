@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from storyloom.functions.text import link_score, word_set
 from storyloom.functions.urls import host_of, is_bad_url, is_shortener, is_wrapper_host
+from storyloom.operators.graph import cut
+from storyloom.operators.joins import join_counted
 
 # How much raw and clean text around an anchor is its context.
 RAW_CONTEXT, CONTEXT = 1500, 300
@@ -128,11 +130,21 @@ def primary_links(
 
 
 def resolve(urls: DataFrame, targets: DataFrame, hops: int = 2) -> DataFrame:
-    """``urls`` (url) with ``resolved``: short and wrapped links followed through a table (url, target)."""
-    out = urls.withColumn("resolved", F.col("url"))
-    step = targets.select(F.col("url").alias("_from"), F.col("target").alias("_to"))
+    """``urls`` (url) with ``resolved``: short and wrapped links followed through a table (url, target).
+
+    Of several targets of one link the first in byte order is taken, so a row stays one row; a link without a
+    target, or with a null one, stays. Distinct links are followed and joined back by counts, so a link that a
+    third of all rows have is one step and no single task's work.
+    """
+    step = targets.where(F.col("url").isNotNull() & F.col("target").isNotNull()).groupBy("url").agg(F.min("target").alias("_to"))
+    step = step.withColumnRenamed("url", "_from")
+    short = lambda c: is_shortener(host_of(F.col(c))) | is_wrapper_host(host_of(F.col(c)))
+    found = cut(urls.where(short("url")).groupBy("url").agg(F.count("*").alias("n")))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = found.withColumn("resolved", F.col("url"))
     for _ in range(hops):
-        host = host_of(F.col("resolved"))
-        follow = (is_shortener(host) | is_wrapper_host(host)) & (F.col("resolved") == F.col("_from"))
-        out = out.join(step, follow, "left").withColumn("resolved", F.coalesce("_to", "resolved")).drop("_from", "_to")
-    return out
+        found = found.join(step, short("resolved") & (F.col("resolved") == F.col("_from")), "left")
+        found = found.withColumn("resolved", F.coalesce("_to", "resolved")).drop("_from", "_to")
+    told = join_counted(urls.where(short("url")), cut(found), "url", total)
+    rest = urls.where(~F.coalesce(short("url"), F.lit(False))).withColumn("resolved", F.col("url"))
+    return told.select(*urls.columns, "resolved").unionByName(rest.select(*urls.columns, "resolved"))

@@ -94,8 +94,9 @@ def persist_stories(
     ``stories`` story_id, title, summary, mention_count, new_info_count, is_read, first_seen, last_updated; ``vectors``
     id, vector of the stories. The result has ``stories`` and ``vectors`` after the run, the ``mentions`` and ``timeline``
     rows it adds, and ``outcomes`` (id, outcome): new, merged, evolved, or failed where no vector could be made.
-    A story that evolves is unread again. Run by run in batches of any size, or as a stream's foreachBatch, the
-    result is the same as item by item.
+    ``changed`` are the stories that the run made or changed and ``added`` the vectors it made, for a log of states.
+    A story that evolves is unread again. Run by run in batches of any size, or as a stream (``streaming.stories``),
+    the result is the same as item by item.
     """
     told = cut(items.withColumn("vector", embed(F.concat_ws(". ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))))
     good = told.where(F.col("vector").isNotNull())
@@ -111,20 +112,22 @@ def persist_stories(
         F.count("*").alias("_n"), F.count_if(F.col("outcome") == "evolved").alias("_news"),
         F.max(F.when(F.col("story_summary").isNotNull(), F.struct("id", "story_summary")))["story_summary"].alias("_summary"),
     )
+    change = cut(change)
     kept = stories.join(change, "story_id", "left").withColumns(
         {
             "summary": F.coalesce("_summary", "summary"), "mention_count": F.col("mention_count") + F.coalesce("_n", F.lit(0)),
             "new_info_count": F.col("new_info_count") + F.coalesce("_news", F.lit(0)), "is_read": F.col("is_read") & (F.coalesce("_news", F.lit(0)) == 0),
             "last_updated": F.when(F.col("_n").isNotNull(), F.lit(now)).otherwise(F.col("last_updated")),
         }
-    ).select(*stories.columns)
+    )
     made = of_item.where("outcome = 'new'").select("story_id", "title").join(change, "story_id").select(
         "story_id", "title", F.col("_summary").alias("summary"), F.col("_n").alias("mention_count"), F.col("_news").alias("new_info_count"),
         F.lit(False).alias("is_read"), F.lit(now).alias("first_seen"), F.lit(now).alias("last_updated"),
     )
     leading = steps.where("outcome = 'new'").select("id")
     outcomes = steps.select("id", "outcome").unionByName(told.where(F.col("vector").isNull()).select("id", F.lit("failed").alias("outcome")))
+    made, added = made.select(*stories.columns), good.join(leading, "id", "left_semi").select("id", "vector")
     return {
-        "stories": kept.unionByName(made.select(*stories.columns)), "vectors": vectors.unionByName(good.join(leading, "id", "left_semi").select("id", "vector")),
-        "mentions": mentions, "timeline": timeline, "outcomes": outcomes,
+        "stories": kept.select(*stories.columns).unionByName(made), "changed": kept.where("_n IS NOT NULL").select(*stories.columns).unionByName(made),
+        "vectors": vectors.unionByName(added), "added": added, "mentions": mentions, "timeline": timeline, "outcomes": outcomes,
     }

@@ -71,6 +71,26 @@ def playlist_snapshots(log: DataFrame) -> DataFrame:
     )
 
 
+def still_needed(log: DataFrame, key: str, order: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a log of snapshots or flags that the folds above depend on; any fold of them is that of the whole log.
+
+    Of each key: the first and last row, those first and last seen, the last with a positive ``created_ts``, the first
+    with a rank above 1, and of each flag the last that isn't null; a key keeps a few rows, however many it had. Folded
+    again with later rows it gives what it gives over all rows, so logs can be compacted by it.
+    """
+    row = F.struct(*log.columns)
+    wanted = [F.min_by(row, order), F.max_by(row, order)]
+    if "seen_at" in log.columns:
+        wanted += [F.min_by(row, F.struct("seen_at", order)), F.max_by(row, F.struct("seen_at", order))]
+    if "created_ts" in log.columns:
+        wanted.append(F.max_by(row, F.when(F.col("created_ts") > 0, F.col(order))))
+    if "source_rank" in log.columns:
+        wanted.append(F.min_by(row, F.when(F.col("source_rank") > 1, F.col(order))))
+    wanted += [F.max_by(row, F.when(F.col(f).isNotNull(), F.col(order))) for f in flags]
+    kept = log.groupBy(key).agg(F.array_distinct(F.array_compact(F.array(*wanted))).alias("r"))
+    return kept.select(F.explode("r").alias("r")).select("r.*")
+
+
 def outcome_counts(*outcomes: DataFrame) -> DataFrame:
     """(outcome, n) of a run: how many were new, merged, evolved, duplicate, skipped and why."""
     each = reduce(DataFrame.unionByName, [df.select(F.coalesce("outcome", F.lit("unknown")).alias("outcome")) for df in outcomes])
@@ -140,7 +160,7 @@ def hydrate(mentions: DataFrame, messages: DataFrame) -> DataFrame:
     """Mail mentions that lack a raw title or body filled from their messages (id, subject, body).
 
     The message id is taken from the mention's link. Messages are reduced to the ids asked for before the join,
-    each once.
+    each once: of several of one id the first in order of subject and body, so a rerun takes the same.
     """
     asked = F.when(
         (F.coalesce("source_type", F.lit("email")) == "email") & ((F.coalesce("raw_title", F.lit("")) == "") | (F.coalesce("raw_body", F.lit("")) == "")),
@@ -148,8 +168,9 @@ def hydrate(mentions: DataFrame, messages: DataFrame) -> DataFrame:
     )
     rows = mentions.withColumn("_message", asked)
     wanted = rows.select(F.col("_message").alias("id")).where(F.col("id").isNotNull()).distinct()
-    found = messages.select("id", "subject", "body").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    found = found.select(F.col("id").alias("_message"), F.col("subject").alias("_subject"), F.col("body").alias("_body"))
+    found = messages.select("id", "subject", "body").join(wanted, "id", "left_semi")
+    found = found.groupBy(F.col("id").alias("_message")).agg(F.min(F.struct("subject", "body")).alias("t"))
+    found = found.select("_message", F.col("t.subject").alias("_subject"), F.col("t.body").alias("_body"))
     filled = rows.join(found, "_message", "left")
     return filled.withColumns(
         {"raw_title": F.coalesce(F.nullif(F.col("raw_title"), F.lit("")), "_subject"), "raw_body": F.coalesce(F.nullif(F.col("raw_body"), F.lit("")), "_body")}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import feed_queries, item_queries, source_queries, story_queries, text_queries
+from storyloom.plans import feed_queries, item_queries, source_queries, story_queries, stream_queries, text_queries
 
-_MODULES = (feed_queries, text_queries, item_queries, source_queries, story_queries)
+_MODULES = (feed_queries, text_queries, item_queries, source_queries, story_queries, stream_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

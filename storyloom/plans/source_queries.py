@@ -14,7 +14,7 @@ from storyloom.plans import feed, views
 from storyloom.plans.text_queries import any_sql, clean_sql, score_sql, strip_sql, stub_sql
 from storyloom.plans.views import NOW
 from storyloom.session import table
-from storyloom.sources import channels, mail, paged, saved
+from storyloom.sources import channels, mail, saved
 from storyloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,6 +354,8 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = docs.where("doc_id % 4 = 0").selectExpr("'https://t.co/' || doc_id AS url", "'https://click.a.org/' || (doc_id + 1) AS target").unionByName(
         docs.where("doc_id % 4 = 1").selectExpr("'https://click.a.org/' || doc_id AS url", "'https://c.org/' || doc_id AS target")
     )
+    # Each target comes again with one that sorts behind it.
+    targets = targets.unionByName(targets.selectExpr("url", "target || '/later' AS target")).unionByName(targets)
     return links.resolve(docs.selectExpr("doc_id", f"{_SHORT} AS url"), targets)
 
 
@@ -378,41 +380,36 @@ _register(
 # --- scans, streams, jobs ---------------------------------------------------------------------------------------------
 
 
-def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(paged.PagedItems)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("paged_items").option("client", "storyloom.sources.paged:Calendar").option("all", "1")
-    return reader.option("channels", "a,b").load().where("date >= '2024-01-20T00:00:00Z'").select("id", "channel", "date")
-
-
-_register(
-    "paged_scan", _paged,
-    """SELECT c || ':' || d AS id, c AS channel, '2024-01-' || lpad(d::VARCHAR, 2, '0') || 'T00:00:00Z' AS date
-    FROM (SELECT unnest(['a', 'b']) AS c), (SELECT unnest(range(20, 32)) AS d)""",
-)
-
-
 def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the same events: the second adds nothing."""
     folder = f"{graph.shared_folder(spark).rstrip('/')}/append-{uuid.uuid4().hex}"
     for run in (1, 2):  # the second with a checkpoint of its own, so it reads all again
         stream = ingest.stream_table(spark, sf_dir, "events").select("user_id")
-        ingest.append_unseen(stream, "user_id", f"{folder}/log", f"{folder}/state-{run}")
-    return spark.read.parquet(f"{folder}/log/*")
+        log = ingest.append_unseen(stream, "user_id", f"{folder}/log", f"{folder}/state-{run}")
+    return log.read("rows").drop("batch")
 
 
 _register("stream_append_unseen", _appended, "SELECT DISTINCT user_id FROM events")
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A status file for each job that has items; the first kinds of documents are the jobs', the last is no known job."""
     folder = f"{graph.shared_folder(spark).rstrip('/')}/jobs-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "region").limit(1).selectExpr("'success' AS status", "'done' AS message", "'Mail' AS label").write.json(f"{folder}/email")
-    table(spark, sf_dir, "region").limit(1).selectExpr("'failed' AS status", "false AS ok").write.json(f"{folder}/zz")
-    found = saved.job_statuses(spark, {"zz": f"{folder}/zz", "youtube": f"{folder}/youtube", "email": f"{folder}/email"})
+    kinds = [*saved.JOBS[:3], "zz"]
+    counted = _docs(spark, sf_dir).groupBy((F.col("doc_id") % 5).alias("k")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    told = counted.where(F.col("k") < len(kinds)).select(
+        F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("k") + 1).cast("int")).alias("job"),
+        F.when(F.col("chars") % 2 == 0, "success").otherwise("failed").alias("status"), F.concat(F.col("n").cast("string"), F.lit(" items")).alias("message"),
+    )
+    told.write.partitionBy("job").json(folder)
+    found = saved.job_statuses(spark, {job: f"{folder}/job={job}" for job in [*kinds, "youtube"]})
     return found.select("job", "label", "status", "ok", "message")
 
 
 _register(
     "job_statuses", _jobs,
-    "SELECT * FROM (VALUES ('email', 'Mail', 'success', true, 'done'), ('youtube', 'youtube', 'idle', true, NULL), ('zz', 'zz', 'failed', false, NULL)) t(job, label, status, ok, message)",
+    """WITH t AS (SELECT ['email', 'telegram', 'social', 'zz'][(doc_id % 5 + 1)::INTEGER] AS job, CASE WHEN sum(n_chars) % 2 = 0 THEN 'success' ELSE 'failed' END AS status,
+      count(*) || ' items' AS message FROM documents WHERE doc_id % 5 < 4 GROUP BY doc_id % 5)
+    SELECT job, job AS label, status, status = 'success' AS ok, message FROM t
+    UNION ALL SELECT 'youtube', 'youtube', 'idle', true, NULL""",
 )

@@ -41,8 +41,8 @@ def check(told: str, title: str, summary: str) -> tuple[bool, str, str]:
     return int(title[1:]) % 2 == 1, f"now {title}", ""
 
 
-def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Vectors as items; the first ones are stories of a run before."""
+def begun(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, Callable]:
+    """(items, stories, vectors, embed): vectors as items; the first ones are stories of a run before."""
     rows = table(spark, sf_dir, "embeddings").selectExpr(
         "vec_id AS id", "concat('t', vec_id) AS title", "concat('s', label) AS summary", "'x' AS sender", "'' AS gmail_url", "'d' AS date", "'email' AS source_type", "embedding"
     )
@@ -52,8 +52,13 @@ def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     vectors = old.selectExpr("id", "CAST(embedding AS array<double>) AS vector")
     # The vector comes with the item, and one in fifty is missing.
-    new = rows.where(F.col("id") >= KNOWN).withColumn("summary", F.col("summary"))
+    new = rows.where(F.col("id") >= KNOWN)
     embed = lambda _: F.expr("CASE WHEN id % 50 = 7 THEN NULL ELSE CAST(embedding AS array<double>) END")
+    return new, stories, vectors, embed
+
+
+def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    new, stories, vectors, embed = begun(spark, sf_dir)
     return clusters.persist_stories(new, stories, vectors, embed, check, NOW, THRESHOLD, exact=True)
 
 

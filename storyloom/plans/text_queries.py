@@ -86,25 +86,25 @@ _docs(
 )
 ORACLES["skip_rule_sender"] = ORACLES["skip_rule_sender"].removesuffix(" FROM documents")
 _LINKED = "text || CASE doc_id % 3 WHEN 0 THEN ' https://a.org/x\u00a0end' WHEN 1 THEN '\u2003http://b.org' ELSE '' END"
-_hash = rf"substr({strip_sql(rf'''regexp_replace(regexp_replace(lower({_LINKED}), 'https?://{_NO_BLANK}+', '', 'g'), '{_BLANK}+', ' ', 'g')''')}, 1, 500)"
+HASH_SQL = rf"substr({strip_sql(rf'''regexp_replace(regexp_replace(lower({_LINKED}), 'https?://{_NO_BLANK}+', '', 'g'), '{_BLANK}+', ' ', 'g')''')}, 1, 500)"
 
 
-def _linked() -> F.Column:
+def linked() -> F.Column:
     """Text with links before blanks of other scripts."""
     return F.expr(_LINKED)
 
 
-_docs("content_hash", f"CASE WHEN {_hash} = '' THEN '' ELSE sha1({_hash}) END AS content_hash", content_hash=lambda: text.content_hash(_linked()))
+_docs("content_hash", f"CASE WHEN {HASH_SQL} = '' THEN '' ELSE sha1({HASH_SQL}) END AS content_hash", content_hash=lambda: text.content_hash(linked()))
 _docs("letter_share", "round(a / nullif(a + b, 0), 9) AS share FROM (SELECT doc_id, len(regexp_extract_all(text, '[À-ÿ]'))::DOUBLE AS a, len(regexp_extract_all(text, '[a-zA-Z]')) AS b FROM documents)",
       share=lambda: F.round(text.letter_share(F.col("text"), "À-ÿ"), 9))
 ORACLES["letter_share"] = ORACLES["letter_share"].removesuffix(" FROM documents")
 _docs("needs_translation", "doc_id % 2 = 0 AND regexp_matches(text, '[aeio]') AND len(regexp_extract_all(text, '[aeio]')) >= 0.15 * len(regexp_extract_all(text, '[A-Za-z]')) AS needed",
       needed=lambda: text.needs_translation(F.expr("CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeio', 'аеио') ELSE text END")))
-_docs("body_score", f"{score_sql(_LINKED)} AS score", score=lambda: text.body_score(_linked()))
-_docs("stub_flag", f"{stub_sql(_LINKED)} AS stub", stub=lambda: text.is_stub(_linked()))
+_docs("body_score", f"{score_sql(_LINKED)} AS score", score=lambda: text.body_score(linked()))
+_docs("stub_flag", f"{stub_sql(_LINKED)} AS stub", stub=lambda: text.is_stub(linked()))
 _PLAIN = f"regexp_replace(regexp_replace({_LINKED}, 'https?://{_NO_BLANK}+', '', 'g'), 'www\\.{_NO_BLANK}+', '', 'g')"
 _PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
-_docs("strip_urls", f"{strip_sql(_PLAIN)} AS plain", plain=lambda: text.strip_urls(_linked()))
+_docs("strip_urls", f"{strip_sql(_PLAIN)} AS plain", plain=lambda: text.strip_urls(linked()))
 _docs("scrub_pii", r"regexp_replace(regexp_replace(text, '(?i)[a-z0-9._]+@[a-z0-9.]+', '[REDACTED]', 'g'), '(?i)\d{3}-\d{4}', '[REDACTED]', 'g') AS clean",
       clean=lambda: text.scrub(F.col("text"), [r"[a-z0-9._]+@[a-z0-9.]+", r"\d{3}-\d{4}"]))
 _docs("md5_bucket", "('0x' || substr(md5(text), 1, 8))::BIGINT AS bucket", bucket=lambda: text.md5_bucket(F.col("text")))
@@ -151,7 +151,11 @@ r AS (SELECT CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN h
 SELECT {_host} AS host, count(*) AS n FROM r GROUP BY 1"""
 
 
-def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SHORTENED = "length(href) % 3 = 0"
+
+
+def _primary(spark: SparkSession, sf_dir: str, shortened: bool = False) -> DataFrame:
+    """``shortened``: a third of the links are given in a short form, with tables of targets that also hold later ones."""
     # Pages are read once: links and text come from the same stored rows.
     read = table(spark, sf_dir, "pages").select(
         "page_id", "url", links.links_in_context(F.col("html")).alias("links"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"),
@@ -161,7 +165,13 @@ def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read.select("page_id", "url", F.posexplode("links").alias("pos", "l")).select("page_id", "url", "pos", "l.anchor", "l.href")
     found = found.withColumn("href", links.absolute(F.col("href"), F.col("url"))).withColumn("context", F.lit(""))
     stories = read.select(F.col("page_id").alias("story_id"), F.col("page_id").alias("source_id"), "title", "summary")
-    return links.primary_links(stories, found.withColumnRenamed("page_id", "source_id"))
+    found = found.withColumnRenamed("page_id", "source_id")
+    if not shortened:
+        return links.primary_links(stories, found)
+    found = graph.cut(found)
+    targets = found.where(_SHORTENED).selectExpr("'https://t.co/' || md5(href) AS url", "href AS target").distinct()
+    targets = targets.unionByName(targets.selectExpr("url", "target || '~later' AS target")).unionByName(targets)
+    return links.primary_links(stories, found.withColumn("href", F.expr(f"CASE WHEN {_SHORTENED} THEN 'https://t.co/' || md5(href) ELSE href END")), targets=targets)
 
 
 QUERIES["primary_link"] = _primary
@@ -177,26 +187,31 @@ sc AS (SELECT page_id, pos, href, length(anchor) AS al, 3 * len(list_intersect(w
 SELECT page_id AS story_id, href AS primary_url FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, al DESC, pos) AS k FROM sc WHERE score >= 2)
 WHERE k = 1 AND NOT regexp_matches(href, '^[A-Za-z]+://(www\.)?({_WRAPS})\.')"""
+QUERIES["primary_link_followed"] = lambda s, d: _primary(s, d, True)
+ORACLES["primary_link_followed"] = ORACLES["primary_link"].replace(
+    "WHERE regexp_matches(lower(href), '^https?://') AND NOT", f"WHERE {_SHORTENED} OR regexp_matches(lower(href), '^https?://') AND NOT"
+).replace("WHERE k = 1 AND", f"WHERE k = 1 AND regexp_matches(lower(href), '^https?://') AND NOT {any_sql('lower(href)', urls.BAD_URL_PARTS)} AND")
+
 
 
 def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(_linked()).alias("hash"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(linked()).alias("hash"))
     return state.first_by_hash(graph.cut(rows), "hash", ["doc_id"]).select("doc_id", "status")
 
 
 QUERIES["hash_dedup"] = _dedup
 ORACLES["hash_dedup"] = f"""SELECT doc_id, CASE WHEN h = '' THEN 'empty' WHEN k = 1 THEN 'new' ELSE 'duplicate' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS k FROM (SELECT doc_id, {_hash} AS h FROM documents))"""
+FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS k FROM (SELECT doc_id, {HASH_SQL} AS h FROM documents))"""
 
 
 def _dedup_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(_linked()).alias("hash"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(linked()).alias("hash"))
     return state.first_by_hash(graph.cut(rows), "hash", ["doc_id"], ok=F.col("doc_id") % 3 != 0).groupBy("status").agg(F.count("*").alias("n"))
 
 
 QUERIES["hash_dedup_retry"] = _dedup_retry
 ORACLES["hash_dedup_retry"] = f"""SELECT CASE WHEN h = '' THEN 'empty' WHEN f IS NULL OR doc_id < f THEN 'retry' WHEN doc_id = f THEN 'new' ELSE 'duplicate' END AS status, count(*) AS n
-FROM (SELECT *, min(doc_id) FILTER (WHERE doc_id % 3 <> 0) OVER (PARTITION BY h) AS f FROM (SELECT doc_id, {_hash} AS h FROM documents)) GROUP BY 1"""
+FROM (SELECT *, min(doc_id) FILTER (WHERE doc_id % 3 <> 0) OVER (PARTITION BY h) AS f FROM (SELECT doc_id, {HASH_SQL} AS h FROM documents)) GROUP BY 1"""
 
 def _ts() -> F.Column:
     return F.unix_timestamp(F.col("ts").cast("timestamp"))

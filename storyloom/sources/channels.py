@@ -106,7 +106,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def posts(pages: DataFrame, now_text: str) -> DataFrame:
-    """(id, channel, msg_id, url, date, text, links, images, video_thumbs, is_sponsored, is_digest), each post once."""
+    """(id, channel, msg_id, url, date, text, links, images, video_thumbs, is_sponsored, is_digest), each post once.
+
+    A post that pages show in several forms is taken in the longest text, of equally long ones in the first by its fields.
+    """
     rows = pages.select("channel", F.explode(page_posts("html")).alias("p")).select("channel", "p.*")
     own = F.filter(F.transform("hrefs", clean_post_link), lambda x: x.isNotNull())
     preview = F.filter(F.transform("previews", clean_post_link), lambda x: x.isNotNull())
@@ -116,7 +119,9 @@ def posts(pages: DataFrame, now_text: str) -> DataFrame:
         F.concat(F.lit("tg:"), "channel", F.lit(":"), number.cast("string")).alias("id"), "channel", number.alias("msg_id"), "url",
         F.coalesce("date", F.lit(now_text)).alias("date"), "text", links.alias("links"), "images", "video_thumbs",
     )
-    return found.withColumns({"is_sponsored": is_sponsored(F.col("links")), "is_digest": is_roundup(F.col("links"))}).dropDuplicates(["id"])
+    others = [c for c in found.columns if c != "id"]
+    one = found.groupBy("id").agg(F.min(F.struct((-F.length("text")).alias("_shorter"), *others)).alias("t")).select("id", *[f"t.{c}" for c in others])
+    return one.withColumns({"is_sponsored": is_sponsored(F.col("links")), "is_digest": is_roundup(F.col("links"))})
 
 
 def since(rows: DataFrame, ts: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,8 +98,8 @@ def job_statuses(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             found = spark.read.schema(STATUS).option("multiLine", True).option("mode", "PERMISSIVE").json(path).limit(1)
             found = found.withColumn("status", F.coalesce("status", F.lit("unknown")))
             found.schema  # noqa: B018
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             found = spark.createDataFrame([(job, job, "idle", None, None, None, None, None, None, path)], STATUS)
         rows.append(found.withColumns({"job": F.lit(job), "label": F.coalesce("label", F.lit(job)), "ok": F.coalesce("ok", F.col("status").isin("idle", "running", "success"))}))

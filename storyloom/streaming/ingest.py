@@ -1,4 +1,4 @@
-"""Micro-batch ingestion: idempotent dedup, running counts, and an upsert log with exactly-once batches.
+"""Micro-batch ingestion: idempotent dedup, running counts, and logs with exactly-once batches.
 
 A trigger of ``availableNow`` is a scheduled run: it takes what is new since its checkpoint and ends. The
 checkpoint is the watermark, and it moves only after the sink has the rows.
@@ -7,11 +7,13 @@ checkpoint is the watermark, and it moves only after the sink has the rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators.graph import shared_folder
+from storyloom.streaming.store import BatchStore
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,27 +26,33 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return reader.parquet(f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
 
 
+def columns_of(df: DataFrame) -> str:
+    """The DDL of a table's columns."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def run_batches(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Hand every new micro-batch to ``store`` and end."""
+    stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Run a stream over all that is there and read its result back.
 
-    Append results go to Parquet; a complete result is written anew by each batch under the batch's number, so
-    a batch that is run again after a failure replaces its own files.
+    Append results go to Parquet; a complete result is written anew by each batch. A run that finds nothing new gives
+    the result of the last one.
     """
     spark = stream.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     checkpoint, out = checkpoint or f"{folder}/state", out or f"{folder}/rows"
-    last: list[str] = []
     if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", out)
-    else:
-
-        def store(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-            last[:] = [f"{out}/batch={number}"]
-
-        writer = stream.writeStream.foreachBatch(store)
-    writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out if mode == "append" else last[0])
+        writer = stream.writeStream.format("parquet").option("path", out).outputMode(mode).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    results = BatchStore(spark, out, {"rows": columns_of(stream)})
+    run_batches(stream, lambda batch, number: results.commit(number, {"rows": batch}), checkpoint, mode)
+    last = results.batches()[-1:]
+    return results.read("rows").where(F.col("batch") == last[0] if last else F.lit(True)).drop("batch")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -58,18 +66,23 @@ def counts(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def append_unseen(stream: DataFrame, key: str, log: str, checkpoint: str) -> None:
-    """Append rows whose key the log at path ``log`` lacks; a batch run again adds nothing."""
+def append_unseen(stream: DataFrame, key: str, log: str, checkpoint: str) -> BatchStore:
+    """Append rows whose key the log at path ``log`` lacks; read them with ``.read("rows")``.
+
+    A batch counts once its manifest is there: one that was lost while it wrote is written again in whole, and one
+    that is run again after it was committed adds nothing, as the log has its keys. Null is a key like any other; of a
+    batch's rows of one key the smallest stays. Batches get the log's own numbers, so a stream with a new checkpoint
+    goes on where the log ends.
+    """
+    rows = BatchStore(stream.sparkSession, log, {"rows": columns_of(stream)})
+    others = [c for c in stream.columns if c != key]
 
     def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            seen = spark.read.parquet(f"{log}/*").where(F.lit(True)).select(key)
-            fresh = fresh.join(seen, key, "left_anti")
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        fresh.write.mode("ignore").parquet(f"{log}/batch-{number}")
-
-    stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        there = rows.batches()
+        one = batch.groupBy(key).agg(F.min(F.struct(*others)).alias("t")).select(key, "t.*") if others else batch.select(key).distinct()
+        seen = rows.read("rows").select(F.col(key).alias("_seen")).distinct()
+        fresh = one.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
+        rows.commit(there[-1] + 1 if there else 0, {"rows": fresh})
+
+    run_batches(stream, store, checkpoint)
+    return rows
