@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.graph import cut, first_independent_set
 from storyloom.operators.similarity import nearest, similar_pairs
+from storyloom.operators.vector_index import VectorIndex
 
 THRESHOLD = 0.80
 CHECK_AFTER = 2
 
 
-def leader_clusters(rows: DataFrame, threshold: float = THRESHOLD, known: DataFrame | None = None, **how) -> DataFrame:
+def leader_clusters(rows: DataFrame, threshold: float = THRESHOLD, known: DataFrame | VectorIndex | None = None, **how) -> DataFrame:
     """(id, leader, similarity) of rows (id, vector) taken in order of id; those without a vector are left out.
 
     A row joins the most similar leader before it that is alike enough, else it leads; leaders keep their
-    vector. ``known`` are leaders (id, vector) of earlier runs, before all rows. Who leads depends on earlier
+    vector. ``known`` are leaders (id, vector) of earlier runs, or their index, before all rows. Who leads depends on earlier
     leaders only, so leaders are the independent set by order of the graph of alike rows that no known leader is
     near to; the others then pick among all. Ties go to the smallest id.
     """
@@ -86,13 +87,13 @@ def evolve(mentions: DataFrame, check: Callable[[str, str, str], tuple[bool, str
 
 def persist_stories(
     items: DataFrame, stories: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], check: Callable[[str, str, str], tuple[bool, str, str]],
-    now: int, threshold: float = THRESHOLD, **how,
+    now: int, threshold: float = THRESHOLD, index: VectorIndex | None = None, **how,
 ) -> dict[str, DataFrame]:
     """A run of ingestion: items find or make their stories. Gives the state after it and what it adds.
 
     ``items`` have id (ascending, above all stories' ids), title, summary, sender, gmail_url, date, source_type;
     ``stories`` story_id, title, summary, mention_count, new_info_count, is_read, first_seen, last_updated; ``vectors``
-    id, vector of the stories. The result has ``stories`` and ``vectors`` after the run, the ``mentions`` and ``timeline``
+    id, vector of the stories, ``index`` an index of them if there is one. The result has ``stories`` and ``vectors`` after the run, the ``mentions`` and ``timeline``
     rows it adds, and ``outcomes`` (id, outcome): new, merged, evolved, or failed where no vector could be made.
     ``changed`` are the stories that the run made or changed and ``added`` the vectors it made, for a log of states.
     A story that evolves is unread again. Run by run in batches of any size, or as a stream (``streaming.stories``),
@@ -100,7 +101,7 @@ def persist_stories(
     """
     told = cut(items.withColumn("vector", embed(F.concat_ws(". ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))))
     good = told.where(F.col("vector").isNotNull())
-    placed = cut(leader_clusters(good.select("id", "vector"), threshold, vectors, **how).select("id", F.col("leader").alias("story_id")))
+    placed = cut(leader_clusters(good.select("id", "vector"), threshold, index or vectors, **how).select("id", F.col("leader").alias("story_id")))
     steps = cut(evolve(good.drop("vector").join(placed, "id").select("id", "story_id", "title", "summary"), check, stories))
     of_item = good.drop("vector").join(steps, "id")
     mentions = of_item.select(

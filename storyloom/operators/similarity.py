@@ -1,9 +1,8 @@
 """Vector search and similarity pairs.
 
-``nearest`` compares a stated query set with all rows, both packed in blocks, as matrix products inside tasks.
-``similar_pairs`` finds pairs above a threshold by random hyperplanes with enough bands for a wanted recall,
-and verifies each candidate; it never compares all with all. Where no pair may be missed, or the threshold is so
-low that the bands would compare more than that, ``exact=True`` compares blocks of rows with blocks of rows.
+``nearest`` is exact, by cells that the triangle inequality passes over (``vector_index``). ``similar_pairs`` finds pairs above
+a threshold by random hyperplanes with enough bands for a wanted recall, and verifies each candidate. Where no pair may be
+missed, or the threshold is so low that the bands would compare more than that, ``exact=True`` goes by cells too.
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK, BUCKET = 512, 4096, 256
+from storyloom.operators.vector_index import VectorIndex, unit_rows
+
+BUCKET = 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -25,50 +26,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def _unit(rows: list) -> np.ndarray:
-    matrix = np.asarray(rows, dtype=np.float64)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def _packed(df: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
-    """Rows (id, vector) as blocks (ids, values) of at most ``size`` rows each."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                matrix = _unit(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], list(names)
-                )
-
-    return df.where(F.col("vector").isNotNull() & F.col("id").isNotNull()).mapInArrow(pack, f"{names[0]} array<long>, {names[1]} binary")
-
-
-def nearest(queries: DataFrame, rows: DataFrame, least: float = -1.0) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame | VectorIndex, least: float = -1.0) -> DataFrame:
     """(id, nearest_id, similarity): the most similar other row of each query; ties go to the smallest id.
 
-    Both inputs are (id, vector). Queries are a set of their own; every block of them meets every block of rows
-    once, and each task keeps one line per query and block.
+    Both inputs are (id, vector); ``rows`` may be an index that is there already.
     """
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q_data, r_ids, r_data in zip(*(batch.column(i) for i in range(4)), strict=True):
-                q, r = np.array(q_ids.as_py()), np.array(r_ids.as_py())
-                sim = np.frombuffer(q_data.as_py()).reshape(len(q), -1) @ np.frombuffer(r_data.as_py()).reshape(len(r), -1).T
-                sim[q[:, None] == r[None, :]] = -np.inf
-                top = sim.max(axis=1)
-                first = np.where(sim == top[:, None], r[None, :], np.iinfo(np.int64).max).min(axis=1)
-                ok = top > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(first[ok]), pa.array(top[ok])], ["id", "nearest_id", "similarity"])
-
-    blocks = _packed(queries, QUERY_BLOCK, ("q_ids", "q_data")).crossJoin(_packed(rows, ROW_BLOCK, ("r_ids", "r_data")))
-    found = blocks.mapInArrow(best, "id long, nearest_id long, similarity double")
-    top = F.max(F.struct("similarity", (-F.col("nearest_id")).alias("minus_id")))
-    one = found.groupBy("id").agg(top.alias("t"))
-    return one.select("id", (-F.col("t.minus_id")).alias("nearest_id"), F.col("t.similarity").alias("similarity")).where(F.col("similarity") >= least)
+    return (rows if isinstance(rows, VectorIndex) else VectorIndex.build(rows)).nearest(queries, least)
 
 
 def bands(threshold: float, recall: float = 0.999, bits: int = 8) -> tuple[int, int]:
@@ -77,35 +40,6 @@ def bands(threshold: float, recall: float = 0.999, bits: int = 8) -> tuple[int,
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(same, 1 - 1e-12))))
 
 
-def _exact_pairs(rows: DataFrame, threshold: float, size: int = ROW_BLOCK) -> DataFrame:
-    """All pairs at least ``threshold`` alike: rows are packed in blocks of about ``size`` by the hash of their id, and each two blocks meet once."""
-    known = rows.where(F.col("vector").isNotNull() & F.col("id").isNotNull())
-    blocks = max(-(-known.count() // size), 1)
-
-    def pack(group: pa.Table) -> pa.Table:
-        unit = _unit(group.column("vector").to_pylist())
-        return pa.table({"own": group.column("own").slice(0, 1), "ids": [group.column("id").to_pylist()], "data": [unit.tobytes()]})
-
-    own = known.select(F.col("id").cast("long").alias("id"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    packed = own.groupBy("own").applyInArrow(pack, "own int, ids array<long>, data binary")
-    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ids", "data"
-    )
-
-    def verify(group: pa.Table) -> pa.Table:
-        ids = [np.array(x, dtype=np.int64) for x in group.column("ids").to_pylist()]
-        unit = [np.frombuffer(x).reshape(len(n), -1) for x, n in zip(group.column("data").to_pylist(), ids, strict=True)]
-        if len(ids) < 2 and group.column("i")[0] != group.column("j")[0]:  # the other block has no rows
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        sim = unit[0] @ unit[-1].T
-        x, y = np.nonzero(sim >= threshold)
-        a, b = ids[0][x], ids[-1][y]
-        once = a < b if len(ids) < 2 else np.ones(len(a), dtype=bool)
-        return pa.table({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "similarity": sim[x, y][once]})
-
-    return met.groupBy("i", "j").applyInArrow(verify, "a long, b long, similarity double").where("a < b")
-
-
 def similar_pairs(rows: DataFrame, threshold: float, recall: float = 0.999, bits: int = 8, seed: int = 7, exact: bool = False) -> DataFrame:
     """(a, b, similarity) with a < b of the rows (id, vector) at least ``threshold`` alike.
 
@@ -113,7 +47,8 @@ def similar_pairs(rows: DataFrame, threshold: float, recall: float = 0.999, bits
     large one is many tasks' work and none holds it.
     """
     if exact:
-        return _exact_pairs(rows, threshold)
+        found = VectorIndex.build(rows).within(rows, threshold, upwards=True)
+        return found.select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")
     width, count = bands(threshold, recall, bits)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +56,7 @@ def similar_pairs(rows: DataFrame, threshold: float, recall: float = 0.999, bits
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(batch.column(1).to_pylist())
+            unit = unit_rows(batch.column(1).to_pylist())
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(unit.shape[1], width * count))
             signs = (unit @ planes > 0).reshape(len(unit), count, width)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from storyloom.operators import vector_index
 from storyloom.operators.clusters import THRESHOLD, persist_stories
 from storyloom.streaming.ingest import run_batches
 from storyloom.streaming.store import BatchStore, last_of_key
@@ -15,28 +16,30 @@ TABLES = {
     "stories": STORY, "vectors": "id long, vector array<double>",
     "mentions": "id long, story_id long, title string, summary string, sender string, gmail_url string, date string, source_type string, created_at long, added_new_info boolean",
     "timeline": "story_id long, id long, date string, what_changed string, trigger_sender string", "outcomes": "id long, outcome string",
+    **vector_index.TABLES,
 }
 
 
 class StoryStore(BatchStore):
-    """Stories (the last state of each), their vectors, mentions, timeline and the outcomes of items."""
+    """Stories (the last state of each), their vectors with an index, mentions, timeline and the outcomes of items."""
 
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__(spark, folder, TABLES)
+        self.index = vector_index.StoredIndex(self)
 
     def stories(self, upto: int | None = None) -> DataFrame:
         return self.latest("stories", "story_id", upto)
 
     def begin(self, stories: DataFrame, vectors: DataFrame) -> None:
         """Stories that are there before the first batch."""
-        self.commit(-1, {"stories": stories, "vectors": vectors})
+        self.commit(-1, {"stories": stories, "vectors": vectors, **self.index.added(vectors)})
 
     def ingest(self, items: DataFrame, number: int, embed: Callable[[Column], Column], check: Callable, now: int, threshold: float = THRESHOLD, **how) -> bool:
         """One batch of items in one transaction; False if it was committed before."""
         if number in self.batches():
             return False
-        run = persist_stories(items, self.stories(), self.read("vectors").drop("batch"), embed, check, now, threshold, **how)
-        return self.commit(number, {"stories": run["changed"], "vectors": run["added"], **{name: run[name] for name in ("mentions", "timeline", "outcomes")}})
+        run = persist_stories(items, self.stories(), self.read("vectors").drop("batch"), embed, check, now, threshold, self.index.open(), **how)
+        return self.commit(number, {"stories": run["changed"], "vectors": run["added"], **self.index.added(run["added"]), **{name: run[name] for name in ("mentions", "timeline", "outcomes")}})
 
     def shorten(self, number: int) -> None:
         """Compact all batches up to one: the last state of each story, all rows of the other tables."""

@@ -32,7 +32,7 @@ def test_pairs_nearest_and_leaders(vectors):
     df, sim = vectors
     pairs = {(r["a"], r["b"]) for r in similarity.similar_pairs(df, 0.8).collect()}
     assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if sim[i, j] >= 0.8}
-    exact = similarity._exact_pairs(df.unionByName(spark_null(df)), 0.8, 7)
+    exact = similarity.similar_pairs(df.unionByName(spark_null(df)), 0.8, exact=True)
     assert {(r["a"], r["b"]) for r in exact.collect()} == pairs
     leaders, wanted = [], {}
     for i in range(60):
