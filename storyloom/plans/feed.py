@@ -6,7 +6,7 @@ one union, one predicate. Facets are an aggregate of the same base before any fi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import BLANKS, normalize_lines, source_label, unescape_html
@@ -153,14 +153,40 @@ def filtered(rows: DataFrame, q: str = "", state: str = "all", source: str = "al
     return rows if wanted is None else rows.where(wanted)
 
 
+def _order(sort: str) -> list[tuple[Column, bool]]:
+    """(key, descending) of one of the feed's orders, from a score column; unknown orders are ``recent``. Ties go by id."""
+    recent = [(F.coalesce("sort_ts", F.lit(0)), True), (-F.col("source_rank"), True), (F.col("last_updated"), True)]
+    if sort == "oldest":
+        return [(F.coalesce("sort_ts", F.lit(0)), False), (F.col("source_rank"), False), (F.col("last_updated"), False), (F.col("id"), False)]
+    first = {"score": "score", "mentions": "mention_count", "evolved": "new_info_count"}
+    return [*([(F.col(first[sort]), True)] if sort in first else []), *recent, (F.col("id"), False)]
+
+
 def ordered(rows: DataFrame, sort: str = "recent", now: int = 0) -> DataFrame:
     """The rows in one of the feed's orders; ``score`` is added; unknown orders are ``recent``. Ties go by id."""
+    return rows.withColumn("score", score(now)).orderBy(*[key.desc() if down else key.asc() for key, down in _order(sort)])
+
+
+def page(rows: DataFrame, sort: str = "recent", now: int = 0, size: int = 50, after: Row | None = None) -> DataFrame:
+    """The first ``size`` rows of an order, or those behind a row of an earlier page, which has to be given with all its columns.
+
+    What stands before is left out by a predicate on the order's keys, so any page is one top-k and no sort of all rows.
+    Pages put together are the whole order, rows of equal keys too. Null times come last where the order descends, else first.
+    """
     rows = rows.withColumn("score", score(now))
-    rank = -F.col("source_rank")
-    recent = [F.coalesce("sort_ts", F.lit(0)).desc(), rank.desc(), F.col("last_updated").desc()]
-    first = {"score": [F.desc("score")], "mentions": [F.desc("mention_count")], "evolved": [F.desc("new_info_count")]}.get(sort, [])
-    keys = [F.coalesce("sort_ts", F.lit(0)).asc(), (-rank).asc(), F.col("last_updated").asc()] if sort == "oldest" else first + recent
-    return rows.orderBy(*keys, F.asc("id"))
+    keys = _order(sort)
+    if after is not None:
+        given = rows.sparkSession.createDataFrame([after], rows.schema).select(*[key.alias(f"k{n}") for n, (key, _) in enumerate(keys)]).first()
+        same, behind = F.lit(True), F.lit(False)
+        for (key, down), value in zip(keys, given, strict=True):
+            if value is None:
+                later = F.lit(False) if down else key.isNotNull()
+            else:
+                later = (key < F.lit(value)) | key.isNull() if down else key > F.lit(value)
+            behind = behind | (same & F.coalesce(later, F.lit(False)))
+            same = same & key.eqNullSafe(F.lit(value))
+        rows = rows.where(behind)
+    return rows.orderBy(*[key.desc() if down else key.asc() for key, down in keys]).limit(size)
 
 
 def search_index(stories: DataFrame, bookmarks: DataFrame, state: DataFrame, now: int, newest: int = NEWEST) -> DataFrame:

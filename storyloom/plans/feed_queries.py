@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.operators import state
+from storyloom.operators import graph, state
 from storyloom.plans import feed, views
 from storyloom.plans.views import NOW, SQL
 
@@ -46,6 +46,21 @@ for _sort in ("recent", "score", "mentions", "evolved", "oldest"):
     _register(f"feed_{_sort}", _feed(_sort, state="unread"), f"SELECT {_OUT} FROM scored WHERE NOT skipped AND NOT is_read")
 for _state, _where in (("unread", "NOT skipped AND NOT is_read"), ("read", "NOT skipped AND is_read"), ("skipped", "skipped")):
     _register(f"state_{_state}", _feed("recent", state=_state), f"SELECT {_OUT} FROM scored WHERE {_where}")
+
+
+def _second_page(sort: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = graph.cut(feed.filtered(base(spark, sf_dir), state="unread"))
+        first = feed.page(rows, sort, NOW, 20).collect()  # a page
+        return shown(feed.page(rows, sort, NOW, 20, first[-1] if len(first) == 20 else None).limit(0 if len(first) < 20 else 20))
+
+    return query
+
+
+_ORDERS = {"recent": "sort_ts DESC, source_rank, last_updated DESC, id", "score": "score DESC, sort_ts DESC, source_rank, last_updated DESC, id"}
+_ORDERS |= {"oldest": "sort_ts, source_rank, last_updated, id", "mentions": "mention_count DESC, sort_ts DESC, source_rank, last_updated DESC, id"}
+for _sort, _keys in _ORDERS.items():
+    _register(f"feed_page_2_{_sort}", _second_page(_sort), f"SELECT {_OUT} FROM scored WHERE NOT skipped AND NOT is_read ORDER BY {_keys} LIMIT 20 OFFSET 20")
 _register("source_filter", _feed("recent", source="telegram"), f"SELECT {_OUT} FROM scored WHERE NOT skipped AND source_type = 'telegram'")
 _register("source_filter_unknown", _feed("recent", source="nowhere"), f"SELECT {_OUT} FROM scored WHERE NOT skipped")
 _register("skip_rule_query", _feed("recent", q="-is:skipped"), f"SELECT {_OUT} FROM scored WHERE NOT skipped")

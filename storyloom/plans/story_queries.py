@@ -138,9 +138,12 @@ SELECT id, story_id, outcome, what_changed, CASE WHEN fresh THEN md5(told) END A
 _BANNED = ", ".join(f"'{t}'" for t in models.META_TITLES)
 
 
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "CASE WHEN doc_id % 4 = 0 THEN replace(text, '\\n', '\\n \\n') || '\\n\\nType A\\nbody' ELSE text END AS body")
+
+
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "CASE WHEN doc_id % 4 = 0 THEN replace(text, '\\n', '\\n \\n') || '\\n\\nType A\\nbody' ELSE text END AS body")
-    return models.extract_stories(docs).withColumn("pos", F.col("pos").cast("long"))
+    return models.extract_stories(mails(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
 
 
 _register(

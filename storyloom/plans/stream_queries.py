@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.functions import text
-from storyloom.operators import graph, state
+from storyloom.functions import tables, text
+from storyloom.operators import answers, graph, kept_counts, state
 from storyloom.plans import feed_queries, story_queries, text_queries, views
 from storyloom.plans.views import NOW
 from storyloom.session import table
-from storyloom.sources import paged
+from storyloom.sources import log_sink, paged
 from storyloom.streaming import hashes, ingest, stories
 from storyloom.streaming.store import BatchStore
 
@@ -157,3 +157,97 @@ _register(
         "FROM snapshots GROUP BY id", "FROM snapshots WHERE seen_seq < (SELECT min(seen_seq) + 3 * ((max(seen_seq) - min(seen_seq)) // 5 + 1) FROM snapshots) GROUP BY id"
     ),
 )
+
+
+def _sunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots written to a log in three named writes, the second twice, as a run that isn't sure of its first try would."""
+    spark.dataSource.register(log_sink.UpsertLog)
+    path = _folder(spark, "sink")
+    parts = _in_parts(views.snapshots(spark, sf_dir).drop("source_rank"), "seen_seq", 3)
+    for number in (0, 1, 1, 2):
+        if number < len(parts):
+            parts[number].write.format("upsert_log").option("path", path).option("batch", f"run-{number}").mode("append").save()
+    return state.bookmark_snapshots(spark.read.format("upsert_log").option("path", path).load())
+
+
+_register("sink_social", _sunk, feed_queries.ORACLES["upsert_social"])
+
+# --- kept counts ------------------------------------------------------------------------------------------------------
+
+
+def _flipped(rows: DataFrame, spark: SparkSession, counts: kept_counts.KeptCounts) -> kept_counts.KeptCounts:
+    """All rows with flags that are partly wrong, then ten batches that set them right, the fourth one taken in twice."""
+    rows = graph.cut(rows)
+    wrong = F.col("id") % 3 == 0
+    counts.apply(rows.withColumns({f: F.when(wrong, ~F.col(f)).otherwise(F.col(f)) for f in ("skipped", "is_read") if f in rows.columns}), 0)
+    for number in range(1, 11):
+        counts.apply(rows.where(wrong & (F.floor(F.col("id") / 3) % 10 == number - 1)), number)
+        if number == 4:
+            counts.apply(rows.where(wrong), number)
+        if number == 6:
+            counts.shorten(number)
+    return counts
+
+
+def _facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = feed_queries.base(spark, sf_dir).select("id", "source_type", "skipped")
+    kept = kept_counts.KeptCounts(spark, _folder(spark, "facets"), "id long, source_type string, skipped boolean", kept_counts.facet)
+    return kept_counts.facets(_flipped(rows, spark, kept).counts())
+
+
+_register("kept_facets", _facets, feed_queries.ORACLES["facets"])
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.stories(spark, sf_dir).select("id", "new_info_count", "is_read", "last_updated")
+    kept = kept_counts.KeptCounts(spark, _folder(spark, "stats"), "id long, new_info_count long, is_read boolean, last_updated long", kept_counts.story_stats)
+    return kept_counts.stats(_flipped(rows, spark, kept).counts(), NOW)
+
+
+_register("kept_stats", _stats, feed_queries.ORACLES["stats"].replace(",\n    (SELECT count(*) FROM mentions) AS mentions FROM stories", " FROM stories"))
+
+# --- models and tables in SQL -----------------------------------------------------------------------------------------
+
+
+def _unsure() -> Callable[[str], str]:
+    """A model that answers with the length of a prompt and fails on some."""
+
+    def call(prompt: str) -> str:
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("overloaded")
+        return f"{len(prompt)} characters"
+
+    return call
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document as a prompt, asked in two runs; the second asks again for what failed only."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("prompt"))
+    store = answers.AnswerStore(spark, _folder(spark, "answers"), "large")
+    for _ in range(2):
+        store.ask(rows, _unsure)
+    return store.answered(rows).drop("prompt")
+
+
+_register(
+    "answers_once", _answered,
+    """SELECT doc_id, CASE WHEN length(p) % 7 <> 0 THEN length(p) || ' characters' END AS answer, CASE WHEN length(p) % 7 = 0 THEN 'RuntimeError: overloaded' END AS error
+    FROM (SELECT doc_id, string_split(text, chr(10))[1] AS p FROM documents)""",
+)
+
+
+def _links_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, l.pos, l.anchor, l.href FROM {pages} p, LATERAL page_links(p.html) l", pages=table(spark, sf_dir, "pages"))
+
+
+_register("page_links_in_sql", _links_in_sql, text_queries.ORACLES["page_links"])
+
+
+def _stories_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    mails = story_queries.mails(spark, sf_dir)
+    return spark.sql("SELECT m.id, s.pos, s.content_type, s.title, s.summary, false AS failed FROM {mails} m, LATERAL mail_stories(m.body) s", mails=mails)
+
+
+_register("extract_stories_in_sql", _stories_in_sql, story_queries.ORACLES["extract_stories"])

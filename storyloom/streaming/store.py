@@ -33,10 +33,13 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class BatchStore:
-    """``tables``: name -> DDL of the rows of each table. ``read`` adds their batch as ``batch``."""
+    """``tables``: name -> DDL of the rows of each table. ``read`` adds their batch as ``batch``.
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str]):
-        self.spark, self.folder, self.tables = spark, folder.rstrip("/"), tables
+    ``folders``: name -> column of few values by which a table's rows lie in folders, of which a filter reads some.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], folders: dict[str, str] | None = None):
+        self.spark, self.folder, self.tables, self.folders = spark, folder.rstrip("/"), tables, folders or {}
 
     def _entries(self, upto: int | None = None) -> list:
         found = read_if_there(self.spark, f"{self.folder}/manifest", ENTRY)
@@ -51,7 +54,9 @@ class BatchStore:
         for name, rows in frames.items():
             path = f"{self.folder}/{name}/{kind}-{number}-{attempt}"
             columns = self.spark.createDataFrame([], self.tables[name]).schema
-            rows.select(*[F.col(c.name).cast(c.dataType) for c in columns], *["batch"] * (kind == "snapshot")).write.parquet(path)
+            rows = rows.select(*[F.col(c.name).cast(c.dataType) for c in columns], *["batch"] * (kind == "snapshot"))
+            by = [self.folders[name]] if name in self.folders else []
+            (rows.repartition(*by) if by else rows).write.partitionBy(*by).parquet(path)
             entries.append((number, name, path, kind == "snapshot"))
         # One file, which appears by a rename when it is whole.
         self.spark.createDataFrame(entries, ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/entry={kind}-{number}")
@@ -80,7 +85,7 @@ class BatchStore:
             return self.spark.createDataFrame([], f"{schema}, batch long")
         while len(frames) > 1:  # a shallow plan, however many batches there are
             frames = [frames[k].unionByName(frames[k + 1]) if k + 1 < len(frames) else frames[k] for k in range(0, len(frames), 2)]
-        return frames[0]
+        return frames[0].select(*self.spark.createDataFrame([], schema).columns, "batch")
 
     def latest(self, name: str, key: str, upto: int | None = None) -> DataFrame:
         """The last row of each key, without its batch: the state of a table whose rows replace earlier ones."""
