@@ -13,6 +13,7 @@ from storyloom.functions.text import BLANKS, normalize_lines, source_label, unes
 from storyloom.functions.times import age_days, freshness, iso_from_ts, relative_label
 from storyloom.functions.urls import host_of, links_from_json
 from storyloom.plans.query_language import compile_clauses, parse, wants_skipped
+from storyloom.plans.search_index import SearchIndex
 
 NEWEST = 2000
 SHAPE = (
@@ -126,19 +127,27 @@ def score(now: int) -> Column:
     kinds = F.greatest(F.size("distinct_source_types"), F.lit(1))
     news = F.greatest(F.col("new_info_count"), F.lit(0))
     has = lambda c, points: F.when(F.col(c) != "", F.lit(points)).otherwise(F.lit(0.0))
+    # The weights of the score.
     strength = 2.6 * F.log1p(mentions) + 1.2 * F.log1p(senders) + 2.4 * (kinds - 1) + 1.8 * news
     strength = strength + has("primary_image_url", 0.35) + has("primary_url", 0.3)
     return strength * freshness(F.col("last_updated"), now) - 0.55 * F.greatest(mentions - senders, F.lit(0))
 
 
+def kinds(stories: DataFrame, bookmarks: DataFrame, state: DataFrame, newest: int = NEWEST) -> DataFrame:
+    """(source_type, skipped) of all rows of the feed: what facets count, without mentions and texts."""
+    top = stories.orderBy(F.desc("last_updated"), F.desc("id")).limit(newest)
+    told = top.select(F.btrim(F.lower(or_else("source_type", F.lit("email")))).alias("source_type"), F.coalesce("skipped", F.lit(False)).alias("skipped"))
+    return told.unionByName(with_state(bookmarks, state).select(or_else("source", F.lit("external")).alias("source_type"), "skipped"))
+
+
 def facets(rows: DataFrame) -> DataFrame:
     """(source_type, n) of the rows that aren't skipped, most first."""
     counted = rows.where(~F.col("skipped")).groupBy("source_type").agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "source_type")
 
 
-def filtered(rows: DataFrame, q: str = "", state: str = "all", source: str = "all") -> DataFrame:
-    """The rows that a request asks for.
+def filtered(rows: DataFrame, q: str = "", state: str = "all", source: str = "all", index: SearchIndex | None = None) -> DataFrame:
+    """The rows that a request asks for; with an index of their words, texts are read where it finds something.
 
     A source without a visible row counts as all sources. Skipped rows are hidden unless a clause speaks of
     them or the state asks for them.
@@ -148,7 +157,7 @@ def filtered(rows: DataFrame, q: str = "", state: str = "all", source: str = "al
     clauses = parse(q)
     if state != "skipped" and not wants_skipped(clauses):
         rows = rows.where(~F.col("skipped"))
-    rows = rows.where(compile_clauses(clauses))
+    rows = rows.where(compile_clauses(clauses)) if index is None else index.matching(rows, clauses)
     wanted = {"unread": ~F.col("is_read"), "read": F.col("is_read"), "skipped": F.col("skipped")}.get(state)
     return rows if wanted is None else rows.where(wanted)
 

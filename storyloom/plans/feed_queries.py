@@ -87,9 +87,15 @@ for _name, _q, _where in (
 ):
     _register(f"q_{_name}", _feed("recent", q=_q), f"SELECT {_OUT} FROM scored WHERE NOT skipped AND {_where}")
 _register("q_skipped", _feed("recent", q="is:skipped"), f"SELECT {_OUT} FROM scored WHERE skipped")
-_register("facets", lambda s, d: feed.facets(base(s, d)), "SELECT source_type, count(*) AS n FROM feed WHERE NOT skipped GROUP BY source_type")
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.kinds(views.stories(spark, sf_dir), views.bookmarks(spark, sf_dir), views.item_state(spark, sf_dir))
+
+
+_register("facets", lambda s, d: feed.facets(_kinds(s, d)), "SELECT source_type, count(*) AS n FROM feed WHERE NOT skipped GROUP BY source_type")
 _register(
-    "total_unskipped", lambda s, d: feed.facets(base(s, d)).agg(F.sum("n").alias("n")), "SELECT count(*)::BIGINT AS n FROM feed WHERE NOT skipped"
+    "total_unskipped", lambda s, d: feed.facets(_kinds(s, d)).agg(F.sum("n").alias("n")), "SELECT count(*)::BIGINT AS n FROM feed WHERE NOT skipped"
 )
 _register(
     "search_index", lambda s, d: feed.search_index(views.stories(s, d), views.bookmarks(s, d), views.item_state(s, d), NOW),

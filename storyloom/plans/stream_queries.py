@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import tables, text
 from storyloom.operators import answers, graph, kept_counts, state
-from storyloom.plans import feed_queries, story_queries, text_queries, views
+from storyloom.plans import feed, feed_queries, search_index, story_queries, text_queries, views
 from storyloom.plans.views import NOW
 from storyloom.session import table
 from storyloom.sources import log_sink, paged
@@ -251,3 +251,23 @@ def _stories_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("extract_stories_in_sql", _stories_in_sql, story_queries.ORACLES["extract_stories"])
+
+
+# --- words ------------------------------------------------------------------------------------------------------------
+
+
+def _indexed(q: str) -> Query:
+    """The feed's rows for a query, through an index that took them in two batches."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = graph.cut(feed_queries.base(spark, sf_dir))
+        index = search_index.SearchIndex(spark, _folder(spark, "words"))
+        for number in (0, 1):
+            index.add(rows.where(F.col("id") % 2 == number), number)
+        return feed_queries.shown(feed.ordered(feed.filtered(rows, q, index=index), "recent", NOW))
+
+    return query
+
+
+for _name, _q in (("word", "the"), ("phrase", '"of the"'), ("neg", "-and"), ("combo", "the -source:email age:<=1mo is:unread")):
+    _register(f"q_{_name}_indexed", _indexed(_q), feed_queries.ORACLES[f"q_{_name}"])
