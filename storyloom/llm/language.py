@@ -13,8 +13,8 @@ All counts are grouped aggregations with partial sums. They are joined back once
 have are few and broadcast, so a host with a third of all pages is no single task.
 The trigram model is fitted on a bounded sample of each language: its documents fall into ``TRAIN_ROWS`` buckets
 by the hash of their id, and the one with the least hash of each bucket is taken; of texts longer than
-``TRAIN_BYTES`` four slices, evenly spread. A task for each language counts the trigrams; the driver gets 65536 counts for each
-language at most. All languages are kept, a table of 256 KB for each.
+``TRAIN_CHARS`` four slices, evenly spread (both are parameters of ``fit``). A task counts a language's trigrams; the driver gets
+its counts as 256 KB of numbers. All languages are kept; their table goes to the workers as a broadcast, 256 KB for each.
 
 Defined results: null html has no text and no declaration; a null or odd url has an empty host, whose prior is
 that of all pages; the language that a page declares is that of its first ``html`` tag; script, style and comments
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import cut, join_counted, per_batch
 
-TRAIN_ROWS, TRAIN_BYTES = 200, 16_384
+TRAIN_ROWS, TRAIN_CHARS = 200, 16_384
 BUCKETS, SMOOTH, OVERLAP, STRENGTH = 1 << 16, 0.1, 3.0, 4.0
 HIDDEN = re.compile(r"(?i)<(?:!--|(script|style|noscript|template)\b)")
 CLOSED = {"!--": re.compile("-->")} | {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
@@ -88,11 +88,11 @@ def trigrams(text: str) -> np.ndarray:
     return (packed * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def sampled(text: str) -> list[str]:
-    """The text, or of a longer one four slices of ``TRAIN_BYTES`` characters in all, evenly spread over it."""
-    if len(text) <= TRAIN_BYTES:
+def sampled(text: str, chars: int | None = TRAIN_CHARS) -> list[str]:
+    """The text, or of a longer one four slices of ``chars`` characters in all, evenly spread over it; None for whole texts."""
+    if chars is None or len(text) <= chars:
         return [text]
-    size = TRAIN_BYTES // 4
+    size = chars // 4
     return [text[at : at + size] for at in (k * (len(text) - size) // 3 for k in range(4))]
 
 
@@ -114,43 +114,41 @@ def train(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
     return model_of(counts)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The trigram model of the sample described above."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("lang", "id", F.xxhash64("id").alias("h"))
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int | None = TRAIN_CHARS,
+) -> tuple[list[str], np.ndarray]:
+    """The trigram model of the sample described above: ``rows`` documents of each language at most, ``chars`` characters of each."""
+    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    keys = known.select("lang", "id", F.xxhash64("id").alias("h"))
     least = F.min(F.struct("h", F.col("id").alias("least_id"))).alias("least")
-    chosen = keys.groupBy("lang", F.pmod("h", F.lit(TRAIN_ROWS)).alias("bucket")).agg(least)
+    chosen = keys.groupBy("lang", F.pmod("h", F.lit(rows)).alias("bucket")).agg(least)
     chosen = chosen.select(F.col("lang").alias("of_lang"), "least.least_id")
     same = (F.col("lang") == F.col("of_lang")) & F.col("id").eqNullSafe(F.col("least_id"))
-    found = rows.join(F.broadcast(chosen), same)  # TRAIN_ROWS ids of each language at most
+    found = known.join(F.broadcast(chosen), same)  # as many ids of each language as rows are asked for, at most
     texts_of = found.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part in sampled(text):
+                for part in sampled(text, chars):
                     held[lang] = held.get(lang, 0) + np.bincount(trigrams(part), minlength=BUCKETS)
         for lang, counts in held.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts.astype(np.int32).tobytes()], pa.binary())], ["lang", "counts"])
 
     # The sample of a language is bounded, so one task counts it.
-    table = texts_of.repartition("lang").mapInArrow(count, "lang string, bucket long, n long").toArrow().to_pydict()
-    counts: dict[str, np.ndarray] = {lang: np.zeros(BUCKETS, dtype=np.int64) for lang in set(table["lang"])}
-    for lang, bucket, n in zip(table["lang"], table["bucket"], table["n"], strict=True):
-        counts[lang][bucket] = n
-    return model_of(counts)
+    told = texts_of.repartition("lang").mapInArrow(count, "lang string, counts binary").toArrow()
+    return model_of({lang.as_py(): np.frombuffer(counts.as_buffer(), np.int32) for lang, counts in zip(told["lang"], told["counts"], strict=True)})
 
 
 def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, domain, suffix, declared, n_chars, loglik) of every row; declared is a known language, other or none."""
-    languages, table = model
-    known = set(languages)
+    languages, known = model[0], set(model[0])
+    shared = pages.sparkSession.sparkContext.broadcast(model[1])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        table, out = shared.value, []
         for url, markup in zip(batch.column(1), batch.column(2), strict=True):
             found, markup = HOST.match(url.as_py() or ""), markup.as_py() or ""
             host = found[1].lower().strip(".") if found else ""
@@ -171,18 +169,33 @@ def evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
     return rows.mapInArrow(per_batch(run), schema)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def _softmax(logits: Column) -> Column:
-    return F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    return _let(logits, lambda own: _let(F.array_max(own), lambda most: F.transform(own, lambda x: F.exp(x - most))))
 
 
 def _normal(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(values, lambda x: x / total)
+    return _let(values, lambda own: _let(_total(own), lambda total: F.transform(own, lambda x: x / total)))
+
 
+def _sums(df: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
+    """(keys, n, name): how many rows have the keys, and their arrays summed.
 
-def _sums(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """(key, name): the text posteriors summed by ``key``."""
-    return df.groupBy(key).agg(F.array(*[F.sum(F.col("post")[i]) for i in range(n)]).alias(name))
+    Places of the arrays are summed as rows, map-side first; a plan with a sum for each place would grow with the languages.
+    """
+    each = df.select(*keys, F.posexplode(F.concat(values, F.array(F.lit(1.0)))).alias("_at", "_x"))
+    summed = each.groupBy(*keys, "_at").agg(F.sum("_x").alias("_x"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda x: x["_x"])
+    rows = summed.groupBy(*keys).agg(held.alias("_held"))
+    return rows.select(*keys, F.element_at("_held", -1).cast("long").alias("n"), F.slice("_held", F.lit(1), F.size("_held") - 1).alias(name))
 
 
 def _plus(a: Column, b: Column, sign: float = 1.0) -> Column:
@@ -191,8 +204,8 @@ def _plus(a: Column, b: Column, sign: float = 1.0) -> Column:
 
 def _smoothed(own: Column, above: Column) -> Column:
     """Shares of ``own`` drawn towards ``above`` with a fixed strength."""
-    total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(own, above, lambda x, y: (x + STRENGTH * y) / (total + STRENGTH))
+    drawn = lambda mine: lambda total: F.zip_with(mine, above, lambda x, y: (x + STRENGTH * y) / (total + STRENGTH))
+    return _let(own, lambda mine: _let(_total(mine), drawn(mine)))
 
 
 def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -206,20 +219,21 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str
                            F.lit(None).cast("string").alias("text_lang"), "declared", "n_chars")
     seen = evidence(pages, model, id_col, url_col, html_col).withColumn("logits", F.transform("loglik", lambda x: x / OVERLAP))
     seen = cut(seen.withColumn("post", _normal(_softmax(F.col("logits")))))
-    everything = seen.agg(F.array(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)) for i in range(n)]).alias("total")).first()["total"]
+    held = {r["at"]: r["x"] for r in seen.select(F.posexplode("post").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()}  # a row for each language
+    everything = [held.get(k, 0.0) for k in range(n)]
     total = F.array(*[F.lit(float(x)) for x in everything])
     base = F.array(*[F.lit((x + 1) / (sum(everything) + n)) for x in everything])
     # P(value | language), smoothed by one page of each value that occurs.
     given = {}
     for key in ("declared", "suffix"):
         values = seen.select(key).distinct().count()
-        given[key] = _sums(seen, key, n, f"{key}_sum").select(
+        given[key] = _sums(seen, [key], F.col("post"), f"{key}_sum").select(
             key, F.zip_with(f"{key}_sum", total, lambda x, t: F.log((x + 1) / (t + values))).alias(f"{key}_log")
         )
     # Host, domain and suffix are summed and joined on rows of hosts, then once with the pages.
     places = ["host", "domain", "suffix"]
-    hosts = cut(seen.groupBy(*places).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("post")[i]) for i in range(n)]).alias("host_sum")))
-    of_domain = cut(hosts.groupBy("domain").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("host_sum")[i]) for i in range(n)]).alias("domain_sum")))
+    hosts = cut(_sums(seen, places, F.col("post"), "host_sum"))
+    of_domain = cut(_sums(hosts, ["domain"], F.col("host_sum"), "domain_sum"))
     of_suffix = cut(hosts.groupBy("suffix").agg(F.count("*").alias("n")).join(given["suffix"], "suffix"))
     n_pages, n_hosts = seen.count(), hosts.count()
     told = hosts.select(*places, "host_sum", F.col("n").alias("pages"))

@@ -66,3 +66,23 @@ def test_fusion_decides_where_evidence_conflicts(spark):
     assert len(found) == len(pages) and [found[i]["lang"] for i in (900, 901, 902, 903)] == ["de", "fr", "fr", "en"]
     assert any(found[i]["lang"] != found[i]["text_lang"] for i in (900, 901))
     assert all(found[i]["lang"] == p[2][11:13] for i, p in enumerate(pages[:300]))
+
+
+def test_two_hundred_languages(spark):
+    """Time and plan don't grow with the square of the languages, and the driver gets no rows of counts."""
+    rng, n = random.Random(1), 200
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(40)] for _ in range(n)]
+    say = lambda k, size: " ".join(rng.choice(words[k]) for _ in range(size))
+    docs = [(k, say(k % n, 60), f"l{k % n:03d}") for k in range(2 * n)]
+    pages = [(k, f"https://h{k % 7}.org/x", f"<html lang=x><p>{say(k % n, 30)}</p></html>") for k in range(2 * n)]
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), chars=None)
+    assert len(model[0]) == n and model[1].shape == (language.BUCKETS, n)
+    found = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()
+    assert all(r["lang"] == f"l{r['page_id'] % n:03d}" and r["declared"] == "other" for r in found) and len(found) == 2 * n
+
+
+def test_fit_takes_its_bounds(spark):
+    rows = [(k, "ab " * 50 + "zz " * 50, "en") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, whole = (language.fit(docs, rows=r, chars=c)[1] for r, c in ((1, 40), (200, None)))
+    assert (few != whole).any() and (language.fit(docs, rows=1, chars=None)[1] == language.train([rows[0][1]], ["en"])[1]).all()
