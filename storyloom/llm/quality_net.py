@@ -152,15 +152,22 @@ def _adam(params: Weights, grads: Weights, used: int, first: Weights, second: We
         params[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def sampled(text: Column) -> Column:
-    """The text, or four slices of a long one."""
-    size, n = TRAIN_CHARS // 4, F.length(text)
+def sampled(text: Column, chars: int | None = TRAIN_CHARS) -> Column:
+    """The text, or four slices of one longer than ``chars``; None for whole texts."""
+    if chars is None:
+        return text
+    size, n = chars // 4, F.length(text)
     slices = [F.substring(text, F.floor(k * (n - size) / 3).cast("int") + 1, F.lit(size)) for k in range(4)]
-    return F.when(n <= TRAIN_CHARS, text).otherwise(F.concat(*slices))
+    return F.when(n <= chars, text).otherwise(F.concat(*slices))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Weights:
-    """Weights learned from the labelled rows outside the held-out fold; a bounded sample comes to the driver."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, chars: int | None = TRAIN_CHARS,
+) -> Weights:
+    """Weights learned from the labelled rows outside the held-out fold; a bounded sample comes to the driver.
+
+    It has ``train_rows`` rows of each label and ``chars`` characters of each text at most.
+    """
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
@@ -168,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     prior = math.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
-    sample = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for v in (0, 1)]
-    chosen = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * TRAIN_ROWS rows at most
+    sample = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for v in (0, 1)]
+    chosen = F.broadcast(sample[0].unionByName(sample[1]))  # 2 * train_rows rows at most
     rows = (
-        id_and_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "label", sampled(F.col("text")).alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * TRAIN_ROWS).collect()
+        id_and_text(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "label", sampled(F.col("text"), chars).alias("text"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * train_rows).collect()
     )
     texts, y = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows], np.array([r["label"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
