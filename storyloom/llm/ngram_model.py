@@ -8,8 +8,8 @@ word by its place among the successors of the second one, a small number. A pair
 its pointers, and a successor search between them; a triple by the number of its first pair and that place.
 
 Smoothing: P(w | v) = (c(v, w) + K P(w)) / (c(v) + K) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); a pair that
-was never seen takes the same formula with no count. Triples take part from two occurrences on, as those that occur
-once are most and say least: P(w | u, v) = (c(u, v, w) + K P(w | v)) / (C(u, v) + K), C the sum of the counts that take
+was never seen takes the same formula with no count. Triples take part from ``least`` occurrences on, a parameter of
+``build`` (two by default, as those that occur once are most and say least; 1 keeps all): P(w | u, v) = (c(u, v, w) + K P(w | v)) / (C(u, v) + K), C the sum of the counts that take
 part; a pair that begins none of them leaves P(w | v). So the probabilities of all words and of one unknown word add up
 to 1 for each context.
 
@@ -277,7 +277,7 @@ class Pairs:
         """(codes, numbers, places) of ascending pairs (context << 32 | word).
 
         A code is -1 where a pair was never seen; its number, and its place among the context's successors, are -1
-        where it was seen less than twice.
+        where it was seen less than ``least`` times.
         """
         codes, numbers, places = (np.full(len(pairs), -1, dtype=np.int64) for _ in range(3))
         cuts = [0, *np.searchsorted(pairs, self.bounds[1:]).tolist(), len(pairs)]
@@ -482,19 +482,19 @@ class _Numbers:
         return codes, earlier, places
 
 
-def build(docs: DataFrame) -> Model:
-    """The model of the training rows of (doc_id, text)."""
+def build(docs: DataFrame, least: int = LEAST) -> Model:
+    """The model of the training rows of (doc_id, text); triples that occur less than ``least`` times leave P(w | v)."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
     words, frequent = _build_words(docs, folder, parts)
-    pairs, cuts, hot = _build_pairs(docs, folder, words, pair_bounds(words, frequent, parts), max(words.total / parts, 1.0))
+    pairs, cuts, hot = _build_pairs(docs, folder, words, pair_bounds(words, frequent, parts), max(words.total / parts, 1.0), least)
     bits = 64 - max(int(pairs.offsets[-1]).bit_length(), 1)
-    return Model(words, pairs, _build_triples(docs, folder, words, pairs, bits, triple_bounds(pairs, bits, cuts, hot)))
+    return Model(words, pairs, _build_triples(docs, folder, words, pairs, bits, triple_bounds(pairs, bits, cuts, hot), least))
 
 
-def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int], share: float) -> tuple[Pairs, list[int], list[tuple[int, int, int]]]:
+def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int], share: float, least: int) -> tuple[Pairs, list[int], list[tuple[int, int, int]]]:
     """Level 2; the numbers of pairs at which level 3 is cut, and (number, second word, ranges) of pairs that it cuts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,8 +510,8 @@ def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int],
         log_share = words.log_share(words.counts(known))[inverse]
         around = np.repeat(words.counts(context[starts].astype(np.int64)), np.diff(np.r_[starts, len(keys)]))
         arrays["code"] = _code(smoothed(counts.astype(np.float64), around, log_share))
-        arrays["often"] = np.packbits(counts >= LEAST, bitorder="little")
-        weight = np.where(counts >= LEAST, counts, 0)
+        arrays["often"] = np.packbits(counts >= least, bitorder="little")
+        weight = np.where(counts >= least, counts, 0)
         summed = np.cumsum(weight)
         cuts = np.unique(np.searchsorted(summed, np.arange(share, float(summed[-1]), share)))
         hot = np.flatnonzero(weight > share)
@@ -532,7 +532,7 @@ def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int],
     return pairs, [offset(x) + n for x in lines for n in x["cuts"]], hot
 
 
-def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bits: int, bounds: list[int]) -> Triples:
+def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bits: int, bounds: list[int], least: int) -> Triples:
     """Level 3."""
     empty = Triples(bits, bounds, [], {})
 
@@ -549,7 +549,7 @@ def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bit
 
     def store(rows: pa.Table) -> pa.Table:
         keys, counts = _merged_runs(rows)
-        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST].astype(np.float64)
+        keys, counts = keys[counts >= least], counts[counts >= least].astype(np.float64)
         shard, path, ends, sums = rows.column("shard")[0].as_py(), "", [], []
         if len(keys):
             pair, successor = keys >> np.uint64(bits), keys & np.uint64((1 << bits) - 1)
@@ -616,9 +616,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return id_and_text(df, id_col, text_col).mapInArrow(apply, schema)
 
 
-def learn_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learn_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    model = build(id_and_text(df, id_col, text_col))
+    model = build(id_and_text(df, id_col, text_col), least)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
     return score(df, model, id_col, text_col).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known",

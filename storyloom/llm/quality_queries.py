@@ -1,11 +1,15 @@
-"""Query of the quality-rule ledger."""
+"""Queries of the quality-rule ledger."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.llm import quality_rules
-from storyloom.llm.common import table
+from storyloom.llm.common import shared_folder, table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,3 +56,19 @@ b AS (
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 }
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, read from a ledger that was written once."""
+    stored = quality_rules.write_ledger(table(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    each = [quality_rules.ablations(stored, policy).withColumn("policy", F.lit(policy)) for policy in quality_rules.POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
+QUERIES["quality_ablations"] = quality_ablations
+_RULES = ", ".join(
+    f"('{policy}', '{rule}', {quality_rules.BITS[rule]}, {quality_rules.mask(names)})" for policy, names in quality_rules.POLICIES.items() for rule in names
+)
+ORACLES["quality_ablations"] = f"""SELECT policy, rule, count_if(fail_bits & bit <> 0)::BIGINT AS n_failed, count_if(fail_bits & mask = bit)::BIGINT AS n_only,
+  count_if(fail_bits & mask = 0)::BIGINT AS n_kept, count_if(fail_bits & (mask - bit) = 0)::BIGINT AS n_kept_without
+FROM (SELECT fail_bits FROM ({ORACLES['op2_quality_rules']})), (VALUES {_RULES}) r(policy, rule, bit, mask) GROUP BY policy, rule"""

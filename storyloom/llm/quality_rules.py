@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import WORD_SPACE, id_and_text
@@ -171,6 +171,16 @@ def ablations(ledger_df: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     )
 
 
+def write_ledger(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored ledger of ``df`` in a folder of the shared store: rules are evaluated once, policies and ablations read this."""
+    ledger(df, id_col, text_col).write.parquet(folder)
+    return read_ledger(df.sparkSession, folder)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(", ".join(["doc_id long", *(f"{m} long" for m in MEASURES), "fail_bits long"])).parquet(folder)
+
+
 def keep_passing(df: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that a policy keeps, with their own columns; nothing is shuffled."""
     columns = [F.col(f"_row.{_quoted(name)}").alias(name) for name in df.columns]
