@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from datetime import datetime, timezone
 from functools import reduce
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +18,7 @@ from pyspark.sql import functions as F
 from storyloom.functions.text import cut_title, first_line, strip
 from storyloom.functions.times import duration_label, short_age_ts
 from storyloom.plans.feed import or_else
+from storyloom.sources.log_sink import place_of
 
 CARD = "struct<url: string, domain: string, title: string, description: string, cover: string>"
 POSTS = f"""tid string, href string, text string, authorName string, handle string, avatar string, replyTo string, dt string, articleTitle string,
@@ -105,3 +113,34 @@ def job_statuses(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         rows.append(found.withColumns({"job": F.lit(job), "label": F.coalesce("label", F.lit(job)), "ok": F.coalesce("ok", F.col("status").isin("idle", "running", "success"))}))
     place = F.array_position(F.array(*[F.lit(j) for j in JOBS]), F.col("job"))
     return reduce(DataFrame.unionByName, rows).orderBy(F.when(place == 0, 99).otherwise(place), "job")
+
+
+@contextmanager
+def job_status(path: str, job: str, label: str | None = None) -> Iterator[dict]:
+    """The status file of a job while it runs: running, then success or failed, each put in place whole.
+
+    The yielded fields (``message``, say) go into the last status. A failure is written with its text and raised again;
+    ``started_at`` stays, and the finish time of the run before stays until this one ends.
+    """
+    place, file = place_of(path)
+    now = lambda: datetime.now(timezone.utc).isoformat()
+    told = {"job": job, "label": label or job, "started_at": now(), "pid": os.getpid(), "finished_at": None}
+    if place.get_file_info(file).type != fs.FileType.NotFound:
+        with place.open_input_stream(file) as source:
+            with suppress(ValueError):
+                told["finished_at"] = json.loads(source.read()).get("finished_at")
+
+    def write(**facts) -> None:  # noqa: ANN003
+        place.create_dir(file.rpartition("/")[0], recursive=True)
+        aside = f"{file}.{uuid.uuid4().hex}"
+        with place.open_output_stream(aside) as out:
+            out.write(json.dumps(told | facts | {"updated_at": now()}).encode())
+        place.move(aside, file)
+
+    write(status="running", ok=True)
+    try:
+        yield told
+    except BaseException as error:
+        write(status="failed", ok=False, finished_at=now(), message=str(error) or type(error).__name__)
+        raise
+    write(status="success", ok=True, finished_at=now())

@@ -127,3 +127,30 @@ def test_posts_and_messages_of_one_id_are_chosen_by_an_order(spark):
     messages = spark.createDataFrame([("m1", "S", "b"), ("m1", "A", "z"), ("m1", "A", "y")], "id string, subject string, body string")
     mentions = spark.createDataFrame([(1, "email", None, None, "https://mail/#inbox/m1")], "id long, source_type string, raw_title string, raw_body string, gmail_url string")
     assert state.hydrate(mentions, messages.repartition(3)).select("raw_title", "raw_body").first() == ("A", "y")
+
+
+def test_status_files_follow_a_job(spark, tmp_path):
+    from storyloom.sources import saved
+
+    path = str(tmp_path / "jobs" / "email.json")
+    told = lambda: saved.job_statuses(spark, {"email": path, "zz": str(tmp_path / "none")}).collect()
+    assert [(r["job"], r["status"], r["ok"]) for r in told()] == [("email", "idle", True), ("zz", "idle", True)]
+    with saved.job_status(path, "email", "Mail") as facts:
+        assert (told()[0]["status"], told()[0]["label"], told()[0]["finished_at"]) == ("running", "Mail", None)
+        facts["message"] = "3 items"
+    first = told()[0]
+    assert (first["status"], first["message"], first["ok"]) == ("success", "3 items", True) and first["finished_at"] >= first["started_at"]
+    with pytest.raises(KeyError), saved.job_status(path, "email"):
+        assert told()[0]["finished_at"] == first["finished_at"]
+        raise KeyError("gone")
+    assert (told()[0]["status"], told()[0]["ok"], told()[0]["message"]) == ("failed", False, "'gone'")
+    assert len(list((tmp_path / "jobs").iterdir())) == 1
+
+
+def test_independent_set_of_long_chains(spark):
+    """A chain goes one node in two; more rounds than are put together at once."""
+    from storyloom.operators import graph
+
+    nodes = spark.createDataFrame([(k,) for k in range(40)], "node long")
+    edges = spark.createDataFrame([(k, k + 1) for k in range(39)], "a long, b long")
+    assert sorted(r["node"] for r in graph.first_independent_set(nodes, edges).collect()) == list(range(0, 40, 2))
