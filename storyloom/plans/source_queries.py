@@ -387,7 +387,7 @@ def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in (1, 2):  # the second with a checkpoint of its own, so it reads all again
         stream = ingest.stream_table(spark, sf_dir, "events").select("user_id")
         log = ingest.append_unseen(stream, "user_id", f"{folder}/log", f"{folder}/state-{run}")
-    return log.read("rows").drop("batch")
+    return log.drop("batch")
 
 
 _register("stream_append_unseen", _appended, "SELECT DISTINCT user_id FROM events")

@@ -66,23 +66,24 @@ def counts(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def append_unseen(stream: DataFrame, key: str, log: str, checkpoint: str) -> BatchStore:
-    """Append rows whose key the log at path ``log`` lacks; read them with ``.read("rows")``.
+def append_unseen(stream: DataFrame, key: str, log: str, checkpoint: str) -> DataFrame:
+    """Append rows whose key the log at path ``log`` lacks; gives the log's rows with their ``batch``.
 
-    A batch counts once its manifest is there: one that was lost while it wrote is written again in whole, and one
-    that is run again after it was committed adds nothing, as the log has its keys. Null is a key like any other; of a
-    batch's rows of one key the smallest stays. Batches get the log's own numbers, so a stream with a new checkpoint
-    goes on where the log ends.
+    A batch counts once its manifest, beside the log, is there: one that was lost while it wrote is written again in whole,
+    and one that is run again after it was committed adds nothing, as the log has its keys. (Who reads the folders below
+    ``log`` by themselves may see what a lost batch has left.) Null is a key like any other; of a batch's rows of one
+    key the smallest stays. Batches get the log's own numbers, so a stream with a new checkpoint goes on where the log ends.
     """
-    rows = BatchStore(stream.sparkSession, log, {"rows": columns_of(stream)})
+    folder, _, name = log.rstrip("/").rpartition("/")
+    rows = BatchStore(stream.sparkSession, folder, {name: columns_of(stream)}, manifest=f"{folder}/{name}.manifest")
     others = [c for c in stream.columns if c != key]
 
     def store(batch: DataFrame, number: int) -> None:
         there = rows.batches()
         one = batch.groupBy(key).agg(F.min(F.struct(*others)).alias("t")).select(key, "t.*") if others else batch.select(key).distinct()
-        seen = rows.read("rows").select(F.col(key).alias("_seen")).distinct()
+        seen = rows.read(name).select(F.col(key).alias("_seen")).distinct()
         fresh = one.join(seen, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
-        rows.commit(there[-1] + 1 if there else 0, {"rows": fresh})
+        rows.commit(there[-1] + 1 if there else 0, {name: fresh})
 
     run_batches(stream, store, checkpoint)
-    return rows
+    return rows.read(name)

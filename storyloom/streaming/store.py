@@ -36,13 +36,15 @@ class BatchStore:
     """``tables``: name -> DDL of the rows of each table. ``read`` adds their batch as ``batch``.
 
     ``folders``: name -> column of few values by which a table's rows lie in folders, of which a filter reads some.
+    Manifests lie beside the tables, or where ``manifest`` says.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], folders: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], folders: dict[str, str] | None = None, manifest: str | None = None):
         self.spark, self.folder, self.tables, self.folders = spark, folder.rstrip("/"), tables, folders or {}
+        self.manifest = manifest or f"{self.folder}/manifest"
 
     def _entries(self, upto: int | None = None) -> list:
-        found = read_if_there(self.spark, f"{self.folder}/manifest", ENTRY)
+        found = read_if_there(self.spark, self.manifest, ENTRY)
         return sorted((r for r in found.collect() if upto is None or r["number"] <= upto), key=lambda r: r["number"])
 
     def batches(self) -> list[int]:
@@ -59,7 +61,7 @@ class BatchStore:
             (rows.repartition(*by) if by else rows).write.partitionBy(*by).parquet(path)
             entries.append((number, name, path, kind == "snapshot"))
         # One file, which appears by a rename when it is whole.
-        self.spark.createDataFrame(entries, ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/entry={kind}-{number}")
+        self.spark.createDataFrame(entries, ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.manifest}/entry={kind}-{number}")
 
     def commit(self, number: int, frames: dict[str, DataFrame]) -> bool:
         """Write a batch; False if it is there already. Its number must be above all others."""

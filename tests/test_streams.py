@@ -22,15 +22,15 @@ def put(spark, folder, number, rows, schema):
 class TestLog:
     def test_a_half_written_batch_is_written_again(self, spark, tmp_path):
         log = str(tmp_path / "log")
-        ingest.append_unseen(put(spark, tmp_path / "a", 0, [(1,), (2,)], "k long"), "k", log, str(tmp_path / "c1"))
+        append = lambda stream, n: ingest.append_unseen(stream, "k", log, str(tmp_path / f"c{n}"))
+        append(put(spark, tmp_path / "a", 0, [(1,), (2,)], "k long"), 1)
         # A lost driver left the next batch's folder with a part of its rows, and no manifest.
-        spark.createDataFrame([(3,)], "k long").write.parquet(f"{log}/rows/batch-1-lost")
-        os.makedirs(f"{log}/manifest/entry=batch-1/_temporary/0")
-        found = ingest.append_unseen(put(spark, tmp_path / "b", 0, [(2,), (3,), (4,), (None,), (None,)], "k long"), "k", log, str(tmp_path / "c2"))
-        rows = lambda: sorted((r["k"] for r in found.read("rows").collect()), key=str)
-        assert rows() == [1, 2, 3, 4, None]
-        ingest.append_unseen(put(spark, tmp_path / "b", 0, [(None,), (1,)], "k long"), "k", log, str(tmp_path / "c3"))
-        assert rows() == [1, 2, 3, 4, None] and found.batches() == [0, 1, 2]
+        spark.createDataFrame([(3,)], "k long").write.parquet(f"{log}/batch-1-lost")
+        os.makedirs(f"{log}.manifest/entry=batch-1/_temporary/0")
+        rows = lambda found: sorted((r["k"] for r in found.collect()), key=str)
+        assert rows(append(put(spark, tmp_path / "b", 0, [(2,), (3,), (4,), (None,), (None,)], "k long"), 2)) == [1, 2, 3, 4, None]
+        found = append(put(spark, tmp_path / "b", 0, [(None,), (1,), (5,)], "k long"), 3)
+        assert rows(found) == [1, 2, 3, 4, 5, None] and sorted({r["batch"] for r in found.collect()}) == [0, 1, 2]
 
     def test_a_complete_result_without_news(self, spark, tmp_path):
         rows = [("a",), ("a",), ("b",)]
