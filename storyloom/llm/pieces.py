@@ -8,6 +8,9 @@ No piece of the vocabulary goes on over a blank that follows another character,
 lattice falls apart into chunks there. Each chunk is searched on its own, short chunks met before are remembered (up
 to a fixed number of bytes for each worker), and the N best paths of a text are the N cheapest sums of the chunks' losses.
 
+A chunk of more than ``LONG`` characters is searched in packed arrays: no arc is kept, each pass reads the arcs anew, and
+the A* queue holds N entries. That takes about 40 bytes for each character and 60 for each piece of a further path.
+
 A piece of rank r has the score log(1 / (r + 2.7)), normalised over the vocabulary and held as a whole number
 of millionths, so sums are exact and ties real.
 
@@ -39,10 +42,17 @@ MICRO = 1_000_000
 UNREACHED = -(1 << 60)
 #: Bytes of remembered chunks, twice, and what an entry takes beside its text and ids; longest chunk remembered.
 REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 200_000_000, 300, 48
+#: Longest chunk whose lattice is held whole; what stands for a character's bytes in packed arrays of ids, and for no arc.
+LONG, BYTES, NONE = 1 << 14, -1, -2
 CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 CHUNKS = re.compile(r" *[^ \n]+|\n| +")
 
 
+def _shown(chunk: str) -> str:
+    """A chunk as pieces spell it: blanks as marks, and real marks, which no piece has inside, as line feeds."""
+    return chunk.replace(MARK, "\n").replace(" ", MARK)
+
+
 class Pieces:
     """The vocabulary: ids and scores of pieces, and of bytes for all else."""
 
@@ -62,6 +72,7 @@ class Pieces:
             nodes[p] = {}
             nodes[p[:-1]][p[-1]] = (nodes[p], score, number)
         self.trie, self.longest = nodes[""], max(map(len, ends))
+        self.length_of = {i: len(p) for p, (i, _) in ends.items()} | {BYTES: 1}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = min(score for _, score in self.by_text.values()) - 10 * MICRO
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
@@ -73,7 +84,7 @@ class Pieces:
         An arc is (start, end, score, id), in order of the starts; a null id stands for a character's bytes.
         Blanks of ``chunk`` are real blanks.
         """
-        shown, size = chunk.replace(MARK, "\n").replace(" ", MARK), len(chunk)
+        shown, size = _shown(chunk), len(chunk)
         trie, longest, arcs = self.trie, self.longest, []
         best, came = [0, *[UNREACHED] * size], [()] * (size + 1)
         for i in range(size):
@@ -100,16 +111,73 @@ class Pieces:
                     best[j], came[j] = here + score, arc
         return arcs, best, came
 
+    def arcs_from(self, chunk: str, shown: str, i: int) -> list[tuple[int, int, int]]:
+        """(end, score, id) of the arcs from a position, ``BYTES`` for a character's bytes; as ``lattice`` has them."""
+        found, node, j = [], self.trie, i
+        for c in shown[i : i + self.longest]:
+            step = node.get(c)
+            if step is None:
+                break
+            node, score, number = step
+            j += 1
+            if score is not None:
+                found.append((j, score, number))
+        if not found or found[0][0] > i + 1:
+            found.append((i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass")), BYTES))
+        return found
+
+    def forward(self, chunk: str) -> tuple[array, array]:
+        """(best, came) in packed arrays: the forward Viterbi scores and, for each position, the id of the arc taken to it."""
+        shown, size = _shown(chunk), len(chunk)
+        best, came = array("q", [UNREACHED]) * (size + 1), array("i", [NONE]) * (size + 1)
+        best[0] = 0
+        for i in range(size):
+            here = best[i]
+            for j, score, number in self.arcs_from(chunk, shown, i):
+                if here + score > best[j]:
+                    best[j], came[j] = here + score, number
+        return best, came
+
+    def long_best_path(self, chunk: str) -> tuple[array, int, float]:
+        """``best_path`` in packed arrays."""
+        shown, size = _shown(chunk), len(chunk)
+        best, came = self.forward(chunk)
+        taken, at = array("i", [NONE]) * size, size
+        while at:
+            number = came[at]
+            at -= self.length_of[number]
+            taken[at] = number
+        back, second = array("q", [UNREACHED]) * (size + 1), UNREACHED
+        back[size] = 0
+        for i in range(size - 1, -1, -1):
+            own, before, top = taken[i], best[i], UNREACHED
+            for j, score, number in self.arcs_from(chunk, shown, i):
+                score += back[j]
+                if score > top:
+                    top = score
+                if number != own and score + before > second:
+                    second = score + before
+            back[i] = top
+        ids = array("i")
+        for i, number in enumerate(taken):
+            if number >= 0:
+                ids.append(number)
+            elif number == BYTES:
+                ids.extend(self.ids_of(chunk, i, None))
+        return ids, best[size], math.inf if second == UNREACHED else best[size] - second
+
     def ids_of(self, chunk: str, start: int, number: int | None) -> list[int]:
         """The ids of an arc."""
         return [number] if number is not None else [self.byte_ids[b] for b in chunk[start].encode("utf-8", "surrogatepass")]
 
-    def best_path(self, chunk: str) -> tuple[list[int], int, float]:
+    def best_path(self, chunk: str) -> tuple[list[int] | array, int, float]:
         """(ids, score, loss): the best path, and how much worse the second best is.
 
         The second best path is the best one over some arc that the best path hasn't; scores from both ends
         give the best path over each arc.
         """
+        if len(chunk) > LONG:
+            return self.long_best_path(chunk)
         arcs, best, came = self.lattice(chunk)
         size = at = len(chunk)
         taken: list[tuple] = [()] * size  # by start: the arc of the best path
@@ -130,39 +198,59 @@ class Pieces:
         return ids, best[size], math.inf if second == UNREACHED else best[size] - second
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The n best (score, ids) of a chunk, best first."""
-        size = len(chunk)
-        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
-        arcs, best, _ = self.lattice(chunk)
-        for i, j, s, number in arcs:
-            into[j].append((i, s, tuple(self.ids_of(chunk, i, number))))
-        ranked: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
+        """The n best (score, ids) of a chunk, best first.
+
+        An entry of the queue stands for paths of its own, the best of which has exactly the entry's score, so entries
+        beyond the n first ones can't come up.
+        """
+        shown, size = _shown(chunk), len(chunk)
+        best = self.forward(chunk)[0] if size > LONG else self.lattice(chunk)[1]
+        ranked: dict[int, list[tuple[int, int, int | str]]] = {}
         found: list[tuple[int, tuple[int, ...]]] = []
         heap: list[tuple] = []
         turn = 0
 
+        def into(j: int) -> list[tuple[int, int, int | str]]:
+            """(start, score, id or character) of the arcs to a position, best first."""
+            arcs = ranked.get(j)
+            if arcs is None:
+                if len(ranked) > LONG:
+                    ranked.clear()
+                arcs = []
+                for i in range(max(j - self.longest, 0), j):
+                    piece = self.by_text.get(shown[i:j])
+                    if piece:
+                        arcs.append((i, piece[1], piece[0]))
+                if not arcs or arcs[-1][0] < j - 1:
+                    c = chunk[j - 1]
+                    arcs.append((j - 1, self.byte_score * len(c.encode("utf-8", "surrogatepass")), c))
+                arcs.sort(key=lambda arc: (-best[arc[0]] - arc[1], arc[0]))
+                ranked[j] = arcs
+            return arcs
+
         def push(j: int, rank: int, after: int, tail: tuple | None) -> None:
-            nonlocal turn
-            if j not in ranked:
-                ranked[j] = sorted(into[j], key=lambda arc: (-best[arc[0]] - arc[1], arc[0]))
-            if rank < len(ranked[j]):
-                i, s, _ = ranked[j][rank]
+            nonlocal turn, heap
+            arcs = into(j)
+            if rank < len(arcs):
+                i, s, _ = arcs[rank]
                 turn += 1
                 heapq.heappush(heap, (-(best[i] + s + after), i, turn, j, rank, after, tail))
+                if len(heap) > 8 * n:
+                    heap = heapq.nsmallest(n - len(found), heap)
 
         push(size, 0, 0, None)
         while heap and len(found) < n:
             cost, i, _, j, rank, after, tail = heapq.heappop(heap)
+            _, s, number = into(j)[rank]
+            link = (number, tail)
             push(j, rank + 1, after, tail)
-            _, s, ids = ranked[j][rank]
-            link = (ids, tail)
             if i:
                 push(i, 0, after + s, link)
             else:
                 path: list[int] = []
                 while link:
-                    path += link[0]
-                    link = link[1]
+                    number, link = link
+                    path += (number,) if isinstance(number, int) else self.ids_of(number, 0, None)
                 found.append((-cost, tuple(path)))
         return found
 

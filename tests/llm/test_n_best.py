@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 from storyloom.llm import pieces
 
 TEXTS = ["the cat", "é\n a", "a  b\x07", "there", "aa aa", "", None, "漢 in", "x"]
@@ -44,3 +47,25 @@ def test_of_equal_scores_no_path_comes_twice():
     ids, _, picks = encoder.encode("there")
     paths = [tuple(pieces.changed(ids.tolist(), x)) for x in picks]
     assert paths[0] == tuple(ids.tolist()) and len(set(paths)) == len(paths)
+
+
+def test_long_chunks_have_the_paths_of_short_ones(monkeypatch):
+    vocabulary, rng = pieces.pieces(pieces.VOCABULARY), random.Random(5)
+    chunks = ["".join(rng.choices(letters, k=rng.randint(1, 120))) for letters in ("ab", "thern", "0123456789abcdef", "漢é\x07▁a") for _ in range(15)]
+    short = [(vocabulary.best_path(c), vocabulary.n_best(c, 4)) for c in chunks]
+    monkeypatch.setattr(pieces, "LONG", 0)
+    for c, ((ids, *rest), paths) in zip(chunks, short, strict=True):
+        found, *other = vocabulary.best_path(c)
+        assert (list(found), other) == (ids, rest) and vocabulary.n_best(c, 4) == paths
+
+
+def test_a_long_chunk_takes_bounded_memory():
+    vocabulary = pieces.pieces(pieces.VOCABULARY)
+    text = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=40_000))
+    tracemalloc.start()
+    ids, scores, picks = pieces.Encoder(vocabulary, 4).encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * len(text)
+    assert len(scores) == 4 and vocabulary.decode(ids.tolist()) == text
+    assert all(vocabulary.decode(pieces.changed(ids.tolist(), x)) == text for x in picks)
