@@ -20,11 +20,14 @@ word or a hot pair. There are as many ranges as the corpus has times ``SHARD_BYT
 doesn't grow with the corpus. Shards are written under names of their own for each attempt, and only those that a
 completed task reports are used, so lost executors do no harm. The driver sees one line per shard.
 
+Texts are split into words twice only: to count the words, and to store all tokens as ids and counts, in compressed
+blocks of whole texts (a Parquet table in the shared folder). Pairs, triples and scores are read from these.
+
 Defined results: a null text is empty and is one end token; a null id is in no fold, neither held out nor learned
 from; with no training rows all counts are zero; repeated rows count each; an empty table gives no rows; extra
 columns are ignored. Words are told apart by their 64-bit hashes: two words with one hash would count as one (with
 a billion distinct words the chance that any two do is 3 %). There may be 2^32 distinct words at most. Long texts are
-read in slices, so memory doesn't grow with a text.
+read in slices and blocks; what grows with a text are its compressed blocks, less than the text itself.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ GROUP, RUN, SLICE = 400_000, 4_000_000, 4 << 20
 STEPS = 4096  # codes per power of ten
 SPACE = b" \t\n\x0b\x0c\r"
 TOP_WORDS = 16
+TOKEN_COLUMNS = ["doc_ids", "sizes", "known", "base", "blocks"]
+TOKENS = "doc_ids array<long>, sizes array<long>, known array<long>, base array<double>, blocks array<binary>"
 #: Text for each range of words or pairs; bytes of shards that a worker holds where the shared folder can't be mapped.
 SHARD_BYTES, HELD_BYTES = 32 << 20, 256 << 20
 
@@ -455,13 +460,76 @@ def _merged_runs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _summed(np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs]))
 
 
-def _pairs_of(words: Words, batches: Iterator[list[tuple[int, bytes]]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, ids, counts, begins, contexts) of the tokens of some texts, group by group."""
-    contexts = _Contexts(words.distinct)
-    for texts in batches:
-        for rows, hashes, begins in token_groups(iter(texts)):
-            ids, counts = _ids(words, hashes)
-            yield rows, ids, counts, begins, contexts.of(ids, begins)
+# --- tokens as ids ---------------------------------------------------------------------------------------------------
+
+
+def _encode_tokens(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ids (-1 for unknown words) and counts of tokens in order, bytes of equal weight together; compressed."""
+    width = max((int(counts.max()).bit_length() + 7) // 8, 1)
+    parts = [ids.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :4], counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]]
+    return bytes([width]) + len(ids).to_bytes(8, "little") + pa.compress(b"".join(x.T.tobytes() for x in parts), codec="zstd", asbytes=True)
+
+
+def _decode_tokens(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, n = block[0], int.from_bytes(block[1:9], "little")
+    flat = np.frombuffer(pa.decompress(block[9:], decompressed_size=(4 + width) * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(-1, n)
+    wide = np.zeros((2, n, 8), dtype=np.uint8)
+    wide[0, :, :4], wide[1, :, :width] = flat[:4].T, flat[4:].T
+    ids, counts = wide.view("<i8")[:, :, 0]
+    return np.where(ids == 0xFFFFFFFF, -1, ids), counts
+
+
+def _token_rows(words: Words, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A row for about ``GROUP`` tokens of whole texts: blocks of tokens, and of each text its id, size and base columns."""
+    n, start, blocks = batch.num_rows, 0, []
+    sizes, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    texts = ((row, x.as_py() or b"") for row, x in enumerate(batch.column(1).cast(pa.binary())))
+    for rows, hashes, _ in token_groups(texts):
+        ids, counts = _ids(words, hashes)
+        sizes += np.bincount(rows, minlength=n)
+        known += np.bincount(rows[counts > 0], minlength=n)
+        base += np.bincount(rows, weights=words.log_share(counts), minlength=n)
+        blocks.append(_encode_tokens(ids, counts))
+        if hashes[-1] == END:
+            stop = int(rows[-1]) + 1
+            columns = [batch.column(0).slice(start, stop - start), *(pa.array(x[start:stop]) for x in (sizes, known, base)), pa.array(blocks, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in columns], TOKEN_COLUMNS)
+            start, blocks = stop, []
+
+
+def tokens(docs: DataFrame, words: Words) -> DataFrame:
+    """The texts of (doc_id, text) as ids and counts, in rows of many texts (``TOKENS``)."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _token_rows(words, batch)
+
+    return docs.mapInArrow(apply, TOKENS)
+
+
+def _blocks(sizes: np.ndarray, blocks: pa.Array, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, counts, begins, contexts) of the tokens of a row of ``tokens``, block by block; rows are places in ``sizes``."""
+    contexts, ends, at = _Contexts(begin), np.cumsum(sizes), 0
+    starts = ends - sizes
+    for block in blocks:
+        ids, counts = _decode_tokens(block.as_py())
+        first, last = np.searchsorted(starts, [at, at + len(ids)])
+        begins = np.zeros(len(ids), dtype=bool)
+        begins[starts[first:last] - at] = True
+        rows = first - 1 + np.cumsum(begins)
+        at += len(ids)
+        yield rows, ids, counts, begins, contexts.of(ids, begins)
+
+
+def _training_blocks(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, begins, contexts) of the tokens of the training rows of (doc_ids, sizes, blocks)."""
+    for batch in batches:
+        for doc_ids, sizes, blocks in zip(*batch.columns, strict=True):
+            training = np.array([is_training(x) for x in doc_ids.as_py()])
+            for rows, ids, _, begins, before in _blocks(sizes.values.to_numpy(), blocks.values, words.distinct):
+                kept = training[rows]
+                if kept.any():
+                    yield ids[kept], begins[kept], before[kept]
 
 
 class _Numbers:
@@ -484,22 +552,30 @@ class _Numbers:
 
 def build(docs: DataFrame, least: int = LEAST) -> Model:
     """The model of the training rows of (doc_id, text); triples that occur less than ``least`` times leave P(w | v)."""
+    return _build(docs, least)[0]
+
+
+def _build(docs: DataFrame, least: int) -> tuple[Model, DataFrame]:
+    """The model, and the stored ``tokens`` of all rows."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
     words, frequent = _build_words(docs, folder, parts)
-    pairs, cuts, hot = _build_pairs(docs, folder, words, pair_bounds(words, frequent, parts), max(words.total / parts, 1.0), least)
+    tokens(docs, words).write.parquet(f"{folder}/tokens")
+    stored = spark.read.schema(TOKENS).parquet(f"{folder}/tokens")
+    learned = stored.select("doc_ids", "sizes", "blocks")
+    pairs, cuts, hot = _build_pairs(learned, folder, words, pair_bounds(words, frequent, parts), max(words.total / parts, 1.0), least)
     bits = 64 - max(int(pairs.offsets[-1]).bit_length(), 1)
-    return Model(words, pairs, _build_triples(docs, folder, words, pairs, bits, triple_bounds(pairs, bits, cuts, hot), least))
+    triples = _build_triples(learned, folder, words, pairs, bits, triple_bounds(pairs, bits, cuts, hot), least)
+    return Model(words, pairs, triples), stored
 
 
-def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int], share: float, least: int) -> tuple[Pairs, list[int], list[tuple[int, int, int]]]:
+def _build_pairs(learned: DataFrame, folder: str, words: Words, bounds: list[int], share: float, least: int) -> tuple[Pairs, list[int], list[tuple[int, int, int]]]:
     """Level 2; the numbers of pairs at which level 3 is cut, and (number, second word, ranges) of pairs that it cuts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _pairs_of(words, (list(_training_texts(batch)) for batch in batches))
-        keys = (before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) for _, ids, _, _, before in tokens)
+        keys = (before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64) for ids, _, before in _training_blocks(words, batches))
         yield from _runs(keys, np.array(bounds, dtype=np.uint64))
 
     def store(rows: pa.Table) -> pa.Table:
@@ -522,7 +598,7 @@ def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int],
         })
 
     schema = "shard int, path string, n long, cuts array<long>, hot array<long>, hot_word array<long>, hot_parts array<long>"
-    lines = docs.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, schema).collect()
+    lines = learned.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, schema).collect()
     paths, sizes = [None] * len(bounds), [0] * len(bounds)
     for x in lines:
         paths[x["shard"]], sizes[x["shard"]] = x["path"], x["n"]
@@ -532,14 +608,14 @@ def _build_pairs(docs: DataFrame, folder: str, words: Words, bounds: list[int],
     return pairs, [offset(x) + n for x in lines for n in x["cuts"]], hot
 
 
-def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bits: int, bounds: list[int], least: int) -> Triples:
+def _build_triples(learned: DataFrame, folder: str, words: Words, pairs: Pairs, bits: int, bounds: list[int], least: int) -> Triples:
     """Level 3."""
     empty = Triples(bits, bounds, [], {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:
             numbers = _Numbers(pairs)
-            for _, ids, _, begins, before in _pairs_of(words, (list(_training_texts(batch)) for batch in batches)):
+            for ids, begins, before in _training_blocks(words, batches):
                 _, earlier, place = numbers.of(ids, before, begins)
                 both = (earlier >= 0) & (place >= 0)
                 if both.any():
@@ -563,7 +639,7 @@ def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bit
             "shard": pa.array([shard], type=pa.int32()), "path": [path], "ends": pa.array([ends], type=pa.list_(pa.int64())), "sums": pa.array([sums], type=pa.list_(pa.float64())),
         })
 
-    lines = docs.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, "shard int, path string, ends array<long>, sums array<double>").collect()
+    lines = learned.mapInArrow(count, "shard int, run binary").groupBy("shard").applyInArrow(store, "shard int, path string, ends array<long>, sums array<double>").collect()
     paths: list[str | None] = [None] * len(bounds)
     inside = {b >> bits for b in bounds if b & ((1 << bits) - 1)}
     cut: dict[int, float] = {}
@@ -578,49 +654,49 @@ def _build_triples(docs: DataFrame, folder: str, words: Words, pairs: Pairs, bit
 # --- scoring -------------------------------------------------------------------------------------------------------
 
 
-def _score_batch(model: Model, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(tokens, known tokens, base scores, scores) of some texts."""
-    words, n = model.words, len(texts)
-    tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+def _scores(model: Model, sizes: np.ndarray, blocks: pa.Array, begin_count: int) -> np.ndarray:
+    """Scores of the texts of a row of ``tokens``."""
+    words, n, score = model.words, len(sizes), np.zeros(len(sizes))
     numbers, last_count = _Numbers(model.pairs), 0
-    begin_count = int(words.find(np.array([END], dtype=np.uint64))[1][0])
-    for rows, ids, counts, begins, before in _pairs_of(words, iter([list(enumerate(texts))])):
-        share = words.log_share(counts)
+    for rows, ids, counts, begins, before in _blocks(sizes, blocks, words.distinct):
         around = np.where(begins, begin_count, np.r_[last_count, counts[:-1]])
         last_count = counts[-1]
-        logs = smoothed(np.zeros(len(ids)), around, share)
+        logs = smoothed(np.zeros(len(ids)), around, words.log_share(counts))
         codes, earlier, place = numbers.of(ids, before, begins)
         logs[codes >= 0] = codes[codes >= 0] / -STEPS
         third = np.flatnonzero(earlier >= 0)
         keys, inverse = np.unique(model.triples.key(earlier[third], place[third]), return_inverse=True)
         own, back = (x[inverse] for x in model.triples.find(keys))
         logs[third] = np.log10(10.0**own + 10.0 ** (back + logs[third]))
-        tokens += np.bincount(rows, minlength=n)
-        known += np.bincount(rows[counts > 0], minlength=n)
-        base += np.bincount(rows, weights=share, minlength=n)
         score += np.bincount(rows, weights=logs, minlength=n)
-    return tokens, known, base, score
+    return score
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row."""
+def score_tokens(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every text of ``tokens``."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_count = int(model.words.find(np.array([END], dtype=np.uint64))[1][0])
         for batch in batches:
-            if batch.num_rows:
-                found = _score_batch(model, [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())])
+            for *columns, blocks in zip(*batch.columns, strict=True):
+                found = pa.array(_scores(model, columns[1].values.to_numpy(), blocks.values, begin_count))
                 names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in found)], names)
+                yield pa.RecordBatch.from_arrays([*(x.values for x in columns), found], names)
 
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    return id_and_text(df, id_col, text_col).mapInArrow(apply, schema)
+    return rows.select(*TOKEN_COLUMNS).mapInArrow(apply, schema)
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every row, also of rows that the model was not built from."""
+    return score_tokens(tokens(id_and_text(df, id_col, text_col), model.words), model)
 
 
 def learn_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    model = build(id_and_text(df, id_col, text_col), least)
+    model, stored = _build(id_and_text(df, id_col, text_col), least)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
-    return score(df, model, id_col, text_col).select(
+    return score_tokens(stored, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.words.total).cast("long").alias("train_tokens"), "base_score", "score",
     )
