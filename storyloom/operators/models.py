@@ -36,11 +36,14 @@ class Offline:
     news_share: float = 0.5
 
     def embed(self, text: str) -> list[float]:
-        """Hashed bag of words of unit length."""
-        vector = np.zeros(self.dimensions)
+        """Hashed bag of words of unit length; where the signs of all words cancel each other, they count without sign."""
+        vector, count = np.zeros(self.dimensions), np.zeros(self.dimensions)
         for word in re.findall(r"\w+", text.lower()):
             digest = hashlib.md5(word.encode()).digest()
-            vector[int.from_bytes(digest[:4], "little") % self.dimensions] += 1 if digest[4] & 1 else -1
+            place = int.from_bytes(digest[:4], "little") % self.dimensions
+            vector[place] += 1 if digest[4] & 1 else -1
+            count[place] += 1
+        vector = vector if vector.any() else count
         length = np.linalg.norm(vector)
         return (vector / length if length else vector).astype(np.float32).tolist()
 

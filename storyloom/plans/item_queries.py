@@ -31,7 +31,7 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", models.embed(F.col("text")).alias("vector"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", models.embed(F.coalesce("text", F.lit(""))).alias("vector"))
     return docs.select("doc_id", F.size("vector").alias("n"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
 
 
