@@ -6,8 +6,8 @@ the cell's radius; a cell for which that is more than what is looked for is pass
 looked for in the query's own cell, and what is found there limits the cells that follow.
 
 Centres are fitted on at most ``SAMPLE`` vectors (those whose ids have the smallest hashes) and are at most ``CELLS``, so they
-and the cells' sizes go to every task; members go by cell. A cell of many members, or one that many queries ask, is
-several groups of at most about ``MEMBERS`` and ``QUERIES`` rows. Appended vectors go to the nearest of the same centres,
+and the cells' sizes go to every task. Members go by groups of cells that are near each other, of at most about ``MEMBERS`` rows, and a
+cell of more members is several groups. A group is searched by shares of at most about ``QUERIES`` queries, each a task. Appended vectors go to the nearest of the same centres,
 radii grow with them.
 
 Defined results: null ids and null vectors take no part; a vector without length is 0 alike to everything; a row isn't its own
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from storyloom.operators.graph import cut
 from storyloom.streaming.store import BatchStore
 
 CELLS, SAMPLE, ROUNDS = 1024, 16_384, 4
-MEMBERS, QUERIES, STEP = 8192, 4096, 256
+MEMBERS, QUERIES, STEP = 32_768, 32_768, 256
+#: Bytes of vectors that a task holds of a group, and of a share of the queries; pairs that are looked at once more at a time.
+HELD_BYTES, PAIRS = 1 << 24, 1 << 14
 #: What rounding may move a similarity or a distance by.
 SLACK = 1e-9
 MEMBER = "id long, cell int, distance double, unit binary"
@@ -82,14 +85,32 @@ class VectorIndex:
         centres = fit_centres(rows, cells)
         return cls(centres, cut(assigned(rows, centres)))
 
+    def _dealt(self) -> tuple[np.ndarray, np.ndarray]:
+        """(group, parts) of each cell: cells near each other share a group of at most ``_most(MEMBERS)`` rows; a larger cell has as many groups as it needs."""
+        most, middle = self._most(MEMBERS), self.centres - self.centres.mean(axis=0)
+        along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0] if min(middle.shape) > 1 else np.zeros(len(middle))
+        group, parts, at, held = np.zeros(len(middle), np.int64), np.ones(len(middle), np.int64), 0, 0
+        for cell in np.argsort(along, kind="stable"):
+            n = int(self.size[cell])
+            if held and held + n > most:
+                at, held = at + 1, 0
+            group[cell], parts[cell], held = at, max(-(-n // most), 1), held + n
+            if n > most:
+                at, held = at + parts[cell], 0
+        return group, parts
+
+    def _most(self, rows: int) -> int:
+        """So many rows at most, fewer where vectors are long."""
+        return max(min(rows, HELD_BYTES // (8 * max(self.centres.shape[1], 1))), 1)
+
     def _asked(self, queries: DataFrame, cells: str) -> DataFrame:
-        """(id, cell, unit) of the cells that each query has to look into.
+        """(id, group, cells, unit): the groups that each query has to look into, and which cells there.
 
         ``queries`` has id, unit and ``limit``, the distance up to which rows are looked for. ``cells`` is "home" for the one whose
         centre is nearest (of those that have members), "within" for all that the limit doesn't pass over, "further" for
-        these without the home.
+        these without the home. A query goes once to a group, however many of its cells it needs.
         """
-        centres, radius, some = self.centres, self.radius, bool(self.size.any())
+        centres, radius, some, (groups, parts) = self.centres, self.radius, bool(self.size.any()), self._dealt()
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches if some else ():
@@ -105,66 +126,103 @@ class VectorIndex:
                         if cells == "further":
                             near[np.arange(len(part)), home] = False
                         row, cell = np.nonzero(near)
-                    picked = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(cell, pa.int32()), picked.column(1)], ["id", "cell", "unit"])
-
-        return queries.select("id", "unit", "limit").mapInArrow(route, "id long, cell int, unit binary")
+                    times = parts[cell]
+                    row, cell, nth = np.repeat(row, times), np.repeat(cell, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    group = groups[cell] + nth
+                    order = np.lexsort((cell, group, row))
+                    row, cell, group = row[order], cell[order], group[order]
+                    first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(group, prepend=-1))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(cell, pa.int32()))
+                    picked = part.take(pa.array(row[first]))
+                    yield pa.RecordBatch.from_arrays([picked.column(0), pa.array(group[first], pa.int32()), lists, picked.column(1)], ["id", "group", "cells", "unit"])
+
+        return queries.select("id", "unit", "limit").mapInArrow(route, "id long, group int, cells array<int>, unit binary")
 
     def compared(self, asked: DataFrame) -> int:
         """How many pairs of a query and a member the cells in ``asked`` stand for."""
-        return int(sum(self.size[r["cell"]] * r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()))
-
-    def _searched(self, asked: DataFrame, pick) -> DataFrame:  # noqa: ANN001
-        """(id, other, similarity) of the pairs that ``pick(similarities, query ids, member ids)`` marks, cell by cell."""
-        parts = F.lit(1)
-        for cell in np.flatnonzero(self.size > MEMBERS).tolist():  # few: each holds more than MEMBERS rows of the cells' limit
-            parts = F.when(F.col("cell") == cell, F.lit(int(-(-self.size[cell] // MEMBERS)))).otherwise(parts)
-        chunks = max(-(-asked.select("id").distinct().count() // QUERIES), 1)
-        left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-        right = self.members.where("cell >= 0").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        right = right.select("cell", "part", "id", "unit", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-
-        def search(q: pa.Table, m: pa.Table) -> pa.Table:
-            out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            if q.num_rows and m.num_rows:
-                ids, rows = np.asarray(m.column("id")), _matrix(m.column("unit"), m.num_rows)
-                for at in range(0, q.num_rows, STEP):
-                    part = q.slice(at, STEP)
-                    own, unit = np.asarray(part.column("id")), _matrix(part.column("unit"), part.num_rows)
-                    x, y = np.nonzero(pick(unit @ rows.T, own, ids))
-                    # Once more pair by pair, so that equal vectors are equally alike whatever block they are in.
-                    out = [np.concatenate(z) for z in zip(out, (own[x], ids[y], (unit[x] * rows[y]).sum(axis=1)), strict=True)]
-            return pa.table({"id": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
-
-        keys = ("cell", "part", "chunk")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "id long, other long, similarity double")
+        n = asked.select(F.explode(F.array_distinct("cells")).alias("cell"), "id").distinct().groupBy("cell").agg(F.count("*").alias("n"))
+        return int(sum(self.size[r["cell"]] * r["n"] for r in n.collect()))
+
+    def _searched(self, queries: DataFrame, cells: str, n: int, threshold: float | None = None, upwards: bool = False) -> DataFrame:
+        """(id, other, similarity) of ``n`` queries (id, unit, limit), group by group: all pairs at least ``threshold`` alike, ``upwards`` those with
+        larger ids only; without a threshold each query's most similar member of a group.
+
+        A task takes one group and one share of the queries, so each vector is sent once for each share or group, not for each cell.
+        """
+        groups, parts = self._dealt()
+        chunks = max(-(-n // self._most(QUERIES)), 1)
+        left = self._asked(queries, cells).select(
+            F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "group", "cells", "id", "unit", F.lit(True).alias("asks")
+        )
+        own = F.element_at(F.lit(groups.tolist()), F.col("cell") + 1) + F.pmod(F.xxhash64("id"), F.element_at(F.lit(parts.tolist()), F.col("cell") + 1))
+        right = self.members.where("cell >= 0").select(
+            F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), own.cast("int").alias("group"), F.array("cell").alias("cells"), "id", "unit",
+            F.lit(False).alias("asks"),
+        )
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sides: tuple[list, list] = ([], [])
+            for batch in batches:
+                asks = batch.column("asks")
+                for side, mask in zip(sides, (pc.invert(asks), asks), strict=True):
+                    if len(rows := batch.filter(mask)):
+                        side.append((np.asarray(rows.column("id")), rows.column("cells"), _matrix(rows.column("unit"), len(rows))))
+            if not all(sides):
+                return
+            (ids, cell, rows), (own, asked, unit) = ((np.concatenate([x[0] for x in side]), [x[1] for x in side], np.concatenate([x[2] for x in side])) for side in sides)
+            cell = np.concatenate([np.asarray(x.flatten()) for x in cell])
+            order = np.argsort(cell, kind="stable")
+            ids, rows, cell = ids[order], rows[order], cell[order]
+            there, start = np.unique(cell, return_index=True)
+            start = np.append(start, len(cell))
+            lengths = np.concatenate([np.asarray(x.value_lengths()) for x in asked])
+            wants, wanted = np.repeat(np.arange(len(own)), lengths), np.concatenate([np.asarray(x.flatten()) for x in asked])
+            for at in range(0, len(own), STEP):
+                low, high = np.searchsorted(wants, (at, at + STEP))
+                found = []
+                for k in np.flatnonzero(np.isin(there, wanted[low:high])):
+                    q, m = wants[low:high][wanted[low:high] == there[k]], slice(start[k], start[k + 1])
+                    sim = unit[q] @ rows[m].T
+                    if threshold is None:
+                        sim[own[q][:, None] == ids[m][None, :]] = -np.inf
+                        x, y = np.nonzero((sim >= sim.max(axis=1, keepdims=True) - SLACK) & np.isfinite(sim))
+                    else:
+                        x, y = np.nonzero(sim >= threshold - SLACK)
+                        keep = own[q][x] < ids[m][y] if upwards else own[q][x] != ids[m][y]
+                        x, y = x[keep], y[keep]
+                    found.append((q[x], y + start[k]))
+                x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+                # Once more pair by pair, so that equal vectors are equally alike whatever block they are in.
+                exact = np.empty(len(x))
+                for k in range(0, len(x), PAIRS):
+                    exact[k : k + PAIRS] = (unit[x[k : k + PAIRS]] * rows[y[k : k + PAIRS]]).sum(axis=1)
+                if threshold is None:
+                    order = np.lexsort((ids[y], -exact, x))
+                    order = order[np.flatnonzero(np.diff(x[order], prepend=-1))]
+                    x, y, exact = x[order], y[order], exact[order]
+                for k in range(0, len(x), PAIRS):
+                    p, q = x[k : k + PAIRS], y[k : k + PAIRS]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[p]), pa.array(ids[q]), pa.array(exact[k : k + PAIRS])], ["id", "other", "similarity"])
+
+        return left.unionByName(right).groupBy("group", "chunk").applyInArrow(search, "id long, other long, similarity double")
 
     def within(self, queries: DataFrame, threshold: float, upwards: bool = False) -> DataFrame:
         """(id, other, similarity) of all members at least ``threshold`` (above 0) alike; ``upwards``: of larger ids only."""
         if threshold <= 0:
             raise ValueError("a threshold above zero is needed")
         limit = float(np.sqrt(max(2 - 2 * threshold, 0)))
-
-        def pick(sim: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            return (sim >= threshold - SLACK) & (own[:, None] < ids[None, :] if upwards else own[:, None] != ids[None, :])
-
-        units = as_units(queries).where("full").withColumn("limit", F.lit(limit))
-        return self._searched(cut(self._asked(units, "within")), pick).where(F.col("similarity") >= threshold)
+        units = cut(as_units(queries).where("full").withColumn("limit", F.lit(limit)))
+        return self._searched(units, "within", units.count(), threshold, upwards).where(F.col("similarity") >= threshold)
 
     def nearest(self, queries: DataFrame, least: float = -1.0) -> DataFrame:
         """(id, nearest_id, similarity) of the most similar other member of each query."""
-
-        def best(sim: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            sim = np.where(own[:, None] == ids[None, :], -np.inf, sim)
-            return (sim >= sim.max(axis=1, keepdims=True) - SLACK) & np.isfinite(sim)
-
         top = F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("t")
         units = cut(as_units(queries).withColumn("limit", F.lit(2.0)))
-        full = units.where("full")
-        first = cut(self._searched(self._asked(full, "home"), best).groupBy("id").agg(top))
+        full, n = units.where("full"), units.count()
+        first = cut(self._searched(full, "home", n).groupBy("id").agg(top))
         limit = F.coalesce(F.sqrt(F.greatest(2 - 2 * F.col("t.similarity"), F.lit(0.0))), F.lit(2.0))
         left = full.drop("limit").join(first, "id", "left").select("id", "unit", limit.alias("limit"))
-        second = self._searched(cut(self._asked(left, "further")), best)
+        second = self._searched(left, "further", n)
         found = first.select("id", (-F.col("t.minus")).alias("other"), F.col("t.similarity").alias("similarity")).unionByName(second)
         found = found.unionByName(self._without_length(units))
         one = found.groupBy("id").agg(top)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from storyloom.operators import models
+from storyloom.operators import models, vector_index
+from storyloom.operators.vector_index import VectorIndex
 from storyloom.plans import item_queries
 from tests.oracle import connect, same
 
@@ -30,3 +33,26 @@ def test_words_that_cancel_each_other_have_a_vector(spark, tmp_path):
     assert not any(models.Offline().embed("... !"))
     folder = documents(tmp_path, [" ".join(pair), f"{pair[0]}, {pair[1]} {pair[1]} {pair[0]}", "one", "...", "", None])
     same(item_queries.embed_texts(spark, folder), connect(folder), item_queries.ORACLES["embed_texts"])
+
+
+def test_a_query_is_sent_once_to_a_group_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, v) for k, v in enumerate(rng.normal(size=(600, 32)).tolist())]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    units = vector_index.as_units(df).withColumn("limit", F.lit(1.1))
+    index = VectorIndex.build(df)
+    assert index.compared(index._asked(units, "within")) > 600 * 300  # hardly a cell is passed over
+    assert index._asked(units, "within").count() == 600
+    monkeypatch.setattr(vector_index, "MEMBERS", 200)
+    assert index._asked(units, "within").count() <= 600 * 6
+    unit = vector_index.unit_rows([v for _, v in rows])
+    wanted = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.4), strict=True) if a < b}
+    assert {(r["id"], r["other"]) for r in index.within(df, 0.4, upwards=True).collect()} == wanted
+
+
+def test_one_cell_of_copies_goes_in_parts(spark, monkeypatch):
+    for name, most in (("MEMBERS", 16), ("QUERIES", 16), ("PAIRS", 7)):
+        monkeypatch.setattr(vector_index, name, most)
+    df = spark.createDataFrame([(k, [1.0, 2.0, 3.0] if k % 4 else [float(k), -1.0, 0.5]) for k in range(80)], "id long, vector array<double>")
+    found = VectorIndex.build(df).within(df.where("id % 4 > 0"), 0.999, upwards=True).where("id % 4 > 0 AND other % 4 > 0")
+    assert found.select("id", "other").distinct().count() == found.count() == 60 * 59 // 2
