@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from storyloom.functions.slices import slices
 from storyloom.llm.common import id_and_text, per_batch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,8 +42,11 @@ MARK, N_BEST = "▁", 4
 MICRO = 1_000_000
 #: Less than any score.
 UNREACHED = -(1 << 60)
-#: Bytes of remembered chunks, twice, and what an entry takes beside its text and ids; longest chunk remembered.
-REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 200_000_000, 300, 48
+#: Bytes of remembered chunks, twice, and what an entry takes beside its text and value; longest chunk remembered.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 150_000_000, 210, 48
+#: What stands before a remembered chunk's ids: score and loss, as numbers of ids' width.
+HEAD = struct.Struct("<qd")
+HEAD_IDS = HEAD.size // 4
 #: Longest chunk whose lattice is held whole; what stands for a character's bytes in packed arrays of ids, and for no arc.
 LONG, BYTES, NONE = 1 << 14, -1, -2
 CHANGES = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("ids", pa.list_(pa.int32()))])))
@@ -260,7 +265,7 @@ class Pieces:
 
 
 class Encoder(dict):
-    """Remembered chunks: (ids as bytes, best score, loss of the second best path).
+    """Remembered chunks: best score, loss of the second best path and ids, in one string of bytes, as that takes the least memory.
 
     When full, what was met lately becomes the older half and a chunk found there comes back.
     """
@@ -272,16 +277,16 @@ class Encoder(dict):
         remembered = lru_cache(maxsize=20_000)(search)
         self.paths = lambda chunk: (remembered if len(chunk) <= LONGEST_REMEMBERED else search)(chunk)
 
-    def __missing__(self, chunk: str) -> tuple[bytes, int, float]:
+    def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
             ids, score, loss = self.pieces.best_path(chunk)
-            found = (array("i", ids).tobytes(), score, loss)
+            found = HEAD.pack(score, loss) + array("i", ids).tobytes()
         if len(chunk) <= LONGEST_REMEMBERED:
             if self.held >= REMEMBERED_BYTES:
                 self.older, self.held = dict(self), 0
                 self.clear()
-            self.held += len(chunk) + len(found[0]) + ENTRY_BYTES
+            self.held += len(chunk) + len(found) + ENTRY_BYTES
             self[chunk] = found
         return found
 
@@ -294,20 +299,24 @@ class Encoder(dict):
             return np.zeros(0, dtype="<i4"), [0], [[]]
         chunks = CHUNKS.findall(" " + text)
         found = list(map(self.__getitem__, chunks))
-        packed, best, loss = zip(*found, strict=True)
-        ids, total = np.frombuffer(b"".join(packed), dtype="<i4"), sum(best)
+        packed, ends = np.frombuffer(b"".join(found), dtype="<i4"), np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        heads = np.concatenate(([0], ends[:-1]))[:, None] + np.arange(HEAD_IDS)
+        scored = packed[heads].view(np.dtype([("score", "<i8"), ("loss", "<f8")]))[:, 0]
+        plain = np.ones(len(packed), bool)
+        plain[heads] = False
+        ids, best, total = packed[plain], scored["score"], int(scored["score"].sum())
+        starts = heads[:, 0] - HEAD_IDS * np.arange(len(found))
         # Only the chunks with the least losses can take part in the N best; these are searched.
-        losses = np.array(loss, dtype=np.float64)
+        losses = scored["loss"]
         keep = min(self.n_best - 1, len(found))
         nearest = sorted(np.argsort(losses, kind="stable")[:keep].tolist()) if keep else []
-        options, spans, start, done = [], [], 0, 0
+        options, spans = [], []
         for c in nearest:
-            own, paths = tuple(array("i", packed[c])), self.paths(chunks[c])
+            own, paths = tuple(array("i", found[c][HEAD.size :])), self.paths(chunks[c])
             if paths[0][1] != own:  # of equal scores another came first
-                paths = [(best[c], own), *(x for x in paths if x[1] != own)][: self.n_best]
-            start, done = start + sum(map(len, packed[done:c])) // 4, c
+                paths = [(int(best[c]), own), *(x for x in paths if x[1] != own)][: self.n_best]
             options.append(paths)
-            spans.append((start, len(own)))
+            spans.append((int(starts[c]), len(own)))
         scores, picks = [], []
         heap: list[tuple[int, tuple[int, ...]]] = [(0, (0,) * len(nearest))]
         seen = {heap[0][1]}
@@ -368,7 +377,7 @@ def encode(
             columns = [lists, pa.array(scores, type=pa.list_(pa.int64())), pa.array(others, type=CHANGES), pa.array(same)]
             return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "scores", "others", "round_trip"])
 
-        yield from per_batch(run)(batches)
+        yield from per_batch(run)(part for batch in batches for part in slices(batch))
 
     schema = "doc_id long, ids array<int>, scores array<long>, others array<array<struct<start: int, count: int, ids: array<int>>>>, round_trip boolean"
     return id_and_text(df, id_col, text_col).mapInArrow(apply, schema)
