@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.functions.slices import by_slices
 from storyloom.functions.text import link_score, word_set
 from storyloom.functions.urls import host_of, is_bad_url, is_shortener, is_wrapper_host
 from storyloom.operators.graph import cut
@@ -90,10 +91,10 @@ def links_of(markup: str | None) -> list[dict[str, str]]:
 
 
 @F.arrow_udf(LINK)
-def links_in_context(markup: pa.Array) -> pa.Array:
+def links_in_context(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The links of each page; places of matches are beyond built-in functions."""
     kind = pa.list_(pa.struct([(name, pa.string()) for name in ("anchor", "href", "context")]))
-    return pa.array([links_of(x) for x in markup.to_pylist()], kind)
+    return by_slices(lambda markup: pa.array([links_of(x) for x in markup.to_pylist()], kind))(columns)
 
 
 def absolute(href: Column, page_url: Column) -> Column:

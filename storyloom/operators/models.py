@@ -1,6 +1,6 @@
 """Model calls behind a provider; the offline one is deterministic and needs no network.
 
-A provider is a small object that is made once per task. Calls are scalar pandas functions over batches, so a
+A provider is a small object that is made once per task. Calls are scalar Arrow functions over slices of batches, so a
 plan filters first and calls last.
 """
 
@@ -14,9 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions.slices import by_slices
 from storyloom.functions.text import META_TITLES, mask_urls, needs_translation, strip, unmask_urls
 
 # Marks of a rate limit in an error's text.
@@ -102,12 +104,13 @@ def provider(name: str = "offline") -> object:
 
 
 def _calls(method: str, returns: str, name: str) -> Callable[[Column], Column]:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = {"string": pa.string(), "array<float>": pa.list_(pa.float32())}[returns]
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         call = getattr(provider(name), method)
-        for texts in batches:
-            yield texts.map(lambda x: None if x is None else call(x))
+        return by_slices(lambda texts: pa.array([None if x is None else call(x) for x in texts.to_pylist()], kind))(columns)
 
-    return F.pandas_udf(run, returns)
+    return F.arrow_udf(run, returns)
 
 
 def embed(text: Column, name: str = "offline") -> Column:

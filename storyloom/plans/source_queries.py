@@ -71,8 +71,10 @@ def _fields(struct: F.Column) -> list[F.Column]:
     return [struct[name].alias(name) for name in ("mimeType", "body")]
 
 
-def _newsletters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mail.newsletters(messages(spark, sf_dir))
+def _newsletters(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """All letters, or that of one id, which is looked for before any message is read."""
+    mails = messages(spark, sf_dir)
+    found = mail.newsletters(mails if only is None else mails.where(F.col("id") == only))
     return found.withColumn("hrefs", F.array_join(F.transform("links", lambda x: F.concat(x["anchor"], F.lit(">"), x["href"])), "|")).drop("links")
 
 
@@ -103,7 +105,7 @@ _LETTER = "'m' || doc_id AS id, subject, sender, 'd' AS date, 's' AS snippet, 'h
 _LETTERS = f"""SELECT {_LETTER}, CASE WHEN outcome = 'ok' THEN body END AS body, outcome,
   CASE WHEN outcome = 'ok' THEN CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'more>https://a.org/' || doc_id END END AS hrefs FROM o"""
 _register("newsletters", _newsletters, f"WITH {_MAILS} {_LETTERS}")
-_register("newsletter_by_id", lambda s, d: _newsletters(s, d).where("id = 'm7'"), f"WITH {_MAILS} SELECT * FROM ({_LETTERS}) WHERE id = 'm7'")
+_register("newsletter_by_id", lambda s, d: _newsletters(s, d, "m7"), f"WITH {_MAILS} SELECT * FROM ({_LETTERS}) WHERE id = 'm7'")
 _register(
     "mail_outcomes", lambda s, d: state.outcome_counts(mail.newsletters(messages(s, d)), channel_stories(s, d)),
     f"""WITH {_MAILS}, p AS (SELECT CASE WHEN doc_id % 4 > 1 THEN 'dropped' WHEN doc_id % 4 = 0 AND w = '' THEN 'empty' ELSE 'story' END AS outcome

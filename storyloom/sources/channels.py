@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.functions.slices import by_slices
 from storyloom.functions.text import content_hash, needs_translation, title_of
 from storyloom.functions.urls import clean_post_link, is_roundup, is_sponsored
 
@@ -79,11 +81,12 @@ class _Posts(HTMLParser):
 
 
 @F.arrow_udf(POST)
-def page_posts(pages: pa.Array) -> pa.Array:
+def page_posts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The posts of each page; HTML is beyond built-in functions."""
     texts = [(n, pa.string()) for n in ("url", "date", "text")]
     kind = pa.list_(pa.struct(texts + [(n, pa.list_(pa.string())) for n in ("hrefs", "previews", "images", "video_thumbs")]))
-    return pa.array([[dict(zip(kind.value_type.names, post, strict=True)) for post in posts_of(x)] for x in pages.to_pylist()], kind)
+    told = lambda x: [dict(zip(kind.value_type.names, post, strict=True)) for post in posts_of(x)]
+    return by_slices(lambda pages: pa.array([told(x) for x in pages.to_pylist()], kind))(columns)
 
 
 def posts_of(markup: str | None) -> list[tuple]:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions.links import LINK, links_in_context
+from storyloom.functions.links import links_in_context
+from storyloom.functions.slices import by_slices
 from storyloom.functions.text import clean_html, normalize_lines, preferred_body, skip_email, strip, unescape_html
 
 SHORTEST_BODY = 50
@@ -47,16 +49,21 @@ def bodies_of(payload: dict) -> tuple[str, str, str]:
     return plain, rich, first
 
 
-@F.pandas_udf(_BODIES)
-def mime_bodies(payloads: pd.Series) -> pd.DataFrame:
-    """The bodies of payloads given as JSON text; MIME trees are recursive, which no column type is."""
+def _bodies(payloads: pa.Array) -> pa.Array:
     rows = []
-    for text in payloads:
+    for payload in payloads:
         try:
+            text = payload.as_py()
             rows.append(bodies_of(json.loads(text)) if text else ("", "", ""))
         except (ValueError, AttributeError, TypeError):
             rows.append((None, None, None))
-    return pd.DataFrame(rows, columns=["plain", "rich", "first_html"])
+    return pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.string()) for k in range(3)], ["plain", "rich", "first_html"])
+
+
+@F.arrow_udf(_BODIES)
+def mime_bodies(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The bodies of payloads given as JSON text; MIME trees are recursive, which no column type is."""
+    return by_slices(_bodies)(columns)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +76,7 @@ def newsletters(messages: DataFrame) -> DataFrame:
     """(id, subject, sender, date, body, snippet, gmail_url, links, outcome) of messages.
 
     ``outcome`` is ok, skipped (no newsletter by its headers), short or broken; only ok rows have a body. Rows
-    with any outcome are to be marked as seen. Skipped mails are set apart before anything is decoded.
+    with any outcome are to be marked as seen. Of skipped mails nothing but the headers is decoded.
     """
     entries = F.from_json(F.get_json_object("payload", "$.headers"), "array<struct<name: string, value: string>>")
     headers = F.transform(F.coalesce(entries, F.array().cast("array<struct<name: string, value: string>>")), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
@@ -80,22 +87,20 @@ def newsletters(messages: DataFrame) -> DataFrame:
     rows = rows.select("id", "snippet", "payload", last("subject").alias("subject"), last("from").alias("sender"), last("date").alias("date"), as_map.alias("headers"))
     rows = rows.withColumn("skip", F.coalesce(skip_email(F.col("subject"), F.col("sender"), F.col("headers")), F.lit(False)))
     link = F.concat(F.lit("https://mail.google.com/mail/u/0/#inbox/"), F.col("id")).alias("gmail_url")
-    none = [F.lit(None).cast("string").alias("body"), "snippet", link, F.lit(None).cast(LINK).alias("links"), F.lit("skipped").alias("outcome")]
-    skipped = rows.where("skip").select("id", "subject", "sender", "date", *none)
-    rows = rows.where("NOT skip").withColumn("m", mime_bodies("payload"))
+    # One pass: a filter on ``skip`` would be moved below the headers and read them anew for each time it names them.
+    rows = rows.withColumn("m", mime_bodies(F.when(~F.col("skip"), F.col("payload"))))
     # Both bodies are columns of their own, so that each is cleaned once, however often it is asked about.
     rows = rows.withColumns({"plain": F.coalesce("m.plain", F.lit("")), "rich": clean_html(F.coalesce("m.rich", F.lit("")))})
     better = preferred_body(F.col("plain"), F.col("rich"))
     body = F.when(F.col("m.rich") == "", F.col("plain")).when(F.col("m.plain") == "", F.col("rich")).otherwise(better)
     rows = rows.withColumn("body", normalize_lines(unescape_html(body)))
     outcome = (
-        F.when(F.col("m.plain").isNull(), "broken")
+        F.when(F.col("skip"), "skipped").when(F.col("m.plain").isNull(), "broken")
         .when(F.length(strip(F.coalesce("body", F.lit("")))) < SHORTEST_BODY, "short").otherwise("ok")
     )
     rows = rows.withColumn("outcome", outcome)
     ok = F.col("outcome") == "ok"
-    read = rows.select(
+    return rows.select(
         "id", "subject", "sender", "date", F.when(ok, F.col("body")).alias("body"), "snippet", link,
         F.when(ok, links_in_context("m.first_html")).alias("links"), "outcome",
     )
-    return read.unionByName(skipped)

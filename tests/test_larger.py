@@ -9,9 +9,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from storyloom.functions import links, slices, text
 from storyloom.operators import models, vector_index
 from storyloom.operators.vector_index import VectorIndex
-from storyloom.plans import item_queries
+from storyloom.plans import item_queries, source_queries
+from storyloom.sources import channels, mail
 from tests.oracle import connect, same
 
 
@@ -56,3 +58,31 @@ def test_one_cell_of_copies_goes_in_parts(spark, monkeypatch):
     df = spark.createDataFrame([(k, [1.0, 2.0, 3.0] if k % 4 else [float(k), -1.0, 0.5]) for k in range(80)], "id long, vector array<double>")
     found = VectorIndex.build(df).within(df.where("id % 4 > 0"), 0.999, upwards=True).where("id % 4 > 0 AND other % 4 > 0")
     assert found.select("id", "other").distinct().count() == found.count() == 60 * 59 // 2
+
+
+def test_python_makes_of_a_batch_a_slice_at_a_time(monkeypatch):
+    made, column = [], pa.array(["x" * 1000] * 5000)
+
+    def run(part: pa.Array) -> pa.Array:
+        made.append(part.nbytes)
+        return part
+
+    monkeypatch.setattr(slices, "SLICE_BYTES", 100_000)
+    found = pa.chunked_array(list(slices.by_slices(run)(iter([column, column[:0]]))))
+    assert found.to_pylist() == column.to_pylist() and max(made) <= 101_000 and len(made) > 40
+
+
+def test_udfs_on_texts_go_by_slices():
+    for udf in (text.unescape_html, links.links_in_context, mail.mime_bodies, channels.page_posts):
+        assert list(udf.func(iter([pa.array(["a", None, "b"])])))[0] is not None
+
+
+def test_mails_are_read_once_and_one_mail_is_looked_for_first(spark, tmp_path):
+    folder = documents(tmp_path, [f"A text of number {k}, long enough for a letter that is not short. " * 2 for k in range(60)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    all_of_them = plan(source_queries.QUERIES["newsletters"](spark, folder))
+    assert "Union" not in all_of_them and not [x for x in all_of_them.splitlines() if "Filter" in x and "to_json" in x]
+    one = [x for x in plan(source_queries.QUERIES["newsletter_by_id"](spark, folder)).splitlines() if "Filter" in x]
+    assert one and "to_json" not in "".join(one)
+    for name in ("newsletters", "newsletter_by_id", "mail_outcomes"):
+        same(source_queries.QUERIES[name](spark, folder), connect(folder), source_queries.ORACLES[name])
