@@ -9,35 +9,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.operators.graph import cut, first_independent_set
-from storyloom.operators.similarity import nearest, similar_pairs
-from storyloom.operators.vector_index import VectorIndex
+from storyloom.operators.similarity import similar_pairs
+from storyloom.operators.vector_index import SLACK, VectorIndex
 
 THRESHOLD = 0.80
 CHECK_AFTER = 2
+#: Rows of the first block of leader clustering, and how much longer all blocks are with each further one.
+FIRST, GROWTH = 8192, 8
 
 
 def leader_clusters(rows: DataFrame, threshold: float = THRESHOLD, known: DataFrame | VectorIndex | None = None, **how) -> DataFrame:
     """(id, leader, similarity) of rows (id, vector) taken in order of id; those without a vector are left out.
 
     A row joins the most similar leader before it that is alike enough, else it leads; leaders keep their
-    vector. ``known`` are leaders (id, vector) of earlier runs, or their index, before all rows. Who leads depends on earlier
-    leaders only, so leaders are the independent set by order of the graph of alike rows that no known leader is
-    near to; the others then pick among all. Ties go to the smallest id.
+    vector. ``known`` are leaders (id, vector) of earlier runs, or their index, before all rows. Ties go to the smallest id.
+
+    Who leads depends on earlier leaders only. So rows go by blocks of ids, each ``GROWTH`` times as long as all before it: rows of
+    a block near an earlier leader fall out, and the leaders among the rest are the independent set by order of the graph of alike
+    rows. That graph is of rows no leader has taken so far, so its pairs hardly grow with the table. The others then pick
+    among all leaders, and only the best one of each comes out.
     """
-    rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull())
-    pairs = cut(similar_pairs(rows, threshold, **how))
-    nodes, near = rows.select(F.col("id").alias("node")), None
+    rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector")
+    near, leading = None, rows.limit(0)
     if known is not None:
-        near = cut(nearest(rows, known, threshold).select("id", F.col("nearest_id").alias("leader"), "similarity"))
-        nodes = nodes.join(near.select(F.col("id").alias("node")), "node", "left_anti")
-    inside = pairs.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi").join(nodes.withColumnRenamed("node", "b"), "b", "left_semi")
-    leaders = cut(first_independent_set(nodes, inside if known is not None else pairs))
-    joined = pairs.join(leaders.select(F.col("node").alias("a")), "a", "left_semi").join(leaders.select(F.col("node").alias("b")), "b", "left_anti")
-    found = joined.select(F.col("b").alias("id"), F.col("a").alias("leader"), "similarity")
-    found = found if near is None else found.unionByName(near)
-    best = F.max(F.struct("similarity", (-F.col("leader")).alias("minus"))).alias("t")
-    members = found.groupBy("id").agg(best).select("id", (-F.col("t.minus")).alias("leader"), F.col("t.similarity").alias("similarity"))
-    return leaders.select(F.col("node").alias("id"), F.col("node").alias("leader"), F.lit(1.0).alias("similarity")).unionByName(members)
+        index = known if isinstance(known, VectorIndex) else VectorIndex.build(known)
+        near = cut(index.best_within(rows, threshold).withColumnRenamed("nearest_id", "leader"))
+    for number, block in enumerate(_blocks(rows)):
+        left = block if near is None else block.join(near.select("id"), "id", "left_anti")
+        if number:
+            left = left.join(VectorIndex.build(leading).best_within(left, threshold).select("id"), "id", "left_anti")
+        left = cut(left)
+        first = first_independent_set(left.select(F.col("id").alias("node")), similar_pairs(left, threshold, **how))
+        leading = cut(leading.unionByName(left.join(first.select(F.col("node").alias("id")), "id", "left_semi")))
+    leaders = leading.select("id").distinct()
+    # A row that a pair has ruled out needs a leader, so what rounding may take off is let in; the best one stays.
+    found = VectorIndex.build(leading).best_within(rows.join(leaders, "id", "left_anti"), threshold - SLACK, earlier=True).withColumnRenamed("nearest_id", "leader")
+    if near is not None:
+        best = F.max(F.struct("similarity", (-F.col("leader")).alias("minus"))).alias("t")
+        found = found.unionByName(near).groupBy("id").agg(best).select("id", (-F.col("t.minus")).alias("leader"), F.col("t.similarity").alias("similarity"))
+    return leaders.select("id", F.col("id").alias("leader"), F.lit(1.0).alias("similarity")).unionByName(found)
+
+
+def _blocks(rows: DataFrame) -> list[DataFrame]:
+    """The rows in ranges of ids, of about ``FIRST`` rows and then ``GROWTH - 1`` times as many as before."""
+    n, at, parts = rows.count(), FIRST, []
+    while at < n:
+        parts.append(at / n)
+        at *= GROWTH
+    ends = sorted(set(rows.agg(F.percentile_approx("id", parts, F.lit(10_000))).first()[0])) if parts else []
+    between = lambda low, high: (F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high)
+    return [rows.where(between(low, high)) for low, high in zip([None, *ends], [*ends, None], strict=True)]
 
 
 def evolve(mentions: DataFrame, check: Callable[[str, str, str], tuple[bool, str, str]], stories: DataFrame | None = None) -> DataFrame:

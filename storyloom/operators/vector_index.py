@@ -143,9 +143,11 @@ class VectorIndex:
         n = asked.select(F.explode(F.array_distinct("cells")).alias("cell"), "id").distinct().groupBy("cell").agg(F.count("*").alias("n"))
         return int(sum(self.size[r["cell"]] * r["n"] for r in n.collect()))
 
-    def _searched(self, queries: DataFrame, cells: str, n: int, threshold: float | None = None, upwards: bool = False) -> DataFrame:
+    def _searched(
+        self, queries: DataFrame, cells: str, n: int, threshold: float | None = None, upwards: bool = False, least: float = -np.inf, earlier: bool = False
+    ) -> DataFrame:
         """(id, other, similarity) of ``n`` queries (id, unit, limit), group by group: all pairs at least ``threshold`` alike, ``upwards`` those with
-        larger ids only; without a threshold each query's most similar member of a group.
+        larger ids only; without a threshold each query's most similar member of a group, if about ``least`` alike, ``earlier`` of those with smaller ids.
 
         A task takes one group and one share of the queries, so each vector is sent once for each share or group, not for each cell.
         """
@@ -184,8 +186,8 @@ class VectorIndex:
                     q, m = wants[low:high][wanted[low:high] == there[k]], slice(start[k], start[k + 1])
                     sim = unit[q] @ rows[m].T
                     if threshold is None:
-                        sim[own[q][:, None] == ids[m][None, :]] = -np.inf
-                        x, y = np.nonzero((sim >= sim.max(axis=1, keepdims=True) - SLACK) & np.isfinite(sim))
+                        sim[own[q][:, None] <= ids[m][None, :] if earlier else own[q][:, None] == ids[m][None, :]] = -np.inf
+                        x, y = np.nonzero((sim >= np.maximum(sim.max(axis=1, keepdims=True), least) - SLACK) & np.isfinite(sim))
                     else:
                         x, y = np.nonzero(sim >= threshold - SLACK)
                         keep = own[q][x] < ids[m][y] if upwards else own[q][x] != ids[m][y]
@@ -214,6 +216,19 @@ class VectorIndex:
         units = cut(as_units(queries).where("full").withColumn("limit", F.lit(limit)))
         return self._searched(units, "within", units.count(), threshold, upwards).where(F.col("similarity") >= threshold)
 
+    def best_within(self, queries: DataFrame, threshold: float, earlier: bool = False) -> DataFrame:
+        """(id, nearest_id, similarity) of the most similar other member of each query, if ``threshold`` (above 0) alike; ``earlier``: of smaller ids only.
+
+        One pass: the threshold alone limits the cells, so a query is sent once to a group, and no pair but the best ones comes out.
+        """
+        if threshold <= 0:
+            raise ValueError("a threshold above zero is needed")
+        limit = float(np.sqrt(max(2 - 2 * threshold, 0)))
+        units = as_units(queries).where("full").withColumn("limit", F.lit(limit))
+        found = self._searched(units, "within", queries.count(), least=threshold, earlier=earlier).where(F.col("similarity") >= threshold)
+        best = found.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("t"))
+        return best.select("id", (-F.col("t.minus")).alias("nearest_id"), F.col("t.similarity").alias("similarity"))
+
     def nearest(self, queries: DataFrame, least: float = -1.0) -> DataFrame:
         """(id, nearest_id, similarity) of the most similar other member of each query."""
         top = F.max(F.struct("similarity", (-F.col("other")).alias("minus"))).alias("t")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import vector_index
+from storyloom.operators import clusters, vector_index
 from storyloom.operators.vector_index import StoredIndex, VectorIndex, unit_rows
 from storyloom.streaming.store import BatchStore
 
@@ -87,3 +87,26 @@ def test_empty(spark):
     for rows in (none, one):
         index = VectorIndex.build(rows)
         assert index.nearest(one).collect() == [] and index.nearest(none).collect() == [] and index.within(one, 0.5).collect() == []
+
+
+@pytest.mark.parametrize("known_before", [0, 60])
+def test_leaders_by_blocks_are_those_of_the_loop(spark, monkeypatch, known_before):
+    """Blocks of 40, 160, ... rows, ids apart and vectors without length among them; pairs are looked for among rows that no leader has taken only."""
+    rng = np.random.default_rng(8)
+    rows = [(3 * k + 1, v) for k, (_, v) in enumerate(clustered(700, groups=12, spread=0.9))]
+    rows[200:200] = [(3 * 200, rows[100][1]), (3 * 200 - 1, [0.0] * 16)]
+    rows = sorted(rows)
+    unit, ids = unit_rows([v for _, v in rows]), [i for i, _ in rows]
+    sim, before = (unit[:, None, :] * unit[None, :, :]).sum(axis=2), [k for k in range(known_before) if rng.random() < 0.5]
+    leaders, wanted = list(before), {}
+    for k in range(known_before, len(rows)):
+        near = [(sim[k, x], -ids[x]) for x in leaders if sim[k, x] >= 0.7]
+        wanted[ids[k]] = -max(near)[1] if near else ids[k]
+        leaders += [] if near else [k]
+    looked, pairs = [], clusters.similar_pairs
+    monkeypatch.setattr(clusters, "similar_pairs", lambda df, *a, **how: looked.append(df.count()) or pairs(df, *a, **how))
+    monkeypatch.setattr(clusters, "FIRST", 40), monkeypatch.setattr(clusters, "GROWTH", 4)
+    known = spark.createDataFrame([rows[k] for k in before], SCHEMA) if before else None
+    found = clusters.leader_clusters(spark.createDataFrame(rows[known_before:], SCHEMA), 0.7, known, exact=True).collect()
+    assert len(found) == len(wanted) and {r["id"]: r["leader"] for r in found} == wanted
+    assert len(looked) > 2 and sum(looked) < len(rows) / 2
