@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
 The piece lattice of a text has an arc for every vocabulary piece that occurs in it, and byte pieces for
-characters that are no piece. A forward Viterbi pass gives the best score of reaching each position; a backward
+characters that are no piece. A forward Viterbi pass gives the two best scores of reaching each position; a backward
 A* search from the end uses these scores as its heuristic. They are exact, so paths come out best first.
 
 No piece of the vocabulary goes on over a blank that follows another character, nor over a line feed, so the
@@ -76,24 +76,30 @@ class Pieces:
             number, score = ends.get(p, (None, None))
             nodes[p] = {}
             nodes[p[:-1]][p[-1]] = (nodes[p], score, number)
-        self.trie, self.longest = nodes[""], max(map(len, ends))
+        self.trie, self.longest, self.alone = nodes[""], max(map(len, ends)), {p for p in ends if len(p) == 1}
         self.length_of = {i: len(p) for p, (i, _) in ends.items()} | {BYTES: 1}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = min(score for _, score in self.by_text.values()) - 10 * MICRO
         self.bytes_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.bytes_of |= {i: p.replace(MARK, " ").encode() for p, (i, _) in self.by_text.items()}
 
-    def lattice(self, chunk: str) -> tuple[list[tuple[int, int, int, int | None]], list[int], list[tuple]]:
-        """(arcs, best, came): the lattice with the forward Viterbi scores and, for each position, the arc taken to it.
+    def lattice(self, chunk: str) -> tuple[list[tuple[int, int, int, int | None]], list[int]]:
+        """(arcs, best): all arcs as (start, end, score, id), a null id for a character's bytes, and the best score of reaching each position."""
+        shown = _shown(chunk)
+        arcs = [(i, j, score, None if number == BYTES else number) for i in range(len(chunk)) for j, score, number in self.arcs_from(chunk, shown, i)]
+        return arcs, self.two_best(chunk)[0]
 
-        An arc is (start, end, score, id), in order of the starts; a null id stands for a character's bytes.
-        Blanks of ``chunk`` are real blanks.
+    def two_best(self, chunk: str) -> tuple[list[int], list[int], list[int]]:
+        """(best, second, came): for each position the scores of the best and the second best path to it, and the id of the last arc of the best one.
+
+        An arc is a piece, or a character's bytes (``BYTES``) where no piece has just the character; of equal scores that of the first start stays.
         """
         shown, size = _shown(chunk), len(chunk)
-        trie, longest, arcs = self.trie, self.longest, []
-        best, came = [0, *[UNREACHED] * size], [()] * (size + 1)
+        trie, longest, alone = self.trie, self.longest, self.alone
+        best, second, came = [UNREACHED] * (size + 1), [UNREACHED] * (size + 1), [NONE] * (size + 1)
+        best[0] = 0
         for i in range(size):
-            here, node, j, single = best[i], trie, i, False
+            here, other, node, j = best[i], second[i], trie, i
             for c in shown[i : i + longest]:
                 step = node.get(c)
                 if step is None:
@@ -101,20 +107,22 @@ class Pieces:
                 node, score, number = step
                 j += 1
                 if score is not None:
-                    arc = (i, j, score, number)
-                    arcs.append(arc)
-                    score += here
-                    if score > best[j]:
-                        best[j], came[j] = score, arc
-                    if not single:
-                        single = j == i + 1
-            if not single:
+                    top, now = best[j], here + score
+                    if now > top:
+                        score += other
+                        second[j] = top if top > score else score
+                        best[j], came[j] = now, number
+                    elif now > second[j]:
+                        second[j] = now
+            if shown[i] not in alone:
                 j, score = i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass"))
-                arc = (i, j, score, None)
-                arcs.append(arc)
-                if here + score > best[j]:
-                    best[j], came[j] = here + score, arc
-        return arcs, best, came
+                top, now = best[j], here + score
+                if now > top:
+                    second[j] = max(top, other + score)
+                    best[j], came[j] = now, BYTES
+                elif now > second[j]:
+                    second[j] = now
+        return best, second, came
 
     def arcs_from(self, chunk: str, shown: str, i: int) -> list[tuple[int, int, int]]:
         """(end, score, id) of the arcs from a position, ``BYTES`` for a character's bytes; as ``lattice`` has them."""
@@ -178,29 +186,21 @@ class Pieces:
     def best_path(self, chunk: str) -> tuple[list[int] | array, int, float]:
         """(ids, score, loss): the best path, and how much worse the second best is.
 
-        The second best path is the best one over some arc that the best path hasn't; scores from both ends
-        give the best path over each arc.
+        The two best paths to a position end in an arc from one of the two best to an earlier one.
         """
         if len(chunk) > LONG:
             return self.long_best_path(chunk)
-        arcs, best, came = self.lattice(chunk)
-        size = at = len(chunk)
-        taken: list[tuple] = [()] * size  # by start: the arc of the best path
+        best, second, came = self.two_best(chunk)
+        at, ids, length_of = len(chunk), [], self.length_of
         while at:
-            arc = came[at]
-            at = arc[0]
-            taken[at] = arc
-        back, second = [*[UNREACHED] * size, 0], UNREACHED
-        for arc in reversed(arcs):
-            i, j, s, _ = arc
-            s += back[j]
-            if s > back[i]:
-                back[i] = s
-            s += best[i]
-            if s > second and taken[i] is not arc:
-                second = s
-        ids = [x for i, _, _, number in filter(None, taken) for x in ((number,) if number is not None else self.ids_of(chunk, i, None))]
-        return ids, best[size], math.inf if second == UNREACHED else best[size] - second
+            number = came[at]
+            at -= length_of[number]
+            if number >= 0:
+                ids.append(number)
+            else:
+                ids += reversed(self.ids_of(chunk, at, None))
+        ids.reverse()
+        return ids, best[-1], math.inf if second[-1] == UNREACHED else best[-1] - second[-1]
 
     def n_best(self, chunk: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids) of a chunk, best first.
@@ -209,7 +209,7 @@ class Pieces:
         beyond the n first ones can't come up.
         """
         shown, size = _shown(chunk), len(chunk)
-        best = self.forward(chunk)[0] if size > LONG else self.lattice(chunk)[1]
+        best = self.forward(chunk)[0] if size > LONG else self.two_best(chunk)[0]
         ranked: dict[int, list[tuple[int, int, int | str]]] = {}
         found: list[tuple[int, tuple[int, ...]]] = []
         heap: list[tuple] = []

@@ -69,3 +69,15 @@ def test_a_long_chunk_takes_bounded_memory():
     assert peak < 300 * len(text)
     assert len(scores) == 4 and vocabulary.decode(ids.tolist()) == text
     assert all(vocabulary.decode(pieces.changed(ids.tolist(), x)) == text for x in picks)
+
+
+def test_one_pass_gives_the_best_path_and_its_lead(monkeypatch):
+    """The best path and how far the second one is behind, without a list of all arcs."""
+    rng, vocabulary = random.Random(6), pieces.pieces(pieces.VOCABULARY)
+    chunks = ["".join(rng.choices(" ▁abeinost🙂", k=rng.randint(1, 14))) for _ in range(150)] + ["a", " ", "\x00", "🙂🙂"]
+    wanted = [vocabulary.n_best(c, 2) for c in chunks]
+    monkeypatch.setattr(vocabulary, "lattice", None)
+    for chunk, paths in zip(chunks, wanted, strict=True):
+        ids, score, loss = vocabulary.best_path(chunk)
+        assert score == paths[0][0] and loss == (paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf"))
+        assert tuple(ids) in [p for s, p in paths if s == score]
