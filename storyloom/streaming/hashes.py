@@ -1,4 +1,4 @@
-"""First-wins dedup by hash as a stateful operator, with hashes known before, retries and expiry."""
+"""First-wins dedup by hash with keyed state, with hashes known before, retries and expiry."""
 
 from __future__ import annotations
 
@@ -8,71 +8,64 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The state store that transformWithState needs.
+#: The state store that keeps its state outside of the executors' heap.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TAKEN = "taken boolean"
+#: Keys of the state, and what each has: the hashes of its bucket that were taken, and since when (milliseconds).
+BUCKETS, TAKEN = 1 << 14, "hashes array<string>, since array<long>"
+NEVER = np.iinfo(np.int64).max
 
 
-class FirstByHash(StatefulProcessor):
-    """For each hash whether a good row was seen; the state is one boolean a hash.
-
-    A batch's rows of a hash are held as two numbers each (place, good) until its first good row is known.
-    """
-
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.taken = handle, handle.getValueState("taken", TAKEN)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        places, good = [], []
-        for part in rows:
-            places.append(part["place"].to_numpy()), good.append(part["good"].to_numpy())
-        place, ok = np.concatenate(places), np.concatenate(good).astype(bool)
-        if self.taken.exists():
-            status = np.full(len(place), "duplicate", object)
-        else:
-            first = place[ok].min() if ok.any() else None
-            status = np.where(place == first, "new", np.where(place < first, "retry", "duplicate")) if first is not None else np.full(len(place), "retry", object)
-            if first is not None:
-                self._take(timerValues)
-        yield pd.DataFrame({"place": place, "status": status.astype(object)})
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: ANN001, N802, N803
-        self._take(timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        self.taken.clear()
-        yield pd.DataFrame({"place": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="object")})
-
-    def _take(self, timers) -> None:  # noqa: ANN001
-        self.taken.update((True,))
-        if self.keep_ms:
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.keep_ms)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_first_by_hash(stream: DataFrame, hash_col: str, place: str, ok: Column | None = None, known: DataFrame | None = None, keep_ms: int | None = None) -> DataFrame:
+def stream_first_by_hash(
+    stream: DataFrame, hash_col: str, place: str, ok: Column | None = None, known: DataFrame | None = None, keep_ms: int | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """(place, status) of every row of a stream: new, duplicate, retry or empty, as ``state.first_by_hash`` gives.
 
     ``place`` is a number that ascends from batch to batch and tells rows apart. Of a hash's good rows the first is new, rows
-    before it are to be tried again and those after it are duplicates; hashes in ``known`` are duplicates from the start.
-    ``keep_ms`` forgets a hash so long after its first good row was seen (never by default). Rows without a hash go to one of
-    many keys by their place, so they are no group; the rows of one hash in a batch are one task's, so bound the batch.
+    before it are to be tried again and those after it are duplicates. Rows whose hash is in ``known`` are duplicates: each batch is
+    joined with it, so they need no state. ``keep_ms`` forgets a hash so long after its first good row was seen (never by default; known ones
+    stay). Rows without a hash need no state either.
+
+    The state is keyed by one of ``buckets`` (fixed for a checkpoint) that a hash falls into, so Python is called for a bucket, not for
+    each hash; a batch reads and writes the buckets it meets. Hashes by the hundred million want more of them. A batch's rows of a
+    bucket are one task's, three numbers each, so bound the batch.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     good = F.lit(True) if ok is None else F.coalesce(ok, F.lit(False))
     hashed = stream.select(F.nullif(F.col(hash_col), F.lit("")).alias("hash"), F.col(place).cast("long").alias("place"), good.alias("good"))
-    start = None
+    status = F.when(F.col("hash").isNull(), "empty")
     if known is not None:
-        start = known.select(F.col(hash_col).alias("hash"), F.lit(True).alias("taken")).where(F.col("hash").isNotNull() & (F.col("hash") != "")).distinct().groupBy("hash")
-    told = hashed.where(F.col("hash").isNotNull()).groupBy("hash").transformWithStateInPandas(
-        FirstByHash(keep_ms), "place long, status string", "Append", "ProcessingTime" if keep_ms else "None", initialState=start
+        before = known.select(F.col(hash_col).alias("hash"), F.lit(True).alias("known")).where("hash IS NOT NULL AND hash <> ''").distinct()
+        hashed, status = hashed.join(before, "hash", "left"), status.when(F.col("known"), "duplicate")
+    hashed = hashed.withColumn("status", status)
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        taken = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if keep_ms:
+            taken = {h: since for h, since in taken.items() if since + keep_ms > now}
+        if not state.hasTimedOut:
+            number, held = {}, []
+            for part in parts:
+                codes, found = pd.factorize(part["hash"])
+                held.append((np.array([number.setdefault(h, len(number)) for h in found], np.int64)[codes], part["place"].to_numpy(), part["good"].to_numpy().astype(bool)))
+            code, place, ok = (np.concatenate(x) for x in zip(*held, strict=True))
+            least = np.full(len(number), NEVER)
+            np.minimum.at(least, code[ok], place[ok])
+            seen = np.fromiter((h in taken for h in number), bool, len(number))
+            status = np.where(seen[code] | (place > least[code]), "duplicate", np.where(place < least[code], "retry", "new"))
+            yield pd.DataFrame({"place": place, "status": status.astype(object)})
+            taken |= {h: now for h, k in number.items() if least[k] < NEVER and not seen[k]}
+        if taken:
+            state.update((list(taken), list(taken.values())))
+            if keep_ms:
+                state.setTimeoutDuration(max(min(taken.values()) + keep_ms - now, 1))
+        elif state.exists:
+            state.remove()
+
+    told = hashed.where("status IS NULL").select(F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"), "hash", "place", "good").groupBy("bucket").applyInPandasWithState(
+        first, "place long, status string", TAKEN, "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
     )
-    return told.unionByName(hashed.where(F.col("hash").isNull()).select("place", F.lit("empty").alias("status")))
+    return told.unionByName(hashed.where("status IS NOT NULL").select("place", "status"))

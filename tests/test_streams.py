@@ -167,3 +167,24 @@ class TestHashes:
             found = ingest.run_once(hashes.stream_first_by_hash(stream, "hash", "id", F.col("ok"), known), "append", str(tmp_path / "c"), str(tmp_path / "out"))
         assert {r["place"]: r["status"] for r in found.collect()} == wanted
         assert found.count() == len(rows)
+
+    def test_the_state_has_a_row_for_a_bucket_and_none_for_known_hashes(self, spark, tmp_path):
+        rows = [(i, f"h{i % 40}", i % 3 > 0) for i in range(120)]
+        known = spark.createDataFrame([(f"h{k}",) for k in range(20)], "hash string")
+        wanted = {r["id"]: r["status"] for r in state.first_by_hash(spark.createDataFrame(rows, self.SCHEMA), "hash", ["id"], known, F.col("ok")).collect()}
+        for k, part in enumerate((rows[:70], rows[70:])):
+            told = hashes.stream_first_by_hash(put(spark, tmp_path, k, part, self.SCHEMA), "hash", "id", F.col("ok"), known, buckets=3)
+            found = ingest.run_once(told, "append", str(tmp_path / "c"), str(tmp_path / "out"))
+        assert {r["place"]: r["status"] for r in found.collect()} == wanted
+        kept = spark.read.format("statestore").load(str(tmp_path / "c")).selectExpr("value.*").collect()
+        assert 1 <= len(kept) <= 3 and "h39" in str(kept) and "h19" not in str(kept)
+
+    def test_a_hash_is_forgotten_after_its_time(self, spark, tmp_path, request):
+        # A stream with timeouts always has another batch without data to run, so a run that ends has to do without these.
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        request.addfinalizer(lambda: spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled"))
+        for keep, wanted in ((1, ["new", "new"]), (10**9, ["duplicate", "new"])):
+            for k in range(2):
+                stream = put(spark, tmp_path / str(keep), k, [(k, "a", True)], self.SCHEMA)
+                found = ingest.run_once(hashes.stream_first_by_hash(stream, "hash", "id", F.col("ok"), keep_ms=keep), "append", str(tmp_path / f"c{keep}"), str(tmp_path / f"out{keep}"))
+            assert sorted(r["status"] for r in found.collect()) == wanted
