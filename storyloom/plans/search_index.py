@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.plans.query_language import Clause, compile_clauses
@@ -28,6 +28,22 @@ def words_of(value: str) -> list[str]:
     return re.findall("[a-z0-9]+", value.lower())
 
 
+def _places(value: Column) -> Column:
+    """The words of a value in lower case, each once with its places: sorted with them and cut where the next word begins, so no row leaves its task."""
+    words = F.transform(F.split(value, "[^a-z0-9]+"), lambda x, i: F.struct(x.alias("word"), i.alias("place")))
+    ordered = F.sort_array(F.filter(words, lambda x: x["word"] != ""))
+
+    def cut(held: Column) -> Column:
+        n = F.size(held)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.get(held, i - 1)["word"] != F.get(held, i - 2)["word"]))
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
+        found = F.zip_with(starts, ends, lambda i, j: F.struct(F.get(held, i - 1)["word"].alias("word"), F.slice(held, i, F.greatest(j - i, F.lit(0)))["place"].alias("places")))
+        return F.filter(found, lambda x: x["word"].isNotNull())
+
+    # A lambda binds the sorted words, which are named many times.
+    return F.flatten(F.transform(F.array(ordered), cut))
+
+
 class SearchIndex(BatchStore):
     """Postings of rows (id, title, summary) in a folder of the shared store."""
 
@@ -36,9 +52,9 @@ class SearchIndex(BatchStore):
 
     def add(self, rows: DataFrame, number: int) -> bool:
         """Take a batch of rows in; False if it was taken before. Rows without an id can't be found by it and must not be searched with it."""
-        fields = F.array(*[F.struct(F.lit(k).alias("field"), F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+").alias("words")) for k, name in enumerate(("title", "summary"))])
-        each = rows.where(F.col("id").isNotNull()).select("id", F.explode(fields).alias("f")).select("id", "f.field", F.posexplode("f.words").alias("place", "word")).where("word <> ''")
-        found = each.groupBy("word", "id", "field").agg(F.sort_array(F.collect_set("place")).alias("places"))
+        fields = F.array(*[F.struct(F.lit(k).alias("field"), _places(F.lower(F.coalesce(name, F.lit("")))).alias("words")) for k, name in enumerate(("title", "summary"))])
+        each = rows.where(F.col("id").isNotNull()).select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode("f.words").alias("w"))
+        found = each.select("w.word", "id", "field", "w.places")
         return self.commit(number, {"postings": found.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))})
 
     def candidates(self, value: str) -> DataFrame | None:

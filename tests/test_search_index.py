@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from storyloom.plans.query_language import compile_clauses, parse
@@ -32,3 +34,18 @@ def test_index_gives_what_patterns_give(spark, index, q):
 def test_a_clause_reads_the_folders_of_its_words(index):
     plan = index.candidates("the")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(word), EqualTo(word,the)" in plan
+
+
+def test_postings_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    made = SearchIndex(spark, str(tmp_path / "w"))
+    monkeypatch.setattr(SearchIndex, "commit", lambda self, number, frames: frames["postings"])
+    rows = made.add(spark.createDataFrame(ROWS, SCHEMA), 0)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    wanted = {}
+    for id_, *fields in ROWS:
+        for field, value in enumerate(fields):
+            for place, word in enumerate(re.split("[^a-z0-9]+", (value or "").lower())):
+                if word:
+                    wanted.setdefault((word, id_, field), []).append(place)
+    found = rows.collect()
+    assert {(r["word"], r["id"], r["field"]): r["places"] for r in found} == wanted and len(found) == len(wanted)
